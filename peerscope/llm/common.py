@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,24 @@ def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner
     """Join with a derived table: broadcast where it has at most BROADCAST_ROWS rows, shuffled beyond that."""
     few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(small) if few else small, on, how)
+
+
+_shipped: set[str] = set()
+
+
+def ship(sc: SparkContext) -> None:
+    """Sends this package to the Python workers, once an application, so that they can import it wherever they run."""
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        made = Path(tempfile.mkdtemp(prefix="spark-ship-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(made, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(made))
+        _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with this package at hand in the workers."""
+    ship(df.sparkSession.sparkContext)
+    return df.mapInArrow(function, schema)

@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality_rules
-from .common import body, read
+from . import decontamination, mixing, pii, quality_gam, quality_rules, token_counts, toxicity
+from .common import body, held_out, read
+
+
+def _classified(spark: SparkSession, sf_dir: str, model, threshold: float) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = model.score(docs, model.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality_gam, 0.3)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.read_pieces(spark, f"file://{token_counts.VOCABULARY}"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("shard")
 
@@ -24,9 +38,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("text", "items")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, 0.5)
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_pii": op3_pii,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op9_decontamination": op9_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}
