@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, pii, quality_gam, quality_rules, token_counts, toxicity
+from . import decontamination, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts, toxicity
 from .common import body, held_out, read
 
 
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in pii.BASE], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), token_counts.read_pieces(spark, f"file://{token_counts.VOCABULARY}"))
 
@@ -50,6 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_pii": op3_pii,
+    "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
