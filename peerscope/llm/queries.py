@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts, toxicity
-from .common import body, held_out, read
+from . import decontamination, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts, toxicity, warc
+from .common import body, held_out, read, shared_dir
 
 
 def _classified(spark: SparkSession, sf_dir: str, model, threshold: float) -> DataFrame:
@@ -19,6 +21,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_gam, 0.3)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(read(spark, sf_dir, "pages"), path)
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
+    found = warc.read_warc(spark, path, payload=False)
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read(spark, sf_dir, "documents").select("doc_id", body().alias("text")))
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
@@ -53,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_warc": op2_warc,
     "op3_pii": op3_pii,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_counts": op5_token_counts,
