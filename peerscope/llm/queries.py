@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts, toxicity, warc
+from . import decontamination, lm_scoring, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts, toxicity, warc
 from .common import body, held_out, read, shared_dir
 
 
@@ -52,6 +52,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark")).drop("text", "items")
@@ -69,6 +74,7 @@ QUERIES = {
     "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
