@@ -176,8 +176,17 @@ def covered(spans: list[int]) -> int:
     return total
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with n_words, n_hit (words inside any occurrence), n_items, items_sha256, items and contaminated."""
+ADDED = T.StructType([
+    *[T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")],
+    T.StructField("items_sha256", T.StringType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType()),
+])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, mark: str | None = None) -> DataFrame:
+    """docs with n_words, n_hit (words inside any occurrence), n_items, items_sha256, items and contaminated.
+
+    With `mark`, only contaminated is added, under that name.
+    """
     names = docs.columns
     work = docs.select("*", F.lit(0).cast("long").alias("__words"), F.array().cast("array<bigint>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
     slices = 0
@@ -186,17 +195,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         slices += 1
     if not slices:
         work = _marked(work, Windows([]))
+    if mark:
+        return work.withColumn(mark, F.size("__spans") > 0).select(*[F.col(f"`{c}`") for c in names], mark)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [covered(s) for s in batch.column("__spans").to_pylist()]
-            items = batch.column("__items").to_pylist()
+            words, spans, found = batch.columns[-3:]
+            hits, items = [covered(s) for s in spans.to_pylist()], found.to_pylist()
             digest = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]
-            added = [batch.column("__words"), pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest, pa.string()), pa.array(items, pa.list_(pa.string())), pa.array([h > 0 for h in hits], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *ADDED])
-
-    return map_arrow(work, finished, T.StructType([*docs.schema.fields, *T.StructType.fromDDL(ADDED_TYPES).fields]))
-
+            added = [words, pa.array(hits, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(digest, pa.string()), pa.array(items, pa.list_(pa.string())), pa.array([h > 0 for h in hits], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *added], [*names, *ADDED.names])
 
-ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated")
-ADDED_TYPES = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
+    return map_arrow(work, finished, T.StructType([*docs.schema.fields, *ADDED.fields]))

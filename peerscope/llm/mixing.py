@@ -74,28 +74,34 @@ def overlap(start: Column, end: Column, stop: Column) -> Column:
     return F.greatest(F.least(end, stop) - start, F.lit(0))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, blocks: int = BLOCKS, shard_rows: int = 4096, seed: str = "mix-1") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken, and its block quota's shard."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, blocks: int = BLOCKS, shard_rows: int = 4096, seed: str = "mix-1", carry: list[str] | None = None) -> DataFrame:
+    """Per document: the columns `carry` (only doc_id by default), size, source_size, target, taken and shard.
+
+    Sizes and orders are computed once and kept; only if more columns are carried are they computed again with them.
+    """
+    carry = carry or ["doc_id"]
     seeded = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    sized = cut(docs.select("doc_id", "source", F.regexp_count(body(), F.lit(WORD)).cast("long").alias("size"), seeded.alias("__h")))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__docs"))
-    targets = source_targets(sources.select("source", "source_size"), weights, repeats)
-    targets = targets.join(sources.select(F.col("source").alias("__s"), "__docs"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    # A source stands for its name with a mark before it, so that a null source needs no care.
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    measures = [key.alias("__k"), F.regexp_count(body(), F.lit(WORD)).cast("long").alias("__size"), seeded.alias("__h")]
+    narrow = cut(docs.select("doc_id", *measures))
+    wide = narrow if carry == ["doc_id"] else docs.select(*[F.col(f"`{c}`") for c in carry], *measures)
+    sources = narrow.groupBy("__k").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__docs"))
+    sources = cut(sources.select(F.when(F.col("__k") != "", F.expr("substring(__k, 2)")).alias("source"), "source_size", "__docs"))
     whole = Window.partitionBy(F.lit(1))
+    counts = sources.select(key.alias("__k"), "__docs")
     targets = (
-        targets.withColumn("__block", F.greatest(F.ceil(F.sum("source_size").over(whole) / blocks), F.lit(1)))
+        source_targets(sources.select("source", "source_size"), weights, repeats)
+        .withColumn("__block", F.greatest(F.ceil(F.sum("source_size").over(whole) / blocks), F.lit(1)))
         .withColumn("__seats", F.floor(F.sum("source_size").over(whole) / F.col("__block")))
-        .withColumn("__shards", F.greatest(F.ceil(F.col("__docs") / shard_rows), F.lit(1)))
     )
-    targets = cut(sainte_lague(targets, [], "target", "__seats", "rank", "__quota"))
-    # A source stands for its rank from here on, so that a null source needs no care.
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    small = targets.select(key.alias("__k"), "rank", "source_size", "target", "__shards", "__block", "__quota")
-    placed = join_small(sized.withColumn("__k", key), small, ["__k"]).withColumn("__shard", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % F.col("__shards"))
-    shards = placed.groupBy("rank", "__shard").agg(F.sum("size").alias("__len"), F.first("__block").alias("__block"), F.first("__quota").alias("__quota"))
-    quotas = sainte_lague(shards, ["rank"], "__len", "__quota", "__shard", "__q").select("rank", "__shard", "__len", F.least(F.col("__q") * F.col("__block"), F.col("__len") * repeats).alias("__take"))
-    ring = Window.partitionBy("rank", "__shard").orderBy("__h", "doc_id", "size")
-    stood = placed.withColumn("__end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    quotas = sainte_lague(targets, [], "target", "__seats", "rank", "__quota").select(key.alias("__k"), "rank", "source_size", "target", "__block", "__quota")
+    quotas = cut(quotas.join(counts, "__k").withColumn("__shards", F.greatest(F.ceil(F.col("__docs") / shard_rows), F.lit(1))))
+    place = lambda df: join_small(df, quotas, ["__k"]).withColumn("__shard", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % F.col("__shards"))
+    shards = place(narrow).groupBy("rank", "__shard").agg(F.sum("__size").alias("__len"), F.first("__block").alias("__block"), F.first("__quota").alias("__quota"))
+    shares = sainte_lague(shards, ["rank"], "__len", "__quota", "__shard", "__q").select("rank", "__shard", "__len", F.least(F.col("__q") * F.col("__block"), F.col("__len") * repeats).alias("__take"))
+    ring = Window.partitionBy("rank", "__shard").orderBy("__h", *(["doc_id"] if "doc_id" in carry else []), "__size")
+    stood = place(wide).withColumn("__end", F.sum("__size").over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rounds, part = F.floor(F.col("__take") / F.greatest(F.col("__len"), F.lit(1))), F.col("__take") % F.greatest(F.col("__len"), F.lit(1))
-    taken = rounds * F.col("size") + overlap(F.col("__end") - F.col("size"), F.col("__end"), part)
-    return stood.join(quotas, ["rank", "__shard"]).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__shard").alias("shard"))
+    taken = rounds * F.col("__size") + overlap(F.col("__end") - F.col("__size"), F.col("__end"), part)
+    return stood.join(shares, ["rank", "__shard"]).select(*[F.col(f"`{c}`") for c in carry], F.col("__size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), F.col("__shard").alias("shard"))

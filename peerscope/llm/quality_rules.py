@@ -22,11 +22,11 @@ from .common import WORD, body, cut, held_out, join_small, let
 
 #: Name and rate of each rule, over the columns of text_statistics().
 RULES = {
-    "symbols": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeats": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "word_length": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) / 100,
-    "capitals": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
+    "symbols": lambda: F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
+    "dup_lines": lambda: F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+    "repeats": lambda: F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
+    "word_length": lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) / 100,
+    "capitals": lambda: F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
 }
 #: Cutoffs are the multiples of 1 / BINS.
 BINS = 50
@@ -94,7 +94,7 @@ def certified_cutoffs(good: DataFrame, stratum: str, alpha: float = 0.02, delta:
     good: statistics of labelled good documents. The counts are partially aggregated before the shuffle, so their size
     is strata x rules x BINS whatever the number of labels.
     """
-    rates = F.array(*[F.struct(F.lit(k).alias("rule"), F.least(F.ceil(v * BINS), F.lit(BINS + 1)).cast("int").alias("bin")) for k, v in RULES.items()])
+    rates = F.array(*[F.struct(F.lit(k).alias("rule"), F.least(F.ceil(v() * BINS), F.lit(BINS + 1)).cast("int").alias("bin")) for k, v in RULES.items()])
     n_by = good.groupBy(stratum).agg(F.count("*").alias("n"))
     hist = good.select(stratum, F.explode(rates).alias("r")).groupBy(stratum, "r.rule", "r.bin").agg(F.count("*").alias("c"))
     # A cutoff of j / BINS rejects what lies in bins above j, so each occupied bin is a cutoff.
@@ -121,7 +121,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     broken = F.lit(False)
     for name, rate in RULES.items():
-        broken = broken | F.coalesce(rate > F.col(f"cut_{name}"), F.lit(False))
+        broken = broken | F.coalesce(rate() > F.col(f"cut_{name}"), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base.alias("base_failed"), (~base & ~broken).alias("kept"), *[f"cut_{r}" for r in RULES],
