@@ -7,8 +7,8 @@ At a similarity of exactly 0.75 a pair misses all buckets with a probability of
 
 Documents with equal sets form one class, and only the class with its smallest doc_id goes on, so exact copies cost
 nothing. In a bucket every class is paired with the smallest one (a star, not all pairs). Candidates pass a length bound
-and are confirmed on full sets. Where a bucket's classes are not all in one component after that, its pairs across
-components are confirmed too, so that no link is lost to an unlucky centre; pairs inside a component change nothing.
+and are confirmed on full sets. Where a bucket's classes are not all in one component after that, the outliers are compared
+with all classes of that centre, so that no link is lost to an unlucky centre; pairs inside a component change nothing.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; fewer than SHINGLE words
 make one shingle; rows that share a doc_id are one document; rows with a null doc_id are linked with nothing, with a
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, ship
 from .components import components
 from .features import Memo
 
@@ -33,6 +33,10 @@ SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 #: Similarity, as a fraction of integers: links have DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
+#: Signatures of sets at the similarity threshold differ in 15 symbols on average; more than FAR means a deviation of 5.4.
+FAR = 33
+#: Classes that are compared at once: a chunk of outliers with a chunk of members.
+OUTLIERS, MEMBERS = 256, 1024
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _K = CHUNKS * CHUNK
@@ -142,43 +146,96 @@ def may_link(n: str, m: str):
     return DEN * F.least(n, m) >= NUM * F.greatest(n, m)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among pairs(a, b). Only texts that occur in a pair are read again for their sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+def close_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs(a, b) whose signatures differ in at most FAR symbols; similar sets differ in more once in ten million."""
+    sign = lambda c, out: classes.select(F.col("rep").alias(c), F.col("signature").alias(out))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, _K) for c in ("s", "t"))
+                yield batch.select(["a", "b"]).filter(pa.array((s != t).sum(1) <= FAR))
+
+    return map_arrow(pairs.join(sign("a", "s"), "a").join(sign("b", "t"), "b"), run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among pairs(a, b), by their full sets."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(one, "a").join(two, "b").filter(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def compare(table: pa.Table) -> pa.Table:
+    """Links between a chunk of outliers (x) and a chunk of members (y) of other components, one per x and component."""
+    roles = np.array(table.column("role").to_pylist())
+    rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    sets = [np.asarray(v.values) for v in lists]
+    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, _K)
+    size = np.array([len(v) for v in sets])
+    ys = np.flatnonzero(roles == "y")
+    a, b = [], []
+    for x in np.flatnonzero(roles == "x"):
+        near = ys[(own[ys] != own[x]) & (DEN * np.minimum(size[ys], size[x]) >= NUM * np.maximum(size[ys], size[x]))]
+        near = near[(sign[near] != sign[x]).sum(1) <= FAR]
+        if not len(near):
+            continue
+        flat, mine = np.concatenate([sets[y] for y in near]), sets[x]
+        found = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        both = np.add.reduceat(found, np.cumsum(size[near]) - size[near])
+        linked = near[DEN * both >= NUM * (size[near] + size[x] - both)]
+        _, first = np.unique(own[linked], return_index=True)
+        a += [int(rep[x])] * len(first)
+        b += [int(rep[y]) for y in linked[first]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def links_across(met: DataFrame, found: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between classes that share a centre but not, so far, a component.
+
+    Of two such classes one at least is outside the centre's component. These outliers are compared with all that share
+    the centre, in chunks of bounded size: chunk by chunk inside tasks, so that no row is made per pair.
+    """
+    label = lambda c, out: found.select(F.col("node").alias(c), F.col("component").alias(out))
+    members = met.select("centre", "rep").distinct().join(label("rep", "o"), "rep", "left").join(label("centre", "h"), "centre", "left")
+    members = members.select("centre", "rep", F.coalesce("o", "rep").alias("own"), (F.coalesce("o", "rep") != F.coalesce("h", "centre")).alias("outlier"))
+    members = cut(members)
+    sizes = members.groupBy("centre").agg(F.sum(F.when(F.col("outlier"), 1).otherwise(0)).alias("nx"), F.count("*").alias("ny")).filter("nx > 0")
+    sizes = cut(sizes.select("centre", F.ceil(F.col("nx") / OUTLIERS).cast("int").alias("xs"), F.ceil(F.col("ny") / MEMBERS).cast("int").alias("ys")))
+    rows = members.join(sizes, "centre")
+    chunk = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    xs = rows.filter("outlier").select("centre", "rep", "own", F.lit("x").alias("role"), chunk(1, "xs").alias("i"), every("ys").alias("j"))
+    ys = rows.select("centre", "rep", "own", F.lit("y").alias("role"), every("xs").alias("i"), chunk(2, "ys").alias("j"))
+    full = sets.select(F.col("doc_id").alias("rep"), "shingles").join(classes.select("rep", "signature"), "rep")
+    ship(met.sparkSession.sparkContext)
+    dealt = xs.unionByName(ys).join(full, "rep")
+    return dealt.groupBy("centre", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(sketches(docs))
     full = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy("digest", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("r")).select("digest", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature")))
+    least = F.min(F.struct("doc_id", "signature")).alias("r")
+    classes = cut(full.groupBy("digest", "n_shingles").agg(least).select("digest", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature")))
     index = indexed(classes)
-    # Buckets of one class are dropped before the shuffle's rows are joined to their centre.
+    # Buckets of one class are dropped before the rest is joined to its centre.
     centres = index.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"))
-    met = cut(index.join(centres, "key").select("key", "rep", "n", "centre", "m"))
-    pairs = met.filter(F.col("rep") != F.col("centre")).filter(may_link("n", "m")).select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    pairs = cut(pairs)
-    links = cut(confirmed(pairs, docs))
-    # Documents are the same as their class, so classes are tied by what shares a doc_id too.
+    met = cut(index.join(centres, "key").groupBy("centre", "rep").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+    pairs = met.filter((F.col("rep") != F.col("centre")) & may_link("n", "m")).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    pairs = cut(close_signatures(pairs, classes))
+    # Only texts that share a bucket are read again, for their sets.
+    wanted = met.select(F.explode(F.array("rep", "centre")).alias("doc_id")).distinct()
+    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    links = cut(confirmed(pairs, sets))
     found = cut(components(links))
-    label = lambda c, out: found.select(F.col("node").alias(c), F.col("component").alias(out))
-    named = met.join(label("rep", "x"), "rep", "left").join(label("centre", "y"), "centre", "left")
-    named = named.select("key", "rep", "n", F.coalesce("x", "rep").alias("own"), F.coalesce("y", "centre").alias("other"))
-    mixed = named.filter("own != other").select("key").distinct()
-    split = cut(named.join(mixed, "key", "left_semi").select("key", "rep", "n", "own"))
-    left, right = split.select("key", F.col("rep").alias("a"), "n", F.col("own").alias("x")), split.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("own").alias("y"))
-    more = left.join(right, "key").filter("a > b and x != y").filter(may_link("n", "m")).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(more)
+    more = cut(links_across(met, found, sets, classes))
     if not more.isEmpty():
-        extra = cut(confirmed(more, docs))
-        if not extra.isEmpty():
-            found = cut(components(links.unionByName(extra)))
+        found = cut(components(links.unionByName(more)))
     final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.col("n").alias("k"), F.coalesce("component", "rep").alias("c"))
     out = sketched.join(cut(final), (F.col("digest") == F.col("d")) & (F.col("n_shingles") == F.col("k")), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id"))
