@@ -17,7 +17,6 @@ null component, and kept; an empty table gives an empty result. Only doc_id and
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, ship
 from .components import components
-from .features import Memo
+from .features import LOWER_ASCII, Memo, raw_texts
 
 SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
@@ -37,8 +36,6 @@ NUM, DEN = 75, 100
 FAR = 33
 #: Classes that are compared at once: a chunk of outliers with a chunk of members.
 OUTLIERS, MEMBERS = 256, 1024
-_UPPER = {c: c + 32 for c in range(65, 91)}
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _K = CHUNKS * CHUNK
 
 
@@ -59,9 +56,9 @@ def word_hashes() -> Memo:
     return Memo(lambda w: xxhash.xxh64_intdigest(w))
 
 
-def shingle_set(text: str | None, memo: Memo) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles of the whole text."""
-    words = _WORD.findall((text or "").translate(_UPPER))
+def shingle_set(text: bytes, memo: Memo) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of the whole text, given as UTF-8."""
+    words = text.translate(LOWER_ASCII).split()
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
@@ -102,8 +99,8 @@ def sketches(docs: DataFrame) -> DataFrame:
         memo = word_hashes()
         for batch in batches:
             size, digest, sign = [], [], []
-            for t in batch.column("text"):
-                s = shingle_set(t.as_py(), memo)
+            for t in raw_texts(batch.column("text")):
+                s = shingle_set(t, memo)
                 size.append(len(s))
                 digest.append(np.array([_mix(s).sum(), _mix(s ^ _ADD[150]).sum()], np.uint64).tobytes())
                 sign.append(signature(s).tobytes() if len(s) else b"")
@@ -118,7 +115,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), memo).view(np.int64) for t in batch.column("text")]
+            sets = [shingle_set(t, memo).view(np.int64) for t in raw_texts(batch.column("text"))]
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))], ["doc_id", "shingles"])
