@@ -17,8 +17,8 @@ part as the empty id; empty tables give clean or empty results. Only doc_id, tex
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,25 +27,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow
+from .features import raw_texts
 
 WINDOW = 10
 #: Windows whose words and places are sent to each executor at once, about 100 bytes each.
 SLICE_WINDOWS = 500_000
-#: Fixed value: what is not a word: ASCII other than digits and lower-case letters.
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_UPPER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of text that are matched at once, unless one text alone is longer.
+STEP = 4 << 20
+#: A-Z become a-z and ASCII other than digits and letters becomes space; bytes beyond ASCII stay in words.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of the text with A-Z lower-cased; letters outside ASCII are kept as they are."""
-    return _WORD.findall((text or "").translate(_UPPER))
+def words_of(text: str | None) -> list[bytes]:
+    """Words of a text in UTF-8, A-Z lower-cased."""
+    return (text or "").encode().translate(_WORDS).split()
+
+
+def steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about STEP bytes."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= STEP:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 class Windows:
     """The windows of some items as rows of word numbers, with the items each belongs to."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         found: dict[tuple[int, ...], list[str]] = {}
         for item_id, text in items:
             w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
@@ -66,9 +80,11 @@ class Windows:
         codes[single, 0] = -2 - self.rows[single, 0]
         return codes
 
-    def numbered(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+    def numbered(self, texts: list[bytes]) -> np.ndarray:
+        """Words of all texts as numbers, 0 for words of no window, with a -1 after every text, which matches nothing."""
+        words = b" | ".join([*(t.translate(_WORDS) for t in texts), b""]).split()
+        ids = {**self.ids, b"|": -1}
+        return np.fromiter(map(ids.get, words, repeat(0)), np.int64, len(words))
 
     def choose_prefixes(self, counts: dict[int, int]) -> None:
         """Sorts the windows by the code of their rarest shingle; `place` is where in the window it stands."""
@@ -82,9 +98,9 @@ class Windows:
         self.items = [self.items[i] for i in order]
 
     def match(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and window numbers of all exact occurrences in a document of numbered words."""
+        """Starts and window numbers of all exact occurrences in numbered words."""
         n = len(doc)
-        known = np.flatnonzero(doc)
+        known = np.flatnonzero(doc > 0)
         if not len(known) or not len(self.key):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         nxt = np.where(known + 1 < n, doc[np.minimum(known + 1, n - 1)], 0)
@@ -115,15 +131,15 @@ def _shingle_counts(docs: DataFrame, boxed) -> dict[int, int]:
         codes = np.unique(w.shingles())
         total = np.zeros(len(codes), np.int64)
         for batch in batches:
-            for t in batch.column("text"):
-                doc = w.numbered(words_of(t.as_py()))
-                both = (doc[:-1] > 0) & (doc[1:] > 0)
-                seen = (doc[:-1] * w.base + doc[1:])[both]
-                if codes.size and codes[0] < -1:
-                    seen = np.concatenate([seen, -2 - doc[doc > 0]])
-                at = np.minimum(np.searchsorted(codes, seen), len(codes) - 1) if len(codes) else np.zeros(0, np.int64)
-                at = at[codes[at] == seen] if len(codes) else at
-                np.add.at(total, at, 1)
+            texts = raw_texts(batch.column("text"))
+            for a, b in steps(texts) if len(codes) else ():
+                ids = w.numbered(texts[a:b])
+                both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+                seen = ids[both] * w.base + ids[both + 1]
+                if codes[0] < -1:
+                    seen = np.concatenate([seen, -2 - ids[ids > 0]])
+                at = np.minimum(np.searchsorted(codes, seen), len(codes) - 1)
+                total += np.bincount(at[codes[at] == seen], minlength=len(codes))
         some = total > 0
         yield pa.RecordBatch.from_arrays([pa.array(codes[some]), pa.array(total[some])], ["code", "n"])
 
@@ -154,14 +170,20 @@ def _marked(docs: DataFrame, windows: Windows) -> DataFrame:
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = boxed.value
         for batch in batches:
-            n_words, spans, items = [], [], []
-            for t, old_spans, old_items in zip(batch.column("text"), batch.column("__spans").to_pylist(), batch.column("__items").to_pylist(), strict=True):
-                words = words_of(t.as_py())
-                start, window = w.match(w.numbered(words))
-                n_words.append(len(words))
-                spans.append(old_spans + [x for p in zip(start.tolist(), (start + w.size[window]).tolist(), strict=True) for x in p])
-                items.append(sorted({*old_items, *(i for k in np.unique(window) for i in w.items[k])}))
-            new = {"__words": pa.array(n_words, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array(items, pa.list_(pa.string()))}
+            texts = raw_texts(batch.column("text"))
+            n_words = []
+            spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+            for a, b in steps(texts):
+                ids = w.numbered(texts[a:b])
+                ends = np.flatnonzero(ids == -1)
+                starts = np.concatenate([[0], ends[:-1] + 1])
+                n_words += (ends - starts).tolist()
+                at, window = w.match(ids)
+                text = np.searchsorted(ends, at)
+                for t, s, k in zip(text.tolist(), (at - starts[text]).tolist(), window.tolist(), strict=True):
+                    spans[a + t] += [s, s + int(w.size[k])]
+                    items[a + t] += w.items[k]
+            new = {"__words": pa.array(n_words, pa.int64()), "__spans": pa.array(spans, pa.list_(pa.int64())), "__items": pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(j)) for j, c in enumerate(names)], names)
 
     return map_arrow(docs, marked, docs.schema)

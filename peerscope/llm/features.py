@@ -52,6 +52,15 @@ def byte_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return classes, words
 
 
+#: Lower-cases A-Z in bytes of UTF-8; bytes.split() then splits at exactly space and 0x09-0x0D.
+LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def raw_texts(texts: pa.Array) -> list[bytes]:
+    """The texts as UTF-8 bytes; nulls are empty."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
 class Memo(dict):
     """word -> value, computed once; emptied when it holds `most` entries, so memory is bounded whatever the vocabulary."""
 
