@@ -18,7 +18,6 @@ scored each for itself; an empty table gives an empty result. Only doc_id and te
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, ship
-from .features import Memo
+from .features import Memo, raw_texts
 
 ORDER, MIN_COUNT, BACKOFF = 2, 2, 0.4
 BLOCK_WORDS = 1_500_000
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -49,8 +47,8 @@ class Block:
 
         memo = Memo(xxhash.xxh64_intdigest)
         words = []
-        for t in texts:
-            found = _WORD.findall(t.as_py() or "")
+        for t in raw_texts(texts):
+            found = t.split()
             words.append(np.fromiter(map(memo.__getitem__, found), np.uint64, len(found)))
         self.lengths = np.array([len(w) for w in words], np.int64)
         flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
