@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_arrow
-from .features import Memo
+from .features import Memo, raw_texts
 
 #: A public vocabulary of byte pieces, one base64 piece and its rank per line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,10 +66,10 @@ class Automaton:
                     self.link[v], self.pops[v] = self.child[z][c], popped
             queue.extend((v, d, w) for d, w in self.child[v].items())
 
-    def count(self, word: str) -> int:
+    def count(self, word: bytes) -> int:
         """Pieces of the word in greedy longest match; 1 for a word that the vocabulary can't cover."""
         node, total = 0, 0
-        for c in b" " + word.encode():
+        for c in b" " + word:
             while c not in self.child[node]:
                 if node == 0 or self.link[node] < 0:
                     return 1
@@ -90,11 +90,10 @@ def count_tokens(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(Automaton(boxed.value).count)
-        blanks = str.maketrans("\t\n\v\f\r", "     ")
         for batch in batches:
             words, tokens = [], []
-            for t in batch.column("text"):
-                found = [w for w in (t.as_py() or "").translate(blanks).split(" ") if w]
+            for t in raw_texts(batch.column("text")):
+                found = t.split()
                 words.append(len(found))
                 tokens.append(sum(map(memo.__getitem__, found)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
