@@ -2,9 +2,9 @@
 
 The features are lexicon densities, second-person proximity, capitals, punctuation and obfuscation rates. The lexicon
 is learned: words and word beginnings whose presence separates toxic from other labelled documents, counted once per
-cluster of near copies so that a much-copied document does not put its words into it. Lexicon, trees and calibration
-each use their own third of a sample of at most SAMPLE labelled rows, those of smallest hash; everything else, and the
-scoring, covers all documents.
+cluster of near copies so that a much-copied document does not put its words into it. The model is fitted on at most
+SAMPLE labelled rows, those of smallest hash, in three parts: trees learn from two, calibration from the third, each
+with a lexicon learned from the parts it doesn't look at. The scoring covers all documents.
 
 Defined results: null text counts as empty; an empty text scores like any other row of zeros; repeated rows score
 alike; without labels, or with labels of one class only, every score is that class's share (0.5 without labels); labels
@@ -19,11 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_arrow
+from .common import cut, held_out, map_arrow
 from .features import LOWER, SHOUT, STOP, SYMBOL, TAIL, UPPER, Memo, byte_counts
 
 #: Most labelled rows that a model is fitted on.
@@ -190,30 +191,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(part.cast("int").alias("part"), F.col("y").cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def learn_lexicon(sample: DataFrame) -> frozenset[str]:
-    """Stems that are far more frequent in toxic documents; at most LEXICON of them reach the driver."""
+def stem_counts(sample: DataFrame) -> DataFrame:
+    """(stem, p0, q0, p1, q1, p2, q2): in how many clusters of toxic and of other texts of each part a stem occurs."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ys, cs, ws = [], [], []
-            for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows = []
+            for part, y, t in zip(*(batch.column(c).to_pylist() for c in ("part", "y", "text")), strict=True):
                 words = [bare(w) for w in t.split()]
-                seen = {s for w in set(words) for s in stems(w)}
                 # One of the smallest hashes of a text's word triples: near copies agree on it nearly always.
-                cluster = min((hash3(a, b, c) for a, b, c in zip(words, words[1:], words[2:])), default=0)
-                ys += [y] * len(seen)
-                cs += [cluster] * len(seen)
-                ws += seen
-            yield pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array(ys, pa.int32()), pa.array(cs, pa.int64())], ["stem", "y", "cluster"])
-
-    rows = map_arrow(sample.filter("part = 0").select("y", "text"), found, "stem string, y int, cluster long")
-    total = sample.filter("part = 0").groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in total}
-    if not n.get(1) or not n.get(0):
+                cluster = min((hash3(*w) for w in zip(words, words[1:], words[2:], strict=False)), default=0)
+                rows += [(s, part, y, cluster) for s in {s for w in set(words) for s in stems(w)}]
+            columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["stem", "part", "y", "cluster"])
+
+    rows = map_arrow(sample.select("part", "y", "text"), found, "stem string, part int, y int, cluster long").distinct()
+    count = lambda k, y: F.count_if((F.col("part") == k) & (F.col("y") == y)).alias(f"{'qp'[y]}{k}")
+    return rows.groupBy("stem").agg(*[count(k, y) for k in range(3) for y in (1, 0)]).filter("p0 + p1 + p2 >= 3")
+
+
+def learn_lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], parts: tuple[int, ...]) -> frozenset[str]:
+    """Stems that are far more frequent in the toxic texts of these parts; at most LEXICON of them reach the driver."""
+    n1, n0 = (sum(sizes.get((k, y), 0) for k in parts) for y in (1, 0))
+    if not n1 or not n0:
         return frozenset()
-    counts = rows.distinct().groupBy("stem").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).filter("p >= 4")
-    odds = F.log((F.col("p") + 0.5) / n[1]) - F.log((F.col("q") + 0.5) / n[0])
-    top = counts.withColumn("odds", odds).filter((F.col("odds") >= 2.5) & (F.col("q") * n[1] * 20 <= F.col("p") * n[0])).orderBy(F.desc("odds"), "stem").limit(LEXICON)
+    p, q = (sum((F.col(f"{c}{k}") for k in parts), F.lit(0)) for c in "pq")
+    odds = F.log((p + 0.5) / n1) - F.log((q + 0.5) / n0)
+    top = counts.withColumn("odds", odds).filter((p >= 3) & (F.col("odds") >= 2.5) & (q * n1 * 20 <= p * n0)).orderBy(F.desc("odds"), "stem").limit(LEXICON)
     return frozenset(r["stem"] for r in top.collect())
 
 
@@ -228,22 +232,28 @@ def hash3(a: str, b: str, c: str) -> int:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    sample = labelled_sample(docs, labels, "toxic", most)
-    lexicon = learn_lexicon(sample)
+    sample = cut(labelled_sample(docs, labels, "toxic", most))
+    sizes = {(r["part"], r["y"]): r["count"] for r in sample.groupBy("part", "y").count().collect()}
+    counts = cut(stem_counts(sample))
+    # Each part's features come from a lexicon of the other two, so they look as those of unseen texts do.
+    others = [learn_lexicon(counts, sizes, tuple(j for j in range(3) if j != k)) for k in range(3)]
 
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_flags(lexicon)
+        memos = [word_flags(w) for w in others]
         for batch in batches:
-            x = features(batch.column("text"), lexicon, memo)
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("y"), *[pa.array(c) for c in x.T]], ["part", "y", *NAMES])
+            for k in range(3):
+                own = batch.filter(pc.equal(batch.column("part"), k))
+                x = features(own.column("text"), others[k], memos[k])
+                yield pa.RecordBatch.from_arrays([own.column("part"), own.column("y"), *[pa.array(c) for c in x.T]], ["part", "y", *NAMES])
 
     schema = "part int, y int, " + ", ".join(f"{n} double" for n in NAMES)
     got = map_arrow(sample, matrix, schema).toPandas().sort_values(["part", "y", *NAMES])  # at most `most` rows of numbers
     y, part, x = got["y"].to_numpy(float), got["part"].to_numpy(), got[list(NAMES)].to_numpy()
+    lexicon = learn_lexicon(counts, sizes, (0, 1, 2))
     if len(y) == 0 or y.min() == y.max():
         return Model(lexicon, None, np.zeros(0), np.zeros(0), float(y[0]) if len(y) else 0.5)
-    fold, rest = part == 1, part == 2
-    if len(set(y[fold])) < 2 or len(set(y[rest])) < 2:  # too few rows for three parts
+    fold, rest = part < 2, part == 2
+    if len(set(y[fold])) < 2 or len(set(y[rest])) < 2:  # too few rows for parts
         fold = rest = np.ones(len(y), bool)
     trees = Trees().fit(x[fold], y[fold])
     knots, level = isotonic(trees.margin(x[rest]), y[rest])
