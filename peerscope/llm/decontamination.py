@@ -207,8 +207,9 @@ ADDED = T.StructType([
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mark: str | None = None) -> DataFrame:
     """docs with n_words, n_hit (words inside any occurrence), n_items, items_sha256, items and contaminated.
 
-    With `mark`, only contaminated is added, under that name.
+    With `mark`, only contaminated is added, under that name. Columns of these names are replaced.
     """
+    docs = docs.drop(*([mark] if mark else ADDED.names))
     names = docs.columns
     work = docs.select("*", F.lit(0).cast("long").alias("__words"), F.array().cast("array<bigint>").alias("__spans"), F.array().cast("array<string>").alias("__items"))
     slices = 0

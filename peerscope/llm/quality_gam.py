@@ -181,6 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Additive:
 
 
 def score(docs: DataFrame, model: Additive, out: str = "score") -> DataFrame:
-    """docs with the score of every whole text in column `out`."""
+    """docs with the score of every whole text in column `out`, which is replaced if it is there."""
+    docs = docs.drop(out)
     boxed = docs.sparkSession.sparkContext.broadcast(model)  # lookup tables: bounded by features x bins
     return map_arrow(docs, _mapped(docs.columns, [out], lambda t: [boxed.value.score(features(t))]), with_doubles(docs, [out]))

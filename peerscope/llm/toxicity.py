@@ -261,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
-    """docs with the score of every whole text in column `out`."""
+    """docs with the score of every whole text in column `out`, which is replaced if it is there."""
+    docs = docs.drop(out)
     names = docs.columns
     boxed = docs.sparkSession.sparkContext.broadcast(model)  # lexicon, trees and knots: bounded by the parameters
 

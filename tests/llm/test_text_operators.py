@@ -1,0 +1,257 @@
+"""Corpus operators against brute force: PII, quality rules, token counts, language model, decontamination, near copies."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from peerscope.llm import decontamination, lm_scoring, near_dedup, pii, quality_rules, token_counts
+
+WORD = r"[^\x20\x09-\x0D]+"
+SCHEMA = "doc_id long, text string, lang string, source string, score double, n_words string, __junk int"
+
+
+def frame(spark, texts):
+    """Documents with ids from 0 and extra columns whose names clash with results."""
+    return spark.createDataFrame([(i, t, "en", "s", 0.5, "x", 1) for i, t in enumerate(texts)], SCHEMA)
+
+
+PII_TEXTS = [
+    None, "", "   \n\t ", "a.b@c.d and x@y.z.%q@r.s", "A@b A@b.c..d é@é.fr ü u@v.w", "1.2.3.4.5.6.7.8.9 256.1.1.1 0001.002.3.255", "4111 1111-1111 1111 4111111111111112 00000000000000",
+    "+1 (555) 123-4567, +12 34, +49 30 901820 and +1234567890123456789 +1 555 123 4567@x.yz", "ip 10.0.0.1@host.org 4111111111111111.1.2.3", "IBAN DE89 3704 0044 0532 0130 00 x GB82WEST12345698765432",
+    "call me at (212) 555-0134 or ssn 123-45-6789; code 123-45-6789", "é" * 50 + "a@b.co" + "ü" * 30 + " 4012888888881881", "a" * 20_000 + "@", "1 " * 5_000, ("x1.1.1.1 " * 400), "a@b" + ".c" * 5_000,
+]
+
+
+def base_spans(t):
+    t, out = t or "", []
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for rank, (kind, pattern) in enumerate(kinds):
+        if kind == "email" and "@" not in t.rstrip("@"):
+            continue
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card":
+                s = sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+                if not 14 <= len(d) <= 19 or s % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(d) <= 15:
+                continue
+            out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def test_pii_base_spans(spark):
+    found = pii.find(frame(spark, PII_TEXTS)).select("doc_id", F.filter("pii", lambda s: s["kind"].isin(*pii.BASE)).alias("p")).collect()
+    assert {r.doc_id: [(s.start, s.rank, s.end, s.kind) for s in r.p] for r in found} == {i: base_spans(t) for i, t in enumerate(PII_TEXTS)}
+
+
+def test_pii_added_kinds_and_context(spark):
+    rows = {r.doc_id: [(s.kind, PII_TEXTS[r.doc_id][s.start : s.end]) for s in r.pii] for r in pii.find(frame(spark, PII_TEXTS)).collect()}
+    assert ("iban", "DE89 3704 0044 0532 0130 00") in rows[9] and ("iban", "GB82WEST12345698765432") in rows[9]
+    assert ("local_phone", "(212) 555-0134") in rows[10] and ("national_id", "123-45-6789") in rows[10]
+
+
+def test_pii_redaction(spark):
+    out = {r.doc_id: r.text for r in pii.redact(frame(spark, PII_TEXTS)).collect()}
+    assert out[0] is None and out[1] == "" and out[3] == "<EMAIL> and <EMAIL><EMAIL>"
+    assert out[11] == "é" * 50 + "<EMAIL>" + "ü" * 30 + " <CARD>"
+    for i, t in enumerate(PII_TEXTS):
+        assert (t is None) == (out[i] is None)
+        for start, _, end, _ in base_spans(t):
+            assert t[start:end] not in out[i] or (end - start) < 9
+    assert pii.redact(frame(spark, [])).columns == frame(spark, []).columns and pii.redact(frame(spark, [])).count() == 0
+
+
+RULE_TEXTS = [None, "", " \n \x0b", "one", "a b c a b c", "x y " * 30, "a a a a", "# $ %\n# $ %\n\n\n \nz | <>", "l one\nl two\nl one\nl one", " ".join(f"w{i}" for i in range(80)), "w1 w2 w3 " + " ".join(f"q{i % 37} r{i % 5}" for i in range(3000)), "é ü x " * 70]
+
+
+def rule_counts(t):
+    t = t or ""
+    w, seen, dup, covered = re.findall(WORD, t), set(), 0, set()
+    for line in t.split("\n"):
+        if re.search(WORD, line):
+            dup += line in seen
+            seen.add(line)
+    triples = Counter(zip(w, w[1:], w[2:], strict=False))
+    for i in range(len(w) - 2):
+        if triples[tuple(w[i : i + 3])] > 1:
+            covered |= {i, i + 1, i + 2}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def test_quality_rule_counts(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    rows = quality_rules.judge(frame(spark, [*RULE_TEXTS, RULE_TEXTS[9]]), labels).collect()
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows}
+    assert got == {i: rule_counts(t) for i, t in enumerate([*RULE_TEXTS, RULE_TEXTS[9]])}
+    assert all(r.kept == (not r.base_failed) for r in rows)  # no labels: no rule is certified
+    assert quality_rules.judge(frame(spark, []), labels).count() == 0
+
+
+def test_binomial_tail_and_certified_cutoffs(spark):
+    cases = [(100, 0), (100, 3), (5000, 20), (50, 49), (1, 0)]
+    df = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.05).alias("p"))
+    for n, k, p in df.collect():
+        exact = sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) if k < n * 0.05 else 1.0
+        assert p == pytest.approx(exact, rel=1e-9)
+    stat = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, s string"
+    good = spark.range(20_000).selectExpr("100L n_words", "500L word_chars", "if(id % 4000 = 0, 400L, 5L) n_symbols", "0L n_dup_lines", "0L n_repeat_words", "10L n_lines", "10L n_upper", "if(id % 2 = 0, 'a', null) s")
+    assert good.schema.fieldNames() == [x.split()[0] for x in stat.split(", ")]
+    cuts = {r.s: r for r in quality_rules.certified_cutoffs(good, "s").collect()}
+    # One in two thousand of stratum a is far above: well below the limit of 0.004 a rule, so the low cutoff is certified.
+    assert cuts["a"].cut_symbols <= 0.04 and cuts[None].cut_symbols <= 0.02 and cuts["a"].cut_dup_lines == 0.0
+
+
+def test_token_counts(spark):
+    pieces = [bytes([b]) for b in range(33, 256)] + [b" ", b" a", b"ab", b"abc", b" ab", b"cd", b"bcd", b"d", b" th", b"the", b"e"]
+    auto = token_counts.Automaton(pieces)
+    rnd = random.Random(7)
+    words = ["", "a", "abcd", "the", "ththe", "é"] + ["".join(rnd.choice("abcdeth") for _ in range(rnd.randint(1, 30))) for _ in range(400)]
+
+    def greedy(w):
+        b, i, n = b" " + w.encode(), 0, 0
+        while i < len(b):
+            i += max(k for k in range(1, 5) if b[i : i + k] in pieces and i + k <= len(b))
+            n += 1
+        return n
+
+    assert [auto.count(w.encode()) for w in words] == [greedy(w) for w in words]
+    assert token_counts.Automaton([b" a", b"b"]).count(b"abz") == 1  # not covered: one unknown piece
+    texts = [None, "", " \n", "the the\x0babcd", "x" * 50_000]
+    rows = token_counts.count_tokens(frame(spark, texts), pieces).collect()
+    assert [(r.n_words, r.n_tokens) for r in sorted(rows)] == [(0, 0), (0, 0), (0, 0), (3, 2 * greedy("the") + greedy("abcd")), (1, greedy("x" * 50_000))]
+    assert token_counts.count_tokens(frame(spark, []), pieces).count() == 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model(spark, order):
+    rnd = random.Random(order)
+    texts = [None, "", "\n", "a", "a b a b a b"] + [" ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    texts.append(texts[7])
+    lists = [re.findall(WORD, t or "") for t in texts]
+    grams = [Counter(g for w in lists for g in zip(*(w[i:] for i in range(k)), strict=False)) for k in range(1, order + 1)]
+    n = sum(grams[0].values())
+
+    def s(w, i, k):
+        if k == 1:
+            return grams[0][(w[i],)] / n
+        g = tuple(w[i - k + 1 : i + 1])
+        return grams[k - 1][g] / grams[k - 2][g[:-1]] if grams[k - 1][g] >= 2 else 0.4 * s(w, i, k - 1)
+
+    rows = sorted(lm_scoring.score(frame(spark, texts), order).collect())
+    for r, w in zip(rows, lists, strict=True):
+        assert r.n_words == len(w)
+        assert r.log_score == pytest.approx(sum(math.log(s(w, i, min(order, i + 1))) for i in range(len(w))), abs=1e-9)
+    assert rows[0].mean_log_score is None and lm_scoring.score(frame(spark, [])).count() == 0
+
+
+def benchmark(spark, items):
+    return spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
+
+
+def hits(text, items):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, found = word(text), set(), set()
+    for item, t in items:
+        v = word(t)
+        for i in range(max(len(v) - 9, min(len(v), 1))):
+            win = v[i : i + 10]
+            for j in range(len(w) - len(win) + 1):
+                if w[j : j + len(win)] == win:
+                    hit |= set(range(j, j + len(win)))
+                    found.add("" if item is None else str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+@pytest.mark.parametrize("slice_windows", [500_000, 5])
+def test_decontamination(spark, monkeypatch, slice_windows):
+    monkeypatch.setattr(decontamination, "SLICE_WINDOWS", slice_windows)
+    long = " ".join(f"w{i}" for i in range(25))
+    items = [(1, long), (10, "W3, w4! w5-w6 w7"), (2, None), (3, ""), (4, "solo"), (5, "é Ünder ß"), (6, long), (None, "the the the the the the the the the the the"), (7, "..."), (8, " ".join(f"w{i}" for i in range(10)))]
+    texts = [None, "", "...", "SOLO x solo", f"a {long.upper()} b {long}", " ".join(f"w{i}" for i in range(9)), "é ünder ß é Ünder ß", "the " * 40, "w3 w4 w5 w6 w7 w3 w4 w5 w6 w7", " ".join(f"w{i}" for i in range(5, 16)), "x " * 3000 + long]
+    texts.append(texts[4])
+    rows = decontamination.decontaminate(frame(spark, texts), benchmark(spark, items)).collect()
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows}
+    assert got == {i: hits(t, items) for i, t in enumerate(texts)}
+    assert len(rows) == len(texts) and rows[0].lang == "en"
+
+
+def test_decontamination_of_empty_tables(spark):
+    assert decontamination.decontaminate(frame(spark, []), benchmark(spark, [(1, "a b c")])).count() == 0
+    rows = decontamination.decontaminate(frame(spark, ["a b", None]), benchmark(spark, [])).collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in rows] == [(2, 0, False), (0, 0, False)]
+
+
+def shingles(t):
+    w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def groups(texts):
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if s and sets[j] and 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))], sets
+
+
+def test_near_duplicates(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(500)]
+    originals = [[rnd.choice(vocabulary) for _ in range(rnd.choice([3, 30, 120, 400]))] for _ in range(25)]
+    texts = [None, "", " \n", "one two", "ONE two", "one two three"]
+    for o in originals:
+        for _ in range(6):  # copies with more and more words replaced, some at the edge of similarity
+            w = list(o)
+            for _ in range(rnd.randint(0, max(1, len(w) // 14))):
+                w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+            texts.append(rnd.choice([" ", "\n"]).join(w))
+    texts += [texts[10]] * 40
+    expected, sets = groups(texts)
+    rows = sorted(near_dedup.near_duplicates(frame(spark, texts)).collect())
+    assert [(r.n_shingles, r.component_id, r.kept) for r in rows] == [(len(s), e, e == i) for i, (s, e) in enumerate(zip(sets, expected, strict=True))]
+
+
+def test_near_duplicates_edge_rows(spark):
+    assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "x"), (1, None)], "doc_id long, text string")
+    rows = Counter(tuple(r) for r in near_dedup.near_duplicates(df).collect())
+    assert rows == Counter({(None, 2, None, True): 2, (4, 2, 4, True): 2, (2, 1, 2, True): 1, (1, 0, 1, True): 1})
+
+
+def test_bucket_keys_find_all_pairs_within_the_guaranteed_distance():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    width = near_dedup.CHUNKS * near_dedup.CHUNK
+    most = near_dedup.CHUNKS * (near_dedup.ERRORS + 1) - 1
+    for _ in range(200):
+        a = rnd.integers(0, 1 << 16, width, dtype=np.uint16)
+        b = a.copy()
+        b[rnd.choice(width, most, replace=False)] ^= np.uint16(1)
+        keys = near_dedup.bucket_keys(np.stack([a, b]))
+        assert set(keys[0]) & set(keys[1])
+
+
+def test_held_out_is_crc32(spark):
+    from peerscope.llm.common import held_out
+
+    rows = spark.range(300).select("id", held_out("id").alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
