@@ -1,0 +1 @@
+"""Column expressions: measures, labels, robust scores."""

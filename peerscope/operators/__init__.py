@@ -1,0 +1 @@
+"""Operators over peer groups, shapes, gates and profiles."""

@@ -1,0 +1 @@
+"""Analyses, their bindings to the test tables, and the registry of queries."""

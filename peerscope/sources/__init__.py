@@ -1,0 +1 @@
+"""Readers of source files and sinks of results."""

@@ -20,8 +20,7 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
 
 def read_csv(spark: SparkSession, paths: str | list[str], columns: Sequence[str]) -> DataFrame:
     """A CSV with exactly this header; a BOM is taken off, rows of another shape go to the malformed column."""
-    raw = spark.read.schema(text_schema(columns)).options(header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, encoding="UTF-8").csv(paths)
-    return raw
+    return spark.read.schema(text_schema(columns)).options(header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, encoding="UTF-8").csv(paths)
 
 
 def read_pages(spark: SparkSession, paths: str | list[str], columns: Sequence[str]) -> DataFrame:
@@ -145,22 +144,13 @@ def relationship_rows(df: DataFrame, release_id: int) -> DataFrame:
         "recipient_primary_types": numbered(df, "Covered_Recipient_Primary_Type", 6), "recipient_specialties": numbered(df, "Covered_Recipient_Specialty", 6), "recipient_license_states": numbered(df, "Covered_Recipient_License_State_code", 5),
         "product_slots": slots(df, PRODUCT_FIELDS, 5),
     }
-    have = {c.lower() for c in df.columns}
-    known = {k: v for k, v in RELATIONSHIP.items() if any(a.lower() in have for a in ([v[0]] if isinstance(v[0], str) else v[0]))}
-    wide = df.withColumns({f"__{k}": c for k, c in extra.items()})
-    base = typed(wide, known, source_release_id=release_id)
-    # typed() keeps the order of rows and selects columns only, so the arrays are taken in the same projection.
-    return wide.select(*[base_column for base_column in _projection(wide, known, release_id)], *[F.col(f"__{k}").alias(k) for k in extra]) if base.columns else base
-
-
-def _projection(df: DataFrame, mapping: Mapping[str, tuple], release_id: int) -> list[Column]:
     have = {c.lower(): c for c in df.columns}
-    out = [F.lit(release_id).alias("source_release_id")]
-    for name, (source, kind) in mapping.items():
-        aliases = [source] if isinstance(source, str) else source
-        raw = F.coalesce(*[F.col(f"`{have[a.lower()]}`") for a in aliases if a.lower() in have])
-        out.append(convert(raw, kind)[0].alias(name))
-    return out
+    columns = [F.lit(release_id).alias("source_release_id")]
+    for name, (source, kind) in RELATIONSHIP.items():
+        known = [F.col(f"`{have[a.lower()]}`") for a in ([source] if isinstance(source, str) else source) if a.lower() in have]
+        if known:
+            columns.append(convert(F.coalesce(*known), kind)[0].alias(name))
+    return df.select(*columns, *[c.alias(k) for k, c in extra.items()])
 
 
 def read_relationship_payments(spark: SparkSession, paths, release_id: int) -> DataFrame:
