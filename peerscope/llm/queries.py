@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lm_scoring, mixing, near_dedup, pii, quality_gam, quality_rules, token_counts, toxicity, warc
+from . import decontamination, lm_scoring, mixing, near_dedup, pii, quality_gam, quality_rules, reference_sql, token_counts, toxicity, warc
 from .common import body, held_out, read, shared_dir
 
 
@@ -78,4 +78,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL = reference_sql.SQL
