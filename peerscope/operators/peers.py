@@ -1,8 +1,8 @@
 """Exact peer-group statistics.
 
-Quartiles of all metrics come from one grouping of the wide table; the absolute deviations need a second one. Groups are
-strata, whose number of distinct values is small, so exact percentiles fit their value counts in memory; for a stratum
-without that property `sorted_quartiles` picks the order statistics from a sort instead.
+Rows are scored in windows over their stratum: quartiles, deviations and percentiles all share one shuffle by the
+stratum's keys, and nothing is joined back. Groups are strata, so exact percentiles fit their value counts in memory; for
+a stratum without that property `sorted_quartiles` picks the order statistics from a sort instead.
 """
 
 from __future__ import annotations
@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.robust import median_ratio, robust_z, scale_source
 
-#: Statistics rows up to which they are sent to every executor instead of shuffling the cells again.
-BROADCAST_ROWS = 50_000
-
-
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join statistics to their rows on the stratum; rows with a null key have no stratum and match nothing."""
-    few = stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(stats) if few else stats, list(keys), how)
+    """Join statistics to their rows on the stratum; rows with a null key have no stratum and match nothing.
+
+    No hint: the statistics' size is known when their stage ends, and adaptive execution broadcasts them only then, if
+    they are below the session's threshold.
+    """
+    return df.join(stats, list(keys), how)
 
 
 def quartiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, str | Column]) -> DataFrame:
@@ -39,9 +38,14 @@ def deviations(rows: DataFrame, keys: Sequence[str], metrics: Mapping[str, str])
 
 
 def with_peer_stats(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, str]) -> DataFrame:
-    """Rows with their stratum's quartiles, IQR, MAD and count."""
-    known = attach(df, quartiles(df, keys, metrics), keys)
-    return attach(known, deviations(known, keys, metrics), keys)
+    """Rows with their stratum's count, quartiles, IQR and MAD; rows with a null key have no stratum and are left out."""
+    w = Window.partitionBy(*keys)
+    three = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    known = df.dropna(subset=list(keys)).withColumns({"peer_count": F.count("*").over(w), **{f"__{n}": F.percentile(m, three).over(w) for n, m in metrics.items()}})
+    at = lambda n, i: F.get(f"__{n}", F.lit(i))
+    named = {f"{n}_{k}": c for n in metrics for k, c in (("q1", at(n, 0)), ("median", at(n, 1)), ("q3", at(n, 2)), ("iqr", at(n, 2) - at(n, 0)))}
+    known = known.withColumns(named).drop(*[f"__{n}" for n in metrics])
+    return known.withColumns({f"{n}_mad": F.percentile(F.abs(F.col(m) - F.col(f"{n}_median")), 0.5).over(w) for n, m in metrics.items()})
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, str], suffix: str = "percentile") -> DataFrame:

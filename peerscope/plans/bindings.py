@@ -6,7 +6,7 @@ that sums don't depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Beneficiary counts up to this are suppressed; provider-drug rows with fewer claims than VISIBLE_CLAIMS are dropped.
@@ -54,8 +54,7 @@ LINES = """lines AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS data_year, lpad
 _SUMS = ("allowed", "payment", "submitted", "standardized")
 
 
-def _totals(df: DataFrame, keys: list[str], days: bool = True) -> DataFrame:
-    extra = [F.count_distinct("beneficiary", "day").alias("bene_days")] if days else []
+def _totals(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     sums = [F.sum(c).cast("double").alias(c) for c in ("units", *_SUMS)]
     return df.groupBy(*keys).agg(F.count_distinct("beneficiary").alias("beneficiaries"), F.count_distinct("claim").alias("claims"), *extra, *sums).withColumnRenamed("units", "services")
 
@@ -67,7 +66,7 @@ _CELL = ["data_year", "npi", "entity", "state", "specialty", "code", "pos"]
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year x supplier x code x place of service."""
-    return _totals(lines(spark, sf_dir), _CELL)
+    return _totals(lines(spark, sf_dir), _CELL, F.count_distinct("beneficiary", "day").alias("bene_days"))
 
 
 CELLS = f"{LINES}, cells AS (SELECT {', '.join(_CELL)}, {_TOTALS}, count(DISTINCT (beneficiary, day)) AS bene_days FROM lines GROUP BY ALL)"
@@ -86,12 +85,9 @@ _SUPPLIER = ["data_year", "npi", "entity", "state", "specialty"]
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Year x supplier, with payments by component; the suppliers divisible by 13 have theirs suppressed."""
-    rows = lines(spark, sf_dir)
     shown = F.col("npi").cast("long") % 13 != 0
     parts = [F.sum(F.when((F.col("flag") == k) & shown, F.col("payment"))).cast("double").alias(n) for k, n in (("A", "dme"), ("N", "pos_paid"), ("R", "drug"))]
-    base = _totals(rows, _SUPPLIER, days=False)
-    more = rows.groupBy("data_year", "npi").agg(F.count_distinct("code").alias("codes"), *parts)
-    return base.join(more, ["data_year", "npi"])
+    return _totals(lines(spark, sf_dir), _SUPPLIER, F.count_distinct("code").alias("codes"), *parts)
 
 
 SUMMARY = f"""{LINES}, summary AS (SELECT {', '.join(_SUPPLIER)}, {_TOTALS}, count(DISTINCT code) AS codes,

@@ -43,14 +43,14 @@ def provider_service_scan(cells: DataFrame, panel: DataFrame, cfg: ScanConfig) -
 
     The broader percentiles drop the band. Cells below the tested minimum stay as unscored descriptive rows.
     """
-    broad = ["data_year", "specialty", "entity", "code", "pos"]
+    # Cells below the minimum form strata of their own, whose statistics are then blanked: one pass, no union.
+    broad = ["data_year", "specialty", "entity", "code", "pos", "__tested"]
     keys = [*broad, "panel_band"]
-    rows = scan_rows(cells, panel, cfg)
-    tested = rows.filter(F.col("tested") >= cfg.minimum_tested)
-    scored = score(percentiles(with_peer_stats(tested, keys, SCAN_METRICS), keys, SCAN_METRICS), SCAN_METRICS)
+    rows = scan_rows(cells, panel, cfg).withColumn("__tested", F.col("tested") >= cfg.minimum_tested)
+    scored = score(percentiles(with_peer_stats(rows, keys, SCAN_METRICS), keys, SCAN_METRICS), SCAN_METRICS)
     scored = percentiles(scored, broad, SCAN_METRICS, "broad_percentile").withColumn("broad_peer_count", F.count("*").over(Window.partitionBy(*broad)))
-    rest = rows.filter(F.col("tested") < cfg.minimum_tested)
-    return _scan_routes(scored.unionByName(rest, allowMissingColumns=True), cfg)
+    added = [c for c in scored.columns if c not in rows.columns]
+    return _scan_routes(scored.select(*[c for c in rows.columns if c != "__tested"], *[F.when(F.col("__tested"), F.col(c)).alias(c) for c in added]), cfg)
 
 
 def _scan_routes(rows: DataFrame, cfg: ScanConfig) -> DataFrame:
