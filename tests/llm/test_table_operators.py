@@ -210,3 +210,18 @@ def test_near_copy_stage_drops_repeated_rows(spark, data):
 
     docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, "A b c d e"), (None, "a b c d e"), (3, None)], "doc_id long, text string")
     assert Counter(r.doc_id for r in p.drop_near_copies(spark, docs, data).collect()) == Counter({1: 1, None: 1, 3: 1})
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_reference_sql(spark, data, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, data)
+    found = con.execute(queries.SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(df.columns)
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=key) == sorted(found.fetchall(), key=key)
