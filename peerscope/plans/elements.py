@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import measures as m
 from ..functions.robust import all_gates
 from ..operators import peers, reshape
+from ..operators.gates import duplicates
 from . import analyses as a
 from . import bindings as b
 from . import claims
 from .registry import query
+from .relations import identified, sorted_json, sum_where
 
 KEY = ["data_year", "npi", "code", "pos"]
 K = ", ".join(KEY)
@@ -115,8 +117,6 @@ def f6(spark, sf_dir):
 
 @query("f7_identifier_scope", "SELECT program_year, count(DISTINCT recipient) AS recipients FROM labelled WHERE npi IS NOT NULL GROUP BY program_year", a.IDENTIFIED)
 def f7(spark, sf_dir):
-    from .relations import identified
-
     return identified(b.payments(spark, sf_dir)).filter(F.col("npi").isNotNull()).groupBy("program_year").agg(F.count_distinct("recipient").alias("recipients"))
 
 
@@ -129,8 +129,6 @@ def f8(spark, sf_dir):
 
 @query("f9_positive_product", "SELECT record_id FROM labelled WHERE product", a.IDENTIFIED)
 def f9(spark, sf_dir):
-    from .relations import identified
-
     return identified(b.payments(spark, sf_dir)).filter("product").select("record_id")
 
 
@@ -219,8 +217,6 @@ def j14(spark, sf_dir):
 # --- aggregates ------------------------------------------------------------------------------------------------------
 @query("a1_a16_filtered_sums", "SELECT payer, count(*) FILTER (third) AS third, CAST(coalesce(sum(amount) FILTER (form = 'barter'), 0) AS DOUBLE) AS barter, CAST(sum(amount) FILTER (form = 'barter') AS DOUBLE) AS unknown_barter, CAST(max(amount) FILTER (form = 'cash') AS DOUBLE) AS top_cash FROM labelled GROUP BY payer", a.IDENTIFIED)
 def a1(spark, sf_dir):
-    from .relations import identified, sum_where
-
     rows = identified(b.payments(spark, sf_dir))
     barter = F.col("form") == "barter"
     return rows.groupBy("payer").agg(F.count_if("third").alias("third"), sum_where("amount", barter).cast("double").alias("barter"), F.sum(F.when(barter, F.col("amount"))).cast("double").alias("unknown_barter"), F.max(F.when(F.col("form") == "cash", F.col("amount"))).cast("double").alias("top_cash"))
@@ -228,8 +224,6 @@ def a1(spark, sf_dir):
 
 @query("a2_distinct_counts", "SELECT payer, count(DISTINCT recipient) AS recipients, count(DISTINCT npi) AS npis, count(DISTINCT recipient) FILTER (form = 'cash') AS cash_recipients FROM labelled GROUP BY payer", a.IDENTIFIED)
 def a2(spark, sf_dir):
-    from .relations import identified
-
     # One grouping to (payer, recipient) first; the distinct counts are then plain counts.
     once = identified(b.payments(spark, sf_dir)).groupBy("payer", "recipient").agg(F.max("npi").alias("npi"), F.bool_or(F.col("form") == "cash").alias("cash"))
     return once.groupBy("payer").agg(F.count("*").alias("recipients"), F.count("npi").alias("npis"), F.count_if("cash").alias("cash_recipients"))
@@ -278,8 +272,6 @@ def a8(spark, sf_dir):
 
 @query("a9_boolean_aggregates", "SELECT payer, bool_and(third) AS all_third, bool_or(product) AS any_product, bool_and(product) FILTER (form = 'cash') AS cash_product FROM labelled GROUP BY payer", a.IDENTIFIED)
 def a9(spark, sf_dir):
-    from .relations import identified
-
     return identified(b.payments(spark, sf_dir)).groupBy("payer").agg(F.every("third").alias("all_third"), F.bool_or("product").alias("any_product"), F.every(F.when(F.col("form") == "cash", F.col("product"))).alias("cash_product"))
 
 
@@ -297,8 +289,6 @@ def a11(spark, sf_dir):
 
 @query("a12_object_aggregate", "SELECT payer, string_agg(form || '=' || n, ';' ORDER BY form) AS by_form FROM (SELECT payer, form, count(*) AS n FROM payments GROUP BY ALL) GROUP BY payer", b.PAYMENTS)
 def a12(spark, sf_dir):
-    from .relations import sorted_json
-
     return sorted_json(b.payments(spark, sf_dir), ["payer"], "form", F.count("*"), "by_form")
 
 
@@ -314,8 +304,6 @@ def a14(spark, sf_dir):
 
 @query("a15_having", "SELECT o_custkey, CAST(o_orderdate AS VARCHAR)[:10] AS day, count(*) AS n FROM orders GROUP BY o_custkey, CAST(o_orderdate AS VARCHAR)[:10] HAVING count(*) > 1")
 def a15(spark, sf_dir):
-    from ..operators.gates import duplicates
-
     rows = b.read(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").cast("date").cast("string").alias("day"))
     return duplicates(rows, ["o_custkey", "day"]).withColumnRenamed("copies", "n")
 
