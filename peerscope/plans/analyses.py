@@ -120,7 +120,7 @@ def d2(spark, sf_dir):
     FLAT_SCAN,
 )
 def d3(spark, sf_dir):
-    df = claims.multicode_reach(scan(spark, sf_dir), 0.7, 2, 2)
+    df = claims.multicode_reach(scan(spark, sf_dir), 0.7, 2, 2, S.to_year)
     return df.select("npi", "entity", "pos", "code", "years", "year_list", *rounded(None, 6, "low"), *rounded(None, 2, "payment"), "codes_in_group")
 
 

@@ -104,16 +104,20 @@ def shortlist(scan: DataFrame, cfg: ScanConfig) -> DataFrame:
     return scan.filter(F.col("data_year") == cfg.to_year).withColumns({"reasons": reasons(";", **rules), "priority": priority}).filter("reasons <> ''")
 
 
-def multicode_reach(scan: DataFrame, percentile: float, minimum_years: int, minimum_codes: int) -> DataFrame:
-    """Providers whose reach is in the tail for several codes, each in several scoreable years including the latest."""
-    group, cell = ["npi", "specialty", "entity", "pos"], ["npi", "specialty", "entity", "pos", "code"]
-    latest = scan.agg(F.max("data_year")).first()[0]
-    tail = scan.filter((F.col("status") == "scoreable") & (F.col("reach_percentile") >= percentile))
-    codes = tail.groupBy(*cell).agg(F.count("*").alias("years"), F.max("data_year").alias("last"), F.min("reach_percentile").alias("low"), F.array_join(F.array_sort(F.collect_list("data_year")), ",").alias("year_list"))
-    codes = codes.filter((F.col("years") >= minimum_years) & (F.col("last") == latest))
-    paid = scan.groupBy(*cell).agg(F.sum("payment").alias("payment"))
-    stable = codes.join(paid, cell).withColumn("codes_in_group", F.count("*").over(Window.partitionBy(*group)))
-    return stable.filter(F.col("codes_in_group") >= minimum_codes)
+def multicode_reach(scan: DataFrame, percentile: float, minimum_years: int, minimum_codes: int, latest: int) -> DataFrame:
+    """Providers whose reach is in the tail for several codes, each in several scoreable years including the latest.
+
+    Tail years, their list and the payment over all years come from one grouping of the scan.
+    """
+    group = ["npi", "specialty", "entity", "pos"]
+    tail = (F.col("status") == "scoreable") & (F.col("reach_percentile") >= percentile)
+    in_tail = lambda c: F.when(tail, F.col(c))
+    codes = scan.groupBy(*group, "code").agg(
+        F.count_if(tail).alias("years"), F.max(in_tail("data_year")).alias("last"), F.min(in_tail("reach_percentile")).alias("low"),
+        F.array_join(F.array_sort(F.collect_list(in_tail("data_year"))), ",").alias("year_list"), F.sum("payment").alias("payment"),
+    )
+    stable = codes.filter((F.col("years") >= minimum_years) & (F.col("last") == latest))
+    return stable.withColumn("codes_in_group", F.count("*").over(Window.partitionBy(*group))).filter(F.col("codes_in_group") >= minimum_codes)
 
 
 def screen_rows(summary: DataFrame, cfg: ScreenConfig) -> DataFrame:
