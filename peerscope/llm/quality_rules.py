@@ -28,8 +28,10 @@ RULES = {
     "word_length": lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) / 100,
     "capitals": lambda: F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
 }
-#: Cutoffs are the multiples of 1 / BINS.
+#: Cutoffs are the multiples of 1 / BINS from these on: a rule is about a document's make-up, so a trace of what it
+#: counts is no reason to reject, however rare it is among labelled documents.
 BINS = 50
+LOWEST = {"symbols": 0.1, "dup_lines": 0.3, "repeats": 0.3, "word_length": 0.12, "capitals": 0.3}
 
 
 def repeated_words(words: Column) -> Column:
@@ -88,13 +90,17 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(F.aggregate(terms, F.struct(start.alias("term"), start.alias("total")), step, lambda acc: acc["total"])))
 
 
+def _first_bin(rule: str) -> int:
+    return round(LOWEST[rule] * BINS)
+
+
 def certified_cutoffs(good: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """One row per stratum with a column cut_<rule> each: the strictest certified cutoff, null where there is none.
 
     good: statistics of labelled good documents. The counts are partially aggregated before the shuffle, so their size
     is strata x rules x BINS whatever the number of labels.
     """
-    rates = F.array(*[F.struct(F.lit(k).alias("rule"), F.least(F.ceil(v() * BINS), F.lit(BINS + 1)).cast("int").alias("bin")) for k, v in RULES.items()])
+    rates = F.array(*[F.struct(F.lit(k).alias("rule"), F.greatest(F.least(F.ceil(v() * BINS), F.lit(BINS + 1)), F.lit(_first_bin(k))).cast("int").alias("bin")) for k, v in RULES.items()])
     n_by = good.groupBy(stratum).agg(F.count("*").alias("n"))
     hist = good.select(stratum, F.explode(rates).alias("r")).groupBy(stratum, "r.rule", "r.bin").agg(F.count("*").alias("c"))
     # A cutoff of j / BINS rejects what lies in bins above j, so each occupied bin is a cutoff.
@@ -102,7 +108,7 @@ def certified_cutoffs(good: DataFrame, stratum: str, alpha: float = 0.02, delta:
     cuts = hist.withColumn("k", F.coalesce(F.sum("c").over(above), F.lit(0))).withColumn("__key", F.col(stratum)).drop(stratum)
     cuts = cuts.join(n_by, F.col("__key").eqNullSafe(F.col(stratum))).drop("__key")
     # Every stratum counts against the error budget, and every cutoff of the grid, occupied or not.
-    m = good.select(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("s")).first()["s"] * len(RULES) * (BINS + 1)
+    m = good.select(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("s")).first()["s"] * sum(BINS + 2 - _first_bin(k) for k in RULES)
     sure = cuts.filter(binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / max(m, 1))
     return sure.groupBy(stratum).pivot("rule", list(RULES)).agg(F.min("bin") / BINS).select(stratum, *[F.col(r).alias(f"cut_{r}") for r in RULES])
 
