@@ -3,7 +3,7 @@
 Every kind is a row of KINDS: a pattern, a validator over the matched text, a base score and context words. Matches
 of one kind do not overlap and go from left to right; a match that its validator drops is not retried. The four base
 kinds have score 1 and always stay. The added kinds (IBAN, national id, unprefixed phone) are kept from THRESHOLD on:
-a passing checksum or a context word within WINDOW characters raises the score.
+a passing checksum or a context word within WINDOW characters raises the score, whatever other matches stand between.
 
 Positions come from splitting the text at the matches: the lengths of the pieces and matches, summed up, are the spans.
 Patterns use possessive quantifiers and start guards so that their cost is linear in the text and Java's matcher does
@@ -65,13 +65,25 @@ def mod97(m: Column) -> Column:
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
+#: Length of an IBAN by country, from the ISO 13616 registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HN HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BF CF DJ FR GR IT MC MR", 28: "AL AZ BJ BY CI CM CY DO DZ GT GW HU KM LB MG ML MZ NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_REGISTERED = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBAN_LENGTHS.items())
+_REGISTERED = rf"(?:{_REGISTERED})(?![A-Za-z0-9])"
+#: A registered country's length is tried first, so that a word or number after the IBAN stays outside. Other lengths and
+#: codes take all that follows up to 34 characters, but never the start of a registered IBAN.
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_REGISTERED}|[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{_REGISTERED})\x20?[A-Z0-9]{{4}}){{2,7}}+(?:(?!\x20{_REGISTERED})\x20?[A-Z0-9]{{1,3}})?+(?![A-Za-z0-9]))"
 #: Order matters: spans that start together are listed in this order. The first four are the base kinds.
 KINDS = (
     Kind("email", rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True)),
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", r"[0-9]\.[0-9]", small_parts),
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "[0-9][0-9\x20-]{12}", luhn),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", phone_digits),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod97, 0.3, 0.5, r"(?i)iban|account|konto|compte|cuenta|bank"),
+    Kind("iban", IBAN, "[A-Z]{2}[0-9]{2}", mod97, 0.3, 0.5, r"(?i)iban|account|konto|compte|cuenta|bank"),
     Kind("national_id", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", "[0-9]-[0-9]", lambda m: ~m.rlike("^(?:000|666|9[0-9]{2})|-00-|-0000$"), 0.1, 0.25, r"(?i)ssn|social security|national id|tax id"),
     Kind("local_phone", r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![A-Za-z0-9-])", r"[0-9][-.\x20][0-9]{4}", lambda m: F.lit(True), 0.1, 0.25, r"(?i)phone|call|tel\b|tel[.:]|mobile|fax|telefon|llam|appel"),
 )
@@ -93,19 +105,29 @@ def running_sums(values: Column) -> Column:
     return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<bigint>")).otherwise(summed(v)))
 
 
+def surroundings(raw: Column, start: Column, end: Column) -> Column:
+    """WINDOW characters before and after the bytes [start, end) of a text, whatever else is found in them.
+
+    Cut by bytes, at most four a character, so a match costs the same wherever it is; what such a cut splits is further away.
+    """
+    before = F.substring(raw, (F.greatest(start - 4 * WINDOW, F.lit(0)) + 1).cast("int"), F.least(start, F.lit(4 * WINDOW)).cast("int"))
+    after = F.substring(raw, (end + 1).cast("int"), F.lit(4 * WINDOW))
+    return F.concat_ws(" ", F.right(before.cast("string"), F.lit(WINDOW)), F.left(after.cast("string"), F.lit(WINDOW)))
+
+
 def spans_of(text: Column, kind: Kind, rank: int) -> Column:
     """Array of struct(start, kind_rank, end, byte_start, byte_end, kind, score) of the confirmed matches."""
 
-    def located(pieces: Column, found: Column) -> Column:
+    def located(raw: Column, pieces: Column, found: Column) -> Column:
         size = F.size(found)
         steps = lambda length: F.transform(found, lambda m, i: (length(F.get(pieces, i)) + length(m)).cast("long"))
 
         def build(ends: Column, byte_ends: Column) -> Column:
             def one(m: Column, i: Column) -> Column:
                 ok = kind.valid(m)
-                near = F.concat_ws(" ", F.right(F.get(pieces, i), F.lit(WINDOW)), F.left(F.get(pieces, i + 1), F.lit(WINDOW)))
                 score = F.lit(kind.score)
                 if kind.checked:
+                    near = surroundings(raw, F.get(byte_ends, i) - F.octet_length(m), F.get(byte_ends, i))
                     score = score + F.when(ok, kind.checked).otherwise(0.0) + F.when(near.rlike(kind.context), 0.35).otherwise(0.0)
                 return F.struct(
                     (F.get(ends, i) - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("end"),
@@ -119,7 +141,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
         return F.when(size == 0, none).otherwise(let(running_sums(steps(F.length)), lambda e: let(running_sums(steps(F.octet_length)), lambda b: build(e, b))))
 
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,byte_start:bigint,byte_end:bigint,kind:string,score:double>>")
-    split = let(text, lambda t: let(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.split(t, kind.pattern, -1), lambda p: located(p, f)))))
+    split = let(text, lambda t: let(F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)), lambda f: F.when(F.size(f) == 0, none).otherwise(let(F.split(t, kind.pattern, -1), lambda p: let(t.cast("binary"), lambda raw: located(raw, p, f))))))
     return F.when(text.rlike(kind.cheap), split).otherwise(none)
 
 

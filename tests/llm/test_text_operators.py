@@ -59,6 +59,34 @@ def test_pii_added_kinds_and_context(spark):
     assert ("local_phone", "(212) 555-0134") in rows[10] and ("national_id", "123-45-6789") in rows[10]
 
 
+def test_pii_context_reaches_over_other_matches(spark):
+    far = "x " * 30
+    texts = {
+        "call 212-555-0134 or 212-555-0199": ["212-555-0134", "212-555-0199"],
+        "SSN 123-45-6789, 219-09-9998": ["123-45-6789", "219-09-9998"],
+        "SSN 000-12-3456, 219-09-9998": ["219-09-9998"],  # a rejected candidate does not cut the context
+        "212-555-0134, 212-555-0199 by phone": ["212-555-0134", "212-555-0199"],
+        f"call 212-555-0134 {far}212-555-0199": ["212-555-0134"],
+        "call" + "\U0001f600" * 36 + "212-555-0134": ["212-555-0134"],
+        "call" + "\U0001f600" * 37 + "212-555-0134": [],  # the window is 40 characters, not bytes
+    }
+    listed = list(texts)
+    rows = {r.doc_id: [listed[r.doc_id][s.start : s.end] for s in r.pii] for r in pii.find(frame(spark, listed)).collect()}
+    assert {listed[i]: found for i, found in rows.items()} == texts
+    assert {r.text for r in pii.redact(frame(spark, listed[:1])).collect()} == {"call <LOCAL_PHONE> or <LOCAL_PHONE>"}
+
+
+def test_pii_iban_ends_at_its_length(spark):
+    es, de, no = "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    texts = {
+        f"{es} PLEASE": [es], f"{es} 1234 5678": [es], es.replace(" ", "") + " PAY": [es.replace(" ", "")], f"{de} NOW": [de], f"{no} USD": [no],
+        f"XX12 3456 7890 1234 {de}": [de], f"{es} {de} {no}": [es, de, no], es[:-1] + "3": [], es + "x": [],
+    }
+    listed = list(texts)
+    rows = {r.doc_id: [listed[r.doc_id][s.start : s.end] for s in r.pii if s.kind == "iban"] for r in pii.find(frame(spark, listed)).collect()}
+    assert {listed[i]: found for i, found in rows.items()} == texts
+
+
 def test_pii_redaction(spark):
     out = {r.doc_id: r.text for r in pii.redact(frame(spark, PII_TEXTS)).collect()}
     assert out[0] is None and out[1] == "" and out[3] == "<EMAIL> and <EMAIL><EMAIL>"
