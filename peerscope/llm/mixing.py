@@ -2,7 +2,9 @@
 
 1. Sources, in code-point order with null last, take the weights in turn and share the total size; no target exceeds
    `repeats` times its source's size, and the excess is shared again by weight (a water level over size / weight).
-2. The total is cut into equal blocks. Each source gets as many as its quotients target / (2j + 1) among the highest.
+2. The total is cut into blocks of `block` words, one by default whatever the input's size. Each source gets as many as
+   its quotients target / (2j + 1) among the highest. Only quotients near the last one are listed, so small blocks cost
+   nothing; with blocks above a source's target that source could get none.
 3. A source's blocks are apportioned the same way to its shards, which hold about `shard_rows` documents each, so a hot
    source is spread over many tasks.
 4. In a shard the documents stand in an order seeded by the md5 of seed and id, and form a ring of blocks. A quota of q
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import WORD, body, cut, join_small
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: The total is cut into at most so many blocks.
-BLOCKS = 1 << 20
+#: Words in a block.
+BLOCK = 1
 
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3) -> DataFrame:
@@ -74,7 +76,7 @@ def overlap(start: Column, end: Column, stop: Column) -> Column:
     return F.greatest(F.least(end, stop) - start, F.lit(0))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, blocks: int = BLOCKS, shard_rows: int = 4096, seed: str = "mix-1", carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, block: int = BLOCK, shard_rows: int = 4096, seed: str = "mix-1", carry: list[str] | None = None) -> DataFrame:
     """Per document: the columns `carry` (only doc_id by default), size, source_size, target, taken and shard.
 
     Sizes and orders are computed once and kept; only if more columns are carried are they computed again with them.
@@ -92,7 +94,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3,
     counts = sources.select(key.alias("__k"), "__docs")
     targets = (
         source_targets(sources.select("source", "source_size"), weights, repeats)
-        .withColumn("__block", F.greatest(F.ceil(F.sum("source_size").over(whole) / blocks), F.lit(1)))
+        .withColumn("__block", F.lit(block).cast("long"))
         .withColumn("__seats", F.floor(F.sum("source_size").over(whole) / F.col("__block")))
     )
     quotas = sainte_lague(targets, [], "target", "__seats", "rank", "__quota").select(key.alias("__k"), "rank", "source_size", "target", "__block", "__quota")

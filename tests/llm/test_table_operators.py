@@ -104,6 +104,27 @@ def test_mixing(spark, shard_rows):
     assert all(abs(taken[s] - targets[s]) <= max(1, 0.01 * targets[s]) for s in sizes)
 
 
+def test_mixing_keeps_small_sources_of_large_tables(spark):
+    # Ten million words in all: small sources come near their targets as they do in a small table.
+    sizes = {"a": [3_000_000] * 3, "b": [400_000] * 3, "c": [1], "d": [2, 3], "e": [40] * 5}
+    rows = [(10 * k + i, n, s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string").selectExpr("doc_id", "repeat('w ', n) text", "source")
+    source, taken = {i: s for i, _, s in rows}, defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        taken[source[r.doc_id]] += r.taken
+    targets = waterfill({s: sum(ns) for s, ns in sizes.items()})
+    assert min(targets.values()) == 3 and all(abs(taken[s] - t) <= 1 for s, t in targets.items()), (taken, targets)
+
+
+def test_mixing_by_blocks_of_some_words(spark):
+    rows = [(i, 30, "ab"[i % 2]) for i in range(200)]
+    taken, source = defaultdict(int), {i: s for i, _, s in rows}
+    for r in mixing.mix(mix_frame(spark, rows), block=7).collect():
+        taken[source[r.doc_id]] += r.taken
+    targets = waterfill({"a": 3000, "b": 3000})
+    assert all(taken[s] % 7 == 0 and abs(taken[s] - t) <= 7 for s, t in targets.items())
+
+
 def test_mixing_of_empty_and_wordless_tables(spark):
     assert mixing.mix(mix_frame(spark, [])).count() == 0
     assert [(r.size, r.target, r.taken) for r in mixing.mix(mix_frame(spark, [(1, None, None), (2, 0, "a")])).collect()] == [(0, 0.0, 0)] * 2
