@@ -3,8 +3,10 @@
 Every rule rejects a document whose rate exceeds a cutoff. Cutoffs are chosen per stratum on labelled good documents:
 a cutoff is admissible when the exact binomial tail P(Bin(n, a) <= k) is at most d / m, where k of the n good
 documents would be rejected, a is the false-rejection limit of one rule and m the number of all hypotheses (strata x
-rules x cutoffs; Bonferroni). The strictest admissible cutoff is used; without one the rule stays off. By the union
-bound a stratum then loses more than `alpha` of its good documents with probability at most `delta`.
+rules x cutoffs; Bonferroni). The strictest admissible cutoff from LOWEST on is used; without one the rule stays off. By
+the union bound a stratum then loses more than `alpha` of its good documents with probability at most `delta`.
+LOWEST is chosen by hand: stricter cutoffs aren't tried even where labels would certify them, so documents whose rates
+stay below it are kept, good or bad. README has the rejection rates with and without it.
 
 Defined results: null text counts as empty; an empty or blank text has no words, so it fails the base rule; repeated
 rows are judged alike; a null stratum is a stratum of its own; an empty table gives an empty result. Other columns of
