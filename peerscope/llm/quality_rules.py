@@ -1,12 +1,21 @@
 """Quality rules whose cutoffs carry a finite-sample guarantee.
 
-Every rule rejects a document whose rate exceeds a cutoff. Cutoffs are chosen per stratum on labelled good documents:
-a cutoff is admissible when the exact binomial tail P(Bin(n, a) <= k) is at most d / m, where k of the n good
-documents would be rejected, a is the false-rejection limit of one rule and m the number of all hypotheses (strata x
-rules x cutoffs; Bonferroni). The strictest admissible cutoff from LOWEST on is used; without one the rule stays off. By
-the union bound a stratum then loses more than `alpha` of its good documents with probability at most `delta`.
-LOWEST is chosen by hand: stricter cutoffs aren't tried even where labels would certify them, so documents whose rates
-stay below it are kept, good or bad. README has the rejection rates with and without it.
+Every rule rejects a document whose rate exceeds a cutoff. The cutoffs of a stratum are chosen on labelled good
+documents, in two parts dealt by a hash of the id:
+
+1. The tuning part sets where each rule's path ends: the lowest bin above which at most a fraction TAIL of the stratum's
+   good documents lie. The path of all rules together goes from BINS bins above these ends, where nothing is rejected,
+   down to the ends, one bin at a time.
+2. The holdout part tests the path in that fixed sequence, from the loosest step on. A step passes when the exact binomial
+   tail P(Bin(n, alpha) <= k) is at most the stratum's share of delta, where any rule rejects k of the n good documents.
+   The sequence stops at its first failure and the last step that passed holds, so steps need no correction among each
+   other, and rules none, as they are tested together. As k only grows along the path, the last step that passes is the
+   strictest that passes at all.
+
+Multiple testing is corrected over strata (Bonferroni): half of delta is shared by the strata, half goes to a pool of all
+labelled good documents. A stratum with too few labels to certify a step takes the pool's cutoffs; without those its rules
+stay off. So with probability 1 - delta no certified stratum loses more than `alpha` of its good documents to the rules,
+nor do all strata together under the pool's cutoffs; for one stratum under them the pool guarantees nothing on its own.
 
 Defined results: null text counts as empty; an empty or blank text has no words, so it fails the base rule; repeated
 rows are judged alike; a null stratum is a stratum of its own; an empty table gives an empty result. Other columns of
@@ -30,10 +39,13 @@ RULES = {
     "word_length": lambda: F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)) / 100,
     "capitals": lambda: F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
 }
-#: Cutoffs are the multiples of 1 / BINS from these on: a rule is about a document's make-up, so a trace of what it
-#: counts is no reason to reject, however rare it is among labelled documents.
+#: Cutoffs are multiples of 1 / BINS.
 BINS = 50
-LOWEST = {"symbols": 0.1, "dup_lines": 0.3, "repeats": 0.3, "word_length": 0.12, "capitals": 0.3}
+#: Share of a stratum's tuning documents that may lie above the end of one rule's path.
+TAIL = 0.002
+#: One labelled good document in TUNING sets the path's end, the others test the path.
+TUNING = 4
+_POOL = "\1"
 
 
 def repeated_words(words: Column) -> Column:
@@ -92,45 +104,58 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(F.aggregate(terms, F.struct(start.alias("term"), start.alias("total")), step, lambda acc: acc["total"])))
 
 
-def _first_bin(rule: str) -> int:
-    return round(LOWEST[rule] * BINS)
+def stratum_key(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("\0"))
 
 
-def certified_cutoffs(good: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """One row per stratum with a column cut_<rule> each: the strictest certified cutoff, null where there is none.
+def certified_cutoffs(good: DataFrame, stratum: str, doc_id: str = "doc_id", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """One row per stratum: __k (its key), certified ('stratum', 'pool' or null) and a column cut_<rule> each.
 
-    good: statistics of labelled good documents. The counts are partially aggregated before the shuffle, so their size
-    is strata x rules x BINS whatever the number of labels.
+    good: statistics of labelled good documents. Both parts are reduced to histograms with partial aggregation, so what
+    is shuffled is strata x rules x BINS rows a task, whatever the number of labels.
     """
-    rates = F.array(*[F.struct(F.lit(k).alias("rule"), F.greatest(F.least(F.ceil(v() * BINS), F.lit(BINS + 1)), F.lit(_first_bin(k))).cast("int").alias("bin")) for k, v in RULES.items()])
-    n_by = good.groupBy(stratum).agg(F.count("*").alias("n"))
-    hist = good.select(stratum, F.explode(rates).alias("r")).groupBy(stratum, "r.rule", "r.bin").agg(F.count("*").alias("c"))
-    # A cutoff of j / BINS rejects what lies in bins above j, so each occupied bin is a cutoff.
-    above = Window.partitionBy(stratum, "rule").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    cuts = hist.withColumn("k", F.coalesce(F.sum("c").over(above), F.lit(0))).withColumn("__key", F.col(stratum)).drop(stratum)
-    cuts = cuts.join(n_by, F.col("__key").eqNullSafe(F.col(stratum))).drop("__key")
-    # Every stratum counts against the error budget, and every cutoff of the grid, occupied or not.
-    m = good.select(F.count_distinct(F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))).alias("s")).first()["s"] * sum(BINS + 2 - _first_bin(k) for k in RULES)
-    sure = cuts.filter(binomial_tail(F.col("n"), F.col("k"), alpha / len(RULES)) <= delta / max(m, 1))
-    return sure.groupBy(stratum).pivot("rule", list(RULES)).agg(F.min("bin") / BINS).select(stratum, *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    bins = F.array(*[F.greatest(F.least(F.ceil(v() * BINS), F.lit(BINS + 1)), F.lit(0)).cast("int") for v in RULES.values()])
+    tuning = F.pmod(F.xxhash64(F.lit("tuning"), F.col(doc_id)), F.lit(TUNING)) == 0
+    rows = good.select(F.explode(F.array(stratum_key(stratum), F.lit(_POOL))).alias("__k"), bins.alias("bins"), tuning.alias("tuning"))
+    hist = rows.filter("tuning").select("__k", F.posexplode("bins").alias("rule", "bin")).groupBy("__k", "rule", "bin").agg(F.count("*").alias("c"))
+    above = Window.partitionBy("__k", "rule").orderBy(F.col("bin").desc())
+    whole = Window.partitionBy("__k", "rule")
+    over = F.coalesce(F.sum("c").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = hist.withColumn("over", over).withColumn("n", F.sum("c").over(whole)).filter(F.col("over") <= F.col("n") * TAIL).groupBy("__k", "rule").agg(F.min("bin").alias("bin"))
+    ends = ends.groupBy("__k").pivot("rule", list(range(len(RULES)))).agg(F.first("bin")).select("__k", F.array(*[F.col(str(i)) for i in range(len(RULES))]).alias("ends"))
+    # A document is rejected at every step that is less than `beyond` bins above the ends.
+    beyond = F.greatest(F.array_max(F.zip_with("bins", "ends", lambda b, e: b - e)), F.lit(0))
+    steps = join_small(rows.filter("not tuning"), ends, ["__k"]).groupBy("__k", beyond.alias("beyond")).agg(F.count("*").alias("c"))
+    n = Window.partitionBy("__k")
+    later = n.orderBy(F.col("beyond").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("__k", "beyond", F.coalesce(F.sum("c").over(later), F.lit(0)).alias("k"), F.sum("c").over(n).alias("n"))
+    strata = F.greatest(F.count_if(F.col("__k") != _POOL).over(Window.partitionBy(F.lit(1))), F.lit(1))
+    level = rows.select("__k").distinct().select("__k", F.when(F.col("__k") == _POOL, delta / 2).otherwise(delta / 2 / strata).alias("level"))
+    # What lies between two occupied steps rejects as the lower one does, so occupied steps are all there is to test.
+    passed = steps.join(level, "__k").filter(binomial_tail(F.col("n"), F.col("k"), alpha) <= F.col("level")).groupBy("__k").agg(F.min("beyond").alias("step"))
+    found = level.join(ends, "__k", "left").join(passed, "__k", "left").select("__k", F.when(F.col("step").isNotNull(), F.struct("ends", "step")).alias("own"))
+    pool = F.max(F.when(F.col("__k") == _POOL, F.col("own"))).over(Window.partitionBy(F.lit(1)))
+    held = found.withColumn("pool", pool).withColumn("used", F.coalesce("own", "pool")).filter(F.col("__k") != _POOL)
+    by = F.when(F.col("own").isNotNull(), "stratum").when(F.col("pool").isNotNull(), "pool")
+    return held.select("__k", by.alias("certified"), *[((F.get("used.ends", F.lit(i)) + F.col("used.step")) / BINS).alias(f"cut_{r}") for i, r in enumerate(RULES)])
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """Per document: its counts, base_failed, each rule's cutoff and kept.
+    """Per document: its counts, base_failed, kept, whose certificate its cutoffs have, and the cutoffs.
 
     Labels are read only where the id is not held out, so the guarantee can be checked on the rest. An id that is
-    labelled more than once counts as good if all its labels say so.
+    labelled more than once counts as good if all its labels say so. A stratum without labels has no cutoffs.
     """
     stats = cut(text_statistics(docs.select("doc_id", F.col(stratum).alias("__s"), "text"), ["doc_id", "__s"]))
     marked = labels.filter(~held_out() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
-    cuts = certified_cutoffs(stats.join(marked, "doc_id", "left_semi"), "__s", alpha, delta)
-    cuts = cuts.select(F.coalesce(F.col("__s").cast("string"), F.lit("\0")).alias("__k"), *[f"cut_{r}" for r in RULES])
-    judged = join_small(stats.withColumn("__k", F.coalesce(F.col("__s").cast("string"), F.lit("\0"))), cuts, ["__k"], "left")
+    cuts = cut(certified_cutoffs(stats.join(marked, "doc_id", "left_semi"), "__s", alpha=alpha, delta=delta))
+    judged = join_small(stats.withColumn("__k", stratum_key("__s")), cuts, ["__k"], "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     broken = F.lit(False)
     for name, rate in RULES.items():
-        broken = broken | F.coalesce(rate() > F.col(f"cut_{name}"), F.lit(False))
+        # Compared in bins, as the cutoffs were tested.
+        broken = broken | F.coalesce(F.ceil(rate() * BINS) > F.round(F.col(f"cut_{name}") * BINS), F.lit(False))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), (~base & ~broken).alias("kept"), *[f"cut_{r}" for r in RULES],
+        base.alias("base_failed"), (~base & ~broken).alias("kept"), "certified", *[f"cut_{r}" for r in RULES],
     )

@@ -130,12 +130,68 @@ def test_binomial_tail_and_certified_cutoffs(spark):
     for n, k, p in df.collect():
         exact = sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) if k < n * 0.05 else 1.0
         assert p == pytest.approx(exact, rel=1e-9)
-    stat = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, s string"
-    good = spark.range(20_000).selectExpr("100L n_words", "500L word_chars", "if(id % 4000 = 0, 400L, 5L) n_symbols", "0L n_dup_lines", "0L n_repeat_words", "10L n_lines", "10L n_upper", "if(id % 2 = 0, 'a', null) s")
-    assert good.schema.fieldNames() == [x.split()[0] for x in stat.split(", ")]
-    cuts = {r.s: r for r in quality_rules.certified_cutoffs(good, "s").collect()}
-    # One in two thousand of stratum a is far above: well below the limit of 0.004 a rule, so the lowest cutoff is certified.
-    assert cuts["a"].cut_symbols == 0.1 and cuts[None].cut_symbols == 0.1 and cuts["a"].cut_dup_lines == 0.3
+    columns = "id doc_id", "100L n_words", "500L word_chars", "if(id % 4000 = 0, 400L, 5L) n_symbols", "0L n_dup_lines", "0L n_repeat_words", "10L n_lines", "10L n_upper", "if(id % 2 = 0, 'a', null) s"
+    cuts = {r["__k"]: r for r in quality_rules.certified_cutoffs(spark.range(20_000).selectExpr(*columns), "s").collect()}
+    # One in two thousand of stratum a is far above: less than alpha, so the strictest cutoff is certified.
+    assert set(cuts) == {"a", "\0"} and all(r.certified == "stratum" and r.cut_symbols <= 0.04 and r.cut_dup_lines == 0.0 for r in cuts.values())
+
+
+def expected_cutoffs(rows, alpha, delta):
+    """rows of (stratum, tuning, rates): cutoffs by trying every step of every stratum's path with exact tails."""
+    tail = lambda n, k: sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1))
+    bins = lambda rates: [min(math.ceil(x * 50), 51) for x in rates]
+    strata = sorted({s for s, _, _ in rows})
+
+    def own(chosen, level):
+        tuning, rest = ([bins(r) for _, t, r in chosen if t is part] for part in (True, False))
+        if not tuning or not rest:
+            return None
+        ends = [min(b for b in (x[i] for x in tuning) if sum(x[i] > b for x in tuning) <= len(tuning) * quality_rules.TAIL) for i in range(5)]
+        found = None
+        for step in range(51, -1, -1):
+            k = sum(any(b > e + step for b, e in zip(x, ends, strict=True)) for x in rest)
+            if k >= len(rest) * alpha or tail(len(rest), k) > level:
+                break
+            found = [(e + step) / 50 for e in ends]
+        return found
+
+    pool = own(rows, delta / 2)
+    return {s: own([r for r in rows if r[0] == s], delta / 2 / len(strata)) or pool for s in strata}
+
+
+@pytest.mark.parametrize("sizes", [(900, 500, 60), (150, 100, 10), (40, 20, 2), (3, 0, 0)])
+def test_certified_cutoffs_and_kept_against_brute_force(spark, sizes):
+    rnd = random.Random(sum(sizes))
+    texts, lang = [], []
+    for s, n in zip(("de", "en", None), sizes, strict=True):
+        for _ in range(n):
+            words = [rnd.choice(["word", "Ab", "#", "longerword", "x"]) if rnd.random() < 0.2 else f"w{rnd.randrange(300)}" for _ in range(rnd.randint(45, 90))]
+            if len(texts) % 7 == 0:
+                words[::3] = ["#" * 9] * len(words[::3])
+            texts.append("\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)))
+            lang.append(s)
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(zip(texts, lang, strict=True))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    tuning = {r.doc_id: r.t for r in docs.select("doc_id", (F.pmod(F.xxhash64(F.lit("tuning"), "doc_id"), F.lit(4)) == 0).alias("t")).collect()}
+
+    def rates(t):
+        n, chars, symbols, dup, repeats, _ = rule_counts(t)
+        lines = sum(bool(re.search(WORD, x)) for x in t.split("\n"))
+        return [symbols / max(chars, 1), dup / max(lines, 1), repeats / max(n, 1), chars / max(n, 1) / 100, len(re.findall("[A-Z]", t)) / max(chars, 1)]
+
+    good = [(lang[i] or "", tuning[i], rates(t)) for i, t in enumerate(texts) if i % 7 and zlib.crc32(str(i).encode()) % 5]
+    expected = expected_cutoffs(good, 0.02, 0.05)
+    rows = quality_rules.judge(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        cuts = expected[lang[r.doc_id] or ""]
+        got = [r[f"cut_{name}"] for name in quality_rules.RULES]
+        assert got == (pytest.approx(cuts) if cuts else [None] * 5)
+        t = texts[r.doc_id]
+        broken = bool(cuts) and any(math.ceil(x * 50) > round(c * 50) for x, c in zip(rates(t), cuts, strict=True))
+        assert r.kept == (not rule_counts(t)[5] and not broken)
+    if sizes[0] == 900:
+        assert {r.certified for r in rows} == {"stratum", "pool"} and any(not r.kept and not r.base_failed for r in rows)
 
 
 def test_token_counts(spark):
