@@ -5,10 +5,11 @@
 2. The total is cut into blocks of `block` words, one by default whatever the input's size. Each source gets as many as
    its quotients target / (2j + 1) among the highest. Only quotients near the last one are listed, so small blocks cost
    nothing; with blocks above a source's target that source could get none.
-3. A source's blocks are apportioned the same way to its shards, which hold about `shard_rows` documents each, so a hot
-   source is spread over many tasks.
-4. In a shard the documents stand in an order seeded by the md5 of seed and id, and form a ring of blocks. A quota of q
-   blocks takes that many blocks from the ring's start, going round as often as needed, at most `repeats` times.
+3. The words of a source's blocks are apportioned the same way to its shards, which hold about `shard_rows` documents
+   each, so a hot source is spread over many tasks. A block may span shards, so it may be larger than one.
+4. In a shard the documents stand in an order seeded by the md5 of seed and id, and form a ring. A quota of q words takes
+   the ring from its start, going round as often as needed. As a source takes at most `repeats` times its size, so do
+   its shards: at the divisor 1 / repeats each shard would get exactly that, and fewer seats mean a larger divisor.
 
 Defined results: null text has size 0 and takes 0; sources of size 0 have target 0; repeated rows count each for
 itself; rows that tie on id and size are interchangeable; an empty table gives an empty result. Only doc_id, text and
@@ -100,8 +101,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3,
     quotas = sainte_lague(targets, [], "target", "__seats", "rank", "__quota").select(key.alias("__k"), "rank", "source_size", "target", "__block", "__quota")
     quotas = cut(quotas.join(counts, "__k").withColumn("__shards", F.greatest(F.ceil(F.col("__docs") / shard_rows), F.lit(1))))
     place = lambda df: join_small(df, quotas, ["__k"]).withColumn("__shard", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % F.col("__shards"))
-    shards = place(narrow).groupBy("rank", "__shard").agg(F.sum("__size").alias("__len"), F.first("__block").alias("__block"), F.first("__quota").alias("__quota"))
-    shares = sainte_lague(shards, ["rank"], "__len", "__quota", "__shard", "__q").select("rank", "__shard", "__len", F.least(F.col("__q") * F.col("__block"), F.col("__len") * repeats).alias("__take"))
+    words = F.least(F.col("__quota") * F.col("__block"), F.col("source_size") * repeats)  # a last block may pass the limit
+    shards = place(narrow).groupBy("rank", "__shard").agg(F.sum("__size").alias("__len"), F.first(words).alias("__words"))
+    shares = sainte_lague(shards, ["rank"], "__len", "__words", "__shard", "__take").select("rank", "__shard", "__len", "__take")
     ring = Window.partitionBy("rank", "__shard").orderBy("__h", *(["doc_id"] if "doc_id" in carry else []), "__size")
     stood = place(wide).withColumn("__end", F.sum("__size").over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rounds, part = F.floor(F.col("__take") / F.greatest(F.col("__len"), F.lit(1))), F.col("__take") % F.greatest(F.col("__len"), F.lit(1))

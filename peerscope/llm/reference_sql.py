@@ -43,21 +43,38 @@ WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_TERMS}) AS ws FROM docu
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-#: The production parameters: 2^20 blocks, three repeats, seed mix-1. It holds while every source fits one shard (4096
-#: documents) and there are at most 80 sources, as in the tables it is compared on; the operator has neither limit.
+#: The production parameters: blocks of one word, three repeats, seed mix-1, shards of about 4096 documents. Quotients up to
+#: QUOTIENTS / 2 seats from a row's exact share are ranked, so it holds for up to QUOTIENTS sources and shards a source.
+QUOTIENTS = 80
+
+
+def _seats(rows: str, within: str, share: str, seats: str, order: str, out: str) -> str:
+    """Sainte-Lague by listing the quotients near the last seat; all rows of `rows` with the seats they get."""
+    part = f"PARTITION BY {within}" if within else ""
+    low = f"greatest(CAST(floor({share} / tot * {seats} - {QUOTIENTS // 2}) AS BIGINT), 0)"
+    same = f"{within}, {order}" if within else order
+    return f"""
+    (WITH x AS (SELECT *, sum({share}) OVER ({part}) AS tot FROM {rows}), y AS (SELECT *, CASE WHEN {share} > 0 THEN {low} ELSE 0 END AS low FROM x),
+      z AS (SELECT *, sum(low) OVER ({part}) AS given FROM y),
+      won AS (SELECT {same}, count(*) AS more FROM (SELECT {same} FROM z, unnest(range(low, low + {QUOTIENTS} + 2)) t(j) WHERE {share} > 0
+        QUALIFY row_number() OVER ({part} ORDER BY {share} / (2 * j + 1) DESC, {order}, j) <= {seats} - given) GROUP BY ALL)
+    SELECT z.*, low + coalesce(more, 0) AS {out} FROM z LEFT JOIN won USING ({same}))"""
+
+
 OP6 = rf"""
-WITH z AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-  src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS docs FROM z GROUP BY source),
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+  src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, greatest(CAST(ceil(count(*) / 4096) AS BIGINT), 1) AS shards FROM d GROUP BY source),
   ranked AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS rk, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM src),
   weighed AS (SELECT *, CAST([5, 2, 1][(rk - 1) % 3 + 1] AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM ranked),
   opened AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM weighed),
   level AS (SELECT min_by(open, struct_pack(l := cap / w, r := rk)) FILTER (cap / w > open) AS water FROM opened),
-  target AS (SELECT o.*, CASE WHEN cap / w <= open OR water IS NULL THEN cap ELSE water * w END AS target, greatest(CAST(ceil(total / 1048576) AS BIGINT), 1) AS block FROM opened o CROSS JOIN level),
-  seats AS (SELECT *, total // block AS n_seats, greatest(CAST(ceil(docs / 4096) AS BIGINT), 1) AS shards FROM target),
-  q1 AS (SELECT rk, j FROM seats, unnest(range(CAST(ceil(target / block) AS BIGINT) + 2)) t(j) WHERE target > 0 AND j >= target / block - 40 QUALIFY row_number() OVER (ORDER BY target / (2 * j + 1) DESC, rk, j) <= n_seats - (SELECT sum(greatest(CAST(ceil(target / block - 40) AS BIGINT), 0)) FROM seats WHERE target > 0)),
-  quota AS (SELECT s.*, CASE WHEN target > 0 THEN greatest(CAST(ceil(target / block - 40) AS BIGINT), 0) ELSE 0 END + coalesce(n, 0) AS quota FROM seats s LEFT JOIN (SELECT rk, count(*) AS n FROM q1 GROUP BY rk) USING (rk)),
-  ring AS (SELECT z.*, rk, target, source_size, quota * block AS take, CAST(sum(z.size) OVER (PARTITION BY rk ORDER BY h, doc_id, z.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM z JOIN quota ON z.source IS NOT DISTINCT FROM quota.source)
-SELECT doc_id, size, source_size, target, CAST((least(take, 3 * source_size) // greatest(source_size, 1)) * size + greatest(least(upto, least(take, 3 * source_size) % greatest(source_size, 1)) - (upto - size), 0) AS BIGINT) AS taken FROM ring
+  target AS (SELECT o.*, CASE WHEN cap / w <= open OR water IS NULL THEN cap ELSE water * w END AS target FROM opened o CROSS JOIN level),
+  quota AS (SELECT * FROM {_seats("target", "", "target", "total", "rk", "quota")}),
+  placed AS (SELECT d.doc_id, d.size, d.h, q.rk, q.target, q.source_size, least(quota, 3 * q.source_size) AS words, CAST('0x' || h[1:8] AS BIGINT) % shards AS shard FROM d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source),
+  shard AS (SELECT rk, shard, CAST(sum(size) AS BIGINT) AS length, any_value(words) AS words FROM placed GROUP BY rk, shard),
+  shares AS (SELECT * FROM {_seats("shard", "rk", "length", "words", "shard", "take")}),
+  ring AS (SELECT *, CAST(sum(size) OVER (PARTITION BY rk, shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM placed)
+SELECT doc_id, size, source_size, target, CAST((take // greatest(length, 1)) * size + greatest(least(upto, take % greatest(length, 1)) - (upto - size), 0) AS BIGINT) AS taken FROM ring JOIN (SELECT rk, shard, length, take FROM shares) USING (rk, shard)
 """
 
 SQL = {"op2_warc": OP2, "op4_near_dedup": OP4, "op8_lm_scoring": OP8, "op9_decontamination": OP9, "op6_mixing": OP6}

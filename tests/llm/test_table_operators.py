@@ -125,6 +125,20 @@ def test_mixing_by_blocks_of_some_words(spark):
     assert all(taken[s] % 7 == 0 and abs(taken[s] - t) <= 7 for s, t in targets.items())
 
 
+@pytest.mark.parametrize("block", [1, 40, 2_000])
+def test_mixing_by_blocks_far_larger_than_a_shard(spark, block):
+    rnd = np.random.default_rng(block)
+    rows = [(i, int(rnd.integers(1, 200)), "abc"[i % 3]) for i in range(3000)]
+    sizes, taken, source = defaultdict(int), defaultdict(int), {i: s for i, _, s in rows}
+    for _, n, s in rows:
+        sizes[s] += n
+    for r in mixing.mix(mix_frame(spark, rows), block=block, shard_rows=5).collect():
+        taken[source[r.doc_id]] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    targets = waterfill(dict(sizes))
+    assert all(abs(taken[s] - t) <= max(0.01 * t, block) for s, t in targets.items()) and (block > 40 or all(abs(taken[s] - t) <= 0.01 * t for s, t in targets.items()))
+
+
 def test_mixing_of_empty_and_wordless_tables(spark):
     assert mixing.mix(mix_frame(spark, [])).count() == 0
     assert [(r.size, r.target, r.taken) for r in mixing.mix(mix_frame(spark, [(1, None, None), (2, 0, "a")])).collect()] == [(0, 0.0, 0)] * 2
