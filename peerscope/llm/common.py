@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: Java and RE2 agree on this class: everything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows below which a derived side table is small enough to send to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a derived side table is small enough to send to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,9 +52,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a derived table: broadcast where it has at most BROADCAST_ROWS rows, shuffled beyond that."""
-    few = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(small) if few else small, on, how)
+    """Join with a derived table: broadcast where it is within BROADCAST_ROWS and BROADCAST_BYTES, shuffled beyond that.
+
+    The result is the same either way. Bytes are those of strings and binaries plus 16 for every column of a row.
+    """
+    wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if f.dataType.typeName() in ("string", "binary")]
+    size = sum(wide, F.lit(16 * len(small.columns)))
+    n, total = small.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return df.join(F.broadcast(small) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else small.hint("merge"), on, how)
 
 
 _shipped: set[str] = set()

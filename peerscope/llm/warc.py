@@ -8,6 +8,14 @@ Writing makes one file per task under a name of its own; the manifest, written w
 that count, so a repeated or lost task leaves nothing that is read. Files are reached by pyarrow's file systems, so a
 path may be in any store they know.
 
+Digests are computed once into a narrow checkpointed table; which pages revisit is decided on it. The pages are then read
+once more for writing, and learn by (page_id, digest) whether they revisit: without a shuffle where the revisits' size
+allows sending them to every executor, by a join on these keys beyond that, of which none is hot.
+
+Malformed input: what doesn't begin with a WARC version line, or has no usable Content-Length, is skipped up to the next
+such line; a record that the end of its file cuts off is dropped, as is what a damaged gzip member leaves unreadable; a
+revisit whose HTTP headers tell no usable length has the length of its block.
+
 Defined results: a null html is an empty payload; of records with equal payloads that with the smallest id is the
 response (several, if rows repeat that id; all of them, if every id is null) and the others are revisits; payloads
 shorter than min_bytes are all responses; an empty table makes an archive without records.
@@ -19,6 +27,7 @@ import gzip
 import json
 import sys
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith, WriterCommitMessage
 
-from .common import join_small
+from .common import cut, join_small
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,16 +59,30 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def header_block(stream) -> dict[str, str] | None:
-    """The lines up to the next empty one as lower-case names and values; None at the end of the file."""
-    line = stream.readline()
-    while line in (b"\r\n", b"\n"):
-        line = stream.readline()
+#: Longest header line; longer ones come in pieces, of which the first holds the name.
+LINE = 1 << 16
+
+
+def number(value: str | None) -> int | None:
+    """A header's length, None where it is missing or not a count."""
+    return int(value) if value and value.isascii() and value.isdigit() and len(value) < 16 else None
+
+
+def header_block(stream, opening: bytes = b"") -> dict[str, str] | None:
+    """The lines up to the next empty one as lower-case names and values; None where the file ends before that.
+
+    Lines before the first that starts with `opening` are skipped.
+    """
+    line = stream.readline(LINE)
+    while line and (line in (b"\r\n", b"\n") or not line.startswith(opening)):
+        line = stream.readline(LINE)
     if not line:
         return None
     found = {"": line.strip().decode("utf-8", "replace")}
     name = ""
-    while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := stream.readline(LINE)) not in (b"\r\n", b"\n"):
+        if not line:
+            return None
         if line[:1] in b" \t" and name:
             found[name] += " " + line.strip().decode("utf-8", "replace")
         else:
@@ -79,12 +102,13 @@ class Buffered:
         self.file = io.BufferedReader(raw, 1 << 18) if seekable else raw
         self.readline, self.read, self.tell = self.file.readline, self.file.read, self.file.tell
 
-    def skip(self, n: int) -> None:
+    def skip(self, n: int, size: int) -> bool:
+        """Skips n bytes; False where the file, of `size` bytes if seekable, ends before that."""
         if self.seekable:
-            self.file.seek(n, 1)
-        else:
-            while n > 0 and (got := len(self.file.read(min(n, 1 << 20)))):
-                n -= got
+            return self.file.seek(n, 1) <= size
+        while n > 0 and (got := len(self.file.read(min(n, 1 << 20)))):
+            n -= got
+        return n == 0
 
 
 @dataclass
@@ -130,18 +154,11 @@ class Reader(DataSourceReader):
         if not partition.path:
             return
         fs, _ = opened(self.path)
+        size = fs.get_file_info(partition.path).size
         with fs.open_input_file(partition.path) as raw:
             raw.seek(partition.start)
-            packed = partition.path.endswith(".gz")
-            stream = Buffered(gzip.GzipFile(fileobj=raw) if packed else raw, not packed)
             rows, held = [], 0
-            while (packed or stream.tell() < partition.end) and (head := header_block(stream)) is not None:
-                row = {c: head.get(h) for c, h in HEADERS.items()}
-                length = int(head.get("content-length", 0))
-                if not self.wanted(row):
-                    stream.skip(length)
-                    continue
-                row |= self.block(stream, head, length)
+            for row in self.records(raw, partition, size):
                 rows.append(row)
                 held += len(row["payload"] or b"") + 500
                 if held > HELD:
@@ -150,20 +167,39 @@ class Reader(DataSourceReader):
             if rows:
                 yield self.batch(rows)
 
-    def block(self, stream, head: dict, length: int) -> dict:
+    def records(self, raw, partition: Part, size: int) -> Iterator[dict]:
+        """The wanted records that begin in the partition and are whole."""
+        packed = partition.path.endswith(".gz")
+        stream = Buffered(gzip.GzipFile(fileobj=raw) if packed else raw, not packed)
+        try:
+            while (packed or stream.tell() < partition.end) and (head := header_block(stream, b"WARC/")) is not None:
+                length = number(head.get("content-length"))
+                if length is None:
+                    continue
+                row = {c: head.get(h) for c, h in HEADERS.items()}
+                if not self.wanted(row):
+                    stream.skip(length, size)
+                elif (found := self.block(stream, head, length, size)) is not None:
+                    yield row | found
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            return
+
+    def block(self, stream, head: dict, length: int, size: int) -> dict | None:
         """What the block holds: payload and its length. HTTP headers are parsed, the payload is skipped unless asked for."""
-        if not head.get("content-type", "").startswith("application/http"):
-            body, size = length, length
-        else:
+        body, told = length, None
+        if head.get("content-type", "").startswith("application/http"):
             at = stream.tell()
-            http = header_block(stream) or {}
+            http = header_block(stream)
             body = length - (stream.tell() - at)
+            if http is None or body < 0:  # no HTTP headers, or they don't end inside the block
+                return None
             # A revisit has no payload of its own; its HTTP headers tell the length.
-            size = int(http.get("content-length", body)) if head.get("warc-type") == "revisit" else body
+            told = number(http.get("content-length")) if head.get("warc-type") == "revisit" else None
+        told = body if told is None else told
         if self.payload and head.get("warc-type") != "revisit":
-            return {"payload_bytes": size, "payload": stream.read(body)}
-        stream.skip(body)
-        return {"payload_bytes": size, "payload": None}
+            payload = stream.read(body)
+            return {"payload_bytes": told, "payload": payload} if len(payload) == body else None
+        return {"payload_bytes": told, "payload": None} if stream.skip(body, size) else None
 
     @staticmethod
     def batch(rows: list[dict]) -> pa.RecordBatch:
@@ -245,16 +281,21 @@ def sha1_base32(data: Column) -> Column:
 
 
 def records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One row to write per page. Only digests are grouped; the payloads stay where they were read."""
+    """One row to write per page. Only digests are grouped."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     made = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     made = made.withColumn("payload_digest", sha1_base32(F.col("payload"))).withColumn("payload_bytes", F.length("payload").cast("long"))
-    first = made.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
-    known = join_small(made, first, ["payload_digest"], "left")
-    again = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first")) & (F.col("payload_bytes") >= min_bytes)
+    digests = cut(made.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"))
+    first = digests.groupBy("payload_digest").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+    again = join_small(digests, first, ["payload_digest"]).filter("__first is not null and not page_id <=> __first")
+    # A null id is keyed as such; rows that repeat an id and a payload revisit together.
+    key = [F.col("page_id").isNull().alias("__none"), F.coalesce("page_id", F.lit(0)).alias("__id"), "payload_digest"]
+    again = cut(again.select(*key, "__first").distinct())
+    known = join_small(made.select("*", *key[:2]), again, ["__none", "__id", "payload_digest"], "left")
+    revisit = F.col("__first").isNotNull()
     return known.select(
-        "page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__first")).alias("refers_to"),
-        "payload_digest", "payload_bytes", F.when(~again, F.col("payload")).alias("payload"),
+        "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("__first").alias("refers_to"),
+        "payload_digest", "payload_bytes", F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
@@ -264,7 +305,10 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All records of an archive; with payload=False the payload column is null and no payload is read."""
+    """All records of an archive; with payload=False the payload column is null and no payload is read.
+
+    Spark pushes filters down to Python sources only under a session setting, which this turns on.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()

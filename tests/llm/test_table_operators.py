@@ -66,6 +66,51 @@ def test_warc_reads_foreign_and_compressed_files(spark, tmp_path):
     assert rows == Counter({("<urn:a>", b"hello"): 2, ("<urn:b>", b"body!!"): 2})
 
 
+def test_warc_skips_what_is_malformed(spark, tmp_path):
+    import gzip
+
+    def record(name, body=b"x", length=None, kind=b"resource", extra=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:" + name + b">\r\n" + extra + b"Content-Length: " + (str(len(body)).encode() if length is None else length) + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    http = b"Content-Type: application/http\r\n"
+    parts = {
+        "a": record(b"1") + record(b"bad", length=b"many") + record(b"2") + record(b"worse", length=b"-5") + record(b"3", b"") + b"noise\r\n\r\n" + record(b"4", b"WARC/"),
+        "b": record(b"5") + record(b"cut", b"abc", length=b"999999"),
+        "c": record(b"6") + record(b"7", b"HTTP/1.1 200 OK\r\nContent-Length: \xff\r\n\r\n", kind=b"revisit", extra=http) + record(b"no-http", b"zz", extra=http) + record(b"8"),
+        "d": record(b"9") + b"WARC/1.0\r\nWARC-Type: res",
+        "e": b"",
+        "f": record(b"no-length").replace(b"Content-Length: 1\r\n", b"") + record(b"10"),
+    }
+    for name, raw in parts.items():
+        (tmp_path / f"{name}.warc").write_bytes(raw)
+    whole = gzip.compress(record(b"11")) + gzip.compress(record(b"12", os.urandom(3000)))
+    (tmp_path / "g.warc.gz").write_bytes(whole[:-900])
+    (tmp_path / "h.warc.gz").write_bytes(b"not gzip at all")
+    found = {payload: sorted(int(r.record_id[5:-1]) for r in warc.read_warc(spark, f"file://{tmp_path}", payload).collect() if r.record_id[5:-1].isdigit()) for payload in (True, False)}
+    assert found[True] == found[False] == list(range(1, 12))
+    assert not {r.record_id for r in warc.read_warc(spark, f"file://{tmp_path}").collect()} & {"<urn:cut>", "<urn:bad>", "<urn:worse>", "<urn:no-length>"}
+
+
+def test_warc_decides_alike_without_broadcasts(spark, monkeypatch):
+    rows = [(i % 70 if i % 9 else None, "u", None if i % 5 == 0 else f"t{i % 13}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    small = Counter(map(tuple, warc.records(pages).collect()))
+    monkeypatch.setattr("peerscope.llm.common.BROADCAST_ROWS", 1)
+    assert Counter(map(tuple, warc.records(pages).collect())) == small
+    first = {}
+    for i, _, t in rows:
+        if i is not None:
+            first[t or ""] = min(i, first.get(t or "", i))
+    want = Counter((i, "response", None) if i == first[t or ""] else (i, "revisit", first[t or ""]) for i, _, t in rows)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in small.elements() for r in [warc_row(r)]) == want
+
+
+def warc_row(r):
+    from types import SimpleNamespace
+
+    return SimpleNamespace(page_id=r[0], record_type=r[2], refers_to=r[3])
+
+
 def mix_frame(spark, rows):
     return spark.createDataFrame([(i, " ".join(["w"] * n) if n is not None else None, s, 1, 2) for i, n, s in rows], "doc_id long, text string, source string, size int, target int")
 
