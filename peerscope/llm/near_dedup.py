@@ -5,14 +5,24 @@ that differ in at most CHUNKS * (ERRORS + 1) - 1 symbols agree, by pigeonhole, i
 every chunk is indexed under each choice of ERRORS symbols left out, and all pairs under that distance meet in a bucket.
 At a similarity of exactly 0.75 a pair misses all buckets with a probability of 6e-6, at 0.8 with 1e-7.
 
-Documents with equal sets form one class, and only the class with its smallest doc_id goes on, so exact copies cost
-nothing. In a bucket every class is paired with the smallest one (a star, not all pairs). Candidates pass a length bound
-and are confirmed on full sets. Where a bucket's classes are not all in one component after that, the outliers are compared
-with all classes of that centre, so that no link is lost to an unlucky centre; pairs inside a component change nothing.
+Documents with equal sets form one class, and only the class goes on, so exact copies cost nothing. Links are found in
+two passes over the classes that share a bucket with another:
+
+1. In a bucket every class is paired with the smallest one (a star, not all pairs). Of these pairs, those whose signatures
+   are near enough are confirmed on full sets. This only merges families early; nothing is lost by it.
+2. Where the classes that share a centre are not all in one component after that, an exact prefix-filtered set join finds
+   all links among them. Shingles are ordered by how many of these sets hold them, rarest first. Two sets that are
+   similar enough share one of their first few shingles, so only these are joined, within bounds on length and position,
+   between different components. What a site's template gives to all of its pages is frequent, hence behind these first
+   shingles, so pages that share no more than that never meet, however many they are.
+
+Every link is confirmed on full sets. A bucket is never expanded into its pairs, and pairs inside a component change
+nothing.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing; fewer than SHINGLE words
-make one shingle; rows that share a doc_id are one document; rows with a null doc_id are linked with nothing, with a
-null component, and kept; an empty table gives an empty result. Only doc_id and text are read.
+make one shingle; rows that share a doc_id but not a text are judged each by its own text, and a component's id is its
+smallest doc_id; rows with a null doc_id are linked with nothing, with a null component, and kept; an empty table gives
+an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -21,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, ship
+from .common import cut, join_small, map_arrow
 from .components import components
 from .features import LOWER_ASCII, Memo, raw_texts
 
@@ -32,10 +42,8 @@ SHINGLE = 5
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 #: Similarity, as a fraction of integers: links have DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-#: Signatures of sets at the similarity threshold differ in 15 symbols on average; more than FAR means a deviation of 5.4.
-FAR = 33
-#: Classes that are compared at once: a chunk of outliers with a chunk of members.
-OUTLIERS, MEMBERS = 256, 1024
+#: Signatures of sets at the threshold differ in 15 symbols on average. Pairs beyond NEAR wait for the exact join.
+NEAR = 33
 _K = CHUNKS * CHUNK
 
 
@@ -92,8 +100,12 @@ def bucket_keys(signatures: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, 1)
 
 
+def set_digest(s: np.ndarray) -> bytes:
+    return np.array([_mix(s).sum(), _mix(s ^ _ADD[150]).sum()], np.uint64).tobytes()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, signature): the set's size, a 128-bit digest of it, and its symbols."""
+    """(doc_id, text_hash, n_shingles, digest, signature): the set's size, a 128-bit digest of it, and its symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
@@ -102,29 +114,32 @@ def sketches(docs: DataFrame) -> DataFrame:
             for t in raw_texts(batch.column("text")):
                 s = shingle_set(t, memo)
                 size.append(len(s))
-                digest.append(np.array([_mix(s).sum(), _mix(s ^ _ADD[150]).sum()], np.uint64).tobytes())
+                digest.append(set_digest(s))
                 sign.append(signature(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
+            columns = [*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "signature"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), run, "doc_id long, text_hash long, n_shingles long, digest binary, signature binary")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, shingles) with the whole set of hashes."""
+def full_sets(wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the rows of wanted(node, digest, text) whose text has that digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
         for batch in batches:
-            sets = [shingle_set(t, memo).view(np.int64) for t in raw_texts(batch.column("text"))]
+            sets = [shingle_set(t, memo) for t in raw_texts(batch.column("text"))]
+            mine = np.array([set_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], bool)
+            sets = [s.view(np.int64) for s, m in zip(sets, mine, strict=True) if m]
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(mine)), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values))], ["node", "shingles"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, shingles array<long>")
+    return map_arrow(wanted.select("node", "digest", "text"), run, "node long, shingles array<long>")
 
 
 def indexed(classes: DataFrame) -> DataFrame:
-    """(key, rep, n) for every bucket of every class."""
+    """(key, node, n) for every bucket of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,10 +147,10 @@ def indexed(classes: DataFrame) -> DataFrame:
                 sign = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, _K)
                 keys = bucket_keys(sign).view(np.int64)
                 width = keys.shape[1]
-                columns = [pa.array(keys.reshape(-1)), *[batch.column(c).take(pa.array(np.repeat(np.arange(batch.num_rows), width))) for c in ("rep", "n")]]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "rep", "n"])
+                columns = [pa.array(keys.reshape(-1)), *[batch.column(c).take(pa.array(np.repeat(np.arange(batch.num_rows), width))) for c in ("node", "n")]]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node", "n"])
 
-    return map_arrow(classes.select("signature", "rep", "n"), run, "key long, rep long, n long")
+    return map_arrow(classes.select("signature", "node", "n"), run, "key long, node long, n long")
 
 
 def may_link(n: str, m: str):
@@ -144,96 +159,102 @@ def may_link(n: str, m: str):
 
 
 def close_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs(a, b) whose signatures differ in at most FAR symbols; similar sets differ in more once in ten million."""
-    sign = lambda c, out: classes.select(F.col("rep").alias(c), F.col("signature").alias(out))
+    """pairs(a, b) whose signatures differ in at most NEAR symbols."""
+    sign = lambda c, out: classes.select(F.col("node").alias(c), F.col("signature").alias(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, _K) for c in ("s", "t"))
-                yield batch.select(["a", "b"]).filter(pa.array((s != t).sum(1) <= FAR))
+                yield batch.select(["a", "b"]).filter(pa.array((s != t).sum(1) <= NEAR))
 
     return map_arrow(pairs.join(sign("a", "s"), "a").join(sign("b", "t"), "b"), run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links among pairs(a, b), by their full sets."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(one, "a").join(two, "b").filter(DEN * both >= NUM * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def compare(table: pa.Table) -> pa.Table:
-    """Links between a chunk of outliers (x) and a chunk of members (y) of other components, one per x and component."""
-    roles = np.array(table.column("role").to_pylist())
-    rep, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
-    lists = table.column("shingles").combine_chunks()
-    sets = [np.asarray(v.values) for v in lists]
-    sign = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(-1, _K)
-    size = np.array([len(v) for v in sets])
-    ys = np.flatnonzero(roles == "y")
-    a, b = [], []
-    for x in np.flatnonzero(roles == "x"):
-        near = ys[(own[ys] != own[x]) & (DEN * np.minimum(size[ys], size[x]) >= NUM * np.maximum(size[ys], size[x]))]
-        near = near[(sign[near] != sign[x]).sum(1) <= FAR]
-        if not len(near):
-            continue
-        flat, mine = np.concatenate([sets[y] for y in near]), sets[x]
-        found = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
-        both = np.add.reduceat(found, np.cumsum(size[near]) - size[near])
-        linked = near[DEN * both >= NUM * (size[near] + size[x] - both)]
-        _, first = np.unique(own[linked], return_index=True)
-        a += [int(rep[x])] * len(first)
-        b += [int(rep[y]) for y in linked[first]]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def links_across(met: DataFrame, found: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes that share a centre but not, so far, a component.
-
-    Of two such classes one at least is outside the centre's component. These outliers are compared with all that share
-    the centre, in chunks of bounded size: chunk by chunk inside tasks, so that no row is made per pair.
-    """
+def unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, own) of the classes at centres whose classes are not all in one component; own is the class's component."""
     label = lambda c, out: found.select(F.col("node").alias(c), F.col("component").alias(out))
-    members = met.select("centre", "rep").distinct().join(label("rep", "o"), "rep", "left").join(label("centre", "h"), "centre", "left")
-    members = members.select("centre", "rep", F.coalesce("o", "rep").alias("own"), (F.coalesce("o", "rep") != F.coalesce("h", "centre")).alias("outlier"))
-    members = cut(members)
-    sizes = members.groupBy("centre").agg(F.sum(F.when(F.col("outlier"), 1).otherwise(0)).alias("nx"), F.count("*").alias("ny")).filter("nx > 0")
-    sizes = cut(sizes.select("centre", F.ceil(F.col("nx") / OUTLIERS).cast("int").alias("xs"), F.ceil(F.col("ny") / MEMBERS).cast("int").alias("ys")))
-    rows = members.join(sizes, "centre")
-    chunk = lambda seed, n: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    xs = rows.filter("outlier").select("centre", "rep", "own", F.lit("x").alias("role"), chunk(1, "xs").alias("i"), every("ys").alias("j"))
-    ys = rows.select("centre", "rep", "own", F.lit("y").alias("role"), every("xs").alias("i"), chunk(2, "ys").alias("j"))
-    full = sets.select(F.col("doc_id").alias("rep"), "shingles").join(classes.select("rep", "signature"), "rep")
-    ship(met.sparkSession.sparkContext)
-    dealt = xs.unionByName(ys).join(full, "rep")
-    return dealt.groupBy("centre", "i", "j").applyInArrow(compare, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id and kept."""
+    members = cut(met.select("centre", "node").join(label("node", "o"), "node", "left").select("centre", "node", F.coalesce("o", "node").alias("own")))
+    # The centre is a member too, though it is not listed as its own.
+    centres = members.select("centre").distinct().join(label("centre", "h"), "centre", "left").select("centre", F.coalesce("h", "centre").alias("own"))
+    mixed = members.select("centre", "own").unionByName(centres).groupBy("centre").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("centre")
+    there = members.join(mixed, "centre").select("node", "own").unionByName(centres.join(mixed, "centre").select(F.col("centre").alias("node"), "own"))
+    return there.distinct()
+
+
+def links_across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between different components among nodes(node, own), by a prefix-filtered set join.
+
+    Sets of a and b shingles, a <= b, are linked if they share at least NUM * (a + b) / (NUM + DEN), rounded up. As
+    b >= a, the smaller set's first a - 2 * NUM * a / (NUM + DEN) + 1 shingles, rarest first, and as b <= a * DEN / NUM the
+    larger one's first b - NUM * b / DEN + 1 have one in common.
+    """
+    up = lambda x, by: F.ceil(x / by).cast("long")
+    rows = sets.join(nodes, "node").select("node", "own", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
+    # A shingle of one set only needs no partner, just a place at the front: those that are shared follow all of them.
+    shared = rows.join(often, "s")
+    own = Window.partitionBy("node")
+    ranked = shared.withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "s")) - 1)
+    first = cut(ranked.filter(F.col("i") < F.col("n") - up(NUM * F.col("n"), DEN) + 1).select("s", "node", "own", "n", "i"))
+    # Of shingles that only one component holds at the front there is nothing to join.
+    live = first.groupBy("s").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("s")
+    first = first.join(live, "s", "left_semi")
+    small = first.filter(F.col("i") < F.col("n") - up(2 * NUM * F.col("n"), NUM + DEN) + 1)
+    a, b = ([F.col(c).alias(f"{c}_{side}") for c in ("node", "own", "n", "i")] for side in "ab")
+    need = up(NUM * (F.col("n_a") + F.col("n_b")), NUM + DEN)
+    rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    fits = (F.col("own_a") != F.col("own_b")) & may_link("n_a", "n_b") & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))) & (rest >= need)
+    pairs = small.select("s", *a).join(first.select("s", *b), "s").filter(fits).groupBy("node_a", "node_b", "n_a", "n_b")
+    # Shared shingles so far, and all that could follow the last of them.
+    pairs = pairs.agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b")).filter(F.col("c") + rest - 1 >= need)
+    return confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets)
+
+
+def near_duplicates(docs: DataFrame, inner: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id and kept; with `inner` also text_hash and the component's node.
+
+    A class's node is its smallest doc_id. Where a class with another text has that already, by rows that share an id, it
+    is a hash of the set.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(sketches(docs))
     full = sketched.filter("n_shingles > 0 and doc_id is not null")
     least = F.min(F.struct("doc_id", "signature")).alias("r")
-    classes = cut(full.groupBy("digest", "n_shingles").agg(least).select("digest", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature")))
+    classes = full.groupBy("digest", "n_shingles").agg(least).select("digest", F.col("n_shingles").alias("n"), F.col("r.doc_id").alias("rep"), F.col("r.signature").alias("signature"))
+    classes = cut(classes.withColumn("node", F.col("rep")))
+    twice = classes.groupBy("rep").agg(F.count("*").alias("c"), F.min(F.struct("digest", "n")).alias("one")).filter("c > 1").select("rep", "one")
+    shares = not twice.isEmpty()
+    if shares:
+        other = F.col("one").isNotNull() & (F.struct("digest", "n") != F.col("one"))
+        classes = cut(classes.join(twice, "rep", "left").withColumn("node", F.when(other, F.xxhash64("digest", "n")).otherwise(F.col("rep"))).drop("one"))
     index = indexed(classes)
     # Buckets of one class are dropped before the rest is joined to its centre.
-    centres = index.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("c.rep").alias("centre"), F.col("c.n").alias("m"))
-    met = cut(index.join(centres, "key").groupBy("centre", "rep").agg(F.first("n").alias("n"), F.first("m").alias("m")))
-    pairs = met.filter((F.col("rep") != F.col("centre")) & may_link("n", "m")).select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    centres = index.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("m"))
+    met = cut(index.join(centres, "key").filter("node != centre").groupBy("centre", "node").agg(F.first("n").alias("n"), F.first("m").alias("m")))
+    pairs = met.filter(may_link("n", "m")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
     pairs = cut(close_signatures(pairs, classes))
     # Only texts that share a bucket are read again, for their sets.
-    wanted = met.select(F.explode(F.array("rep", "centre")).alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.join(wanted, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    wanted = met.select(F.explode(F.array("node", "centre")).alias("node")).distinct()
+    wanted = cut(classes.join(wanted, "node").select("node", F.col("rep").alias("doc_id"), "digest"))
+    sets = cut(full_sets(join_small(docs, wanted, ["doc_id"])).dropDuplicates(["node"]))
     links = cut(confirmed(pairs, sets))
     found = cut(components(links))
-    more = cut(links_across(met, found, sets, classes))
+    more = cut(links_across(cut(unsettled(met, found)), sets))
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)))
-    final = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.col("n").alias("k"), F.coalesce("component", "rep").alias("c"))
-    out = sketched.join(cut(final), (F.col("digest") == F.col("d")) & (F.col("n_shingles") == F.col("k")), "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("c", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    final = classes.join(found, "node", "left").select(F.col("digest").alias("d"), F.col("n").alias("k"), "rep", F.coalesce("component", "node").alias("node"))
+    # Without shared ids a component's smallest node is its smallest id.
+    final = final.drop("rep").join(final.groupBy("node").agg(F.min("rep").alias("c")), "node") if shares else final.drop("rep").withColumn("c", F.col("node"))
+    out = sketched.join(cut(final), (F.col("digest") == F.col("d")) & (F.col("n_shingles") == F.col("k")) & F.col("doc_id").isNotNull(), "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("c", "doc_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash", "node").withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", *(["text_hash", "node"] if inner else []))

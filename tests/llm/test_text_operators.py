@@ -320,6 +320,33 @@ def test_near_duplicates_edge_rows(spark):
     assert rows == Counter({(None, 2, None, True): 2, (4, 2, 4, True): 2, (2, 1, 2, True): 1, (1, 0, 1, True): 1})
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o p q"
+    df = spark.createDataFrame([(5, a), (5, b), (3, b), (4, a), (5, c), (5, c), (7, c)], "doc_id long, text string")
+    rows = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert rows == Counter({(5, 4, False): 1, (5, 3, False): 1, (3, 3, True): 1, (4, 4, True): 1, (5, 5, True): 2, (7, 5, False): 1})
+
+
+def test_near_duplicates_of_many_pages_of_one_template_and_a_huge_text(spark):
+    rnd = random.Random(8)
+    template = [f"t{i}" for i in range(104)]
+    pages = [template + [f"p{k}q{i}" for i in range(rnd.choice([18, 24, 32]))] for k in range(2000)]  # similar to 0.61 .. 0.74
+    linked = [template + [f"c{k}q{i}" for i in range(9)] for k in range(30)]  # 0.85 to each other, 0.79 to some pages
+    huge = [f"h{rnd.randrange(10**6)}" for _ in range(200_000)]
+    texts = [" ".join(w) for w in [*pages, *linked, huge, [*huge[:150_000], *huge[160_000:]], huge[:100_000]]]
+    sizes, expected = [len(shingles(t)) for t in texts], list(range(len(texts)))
+    for i in range(len(texts) - 3):  # 100 words of template in common, whatever else
+        for j in range(2000, 2030):
+            if 100 * 100 >= 75 * (sizes[i] + sizes[j] - 100):
+                expected[i] = -1
+                expected[j] = -1
+    low = expected.index(-1)
+    expected = [low if e == -1 else e for e in expected]
+    expected[2031] = 2030
+    rows = sorted(near_dedup.near_duplicates(frame(spark, texts)).collect())
+    assert [(r.n_shingles, r.component_id) for r in rows] == list(zip(sizes, expected, strict=True))
+
+
 def test_bucket_keys_find_all_pairs_within_the_guaranteed_distance():
     import numpy as np
 
