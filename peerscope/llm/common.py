@@ -37,6 +37,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share; a local one only where none is set, as in tests."""
     sc = spark.sparkContext

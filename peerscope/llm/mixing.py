@@ -77,8 +77,8 @@ def overlap(start: Column, end: Column, stop: Column) -> Column:
     return F.greatest(F.least(end, stop) - start, F.lit(0))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, block: int = BLOCK, shard_rows: int = 4096, seed: str = "mix-1", carry: list[str] | None = None) -> DataFrame:
-    """Per document: the columns `carry` (only doc_id by default), size, source_size, target, taken and shard.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3, block: int = BLOCK, shard_rows: int = 4096, seed: str = "mix-1", carry: list[str] | None = None, shards: bool = True) -> DataFrame:
+    """Per document: the columns `carry` (only doc_id by default), size, source_size, target, taken and, if asked for, shard.
 
     Sizes and orders are computed once and kept; only if more columns are carried are they computed again with them.
     """
@@ -87,8 +87,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3,
     # A source stands for its name with a mark before it, so that a null source needs no care.
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     measures = [key.alias("__k"), F.regexp_count(body(), F.lit(WORD)).cast("long").alias("__size"), seeded.alias("__h")]
-    narrow = cut(docs.select("doc_id", *measures))
-    wide = narrow if carry == ["doc_id"] else docs.select(*[F.col(f"`{c}`") for c in carry], *measures)
+    carried = lambda names: F.struct(*[F.col(f"`{c}`") for c in names]).alias("__carry")  # noqa: E731  (their names can't clash)
+    narrow = cut(docs.select(carried(["doc_id"]), F.col("doc_id").alias("__id"), *measures))
+    wide = narrow if carry == ["doc_id"] else docs.select(carried(carry), F.col("doc_id").alias("__id"), *measures)
     sources = narrow.groupBy("__k").agg(F.sum("__size").alias("source_size"), F.count("*").alias("__docs"))
     sources = cut(sources.select(F.when(F.col("__k") != "", F.expr("substring(__k, 2)")).alias("source"), "source_size", "__docs"))
     whole = Window.partitionBy(F.lit(1))
@@ -102,10 +103,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = 3,
     quotas = cut(quotas.join(counts, "__k").withColumn("__shards", F.greatest(F.ceil(F.col("__docs") / shard_rows), F.lit(1))))
     place = lambda df: join_small(df, quotas, ["__k"]).withColumn("__shard", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % F.col("__shards"))
     words = F.least(F.col("__quota") * F.col("__block"), F.col("source_size") * repeats)  # a last block may pass the limit
-    shards = place(narrow).groupBy("rank", "__shard").agg(F.sum("__size").alias("__len"), F.first(words).alias("__words"))
-    shares = sainte_lague(shards, ["rank"], "__len", "__words", "__shard", "__take").select("rank", "__shard", "__len", "__take")
-    ring = Window.partitionBy("rank", "__shard").orderBy("__h", *(["doc_id"] if "doc_id" in carry else []), "__size")
+    parts = place(narrow).groupBy("rank", "__shard").agg(F.sum("__size").alias("__len"), F.first(words).alias("__words"))
+    shares = sainte_lague(parts, ["rank"], "__len", "__words", "__shard", "__take").select("rank", "__shard", "__len", "__take")
+    ring = Window.partitionBy("rank", "__shard").orderBy("__h", "__id", "__size")
     stood = place(wide).withColumn("__end", F.sum("__size").over(ring.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rounds, part = F.floor(F.col("__take") / F.greatest(F.col("__len"), F.lit(1))), F.col("__take") % F.greatest(F.col("__len"), F.lit(1))
     taken = rounds * F.col("__size") + overlap(F.col("__end") - F.col("__size"), F.col("__end"), part)
-    return stood.join(shares, ["rank", "__shard"]).select(*[F.col(f"`{c}`") for c in carry], F.col("__size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), F.col("__shard").alias("shard"))
+    return stood.join(shares, ["rank", "__shard"]).select(*[F.col(f"__carry.`{c}`").alias(c) for c in carry], F.col("__size").alias("size"), "source_size", "target", taken.cast("long").alias("taken"), *([F.col("__shard").alias("shard")] if shards else []))

@@ -45,7 +45,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("shard")
+    return mixing.mix(read(spark, sf_dir, "documents"), shards=False)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -292,6 +292,34 @@ def test_near_copy_stage_drops_repeated_rows(spark, data):
     assert Counter(r.doc_id for r in p.drop_near_copies(spark, docs, data).collect()) == Counter({1: 1, None: 1, 3: 1})
 
 
+def test_near_copy_stage_keeps_other_texts_of_an_id(spark, data):
+    import corpus_pipeline as p
+
+    a, b, c = "a b c d e f g", "p q r s t u v", "k l m n o p q"
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (4, a), (5, c), (5, c), (5, c.upper()), (7, c), (None, c), (9, ""), (9, "")], "doc_id long, text string")
+    rows = Counter((r.doc_id, (r.text or "").lower()) for r in p.drop_near_copies(spark, docs, data).collect())
+    assert rows == Counter({(3, b): 1, (4, a): 1, (5, c): 1, (None, c): 1, (9, ""): 1})
+
+
+def test_pipeline_stages_on_empty_tables_and_clashing_names(spark, data):
+    import corpus_pipeline as p
+
+    text = "the quiet river runs past green hills 4111 1111 1111 1111 token = 'cb1a9fee807a05366fcb8b6c95c7c565ede51a72'"
+    clash = "toxic_score int, contaminated string, text_was int, row_id int, row_text int, spans int, rank int, `__k` int, `__carry` int, size int, taken int, `a b` int, node int, kept int, score int, `__pii` int, `__words` int, n int"
+    rows = [(i, t, "en", s, 5, *["7" if "string" in c else 7 for c in clash.split(", ")]) for i, t, s in [(1, text, "s"), (2, None, None), (None, "x", "s"), (3, "", "t"), (4, text, "s"), (5, "w " * 100_000, "t")]]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {clash}")
+    for kept in (docs, docs.limit(0)):
+        for name, stage in p.STAGES:
+            out = stage(spark, kept, data)
+            if name != "mixing":
+                assert out.columns == docs.columns
+            found = out.collect()
+            assert all(r["a b"] == 7 and r["__k"] == 7 and r["contaminated"] == "7" and r["rank"] == 7 for r in found)
+            kept = spark.createDataFrame(found, out.schema)
+        got = {r.doc_id: (r.text, r.taken) for r in kept.collect()}
+        assert not got or (4 not in got and got[5][1] > 0 and "<CARD>" in got[1][0] and "<SECRET>" in got[1][0])
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_reference_sql(spark, data, name):
     import duckdb
