@@ -62,9 +62,11 @@ def cut(df: DataFrame) -> DataFrame:
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join with a derived table: broadcast where it is within BROADCAST_ROWS and BROADCAST_BYTES, shuffled beyond that.
 
-    The result is the same either way. Bytes are those of strings and binaries plus 16 for every column of a row.
+    The result is the same either way. Bytes are those of strings, binaries and lists of strings, plus 16 for every column
+    of a row.
     """
     wide = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in small.schema if f.dataType.typeName() in ("string", "binary")]
+    wide += [F.coalesce(F.octet_length(F.array_join(f.name, "")) + 16 * F.size(f.name), F.lit(0)) for f in small.schema if f.dataType.simpleString() == "array<string>"]
     size = sum(wide, F.lit(16 * len(small.columns)))
     n, total = small.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return df.join(F.broadcast(small) if n <= BROADCAST_ROWS and total <= BROADCAST_BYTES else small.hint("merge"), on, how)

@@ -302,9 +302,11 @@ def hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("slice_windows", [500_000, 5])
-def test_decontamination(spark, monkeypatch, slice_windows):
-    monkeypatch.setattr(decontamination, "SLICE_WINDOWS", slice_windows)
+@pytest.mark.parametrize("most_bits,broadcast_rows", [(28, 200_000), (6, 1)])
+def test_decontamination(spark, monkeypatch, most_bits, broadcast_rows):
+    monkeypatch.setattr(decontamination, "LEAST_BITS", min(most_bits, 16))
+    monkeypatch.setattr(decontamination, "MOST_BITS", most_bits)  # with 64 bits nearly every place is emitted
+    monkeypatch.setattr("peerscope.llm.common.BROADCAST_ROWS", broadcast_rows)
     long = " ".join(f"w{i}" for i in range(25))
     items = [(1, long), (10, "W3, w4! w5-w6 w7"), (2, None), (3, ""), (4, "solo"), (5, "é Ünder ß"), (6, long), (None, "the the the the the the the the the the the"), (7, "..."), (8, " ".join(f"w{i}" for i in range(10)))]
     texts = [None, "", "...", "SOLO x solo", f"a {long.upper()} b {long}", " ".join(f"w{i}" for i in range(9)), "é ünder ß é Ünder ß", "the " * 40, "w3 w4 w5 w6 w7 w3 w4 w5 w6 w7", " ".join(f"w{i}" for i in range(5, 16)), "x " * 3000 + long]
