@@ -9,7 +9,11 @@ has few entries. Entries are partitioned by n-gram hash into buckets that hold t
 n-grams and answers every block, in the order of its entries. Blocks and answers are joined by block, and the logs are
 summed per document. The number of blocks and buckets follows the input, so a task's memory doesn't.
 
-Counts cover all documents. N-grams are compared by 64-bit hashes.
+A bucket is a range of hashes and a block's entries are sorted, so its entries for a bucket are one slice; slices travel
+as one row each. A block has no more slices than entries, and cutting them costs a search per slice, so the work grows
+with the entries however many blocks and buckets there are.
+
+Counts cover all documents. N-grams of all orders are compared by 64-bit hashes, in one table.
 
 Defined results: null, empty and blank texts have n_words 0, log_score 0 and a null mean; repeated rows count and are
 scored each for itself; an empty table gives an empty result. Only doc_id and text are read.
@@ -67,6 +71,13 @@ class Block:
         every = np.concatenate(self.grams)
         return np.unique(every[every != 0], return_counts=True)
 
+    def slices(self, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Entries and their (bucket, start, end), bucket by bucket; a bucket is a range of hashes."""
+        keys, counts = self.entries()
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        starts = np.flatnonzero(np.diff(bucket, prepend=~bucket[:1]))
+        return keys, counts, list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
+
     def log_scores(self, known: np.ndarray, totals: np.ndarray, n: int, min_count: int, backoff: float) -> np.ndarray:
         """Sum of log S per document, given the corpus counts of the block's distinct n-grams."""
         count = lambda g: np.where(g != 0, totals[np.minimum(np.searchsorted(known, g), len(known) - 1)], 0).astype(float)
@@ -90,13 +101,12 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
     kind = docs.schema["doc_id"].dataType.simpleString()
     n = docs.select(F.coalesce(F.sum(F.regexp_count(body(), F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, math.ceil(n / BLOCK_WORDS))
-    buckets = np.uint64(max(1, math.ceil(order * n / (2 * BLOCK_WORDS))))
+    buckets = min(max(1, math.ceil(order * n / (2 * BLOCK_WORDS))), 1 << 31)
     dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int").alias("block"))
 
     def exploded(table: pa.Table) -> pa.Table:
-        keys, counts = Block(table.column("text"), order).entries()
-        at = keys % buckets
-        rows = [(int(b), keys[at == b], counts[at == b]) for b in np.unique(at)]
+        keys, counts, slices = Block(table.column("text"), order).slices(buckets)
+        rows = [(b, keys[lo:hi], counts[lo:hi]) for b, lo, hi in slices]
         return pa.table({
             "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()),
             "bucket": pa.array([b for b, _, _ in rows], pa.int32()),
@@ -115,10 +125,11 @@ def score(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, backo
 
     def summed(texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(texts.column("text"), order)
-        known, _ = block.entries()
-        totals, at = np.zeros(len(known), np.int64), known % buckets
+        known, _, slices = block.slices(buckets)
+        totals, place = np.zeros(len(known), np.int64), {b: (lo, hi) for b, lo, hi in slices}
         for b, x in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-            totals[at == b] = np.frombuffer(x, np.int64)
+            lo, hi = place[b]
+            totals[lo:hi] = np.frombuffer(x, np.int64)
         logs = block.log_scores(known, totals, n, min_count, backoff)
         mean = [s / k if k else None for s, k in zip(logs.tolist(), block.lengths.tolist(), strict=True)]
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(block.lengths), "log_score": pa.array(logs), "mean_log_score": pa.array(mean, pa.float64())})

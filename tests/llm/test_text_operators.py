@@ -284,6 +284,28 @@ def test_language_model(spark, order):
     assert rows[0].mean_log_score is None and lm_scoring.score(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [7, 100])
+def test_language_model_over_many_blocks_and_buckets(spark, monkeypatch, block_words):
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 30))) for _ in range(60)] + ["x " * 100_000]
+    one = {r.doc_id: (r.n_words, r.log_score) for r in lm_scoring.score(frame(spark, texts), 3).collect()}
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block_words * 1000)
+    many = {r.doc_id: (r.n_words, r.log_score) for r in lm_scoring.score(frame(spark, texts), 3).collect()}
+    assert one.keys() == many.keys() and all(one[i][0] == many[i][0] and one[i][1] == pytest.approx(many[i][1], abs=1e-6) for i in one)
+
+
+def test_slices_cost_no_product_of_entries_and_buckets():
+    import time
+
+    import pyarrow as pa
+
+    block = lm_scoring.Block(pa.chunked_array([pa.array([" ".join(f"w{i * 7919 % 100_003}" for i in range(200_000))])]), 2)
+    start = time.time()
+    keys, counts, slices = block.slices(1 << 30)
+    assert [hi for _, _, hi in slices[:-1]] == [lo for _, lo, _ in slices[1:]] and slices[-1][2] == len(keys) and len({b for b, _, _ in slices}) == len(slices)
+    assert time.time() - start < 10 and len(slices) > 0.9 * len(keys) and counts.sum() == 399_999
+
+
 def benchmark(spark, items):
     return spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string")
 
