@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 
 @dataclass(frozen=True)
@@ -60,12 +61,16 @@ class ScreenConfig:
 class DiscoveryConfig:
     """Selection of service codes from candidates' visible portfolios."""
 
-    coverage_floor: float = 0.8
-    cumulative_share: float = 0.8
+    coverage_floor: Decimal = Decimal("0.8")
+    cumulative_share: Decimal = Decimal("0.8")
     top_codes: int = 3
-    cohort_share: float = 0.05
+    cohort_payment: Decimal = Decimal(1_000_000)
     selected_cap: int = 100
 
+    def __post_init__(self):
+        if not (0 < self.coverage_floor <= 1 and 0 < self.cumulative_share <= 1 and self.top_codes > 0 and self.cohort_payment > 0 and self.selected_cap > 0):
+            raise ValueError("discovery needs shares within 0 and 1 and positive bounds")
+
 
 @dataclass(frozen=True)
 class ReviewConfig:
@@ -84,5 +89,5 @@ class ReviewConfig:
 #: Scaled to the test tables, so that every flag has both outcomes.
 TEST_SCAN = ScanConfig(to_year=2001, minimum_panel=10, minimum_tested=5, minimum_descriptive=2, minimum_peers=40, tail=0.95, full=0.98, z=2.0, ratio=1.3, difference=0.01, panel_edges=(10, 5000, 10000, 20000))
 TEST_SCREEN = ScreenConfig(years=(1999, 2000, 2001), minimum_panel=20, minimum_peers=20, minimum_payment=200_000.0, minimum_exposure=1_000.0, tail=0.60, full=0.70, z=0.3, ratio=1.0, dominance=0.30, band_edges=(20, 75, 90))
-TEST_DISCOVERY = DiscoveryConfig(coverage_floor=0.5, cumulative_share=0.5, top_codes=2, cohort_share=0.18, selected_cap=100)
+TEST_DISCOVERY = DiscoveryConfig(coverage_floor=Decimal("0.5"), cumulative_share=Decimal("0.5"), top_codes=2, cohort_payment=Decimal(16_000_000), selected_cap=100)
 TEST_REVIEW = ReviewConfig(focus_year=2000, minimum_peers=30, minimum_payment=1_000.0, minimum_exposure=100.0, tail=0.80, full=0.90, z=1.0, ratio=1.1)

@@ -190,40 +190,52 @@ YEAR = 2000
 
 def candidate_parts(spark, sf_dir):
     year = F.col("data_year") == YEAR
-    summary, cells = b.summary(spark, sf_dir).filter(year), b.cells(spark, sf_dir).filter(year)
+    summary, cells = b.summary(spark, sf_dir, exact=True).filter(year), b.cells(spark, sf_dir, exact=True).filter(year)
     return summary, cells, summary.filter(F.col("npi").cast("long") % 5 == 0).select("npi").distinct()
 
 
 D = TEST_DISCOVERY
-DISCOVERY = f"""{b.CELLS_AND_SUMMARY}, codes AS (SELECT npi, code, count(*) AS cells, string_agg(pos, ',' ORDER BY pos) AS indicators, sum(claims) AS cell_claims, sum(services) AS services, sum(payment) AS code_payment FROM cells WHERE data_year = {YEAR} AND CAST(npi AS BIGINT) % 5 = 0 GROUP BY ALL),
-  folio AS (SELECT npi, sum(code_payment) AS visible_payment FROM codes GROUP BY npi),
-  ranked AS (SELECT codes.*, visible_payment, s.payment AS summary_payment, row_number() OVER (PARTITION BY npi ORDER BY code_payment DESC, code) AS payment_rank,
-    sum(code_payment) OVER (PARTITION BY npi ORDER BY code_payment DESC, code ROWS UNBOUNDED PRECEDING) AS after, sum(code_payment) OVER (PARTITION BY code) AS cohort_payment, sum(code_payment) OVER () AS all_payment
-    FROM codes JOIN folio USING (npi) JOIN summary s USING (npi) WHERE s.data_year = {YEAR}),
-  shared AS (SELECT *, coalesce(sum(code_payment) OVER (PARTITION BY npi ORDER BY code_payment DESC, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / visible_payment AS before_share FROM ranked),
-  found AS (SELECT *, visible_payment / summary_payment AS coverage, after / visible_payment AS after_share, concat_ws('|', CASE WHEN payment_rank <= {D.top_codes} THEN 'candidate-top-n' END, CASE WHEN cohort_payment >= {D.cohort_share} * all_payment THEN 'cohort-payment' END,
-    CASE WHEN before_share < {D.cumulative_share} THEN 'candidate-coverage' END) AS selection_reasons FROM shared)"""
-
-
-@query("d8_code_discovery", "SELECT npi, code, cells, indicators, CAST(cell_claims AS BIGINT) AS cell_claims, payment_rank, selection_reasons, round(code_payment + 3e-4, 2) AS code_payment, round(after_share + 3e-8, 6) AS after_share, round(before_share + 3e-8, 6) AS before_share, round(coverage + 3e-8, 6) AS coverage FROM found WHERE selection_reasons <> ''", DISCOVERY)
+DISCOVERY = f"""{b.EXACT_CELLS_AND_SUMMARY}, codes AS (SELECT npi, code, min(entity) AS entity, count(*) AS cells, string_agg(pos, ',' ORDER BY pos) AS indicators, CAST(sum(claims) AS BIGINT) AS cell_claims, sum(services) AS services,
+    {', '.join(f'sum({c}) AS code_{c}' for c in claims.MONEY)} FROM cells WHERE data_year = {YEAR} AND CAST(npi AS BIGINT) % 5 = 0 GROUP BY ALL),
+  folio AS (SELECT npi, {', '.join(f'sum(code_{c}) AS visible_{c}' for c in claims.MONEY)} FROM codes GROUP BY npi),
+  ranked AS (SELECT codes.*, folio.* EXCLUDE (npi), {', '.join(f's.{c} AS summary_{c}' for c in claims.MONEY)}, row_number() OVER (PARTITION BY npi ORDER BY code_payment DESC, code) AS payment_rank,
+    coalesce(sum(code_payment) OVER (PARTITION BY npi ORDER BY code_payment DESC, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(code_payment) OVER (PARTITION BY npi ORDER BY code_payment DESC, code ROWS UNBOUNDED PRECEDING) AS after,
+    sum(code_payment) OVER (PARTITION BY code) AS cohort_payment, sum(code_standardized) OVER (PARTITION BY code) AS cohort_standardized FROM codes JOIN folio USING (npi) JOIN summary s USING (npi) WHERE s.data_year = {YEAR}),
+  ruled AS (SELECT *, payment_rank <= {D.top_codes} AS selected_by_top_n, cohort_payment >= {D.cohort_payment} AS selected_by_cohort, before < visible_payment * {D.cumulative_share} AS selected_by_coverage FROM ranked),
+  found AS (SELECT *, selected_by_top_n OR selected_by_cohort OR selected_by_coverage AS selected, CAST(before AS DOUBLE) / CAST(visible_payment AS DOUBLE) AS before_share, CAST(after AS DOUBLE) / CAST(visible_payment AS DOUBLE) AS after_share,
+    {', '.join(f'CAST(visible_{c} AS DOUBLE) / nullif(CAST(summary_{c} AS DOUBLE), 0) AS coverage_{c}' for c in claims.MONEY)},
+    concat_ws('|', CASE WHEN selected_by_top_n THEN 'candidate-top-n' END, CASE WHEN selected_by_cohort THEN 'cohort-payment-floor' END, CASE WHEN selected_by_coverage THEN 'candidate-coverage-target' END) AS selection_reasons FROM ruled)"""
+_D_FIXED = ["npi", "entity", "code", "cells", "indicators", "cell_claims", "payment_rank", "before_share", "after_share", *[f"coverage_{c}" for c in claims.MONEY], *claims.SELECTED_BY.values(), "selected", "selection_reasons"]
+_D_MONEY = ["services", *[f"{k}_{c}" for k in ("code", "summary", "visible") for c in claims.MONEY], "before", "after", "cohort_payment", "cohort_standardized"]
+_real = lambda cols: [F.col(c).cast("double").alias(c) for c in cols]
+_real_sql = lambda cols: ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+MATERIAL = 1_250_000
+
+
+def found_codes(spark, sf_dir):
+    return claims.discovery(*candidate_parts(spark, sf_dir), D)
+
+
+@query("d8_code_discovery", f"SELECT {', '.join(_D_FIXED)}, {_real_sql(_D_MONEY)} FROM found", DISCOVERY)
 def d8(spark, sf_dir):
-    df = claims.discovery(*candidate_parts(spark, sf_dir), D)
-    return df.select("npi", "code", "cells", "indicators", "cell_claims", "payment_rank", "selection_reasons", *rounded(None, 2, "code_payment"), *rounded(df, 6, "after_share", "before_share", "coverage"))
+    return found_codes(spark, sf_dir).select(*_D_FIXED, *_real(_D_MONEY))
 
 
 @query(
     "d9_code_freeze",
-    """WITH split AS (SELECT code, npi, cohort_payment, unnest(string_split(selection_reasons, '|')) AS reason FROM found WHERE selection_reasons <> '')
-    SELECT code, string_agg(DISTINCT npi, '|' ORDER BY npi) AS npis, string_agg(DISTINCT reason, '|' ORDER BY reason) AS reasons, round(max(cohort_payment) + 3e-4, 2) AS cohort_payment FROM split GROUP BY code""",
+    """SELECT code, bool_or(selected_by_top_n) AS selected_by_top_n, bool_or(selected_by_cohort) AS selected_by_cohort, bool_or(selected_by_coverage) AS selected_by_coverage, coalesce(string_agg(npi, '|' ORDER BY npi) FILTER (selected_by_top_n), '') AS top_n_npis,
+      coalesce(string_agg(npi, '|' ORDER BY npi) FILTER (selected_by_coverage), '') AS coverage_npis, CAST(max(cohort_payment) AS DOUBLE) AS cohort_payment, CAST(max(cohort_standardized) AS DOUBLE) AS cohort_standardized, count(*) AS candidate_rows,
+      concat_ws('|', CASE WHEN bool_or(selected_by_top_n) THEN 'candidate-top-n' END, CASE WHEN bool_or(selected_by_cohort) THEN 'cohort-payment-floor' END, CASE WHEN bool_or(selected_by_coverage) THEN 'candidate-coverage-target' END) AS reasons FROM found GROUP BY code HAVING bool_or(selected)""",
     DISCOVERY,
 )
 def d9(spark, sf_dir):
-    return claims.code_freeze(claims.discovery(*candidate_parts(spark, sf_dir), D), D).withColumn("cohort_payment", rounded(None, 2, "cohort_payment")[0])
+    df = claims.code_freeze(found_codes(spark, sf_dir), D)
+    return df.select(*[c for c in df.columns if not c.startswith("cohort_")], *_real(["cohort_payment", "cohort_standardized"]))
 
 
-@query("d10_materiality_freeze", "SELECT code, string_agg(npi, '|' ORDER BY npi) AS npis, round(max(code_payment) + 3e-4, 2) AS max_payment FROM found WHERE selection_reasons <> '' AND code_payment >= 150000 GROUP BY code", DISCOVERY)
+@query("d10_materiality_freeze", f"SELECT code, string_agg(npi, '|' ORDER BY npi) AS npis, CAST(max(code_payment) AS DOUBLE) AS max_payment, CAST(max(cohort_payment) AS DOUBLE) AS cohort_payment, bool_or(selected) AS selected FROM found WHERE code_payment >= {MATERIAL} GROUP BY code", DISCOVERY)
 def d10(spark, sf_dir):
-    return claims.materiality_freeze(claims.discovery(*candidate_parts(spark, sf_dir), D), 150_000).withColumn("max_payment", rounded(None, 2, "max_payment")[0])
+    return claims.materiality_freeze(found_codes(spark, sf_dir), MATERIAL, D).select("code", "npis", "selected", *_real(["max_payment", "cohort_payment"]))
 
 
 C = TEST_REVIEW
@@ -444,18 +456,32 @@ def d24(spark, sf_dir):
     return df.select("data_year", "npi", "brand", "claims", *rounded(df, 6, "claim_share", "growth", "claims_per_beneficiary"), "visible_gap")
 
 
+CHANGES = f"""{b.PROVIDER_DRUG}, dated AS (SELECT *, max(data_year) OVER (PARTITION BY brand, generic) AS last FROM provider_drug), two AS (SELECT brand, generic, npi, max(claims) FILTER (data_year = last) AS now, max(claims) FILTER (data_year = last - 1) AS before FROM dated GROUP BY ALL),
+  pairs AS (SELECT u.brand, u.npi AS rising, d.npi AS falling, u.now - u.before AS rise, d.now - d.before AS fall, 10 * abs(u.now - u.before + d.now - d.before) <= u.before + d.before AS offsets, (u.now - u.before + d.now - d.before) / (u.before + d.before) AS combined_ratio
+    FROM two u JOIN two d ON u.brand = d.brand AND u.generic = d.generic AND u.now > u.before AND d.now < d.before)"""
+_OFFSET = "CASE WHEN {} THEN 'offsetting-attribution-discontinuity-for-review' ELSE 'no-offsetting-reassignment-pattern-established' END AS classification"
+
+
 @query(
     "d25_reassignment",
-    """WITH series AS (SELECT *, max(data_year) OVER (PARTITION BY brand) AS last FROM provider_drug WHERE CAST(npi AS BIGINT) % 10 = 3), two AS (SELECT brand, npi, max(claims) FILTER (data_year = last) AS now, max(claims) FILTER (data_year = last - 1) AS before FROM series GROUP BY ALL)
-    SELECT u.brand, u.npi AS rising, d.npi AS falling, u.now - u.before AS rise, d.now - d.before AS fall, round((u.now - u.before + d.now - d.before) / (u.before + d.before) + 3e-8, 6) AS combined_ratio,
-      CASE WHEN abs((u.now - u.before + d.now - d.before) / (u.before + d.before)) <= 0.1 THEN 'offsetting-attribution-discontinuity-for-review' ELSE 'no-offsetting-reassignment-pattern-established' END AS classification
-    FROM two u JOIN two d ON u.brand = d.brand AND u.now > u.before AND d.now < d.before""",
-    b.PROVIDER_DRUG,
+    f"""SELECT brand, npi, change, coalesce(opposite, 0) AS opposite, coalesce(offsetting, 0) AS offsetting, {_OFFSET.format('coalesce(offsetting, 0) > 0')} FROM (SELECT brand, npi, now - before AS change FROM two WHERE now <> before)
+    LEFT JOIN (SELECT brand, rising AS npi, count(*) AS opposite, count(*) FILTER (offsets) AS offsetting FROM pairs GROUP BY ALL UNION ALL SELECT brand, falling, count(*), count(*) FILTER (offsets) FROM pairs GROUP BY ALL) USING (brand, npi)""",
+    CHANGES,
 )
 def d25(spark, sf_dir):
-    # Actors under one organisation, here those whose number ends in 3: reassignment is a question within one.
-    df = context.reassignment(b.provider_drug(spark, sf_dir).filter(F.col("npi").cast("long") % 10 == 3))
-    return df.select("brand", "rising", "falling", "rise", "fall", *rounded(None, 6, "combined_ratio"), "classification")
+    return context.reassignment(b.provider_drug(spark, sf_dir)).select("brand", "npi", "change", "opposite", "offsetting", "classification")
+
+
+@query(
+    "d25_reassignment_pairs",
+    f"SELECT brand, rising, falling, rise, fall, combined_ratio, {_OFFSET.format('offsets')} FROM pairs WHERE rising IN (SELECT rising FROM pairs p WHERE p.brand = pairs.brand QUALIFY row_number() OVER (ORDER BY rise DESC, rising) = 1)",
+    CHANGES,
+)
+def d25_pairs(spark, sf_dir):
+    # The stated actors: of every product the one that rose most.
+    series = b.provider_drug(spark, sf_dir)
+    most = context.last_changes(series).filter("change > 0").groupBy("brand", "generic").agg(F.max(F.struct("change", F.expr("-cast(npi as bigint)").alias("by"), "npi")).alias("m")).select("brand", "generic", "m.npi")
+    return context.reassignment_pairs(series, most).select("brand", "rising", "falling", "rise", "fall", "combined_ratio", "classification")
 
 
 ROLES = ("prescriber", "dispenser", "administrator", "biller", "payment-recipient")

@@ -6,6 +6,8 @@ that sums don't depend on their order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ LINES = """lines AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS data_year, lpad
 _SUMS = ("allowed", "payment", "submitted", "standardized")
 
 
-def _totals(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
-    sums = [F.sum(c).cast("double").alias(c) for c in ("units", *_SUMS)]
+def _totals(df: DataFrame, keys: list[str], *extra: Column, exact: bool = False) -> DataFrame:
+    sums = [(F.sum(c) if exact else F.sum(c).cast("double")).alias(c) for c in ("units", *_SUMS)]
     return df.groupBy(*keys).agg(F.count_distinct("beneficiary").alias("beneficiaries"), F.count_distinct("claim").alias("claims"), *extra, *sums).withColumnRenamed("units", "services")
 
 
@@ -64,9 +66,9 @@ _TOTALS = "count(DISTINCT beneficiary) AS beneficiaries, count(DISTINCT claim) A
 _CELL = ["data_year", "npi", "entity", "state", "specialty", "code", "pos"]
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year x supplier x code x place of service."""
-    return _totals(lines(spark, sf_dir), _CELL, F.count_distinct("beneficiary", "day").alias("bene_days"))
+def cells(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """Year x supplier x code x place of service; with `exact`, money stays decimal."""
+    return _totals(lines(spark, sf_dir), _CELL, F.count_distinct("beneficiary", "day").alias("bene_days"), exact=exact)
 
 
 CELLS = f"{LINES}, cells AS (SELECT {', '.join(_CELL)}, {_TOTALS}, count(DISTINCT (beneficiary, day)) AS bene_days FROM lines GROUP BY ALL)"
@@ -83,11 +85,11 @@ SERVICE_CELLS = f"{CELLS}, service_cells AS (SELECT * REPLACE (CASE WHEN benefic
 _SUPPLIER = ["data_year", "npi", "entity", "state", "specialty"]
 
 
-def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Year x supplier, with payments by component; the suppliers divisible by 13 have theirs suppressed."""
+def summary(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
+    """Year x supplier, with payments by component; the suppliers divisible by 13 have theirs suppressed. `exact` as for cells."""
     shown = F.col("npi").cast("long") % 13 != 0
     parts = [F.sum(F.when((F.col("flag") == k) & shown, F.col("payment"))).cast("double").alias(n) for k, n in (("A", "dme"), ("N", "pos_paid"), ("R", "drug"))]
-    return _totals(lines(spark, sf_dir), _SUPPLIER, F.count_distinct("code").alias("codes"), *parts)
+    return _totals(lines(spark, sf_dir), _SUPPLIER, F.count_distinct("code").alias("codes"), *parts, exact=exact)
 
 
 SUMMARY = f"""{LINES}, summary AS (SELECT {', '.join(_SUPPLIER)}, {_TOTALS}, count(DISTINCT code) AS codes,
@@ -95,6 +97,8 @@ SUMMARY = f"""{LINES}, summary AS (SELECT {', '.join(_SUPPLIER)}, {_TOTALS}, cou
   CAST(sum(payment) FILTER (flag = 'N' AND CAST(npi AS BIGINT) % 13 <> 0) AS DOUBLE) AS pos_paid,
   CAST(sum(payment) FILTER (flag = 'R' AND CAST(npi AS BIGINT) % 13 <> 0) AS DOUBLE) AS drug FROM lines GROUP BY ALL)"""
 CELLS_AND_SUMMARY = SERVICE_CELLS + SUMMARY[len(LINES) :]
+#: The same with money as decimals.
+EXACT_CELLS_AND_SUMMARY = re.sub(r"CAST\((sum\(\w+\)) AS DOUBLE\)", r"\1", CELLS_AND_SUMMARY)
 
 
 def drug_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

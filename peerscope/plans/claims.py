@@ -202,54 +202,108 @@ def frozen_identities(candidates: DataFrame, suppliers: DataFrame, keys: Sequenc
     return found
 
 
+#: Why a code is selected.
+SELECTED_BY = {"candidate-top-n": "selected_by_top_n", "cohort-payment-floor": "selected_by_cohort", "candidate-coverage-target": "selected_by_coverage"}
+MONEY = ("submitted", "allowed", "payment", "standardized")
+
+
+def selection(ranked: DataFrame, cfg: DiscoveryConfig) -> dict[str, Column]:
+    """The three rules over a ranked code; shares are compared by products of decimals, so nothing is rounded."""
+    target = F.lit(cfg.cumulative_share).cast("decimal(10,6)")
+    return {
+        "selected_by_top_n": F.col("payment_rank") <= cfg.top_codes,
+        "selected_by_cohort": F.col("cohort_payment") >= F.lit(cfg.cohort_payment),
+        "selected_by_coverage": F.col("before") < F.col("visible_payment") * target,
+    }
+
+
 def discovery(summary: DataFrame, cells: DataFrame, candidates: DataFrame, cfg: DiscoveryConfig) -> DataFrame:
-    """Candidates' codes by visible payment with cumulative shares, and which of three rules select each."""
-    codes = cells.join(candidates, "npi", "left_semi").groupBy("npi", "code").agg(
-        F.count("*").alias("cells"), F.array_join(F.array_sort(F.collect_list("pos")), ",").alias("indicators"), F.sum("claims").alias("cell_claims"), F.sum("services").alias("services"), F.sum("payment").alias("code_payment")
-    )
-    portfolio = codes.groupBy("npi").agg(F.sum("code_payment").alias("visible_payment"))
-    whole = portfolio.join(summary.select("npi", F.col("payment").alias("summary_payment")), "npi").withColumn("coverage", ratio("visible_payment", "summary_payment"))
-    low = whole.agg(F.min("coverage").alias("c"), F.count("*").alias("n")).first()
-    if low["n"] != candidates.count() or low["c"] is None or low["c"] < cfg.coverage_floor:
-        raise ValueError(f"visible coverage failed: candidates found={low['n']}, lowest coverage={low['c']}")
+    """Every code of every candidate by visible payment, with cumulative payments and shares, and which rules select it.
+
+    Money must be decimal, so that cumulative payments replay exactly. Raises unless each candidate has one summary row,
+    cells without repeats that agree with it on the entity, positive payments and a visible share of the summary's payment
+    of at least the floor, and the selected codes are between one and the cap.
+    """
+    wanted = candidates.select("npi").distinct()
+    own, rows = cells.join(wanted, "npi", "left_semi"), summary.join(wanted, "npi", "left_semi")
+    codes = own.groupBy("npi", "code").agg(
+        F.count("*").alias("cells"), F.count_distinct("pos").alias("places"), F.min("entity").alias("entity"), F.max("entity").alias("__entity"), F.array_join(F.array_sort(F.collect_set("pos")), ",").alias("indicators"),
+        F.sum("claims").alias("cell_claims"), F.sum("services").alias("services"), *[F.sum(c).alias(f"code_{c}") for c in MONEY],
+    )
+    portfolio = codes.groupBy("npi").agg(
+        *[F.sum(f"code_{c}").alias(f"visible_{c}") for c in MONEY],
+        F.min("entity").alias("detail_entity"), F.bool_or((F.col("cells") != F.col("places")) | (F.col("entity") != F.col("__entity")) | F.col("entity").isNull()).alias("broken"), F.count_distinct("entity").alias("entities"),
+    )
+    whole = rows.groupBy("npi").agg(F.count("*").alias("n"), F.min("entity").alias("summary_entity"), *[F.max(c).alias(f"summary_{c}") for c in MONEY])
+    both = wanted.join(whole, "npi", "left").join(portfolio, "npi", "left")
+    floor = F.lit(cfg.coverage_floor).cast("decimal(10,6)")
+    exact = (F.col("n") == 1) & ~F.col("broken") & (F.col("entities") == 1) & (F.col("summary_entity") == F.col("detail_entity"))
+    covered = (F.col("summary_payment") > 0) & (F.col("visible_payment") > 0) & (F.col("visible_payment") >= F.col("summary_payment") * floor)
+    bad = both.agg(F.count_if(~F.coalesce(exact, F.lit(False))).alias("integrity"), F.count_if(~F.coalesce(covered, F.lit(False))).alias("coverage"), F.count("*").alias("n")).first()
+    if bad["integrity"] or bad["coverage"] or not bad["n"]:
+        raise ValueError(f"candidates fail the gates of discovery: source integrity={bad['integrity']}, visible coverage={bad['coverage']} of {bad['n']}")
     order = Window.partitionBy("npi").orderBy(F.col("code_payment").desc(), "code")
-    ranked = codes.join(whole, "npi").withColumns({
+    by_code = Window.partitionBy("code")
+    ranked = codes.drop("places", "__entity").join(both.select("npi", *[f"{k}_{c}" for k in ("summary", "visible") for c in MONEY]), "npi").withColumns({
         "payment_rank": F.row_number().over(order),
-        "before": F.coalesce(F.sum("code_payment").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "before": F.coalesce(F.sum("code_payment").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         "after": F.sum("code_payment").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "cohort_payment": F.sum("code_payment").over(Window.partitionBy("code")),
-        "all_payment": F.sum("code_payment").over(Window.partitionBy(F.lit(1))),
+        "cohort_payment": F.sum("code_payment").over(by_code), "cohort_standardized": F.sum("code_standardized").over(by_code),
     })
-    ranked = ranked.withColumns({"before_share": F.col("before") / F.col("visible_payment"), "after_share": F.col("after") / F.col("visible_payment")})
-    rules = {
-        "candidate-top-n": F.col("payment_rank") <= cfg.top_codes,
-        "cohort-payment": F.col("cohort_payment") >= cfg.cohort_share * F.col("all_payment"),
-        "candidate-coverage": F.col("before_share") < cfg.cumulative_share,
-    }
-    return ranked.withColumn("selection_reasons", reasons("|", **rules)).filter("selection_reasons <> ''").drop("all_payment")
+    share = lambda x, y: F.col(x).cast("double") / F.nullif(F.col(y).cast("double"), F.lit(0.0))
+    ranked = ranked.withColumns({**{f"coverage_{c}": share(f"visible_{c}", f"summary_{c}") for c in MONEY}, "before_share": share("before", "visible_payment"), "after_share": share("after", "visible_payment"), **selection(ranked, cfg)})
+    found = ranked.withColumn("selected", F.col("selected_by_top_n") | F.col("selected_by_cohort") | F.col("selected_by_coverage")).withColumn("selection_reasons", reasons("|", **{k: F.col(c) for k, c in SELECTED_BY.items()}))
+    n = found.filter("selected").select("code").distinct().count()
+    if not 1 <= n <= cfg.selected_cap:
+        raise ValueError(f"selected codes out of bounds: {n}")
+    return found
+
+
+def replay(found: DataFrame, cfg: DiscoveryConfig) -> None:
+    """Raises unless a discovery holds together: complete ranks in payment order, exact cumulative payments that end at the
+    visible payment, shares, coverage and cohort totals as they follow from the rows, and rules and reasons as configured."""
+    order, by_npi = Window.partitionBy("npi").orderBy("payment_rank"), Window.partitionBy("npi")
+    close = lambda x, y: F.abs(x - y) <= 1e-15 * F.greatest(F.abs(y), F.lit(1.0))  # noqa: E731  (doubles hold no 1e-18)
+    real = lambda c: F.col(c).cast("double")
+    again = found.withColumns({
+        "__rank": F.row_number().over(order), "__end": F.coalesce(F.lag("after").over(order), F.lit(0)), "__up": F.lag("code_payment").over(order), "__code": F.lag("code").over(order),
+        "__all": F.sum("code_payment").over(by_npi), "__cohort": F.sum("code_payment").over(Window.partitionBy("code")), "__cohort_std": F.sum("code_standardized").over(Window.partitionBy("code")), **{f"__{c}": v for c, v in selection(found, cfg).items()},
+    })
+    holds = {
+        "ranks": F.col("payment_rank") == F.col("__rank"),
+        "order": F.col("__up").isNull() | (F.col("__up") > F.col("code_payment")) | ((F.col("__up") == F.col("code_payment")) & (F.col("__code") < F.col("code"))),
+        "cumulative": (F.col("before") == F.col("__end")) & (F.col("after") == F.col("before") + F.col("code_payment")) & (F.col("__all") == F.col("visible_payment")),
+        "shares": close(F.col("before_share"), real("before") / real("visible_payment")) & close(F.col("after_share"), real("after") / real("visible_payment")),
+        "coverage": close(F.col("coverage_payment"), real("visible_payment") / real("summary_payment")) & (F.col("visible_payment") >= F.col("summary_payment") * F.lit(cfg.coverage_floor).cast("decimal(10,6)")),
+        "cohort": (F.col("cohort_payment") == F.col("__cohort")) & (F.col("cohort_standardized") == F.col("__cohort_std")),
+        "rules": (F.col("selected_by_top_n") == F.col("__selected_by_top_n")) & (F.col("selected_by_cohort") == F.col("__selected_by_cohort")) & (F.col("selected_by_coverage") == F.col("__selected_by_coverage")),
+        "reasons": (F.col("selected") == (F.col("selection_reasons") != "")) & (F.col("selection_reasons") == reasons("|", **{k: F.col(c) for k, c in SELECTED_BY.items()})),
+    }
+    bad = again.agg(*[F.count_if(~F.coalesce(v, F.lit(False))).alias(k) for k, v in holds.items()]).first().asDict()
+    if any(bad.values()):
+        raise ValueError(f"discovery does not replay: {', '.join(f'{k}={n}' for k, n in bad.items() if n)}")
 
 
 def code_freeze(found: DataFrame, cfg: DiscoveryConfig) -> DataFrame:
-    """One row per selected code with its candidates and reasons, after replaying ranks and cumulative payments."""
-    order = Window.partitionBy("npi").orderBy("payment_rank")
-    replay = found.withColumns({"__rank": F.row_number().over(order), "__before": F.lag("after").over(order)})
-    # Ranks below the first gap must be complete; each start must be the end before it.
-    wrong = (F.col("payment_rank") == F.col("__rank")) & F.col("__before").isNotNull() & (F.abs(F.col("before") - F.col("__before")) > 1e-6 * F.abs(F.col("before")))
-    bad = replay.agg(F.count_if(wrong | (F.col("payment_rank") < F.col("__rank")) | (F.abs(F.col("after") - F.col("before") - F.col("code_payment")) > 1e-6 * F.abs(F.col("after")))).alias("bad")).first()["bad"]
-    if bad:
-        raise ValueError(f"discovery does not replay: {bad} rows")
-    split = found.withColumn("reason", F.explode(F.split("selection_reasons", r"\|")))
-    frozen = split.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("npi")), "|").alias("npis"), F.array_join(F.array_sort(F.collect_set("reason")), "|").alias("reasons"), F.max("cohort_payment").alias("cohort_payment"))
+    """One row per selected code, with the candidates each rule names and the reasons, once the discovery replays."""
+    replay(found, cfg)
+    who = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c), F.col("npi")))), "|")
+    frozen = found.groupBy("code").agg(
+        F.bool_or("selected").alias("any"), *[F.bool_or(c).alias(c) for c in SELECTED_BY.values()], who("selected_by_top_n").alias("top_n_npis"), who("selected_by_coverage").alias("coverage_npis"),
+        F.max("cohort_payment").alias("cohort_payment"), F.max("cohort_standardized").alias("cohort_standardized"), F.count("*").alias("candidate_rows"),
+    )
+    frozen = frozen.filter("any").drop("any").withColumn("reasons", reasons("|", **{k: F.col(c) for k, c in SELECTED_BY.items()}))
     n = frozen.count()
     if not 1 <= n <= cfg.selected_cap:
         raise ValueError(f"selected codes out of bounds: {n}")
     return frozen
 
 
-def materiality_freeze(found: DataFrame, threshold: float) -> DataFrame:
-    """Codes with any candidate at or above the threshold."""
-    big = found.filter(F.col("code_payment") >= threshold)
-    return big.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("npi")), "|").alias("npis"), F.max("code_payment").alias("max_payment"))
+def materiality_freeze(found: DataFrame, threshold, cfg: DiscoveryConfig) -> DataFrame:
+    """Every code with any candidate at or above the threshold, selected by a rule or not, once the discovery replays."""
+    replay(found, cfg)
+    big = found.filter(F.col("code_payment") >= F.lit(threshold))
+    return big.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set("npi")), "|").alias("npis"), F.max("code_payment").alias("max_payment"), F.max("cohort_payment").alias("cohort_payment"), F.bool_or("selected").alias("selected"))
 
 
 REVIEW_METRICS = {"services": "services_per_beneficiary", "payment": "payment_per_beneficiary", "std": "std_per_beneficiary", "claims": "claims_per_beneficiary"}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
@@ -22,21 +22,54 @@ def attribution_shares(drug: DataFrame, national: DataFrame) -> DataFrame:
     })
 
 
-def reassignment(series: DataFrame, limit: float = 0.1) -> DataFrame:
-    """For every product and pair of a rising and a falling actor over its last two years: is one change offset by the other?
+PRODUCT = ["brand", "generic"]
 
-    Each product's risers meet its fallers only, and at most one row per actor and product takes part.
-    """
-    product = ["brand", "generic"]
-    last = series.withColumn("last", F.max("data_year").over(Window.partitionBy(*product)))
+
+def _verdict(offsets: Column) -> Column:
+    return F.when(offsets, "offsetting-attribution-discontinuity-for-review").otherwise("no-offsetting-reassignment-pattern-established")
+
+
+def last_changes(series: DataFrame) -> DataFrame:
+    """(brand, generic, npi, now, before, change) of the actors that are there in both of their product's last two years."""
+    last = series.withColumn("last", F.max("data_year").over(Window.partitionBy(*PRODUCT)))
     now = F.max(F.when(F.col("data_year") == F.col("last"), F.col("claims")))
     before = F.max(F.when(F.col("data_year") == F.col("last") - 1, F.col("claims")))
-    change = last.filter(F.col("data_year") >= F.col("last") - 1).groupBy(*product, "npi").agg(now.alias("now"), before.alias("before")).dropna(subset=["now", "before"]).withColumn("change", F.col("now") - F.col("before"))
-    up = change.filter("change > 0").select(*product, F.col("npi").alias("rising"), F.col("now").alias("rising_now"), F.col("before").alias("rising_before"), F.col("change").alias("rise"))
-    down = change.filter("change < 0").select(*product, F.col("npi").alias("falling"), F.col("now").alias("falling_now"), F.col("before").alias("falling_before"), F.col("change").alias("fall"))
-    pairs = up.join(down, product).withColumns({"combined_change": F.col("rise") + F.col("fall"), "combined_before": F.col("rising_before") + F.col("falling_before")})
-    share = ratio("combined_change", "combined_before")
-    return pairs.withColumn("combined_ratio", share).withColumn("classification", F.when(F.abs(share) <= limit, "offsetting-attribution-discontinuity-for-review").otherwise("no-offsetting-reassignment-pattern-established"))
+    rows = last.filter(F.col("data_year") >= F.col("last") - 1).groupBy(*PRODUCT, "npi").agg(now.alias("now"), before.alias("before"))
+    return rows.dropna(subset=["now", "before"]).withColumn("change", F.col("now") - F.col("before"))
+
+
+def reassignment(series: DataFrame, parts: int = 10) -> DataFrame:
+    """For every product and actor whose claims rose or fell: how many moved the other way, and how many of these offset it.
+
+    A rise r and a fall -f offset each other if |r - f| is at most 1 / `parts` of both actors' claims before, b and c. In
+    parts * r - b <= parts * f + c and parts * r + b >= parts * f - c that is an overlap of two intervals. An actor meets
+    all of the other side but those whose interval ends before its own starts or starts after its own ends, so two counts
+    in an order of interval ends per product are enough and no pair is made.
+    """
+    moved = last_changes(series).filter("change != 0").withColumn("up", F.col("change") > 0)
+    size, reach = F.abs("change") * parts, F.col("before")
+    moved = moved.withColumns({"lo": size - reach, "hi": size + reach})
+    # Sorted events: of ends and starts at one place starts come first, as touching intervals overlap.
+    events = moved.select(*PRODUCT, "npi", "up", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("end")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("end")))).alias("e")).select(*PRODUCT, "npi", "up", "e.at", "e.end")
+    order = Window.partitionBy(*PRODUCT).orderBy("at", "end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lambda up, end: F.count_if((F.col("up") == F.lit(up)) & (F.col("end") == end)).over(order)
+    counted = events.withColumns({"ended": F.when(F.col("up"), seen(False, 1)).otherwise(seen(True, 1)), "started": F.when(F.col("up"), seen(False, 0)).otherwise(seen(True, 0))})
+    # Ended before an actor's start, strictly, as ends at that place come after it; started up to its end.
+    per = counted.groupBy(*PRODUCT, "npi").agg(F.max(F.when(F.col("end") == 0, F.col("ended"))).alias("ended"), F.max(F.when(F.col("end") == 1, F.col("started"))).alias("started"))
+    sides = moved.groupBy(*PRODUCT).agg(F.count_if("up").alias("risers"), F.count_if(~F.col("up")).alias("fallers"))
+    rows = attach(attach(moved, per, [*PRODUCT, "npi"]), sides, PRODUCT)
+    rows = rows.withColumns({"opposite": F.when(F.col("up"), F.col("fallers")).otherwise(F.col("risers")), "offsetting": F.col("started") - F.col("ended")})
+    return rows.withColumn("classification", _verdict(F.col("offsetting") > 0)).select(*PRODUCT, "npi", "now", "before", "change", "opposite", "offsetting", "classification")
+
+
+def reassignment_pairs(series: DataFrame, actors: DataFrame, parts: int = 10) -> DataFrame:
+    """The stated rising actors (brand, generic, npi) with every falling actor of their product."""
+    change = last_changes(series)
+    up = change.filter("change > 0").join(actors.select(*PRODUCT, "npi").distinct(), [*PRODUCT, "npi"], "left_semi").select(*PRODUCT, F.col("npi").alias("rising"), F.col("before").alias("b"), F.col("change").alias("rise"))
+    down = change.filter("change < 0").select(*PRODUCT, F.col("npi").alias("falling"), F.col("before").alias("c"), F.col("change").alias("fall"))
+    pairs = up.join(down, PRODUCT)
+    combined, base = F.col("rise") + F.col("fall"), F.col("b") + F.col("c")
+    return pairs.withColumns({"combined_ratio": combined / base, "classification": _verdict(F.abs(combined) * parts <= base)}).drop("b", "c")
 
 
 def role_completeness(assignments: DataFrame, key: str, required: Sequence[str]) -> DataFrame:
