@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,97 +22,161 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
-# --- sources: the cells written as the files that publishers ship, and read back -------------------------------------
+# --- sources: the cells written as the files that publishers ship, with all their columns and years, and read back -----
+def filled(df: DataFrame, mapping: dict, made: dict) -> DataFrame:
+    """Text columns under the published headers: `made` by target name, the others from the number n and their place."""
+    out = []
+    for i, (target, (source, kind)) in enumerate(mapping.items()):
+        number = (F.col("n") + i).cast("string")
+        value = {"amount": F.concat(number, F.lit(".5")), "count": number, "upper": F.lit(f"u{i}"), "text": F.lit(f" t{i}")}[kind]
+        hidden = F.lit("*#"[i % 2]) if i % 7 == 0 and kind in ("amount", "count") else value
+        out.append(made.get(target, hidden).cast("string").alias(source if isinstance(source, str) else source[0]))
+    return df.select(*out, "data_year")
+
+
+def filled_sql(mapping: dict, made: dict) -> str:
+    """What reading gives back, by target name."""
+    out = []
+    for i, (target, (_, kind)) in enumerate(mapping.items()):
+        value = {"amount": f"CAST(n + {i} + 0.5 AS DOUBLE)", "count": f"CAST(n + {i} AS BIGINT)", "upper": f"'U{i}'", "text": f"'t{i}'"}[kind]
+        hidden = f"CAST(NULL AS {'DOUBLE' if kind == 'amount' else 'BIGINT'})" if i % 7 == 0 and kind in ("amount", "count") else value
+        out.append(f"{made.get(target, hidden)} AS {target}")
+    return f"SELECT {', '.join(out)}, data_year"
+
+
+def years(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("data_year").distinct().collect())  # a handful
+
+
+def by_year(df: DataFrame, mapping: dict, read) -> DataFrame:
+    """read(path of a year, year) of all years; amounts as doubles."""
+    got = reduce(DataFrame.unionByName, [read(y) for y in years(df)]).filter("not malformed")
+    return got.select(*[F.col(t).cast("double").alias(t) if kind == "amount" else t for t, (_, kind) in mapping.items()], "data_year")
+
+
+def pages_read_back(df: DataFrame, mapping: dict, made: dict, path: str) -> DataFrame:
+    """The rows written as JSON pages, each an array of about PAGE rows, and read back."""
+    raw = filled(df, mapping, made)
+    names = [c for c in raw.columns if c != "data_year"]
+    page = F.to_json(F.collect_list(F.struct(*names)))
+    count = max(1, -(-raw.count() // PAGE))
+    raw.withColumn("page", F.pmod(F.xxhash64(*names), F.lit(count))).groupBy("data_year", "page").agg(page.alias("value")).write.partitionBy("data_year", "page").text(path)
+    return by_year(df, mapping, lambda y: readers.read_json_file(df.sparkSession, f"{path}/data_year={y}", mapping, y, 1))
+
+
+PAGE = 5_000
+_plain = lambda c: F.col(c).cast("decimal(18,4)").cast("string")
+_amount = lambda c: f"round({c}, 4)"
+_money = {"total_services": "services", "total_submitted_charge": "submitted", "total_medicare_allowed_amount": "allowed", "total_medicare_payment_amount": "payment", "total_medicare_standardized_payment_amount": "standardized"}
+_parts = {"dme_medicare_payment_amount": "dme", "pos_medicare_payment_amount": "pos_paid", "drug_medicare_payment_amount": "drug"}
+_supplier_sql = {"supplier_npi": "npi", "entity_code": "entity", "supplier_last_org_name": "'Supply, Co'", "supplier_state": "state", "supplier_city": "CAST(NULL AS VARCHAR)", "total_beneficiaries": "CASE WHEN beneficiaries > 60 THEN beneficiaries END", "total_claims": "claims", **{t: _amount(c) for t, c in {**_money, **_parts}.items()}}
+
+
 def supplier_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier summary under its published headers, with suppression marks."""
-    s = b.summary(spark, sf_dir)
-    text = lambda c: F.col(c).cast("decimal(18,4)").cast("string")
-    hidden = lambda c: F.coalesce(text(c), F.lit("*"))
-    return s.select(
-        F.col("npi").alias("Suplr_NPI"), F.lit("Supply, Co").alias("Suplr_Prvdr_Last_Name_Org"), F.lower("entity").alias("Suplr_Prvdr_Ent_Cd"), F.lit("").alias("Suplr_Prvdr_City"), F.col("state").alias("Suplr_Prvdr_State_Abrvtn"),
-        F.col("specialty").alias("Suplr_Prvdr_Spclty_Desc"), F.lit("S").alias("Suplr_Prvdr_Spclty_Srce"), F.col("codes").cast("string").alias("Tot_Suplr_HCPCS_Cds"), F.when(F.col("beneficiaries") > 60, F.col("beneficiaries").cast("string")).otherwise("#").alias("Tot_Suplr_Benes"),
-        F.col("claims").cast("string").alias("Tot_Suplr_Clms"), text("services").alias("Tot_Suplr_Srvcs"), text("submitted").alias("Suplr_Sbmtd_Chrgs"), text("allowed").alias("Suplr_Mdcr_Alowd_Amt"), text("payment").alias("Suplr_Mdcr_Pymt_Amt"), text("standardized").alias("Suplr_Mdcr_Stdzd_Pymt_Amt"),
-        hidden("dme").alias("DME_Suplr_Mdcr_Pymt_Amt"), hidden("pos_paid").alias("POS_Suplr_Mdcr_Pymt_Amt"), hidden("drug").alias("Drug_Suplr_Mdcr_Pymt_Amt"), F.col("data_year"),
-    )
+    hidden = lambda c: F.coalesce(_plain(c), F.lit("*"))
+    made = {
+        "supplier_npi": F.col("npi"), "entity_code": F.lower("entity"), "supplier_last_org_name": F.lit("Supply, Co"), "supplier_state": F.col("state"), "supplier_city": F.lit(""), "total_beneficiaries": F.when(F.col("beneficiaries") > 60, F.col("beneficiaries").cast("string")).otherwise("#"), "total_claims": F.col("claims"),
+        **{t: _plain(c) for t, c in _money.items()}, **{t: hidden(c) for t, c in _parts.items()},
+    }
+    return filled(b.summary(spark, sf_dir).withColumn("n", F.col("claims")), readers.SUPPLIER, made)
 
 
-@query(
-    "s1_supplier_csv",
-    "SELECT npi AS supplier_npi, entity AS entity_code, CASE WHEN beneficiaries > 60 THEN beneficiaries END AS total_beneficiaries, claims AS total_claims, round(payment, 4) AS payment, round(dme, 4) AS dme, CAST(1 AS BIGINT) AS source_release_id, data_year FROM summary WHERE data_year = 1999",
-    b.SUMMARY,
-)
+@query("s1_supplier_csv", f"{filled_sql(readers.SUPPLIER, _supplier_sql)} FROM (SELECT *, claims AS n FROM summary)", b.SUMMARY)
 def s1(spark, sf_dir):
-    path = scratch(spark, "supplier")
-    supplier_file(spark, sf_dir).filter("data_year = 1999").drop("data_year").write.option("header", True).csv(path)
-    got = readers.read_supplier_csv(spark, path, 1999, 1).filter("not malformed")
-    return got.select("supplier_npi", "entity_code", "total_beneficiaries", "total_claims", F.col("total_medicare_payment_amount").cast("double").alias("payment"), F.col("dme_medicare_payment_amount").cast("double").alias("dme"), F.col("source_release_id").cast("long").alias("source_release_id"), "data_year")
+    path, df = scratch(spark, "supplier"), supplier_file(spark, sf_dir)
+    df.write.option("header", True).partitionBy("data_year").csv(path)
+    return by_year(df, readers.SUPPLIER, lambda y: readers.read_supplier_csv(spark, f"{path}/data_year={y}", y, 1))
 
 
-def _pages(df: DataFrame, path: str) -> str:
-    """Rows as JSON pages, each an array of at most some thousand rows."""
-    page = F.to_json(F.collect_list(F.struct(*df.columns)))
-    df.withColumn("page", F.pmod(F.xxhash64(*df.columns), F.lit(8))).groupBy("page").agg(page.alias("value")).write.partitionBy("page").text(path)
-    return path
+_avg = {"average_submitted_charge": "submitted", "average_medicare_allowed_amount": "allowed", "average_medicare_payment_amount": "payment", "average_medicare_standardized_amount": "standardized"}
+_service_sql = {"supplier_npi": "npi", "entity_code": "entity", "supplier_state": "state", "hcpcs_code": "upper(code)", "hcpcs_description": "code", "supplier_rental_indicator": "pos", "total_beneficiaries": "beneficiaries", "total_claims": "claims", "total_services": _amount("services"), **{t: _amount(c) for t, c in _avg.items()}}
 
 
-@query("s2_supplier_service_pages", "SELECT npi AS supplier_npi, upper(code) AS hcpcs_code, pos AS supplier_rental_indicator, beneficiaries AS total_beneficiaries, claims AS total_claims, services AS total_services FROM service_cells WHERE data_year = 1999", b.SERVICE_CELLS)
+@query("s2_supplier_service_pages", f"{filled_sql(readers.SUPPLIER_SERVICE, _service_sql)} FROM (SELECT *, claims AS n FROM service_cells)", b.SERVICE_CELLS)
 def s2(spark, sf_dir):
-    c = b.service_cells(spark, sf_dir).filter("data_year = 1999")
-    text = lambda c: F.col(c).cast("decimal(18,4)").cast("string")
-    raw = c.select(
-        F.col("npi").alias("Suplr_NPI"), F.col("entity").alias("Suplr_Prvdr_Ent_Cd"), F.col("state").alias("Suplr_Prvdr_State_Abrvtn"), F.lower("code").alias("HCPCS_Cd"), F.col("code").alias("HCPCS_Desc"), F.col("pos").alias("Suplr_Rentl_Ind"),
-        F.coalesce(F.col("beneficiaries").cast("string"), F.lit("")).alias("Tot_Suplr_Benes"), F.col("claims").cast("string").alias("Tot_Suplr_Clms"), text("services").alias("Tot_Suplr_Srvcs"), text("submitted").alias("Avg_Suplr_Sbmtd_Chrg"), text("allowed").alias("Avg_Suplr_Mdcr_Alowd_Amt"),
-        text("payment").alias("Avg_Suplr_Mdcr_Pymt_Amt"), text("standardized").alias("Avg_Suplr_Mdcr_Stdzd_Amt"),
-    )
-    got = readers.read_json_file(spark, _pages(raw, scratch(spark, "service")), readers.SUPPLIER_SERVICE, 1999, 2).filter("not malformed")
-    return got.select("supplier_npi", "hcpcs_code", "supplier_rental_indicator", "total_beneficiaries", "total_claims", F.col("total_services").cast("double").alias("total_services"))
+    made = {
+        "supplier_npi": F.col("npi"), "entity_code": F.col("entity"), "supplier_state": F.col("state"), "hcpcs_code": F.lower("code"), "hcpcs_description": F.col("code"), "supplier_rental_indicator": F.col("pos"),
+        "total_beneficiaries": F.coalesce(F.col("beneficiaries").cast("string"), F.lit("")), "total_claims": F.col("claims"), "total_services": _plain("services"), **{t: _plain(c) for t, c in _avg.items()},
+    }
+    return pages_read_back(b.service_cells(spark, sf_dir).withColumn("n", F.col("claims")), readers.SUPPLIER_SERVICE, made, scratch(spark, "service"))
 
 
-@query("s3_s4_provider_pages", "SELECT npi AS rendering_npi, code AS hcpcs_code, pos AS place_of_service, beneficiaries AS total_beneficiaries, services AS total_services, CAST(bene_days AS DOUBLE) AS days FROM cells WHERE data_year = 2000", b.CELLS)
+_totals = {"total_services": "services", "total_submitted_charge": "submitted", "total_medicare_allowed_amount": "allowed", "total_medicare_payment_amount": "payment", "total_medicare_standardized_amount": "standardized"}
+_provider_sql = {"rendering_npi": "npi", "entity_code": "entity", "provider_state": "state", "provider_type": "specialty", "total_hcpcs_codes": "codes", "total_beneficiaries": "beneficiaries", **{t: _amount(c) for t, c in _totals.items()}}
+
+
+@query("s3_provider_pages", f"{filled_sql(readers.PART_B_PROVIDER, _provider_sql)} FROM (SELECT *, claims AS n FROM summary)", b.SUMMARY)
 def s3(spark, sf_dir):
-    c = b.cells(spark, sf_dir).filter("data_year = 2000")
-    text = lambda c: F.col(c).cast("decimal(18,4)").cast("string")
-    raw = c.select(
-        F.col("npi").alias("Rndrng_NPI"), F.col("entity").alias("Rndrng_Prvdr_Ent_Cd"), F.col("code").alias("HCPCS_Cd"), F.col("code").alias("HCPCS_Desc"), F.lit("N").alias("HCPCS_Drug_Ind"), F.col("pos").alias("Place_Of_Srvc"), F.col("beneficiaries").cast("string").alias("Tot_Benes"), text("services").alias("Tot_Srvcs"),
-        F.col("bene_days").cast("string").alias("Tot_Bene_Day_Srvcs"), text("submitted").alias("Avg_Sbmtd_Chrg"), text("allowed").alias("Avg_Mdcr_Alowd_Amt"), text("payment").alias("Avg_Mdcr_Pymt_Amt"), text("standardized").alias("Avg_Mdcr_Stdzd_Amt"),
-    )
-    got = readers.read_json_file(spark, _pages(raw, scratch(spark, "provider")), readers.PART_B_SERVICE, 2000, 3)
-    return got.select("rendering_npi", "hcpcs_code", "place_of_service", "total_beneficiaries", F.col("total_services").cast("double").alias("total_services"), F.col("total_beneficiary_day_services").cast("double").alias("days"))
+    made = {"rendering_npi": F.col("npi"), "entity_code": F.col("entity"), "provider_state": F.lower("state"), "provider_type": F.col("specialty"), "total_hcpcs_codes": F.col("codes"), "total_beneficiaries": F.col("beneficiaries"), **{t: _plain(c) for t, c in _totals.items()}}
+    return pages_read_back(b.summary(spark, sf_dir).withColumn("n", F.col("claims")), readers.PART_B_PROVIDER, made, scratch(spark, "provider"))
+
+
+_line_sql = {"rendering_npi": "npi", "entity_code": "entity", "hcpcs_code": "upper(code)", "hcpcs_description": "code", "place_of_service": "pos", "total_beneficiaries": "beneficiaries", "total_services": _amount("services"), "total_beneficiary_day_services": "CAST(bene_days AS DOUBLE)", **{t: _amount(c) for t, c in _avg.items()}}
+
+
+@query("s4_provider_service_pages", f"{filled_sql(readers.PART_B_SERVICE, _line_sql)} FROM (SELECT *, claims AS n FROM cells)", b.CELLS)
+def s4(spark, sf_dir):
+    made = {
+        "rendering_npi": F.col("npi"), "entity_code": F.col("entity"), "hcpcs_code": F.lower("code"), "hcpcs_description": F.col("code"), "place_of_service": F.lower("pos"), "total_beneficiaries": F.col("beneficiaries"), "total_services": _plain("services"), "total_beneficiary_day_services": F.col("bene_days"),
+        **{t: _plain(c) for t, c in _avg.items()},
+    }
+    return pages_read_back(b.cells(spark, sf_dir).withColumn("n", F.col("claims")), readers.PART_B_SERVICE, made, scratch(spark, "provider-service"))
+
+
+_drug_sql = {"prescriber_npi": "npi", "prescriber_type_source": "'S'", "brand_name": "brand", "generic_name": "generic", "total_claims": "claims", "total_30day_fills": _amount("fills"), "total_drug_cost": "CAST(round(exact_cost, 4) AS DOUBLE)", "total_beneficiaries": "beneficiaries", "ge65_suppression_flag": "'*'", "ge65_total_claims": "CAST(NULL AS BIGINT)"}
 
 
-@query("s5_provider_drug_pages", "SELECT npi AS prescriber_npi, brand AS brand_name, claims AS total_claims, round(cost, 4) AS cost, 'S' AS prescriber_type_source FROM provider_drug WHERE data_year = 1998", b.PROVIDER_DRUG)
+@query("s5_provider_drug_pages", f"{filled_sql(readers.PROVIDER_DRUG, _drug_sql)} FROM (SELECT *, claims AS n FROM provider_drug)", b.PROVIDER_DRUG)
 def s5(spark, sf_dir):
-    d = b.provider_drug(spark, sf_dir).filter("data_year = 1998")
-    raw = d.select(
-        F.col("npi").alias("Prscrbr_NPI"), F.lit("").alias("Prscrbr_State_Abrvtn"), F.lit("Specialist").alias("Prscrbr_Type"), F.lit("S").alias("Prscrbr_Type_Src"), F.col("brand").alias("Brnd_Name"), F.col("generic").alias("Gnrc_Name"), F.col("claims").cast("string").alias("Tot_Clms"),
-        F.col("fills").cast("string").alias("Tot_30day_Fills"), F.lit("30").alias("Tot_Day_Suply"), F.col("exact_cost").cast("string").alias("Tot_Drug_Cst"), F.col("beneficiaries").cast("string").alias("Tot_Benes"), F.lit("*").alias("GE65_Sprsn_Flag"), F.lit("").alias("GE65_Tot_Clms"),
-    )
-    got = readers.read_json_file(spark, _pages(raw, scratch(spark, "drug")), readers.PROVIDER_DRUG, 1998, 4)
-    return got.select("prescriber_npi", "brand_name", "total_claims", F.col("total_drug_cost").cast("double").alias("cost"), "prescriber_type_source")
+    made = {
+        "prescriber_npi": F.col("npi"), "prescriber_type_source": F.lit("S"), "brand_name": F.col("brand"), "generic_name": F.col("generic"), "total_claims": F.col("claims"), "total_30day_fills": _plain("fills"), "total_drug_cost": F.col("exact_cost").cast("decimal(28,4)"), "total_beneficiaries": F.col("beneficiaries"),
+        "ge65_suppression_flag": F.lit("*"), "ge65_total_claims": F.lit(""),
+    }
+    return pages_read_back(b.provider_drug(spark, sf_dir).withColumn("n", F.col("claims")), readers.PROVIDER_DRUG, made, scratch(spark, "drug"))
+
 
+_GEO = "SELECT data_year, {}, brand, count(DISTINCT npi) AS prescribers, count(DISTINCT claim) AS claims, CAST(sum(payment) AS DOUBLE) AS cost FROM lines GROUP BY ALL"
+_geo_sql = {"prescriber_geography_level": "CASE WHEN state IS NULL THEN 'National' ELSE 'State' END", "prescriber_geography_code": "CAST(NULL AS VARCHAR)", "prescriber_geography_description": "coalesce(state, 'National')", "brand_name": "brand", "generic_name": "'generic of ' || lower(brand)", "total_prescribers": "prescribers", "total_claims": "claims", "total_drug_cost": _amount("cost")}
 
-@query("s6_geography_pages", "SELECT 'National' AS prescriber_geography_level, brand AS brand_name, national_claims AS total_claims, national_prescribers AS total_prescribers FROM national_drug WHERE data_year = 1998", b.NATIONAL_DRUG)
+
+@query("s6_geography_pages", f"{filled_sql(readers.GEOGRAPHY_DRUG, _geo_sql)} FROM (SELECT *, claims AS n FROM ({_GEO.format('CAST(NULL AS VARCHAR) AS state')} UNION ALL {_GEO.format('state')}))", b.LINES)
 def s6(spark, sf_dir):
-    n = b.national_drug(spark, sf_dir).filter("data_year = 1998")
-    raw = n.select(
-        F.lit("National").alias("Prscrbr_Geo_Lvl"), F.lit("").alias("Prscrbr_Geo_Cd"), F.lit("National").alias("Prscrbr_Geo_Desc"), F.col("brand").alias("Brnd_Name"), F.col("generic").alias("Gnrc_Name"), F.col("national_prescribers").cast("string").alias("Tot_Prscrbrs"),
-        F.col("national_claims").cast("string").alias("Tot_Clms"), F.col("national_cost").cast("decimal(18,2)").cast("string").alias("Tot_Drug_Cst"), F.lit("").alias("Tot_Benes"),
-    )
-    got = readers.read_json_file(spark, _pages(raw, scratch(spark, "geography")), readers.GEOGRAPHY_DRUG, 1998, 5)
-    return got.select("prescriber_geography_level", "brand_name", "total_claims", "total_prescribers")
+    lines = b.lines(spark, sf_dir)
+    sums = [F.count_distinct("npi").alias("prescribers"), F.count_distinct("claim").alias("claims"), F.sum("payment").cast("double").alias("cost")]
+    rows = lines.groupBy("data_year", "state", "brand").agg(*sums).unionByName(lines.groupBy("data_year", "brand").agg(*sums).withColumn("state", F.lit(None).cast("string"))).withColumn("n", F.col("claims"))
+    made = {
+        "prescriber_geography_level": F.when(F.col("state").isNull(), "National").otherwise("State"), "prescriber_geography_code": F.lit(""), "prescriber_geography_description": F.coalesce("state", F.lit("National")), "brand_name": F.col("brand"), "generic_name": F.concat(F.lit("generic of "), F.lower("brand")),
+        "total_prescribers": F.col("prescribers"), "total_claims": F.col("claims"), "total_drug_cost": _plain("cost"),
+    }
+    return pages_read_back(rows, readers.GEOGRAPHY_DRUG, made, scratch(spark, "geography"))
 
 
-@query("s7_relationship_rows", "SELECT record_id, npi AS covered_recipient_npi, profile AS covered_recipient_profile_id, CAST(amount AS DOUBLE) AS amount, CAST(paid_on AS VARCHAR) AS paid_on, CASE WHEN specialty IS NULL THEN 1 ELSE 2 END AS types, CAST(coalesce(len(product_names), 0) > 0 AS INTEGER) AS slots, product_names[1] AS product FROM payments WHERE program_year = 1999", b.PAYMENTS)
+@query(
+    "s7_relationship_rows",
+    """SELECT record_id, program_year, recipient_type AS covered_recipient_type, npi AS covered_recipient_npi, profile AS covered_recipient_profile_id, hospital AS teaching_hospital_id, payer AS paying_entity_id, CAST(amount AS DOUBLE) AS amount, CAST(paid_on AS VARCHAR) AS paid_on,
+      CAST(number_of_payments AS BIGINT) AS number_of_payments, form AS form_of_payment, nature AS nature_of_payment, third_party AS third_party_payment_recipient_indicator, related_product AS related_product_indicator, CASE WHEN specialty IS NULL THEN 1 ELSE 2 END AS types, 1 AS states,
+      least(coalesce(len(product_names), 0), 2) AS slots, product_names[1] AS product, product_names[2] AS second_product, CASE WHEN program_year < 1996 THEN 'old' END AS recipient_note, CASE WHEN program_year >= 1996 THEN 'Yes' END AS dispute_status FROM payments""",
+    b.PAYMENTS,
+)
 def s7(spark, sf_dir):
-    p = b.payments(spark, sf_dir).filter("program_year = 1999")
-    path = scratch(spark, "relationship")
-    p.select(
-        F.col("record_id").alias("RECORD_ID"), F.col("npi").alias("Covered_Recipient_NPI"), F.col("profile").alias("Physician_Profile_ID"), F.col("amount").cast("string").alias("Total_Amount_of_Payment_USDollars"), F.date_format("paid_on", "MM/dd/yyyy").alias("Date_of_Payment"),
-        F.col("recipient_type").alias("Covered_Recipient_Primary_Type_1"), F.col("specialty").alias("Covered_Recipient_Primary_Type_2"), F.get("product_names", F.lit(0)).alias("Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1"), F.lit(" ").alias("Associated_Drug_or_Biological_NDC_1"),
-    ).write.option("header", True).csv(path)
-    got = readers.read_relationship_payments(spark, path, 7)
-    slot = F.get("product_slots", F.lit(0))["name"]
-    return got.select("record_id", "covered_recipient_npi", "covered_recipient_profile_id", F.col("total_amount_usd").cast("double").alias("amount"), F.col("payment_date").cast("string").alias("paid_on"), F.size("recipient_primary_types").alias("types"), F.size("product_slots").alias("slots"), slot.alias("product"))
+    p, path = b.payments(spark, sf_dir), scratch(spark, "relationship")
+    product = "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply"
+    common = [
+        F.col("record_id").alias("RECORD_ID"), F.col("program_year").cast("string").alias("Program_Year"), F.col("recipient_type").alias("Covered_Recipient_Type"), F.col("npi").alias("Covered_Recipient_NPI"), F.col("hospital").alias("Teaching_Hospital_ID"), F.col("payer").alias("Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_ID"),
+        F.col("amount").cast("string").alias("Total_Amount_of_Payment_USDollars"), F.date_format("paid_on", "MM/dd/yyyy").alias("Date_of_Payment"), F.col("number_of_payments").cast("string").alias("Number_of_Payments_Included_in_Total_Amount"), F.col("form").alias("Form_of_Payment_or_Transfer_of_Value"),
+        F.col("nature").alias("Nature_of_Payment_or_Transfer_of_Value"), F.col("third_party").alias("Third_Party_Payment_Recipient_Indicator"), F.col("related_product").alias("Related_Product_Indicator"), F.col("recipient_type").alias("Covered_Recipient_Primary_Type_1"), F.col("specialty").alias("Covered_Recipient_Primary_Type_2"),
+        F.lit("NY").alias("Covered_Recipient_License_State_code1"), F.get("product_names", F.lit(0)).alias(f"{product}_1"), F.get("product_names", F.lit(1)).alias(f"{product}_2"), F.lit(" ").alias("Associated_Drug_or_Biological_NDC_1"),
+    ]
+    # The files of earlier years have another header than those of later ones.
+    p.filter("program_year < 1996").select(*common, F.col("profile").alias("Physician_Profile_ID"), F.lit("old").alias("Recipient_Note")).write.option("header", True).csv(f"{path}/old")
+    p.filter("program_year >= 1996").select(F.col("profile").alias("Covered_Recipient_Profile_ID"), *reversed(common), F.lit("Yes").alias("Dispute_Status")).write.option("header", True).csv(f"{path}/new")
+    got = readers.read_relationship_payments(spark, [f"{path}/old", f"{path}/new"], 7)
+    name = lambda i: F.get("product_slots", F.lit(i))["name"]
+    return got.select(
+        "record_id", "program_year", "covered_recipient_type", "covered_recipient_npi", "covered_recipient_profile_id", "teaching_hospital_id", "paying_entity_id", F.col("total_amount_usd").cast("double").alias("amount"), F.col("payment_date").cast("string").alias("paid_on"), "number_of_payments",
+        "form_of_payment", "nature_of_payment", "third_party_payment_recipient_indicator", "related_product_indicator", F.size("recipient_primary_types").alias("types"), F.size("recipient_license_states").alias("states"), F.size("product_slots").alias("slots"), name(0).alias("product"), name(1).alias("second_product"), "recipient_note", "dispute_status",
+    )
 
 
 SLUGS = "slugs AS (SELECT * FROM (VALUES ('F', 'finished'), ('O', 'open')) v(dataset, slug))"
