@@ -16,8 +16,8 @@ BRAND, GENERIC, NPI, STATE, NATURE = "Brand#3", "generic of brand#3", "000000000
 
 
 def rounded(df: DataFrame, places: int, *columns: str) -> list:
-    """Rounded columns; a small fixed offset keeps decimal ties from rounding one way here and another way there."""
-    return [F.round(F.col(c) + 3 * 10.0 ** -(places + 2), places).alias(c) for c in columns]
+    """Columns rounded half up, as decimals of twelve places, so that ties round one way in any engine."""
+    return [F.round(F.col(c).cast("decimal(38,12)"), places).cast("double").alias(c) for c in columns]
 
 
 def peer_sql(source: str, keys: str, metrics: dict[str, str], prefix: str) -> str:
@@ -86,7 +86,7 @@ def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCAN_FIXED = ["data_year", "npi", "code", "pos", "entity", "panel_band", "tested", "status", "reach_flag", "days_flag", "units_flag", "route", "temporal_route", "broad_status", "comparable_years", "reach_tail_years", "units_full_years", "latest_present", "peer_count", "broad_peer_count", "reach_scale"]
 _SCAN_ROUND = ["panel_penetration", "days_per_tested", "units_per_day", "std_per_panel", "std_share", "reach_median", "reach_mad", "days_iqr", "reach_percentile", "units_percentile", "reach_broad_percentile"]
 _SCAN_Z = ["reach_z", "days_z", "units_z", "reach_ratio"]
-_r = lambda cols, n: ", ".join(f"round({c} + 3e-{n + 2}, {n}) AS {c}" for c in cols)
+_r = lambda cols, n: ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38,12)), {n}) AS DOUBLE) AS {c}" for c in cols)
 
 
 @query("d1_provider_service_scan", f"SELECT {', '.join(_SCAN_FIXED)}, {_r(_SCAN_ROUND, 6)}, {_r(_SCAN_Z, 6)} FROM scan", FLAT_SCAN)
@@ -97,7 +97,7 @@ def d1(spark, sf_dir):
 
 @query(
     "d2_shortlist",
-    f"""SELECT npi, code, pos, priority, reasons, round(panel_penetration + 3e-8, 6) AS panel_penetration FROM (SELECT *, concat_ws(';', CASE WHEN reach_confirmed THEN 'temporal-reach' END, CASE WHEN days_confirmed THEN 'temporal-repeat' END, CASE WHEN units_confirmed THEN 'temporal-unit' END,
+    f"""SELECT npi, code, pos, priority, reasons, CAST(round(CAST(panel_penetration AS DECIMAL(38,12)), 6) AS DOUBLE) AS panel_penetration FROM (SELECT *, concat_ws(';', CASE WHEN reach_confirmed THEN 'temporal-reach' END, CASE WHEN days_confirmed THEN 'temporal-repeat' END, CASE WHEN units_confirmed THEN 'temporal-unit' END,
       CASE WHEN reach_flag THEN 'latest-full-reach' END, CASE WHEN days_flag THEN 'latest-full-repeat' END, CASE WHEN units_flag THEN 'latest-full-unit' END,
       CASE WHEN broad_status = 'broader-peer-tail-descriptive' AND reach_broad_percentile >= {S.full} THEN 'broader-peer-reach-provisional' END,
       CASE WHEN broad_status = 'broader-peer-tail-descriptive' AND days_broad_percentile >= {S.full} THEN 'broader-peer-repeat-provisional' END) AS reasons,
@@ -116,7 +116,7 @@ def d2(spark, sf_dir):
       FROM scan WHERE status = 'scoreable' AND reach_percentile >= 0.7 GROUP BY ALL),
     stable AS (SELECT * FROM tail WHERE years >= 2 AND last = (SELECT max(data_year) FROM scan)),
     paid AS (SELECT npi, entity, pos, code, sum(payment) AS payment FROM scan GROUP BY ALL)
-    SELECT npi, entity, pos, code, years, year_list, round(low + 3e-8, 6) AS low, round(payment + 3e-4, 2) AS payment, n AS codes_in_group FROM (SELECT *, count(*) OVER (PARTITION BY npi, entity, pos) AS n FROM stable) JOIN paid USING (npi, entity, pos, code) WHERE n >= 2""",
+    SELECT npi, entity, pos, code, years, year_list, CAST(round(CAST(low AS DECIMAL(38,12)), 6) AS DOUBLE) AS low, CAST(round(CAST(payment AS DECIMAL(38,12)), 2) AS DOUBLE) AS payment, n AS codes_in_group FROM (SELECT *, count(*) OVER (PARTITION BY npi, entity, pos) AS n FROM stable) JOIN paid USING (npi, entity, pos, code) WHERE n >= 2""",
     FLAT_SCAN,
 )
 def d3(spark, sf_dir):
@@ -274,10 +274,10 @@ def d11(spark, sf_dir):
 
 @query(
     "d12_market_context",
-    f"""SELECT data_year, code, pos, count(*) AS visible_cells, count(*) FILTER (known) AS known_cells, count(*) FILTER (known AND NOT candidate) AS peer_cells, count(*) FILTER (NOT known) AS unknown_cells, round(sum(services) + 3e-6, 4) AS services, round(sum(payment) + 3e-6, 4) AS payment,
-      round(max(payment) / nullif(sum(payment), 0) + 3e-8, 6) AS top_share, round(sum(payment * payment) / nullif(sum(payment) * sum(payment), 0) + 3e-8, 6) AS hhi, round(quantile_cont(services_per_beneficiary, 0.5) FILTER (known) + 3e-8, 6) AS services_median,
-      round(quantile_cont(services_per_beneficiary, 0.75) FILTER (known) + 3e-8, 6) AS services_q75, round(coalesce(sum(payment) FILTER (state = '{STATE}'), 0) / nullif(sum(payment), 0) + 3e-8, 6) AS state_share,
-      round(coalesce(sum(payment) FILTER (candidate), 0) / nullif(sum(payment), 0) + 3e-8, 6) AS cohort_share, CASE WHEN count(*) FILTER (known AND NOT candidate) >= 60 THEN 'scoreable' ELSE 'insufficient-cohort-excluded-peer-cells-descriptive' END AS peer_status FROM review GROUP BY data_year, code, pos""",
+    f"""SELECT data_year, code, pos, count(*) AS visible_cells, count(*) FILTER (known) AS known_cells, count(*) FILTER (known AND NOT candidate) AS peer_cells, count(*) FILTER (NOT known) AS unknown_cells, CAST(round(CAST(sum(services) AS DECIMAL(38,12)), 4) AS DOUBLE) AS services, CAST(round(CAST(sum(payment) AS DECIMAL(38,12)), 4) AS DOUBLE) AS payment,
+      CAST(round(CAST(max(payment) / nullif(sum(payment), 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS top_share, CAST(round(CAST(sum(payment * payment) / nullif(sum(payment) * sum(payment), 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS hhi, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.5) FILTER (known) AS DECIMAL(38,12)), 6) AS DOUBLE) AS services_median,
+      CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.75) FILTER (known) AS DECIMAL(38,12)), 6) AS DOUBLE) AS services_q75, CAST(round(CAST(coalesce(sum(payment) FILTER (state = '{STATE}'), 0) / nullif(sum(payment), 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS state_share,
+      CAST(round(CAST(coalesce(sum(payment) FILTER (candidate), 0) / nullif(sum(payment), 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS cohort_share, CASE WHEN count(*) FILTER (known AND NOT candidate) >= 60 THEN 'scoreable' ELSE 'insufficient-cohort-excluded-peer-cells-descriptive' END AS peer_status FROM review GROUP BY data_year, code, pos""",
     REVIEW,
 )
 def d12(spark, sf_dir):
@@ -290,8 +290,8 @@ def d12(spark, sf_dir):
     """WITH wanted AS (SELECT unnest(['NATION_3', 'NATION_7', 'NOWHERE']) AS state), nat AS (SELECT data_year, code, pos, entity, count(*) AS national_cells, sum(services) AS national_services, count(services_per_beneficiary) FILTER (known AND NOT candidate) AS national_peers,
         quantile_cont(services_per_beneficiary, 0.5) FILTER (known AND NOT candidate) AS national_median FROM review GROUP BY ALL),
       loc AS (SELECT data_year, code, pos, entity, state, count(*) AS state_cells, sum(services) AS state_services, count(services_per_beneficiary) FILTER (known AND NOT candidate) AS state_peers, quantile_cont(services_per_beneficiary, 0.75) FILTER (known AND NOT candidate) AS state_q75 FROM review GROUP BY ALL)
-    SELECT nat.data_year, nat.code, nat.pos, nat.entity, wanted.state, national_cells, national_peers, round(national_median + 3e-8, 6) AS national_median, coalesce(state_cells, 0) AS state_cells, coalesce(state_peers, 0) AS state_peers, round(state_q75 + 3e-8, 6) AS state_q75,
-      round(coalesce(state_services / nullif(national_services, 0), 0) + 3e-8, 6) AS state_share
+    SELECT nat.data_year, nat.code, nat.pos, nat.entity, wanted.state, national_cells, national_peers, CAST(round(CAST(national_median AS DECIMAL(38,12)), 6) AS DOUBLE) AS national_median, coalesce(state_cells, 0) AS state_cells, coalesce(state_peers, 0) AS state_peers, CAST(round(CAST(state_q75 AS DECIMAL(38,12)), 6) AS DOUBLE) AS state_q75,
+      CAST(round(CAST(coalesce(state_services / nullif(national_services, 0), 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS state_share
     FROM nat CROSS JOIN wanted LEFT JOIN loc ON nat.data_year IS NOT DISTINCT FROM loc.data_year AND nat.code IS NOT DISTINCT FROM loc.code AND nat.pos IS NOT DISTINCT FROM loc.pos AND nat.entity IS NOT DISTINCT FROM loc.entity AND wanted.state = loc.state""",
     REVIEW,
 )
@@ -311,9 +311,9 @@ PRODUCT = f"lower(brand) = lower('{BRAND}') AND lower(generic) = lower('{GENERIC
       spread AS (SELECT data_year, quantile_cont(claims, 0.999) AS claims_p999, quantile_cont(cost_per_claim, 0.5) AS median_cost, quantile_cont(cost_per_claim, 0.01) AS p01_cost, quantile_cont(cost_per_claim, 0.99) AS p99_cost FROM base GROUP BY data_year),
       own AS (SELECT ranked.*, claims_p999, median_cost, p01_cost, p99_cost, national_claims, national_cost FROM ranked JOIN spread USING (data_year) LEFT JOIN (SELECT * FROM national_drug WHERE {PRODUCT}) USING (data_year) WHERE npi = '{NPI}'),
       timed AS (SELECT *, lag(data_year) OVER (ORDER BY data_year) AS previous_year, lag(claims) OVER (ORDER BY data_year) AS previous_claims FROM own)
-    SELECT data_year, npi, claims, claims_rank, visible_rows, previous_year, CASE WHEN national_claims IS NULL THEN 'missing' ELSE 'available' END AS denominator_status, round(claims_percent_rank + 3e-8, 6) AS claims_percent_rank, round(claims_p999 + 3e-7, 5) AS claims_p999, round(median_cost + 3e-6, 4) AS median_cost,
-      round(p99_cost + 3e-6, 4) AS p99_cost, round(claims / nullif(claims_p999, 0) + 3e-7, 5) AS ratio_to_p999, round(100 * claims / nullif(national_claims, 0) + 3e-7, 5) AS national_claim_share, round(100 * claims / nullif(visible_claims, 0) + 3e-7, 5) AS visible_claim_share,
-      round(CASE WHEN previous_year = data_year - 1 THEN 100 * (claims - previous_claims) / nullif(previous_claims, 0) END + 3e-7, 5) AS change_percent FROM timed""",
+    SELECT data_year, npi, claims, claims_rank, visible_rows, previous_year, CASE WHEN national_claims IS NULL THEN 'missing' ELSE 'available' END AS denominator_status, CAST(round(CAST(claims_percent_rank AS DECIMAL(38,12)), 6) AS DOUBLE) AS claims_percent_rank, CAST(round(CAST(claims_p999 AS DECIMAL(38,12)), 5) AS DOUBLE) AS claims_p999, CAST(round(CAST(median_cost AS DECIMAL(38,12)), 4) AS DOUBLE) AS median_cost,
+      CAST(round(CAST(p99_cost AS DECIMAL(38,12)), 4) AS DOUBLE) AS p99_cost, CAST(round(CAST(claims / nullif(claims_p999, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS ratio_to_p999, CAST(round(CAST(100 * claims / nullif(national_claims, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS national_claim_share, CAST(round(CAST(100 * claims / nullif(visible_claims, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS visible_claim_share,
+      CAST(round(CAST(CASE WHEN previous_year = data_year - 1 THEN 100 * (claims - previous_claims) / nullif(previous_claims, 0) END AS DECIMAL(38,12)), 5) AS DOUBLE) AS change_percent FROM timed""",
     b.NATIONAL_DRUG,
 )
 def d14(spark, sf_dir):
@@ -324,7 +324,7 @@ def d14(spark, sf_dir):
 @query(
     "d15_leaders",
     f"""WITH ranked AS (SELECT data_year, npi, claims, beneficiaries, rank() OVER (PARTITION BY data_year ORDER BY claims DESC) AS claims_rank, row_number() OVER (PARTITION BY data_year ORDER BY claims DESC, npi) AS place, percent_rank() OVER (PARTITION BY data_year ORDER BY claims) AS claims_percent_rank FROM provider_drug WHERE {PRODUCT})
-    SELECT ranked.* EXCLUDE (claims_percent_rank), round(claims_percent_rank + 3e-8, 6) AS claims_percent_rank, national_claims, round(100 * claims / nullif(national_claims, 0) + 3e-7, 5) AS national_claim_share FROM ranked LEFT JOIN (SELECT data_year, national_claims FROM national_drug WHERE {PRODUCT}) USING (data_year) WHERE place <= 10""",
+    SELECT ranked.* EXCLUDE (claims_percent_rank), CAST(round(CAST(claims_percent_rank AS DECIMAL(38,12)), 6) AS DOUBLE) AS claims_percent_rank, national_claims, CAST(round(CAST(100 * claims / nullif(national_claims, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS national_claim_share FROM ranked LEFT JOIN (SELECT data_year, national_claims FROM national_drug WHERE {PRODUCT}) USING (data_year) WHERE place <= 10""",
     b.NATIONAL_DRUG,
 )
 def d15(spark, sf_dir):
@@ -339,7 +339,7 @@ def d15(spark, sf_dir):
       bounds AS (SELECT *, CASE WHEN from_claims IS NOT NULL AND to_claims IS NOT NULL THEN to_claims - from_claims END AS change, CASE WHEN from_claims IS NULL THEN to_claims - 2 WHEN to_claims IS NULL THEN -from_claims ELSE to_claims - from_claims END AS change_low,
         CASE WHEN from_claims IS NULL THEN to_claims WHEN to_claims IS NULL THEN 2 - from_claims ELSE to_claims - from_claims END AS change_high, abs(coalesce(to_claims, 0) - coalesce(from_claims, 0)) AS ranking_magnitude,
         CASE WHEN from_claims IS NULL THEN 'became-visible-prior-0-to-2-or-absent' WHEN to_claims IS NULL THEN 'became-nonvisible-current-0-to-2-or-absent' ELSE 'both-visible-exact' END AS visibility_status FROM paired)
-    SELECT CAST(from_year AS INTEGER) AS from_year, CAST(from_year + 1 AS INTEGER) AS to_year, npi, from_claims, to_claims, change, change_low, change_high, ranking_magnitude, visibility_status, round(100 * change / nullif(from_claims, 0) + 3e-7, 5) AS change_percent, round(to_cost - from_cost + 3e-4, 2) AS cost_change, change_rank
+    SELECT CAST(from_year AS INTEGER) AS from_year, CAST(from_year + 1 AS INTEGER) AS to_year, npi, from_claims, to_claims, change, change_low, change_high, ranking_magnitude, visibility_status, CAST(round(CAST(100 * change / nullif(from_claims, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS change_percent, CAST(round(CAST(to_cost - from_cost AS DECIMAL(38,12)), 2) AS DOUBLE) AS cost_change, change_rank
     FROM (SELECT *, row_number() OVER (PARTITION BY from_year ORDER BY ranking_magnitude DESC, npi) AS change_rank FROM bounds) WHERE change_rank <= 25""",
     b.PROVIDER_DRUG,
 )
@@ -350,8 +350,8 @@ def d16(spark, sf_dir):
 
 @query(
     "d17_portfolio",
-    f"""SELECT data_year, brand, generic, claims, rank() OVER (PARTITION BY data_year ORDER BY cost DESC) AS cost_rank, CASE WHEN data_year IN (1998, 1999, 2000) THEN 'all-reported-drugs' ELSE 'target-brand-only' END AS scope, round(cost / nullif(claims, 0) + 3e-6, 4) AS cost_per_claim,
-      round(100 * claims / nullif(sum(claims) OVER (PARTITION BY data_year), 0) + 3e-7, 5) AS claim_share, round(100 * cost / nullif(CAST(sum(exact_cost) OVER (PARTITION BY data_year) AS DOUBLE), 0) + 3e-7, 5) AS cost_share FROM provider_drug WHERE npi = '{NPI}'""",
+    f"""SELECT data_year, brand, generic, claims, rank() OVER (PARTITION BY data_year ORDER BY cost DESC) AS cost_rank, CASE WHEN data_year IN (1998, 1999, 2000) THEN 'all-reported-drugs' ELSE 'target-brand-only' END AS scope, CAST(round(CAST(cost / nullif(claims, 0) AS DECIMAL(38,12)), 4) AS DOUBLE) AS cost_per_claim,
+      CAST(round(CAST(100 * claims / nullif(sum(claims) OVER (PARTITION BY data_year), 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS claim_share, CAST(round(CAST(100 * cost / nullif(CAST(sum(exact_cost) OVER (PARTITION BY data_year) AS DOUBLE), 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS cost_share FROM provider_drug WHERE npi = '{NPI}'""",
     b.PROVIDER_DRUG,
 )
 def d17(spark, sf_dir):
@@ -359,7 +359,7 @@ def d17(spark, sf_dir):
     return df.select("data_year", "brand", "generic", "claims", "cost_rank", "scope", *rounded(None, 4, "cost_per_claim"), *rounded(df, 5, "claim_share", "cost_share"))
 
 
-@query("d18_national_denominators", f"SELECT CAST(y AS INTEGER) AS data_year, national_prescribers, national_claims, round(national_cost + 3e-4, 2) AS national_cost, CASE WHEN national_claims IS NULL OR national_claims <= 0 THEN 'missing' ELSE 'available' END AS denominator_status FROM range(1994, 2003) t(y) LEFT JOIN (SELECT * FROM national_drug WHERE {PRODUCT}) n ON n.data_year = y", b.NATIONAL_DRUG)
+@query("d18_national_denominators", f"SELECT CAST(y AS INTEGER) AS data_year, national_prescribers, national_claims, CAST(round(CAST(national_cost AS DECIMAL(38,12)), 2) AS DOUBLE) AS national_cost, CASE WHEN national_claims IS NULL OR national_claims <= 0 THEN 'missing' ELSE 'available' END AS denominator_status FROM range(1994, 2003) t(y) LEFT JOIN (SELECT * FROM national_drug WHERE {PRODUCT}) n ON n.data_year = y", b.NATIONAL_DRUG)
 def d18(spark, sf_dir):
     national = b.national_drug(spark, sf_dir)
     return products.denominators(year_spine(national, 1994, 2002), national, BRAND, GENERIC).withColumn("national_cost", rounded(None, 2, "national_cost")[0])
@@ -427,7 +427,7 @@ def _roster(scope: str) -> str:
       sized AS (SELECT *, CASE WHEN was AND now THEN 'retained' WHEN now THEN 'added' ELSE 'exited' END AS status, count(*) FILTER (was) OVER w AS previous_size, count(*) FILTER (now) OVER w AS current_size, count(*) FILTER (was AND now) OVER w AS retained_count, count(*) OVER w AS all_count,
         count(*) FILTER (was AND now AND pt IS DISTINCT FROM ct) OVER w AS third_changes FROM merged WINDOW w AS (PARTITION BY payer, previous_year))
     SELECT payer, previous_year, recipient, quality, status, CASE status WHEN 'added' THEN 1 WHEN 'exited' THEN 2 ELSE 3 END AS status_order, previous_records, current_records, CAST(current_amount AS DOUBLE) AS current_amount, previous_size, current_size, retained_count, third_changes,
-      round(100 * retained_count / nullif(previous_size, 0) + 3e-7, 5) AS retained_percent, round(100 * retained_count / nullif(all_count, 0) + 3e-7, 5) AS jaccard_percent FROM sized"""
+      CAST(round(CAST(100 * retained_count / nullif(previous_size, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS retained_percent, CAST(round(CAST(100 * retained_count / nullif(all_count, 0) AS DECIMAL(38,12)), 5) AS DOUBLE) AS jaccard_percent FROM sized"""
 
 
 def _transitions(spark, sf_dir, scope):
@@ -447,7 +447,7 @@ def d23_npi(spark, sf_dir):
 
 @query(
     "d24_attribution_shares",
-    """SELECT data_year, npi, brand, claims, round(claims / nullif(national_claims, 0) + 3e-8, 6) AS claim_share, round(claims / nullif(lag(claims) OVER (PARTITION BY npi, brand ORDER BY data_year), 0) - 1 + 3e-8, 6) AS growth, round(claims / nullif(beneficiaries, 0) + 3e-8, 6) AS claims_per_beneficiary,
+    """SELECT data_year, npi, brand, claims, CAST(round(CAST(claims / nullif(national_claims, 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS claim_share, CAST(round(CAST(claims / nullif(lag(claims) OVER (PARTITION BY npi, brand ORDER BY data_year), 0) - 1 AS DECIMAL(38,12)), 6) AS DOUBLE) AS growth, CAST(round(CAST(claims / nullif(beneficiaries, 0) AS DECIMAL(38,12)), 6) AS DOUBLE) AS claims_per_beneficiary,
       CAST(national_claims - sum(claims) OVER (PARTITION BY data_year, brand) AS BIGINT) AS visible_gap FROM provider_drug LEFT JOIN national_drug USING (data_year, brand, generic)""",
     b.NATIONAL_DRUG,
 )

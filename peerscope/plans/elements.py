@@ -264,10 +264,10 @@ def a6(spark, sf_dir):
 _U = {"allowed": "allowed", "payment": "payment"}
 
 
-@query("a8_u2_long_wide", "SELECT data_year, code, count(*) AS allowed_n, round(avg(allowed) + 3e-5, 3) AS allowed_mean, count(*) AS payment_n, round(avg(payment) + 3e-5, 3) AS payment_mean FROM cells GROUP BY data_year, code", b.CELLS)
+@query("a8_u2_long_wide", "SELECT data_year, code, count(*) AS allowed_n, CAST(round(CAST(CAST(sum(CAST(allowed AS DECIMAL(28,4))) AS DOUBLE) / count(allowed) AS DECIMAL(38,12)), 3) AS DOUBLE) AS allowed_mean, count(*) AS payment_n, CAST(round(CAST(CAST(sum(CAST(payment AS DECIMAL(28,4))) AS DOUBLE) / count(payment) AS DECIMAL(38,12)), 3) AS DOUBLE) AS payment_mean FROM cells GROUP BY data_year, code", b.CELLS)
 def a8(spark, sf_dir):
     long = reshape.unpivot(b.cells(spark, sf_dir), ["data_year", "code"], _U)
-    return reshape.pivot(long, ["data_year", "code"], "metric", list(_U), {"n": F.count(F.lit(1)), "mean": F.round(F.avg("value") + 3e-5, 3)})
+    return reshape.pivot(long, ["data_year", "code"], "metric", list(_U), {"n": F.count(F.lit(1)), "mean": F.round((F.sum(F.col("value").cast("decimal(28,4)")).cast("double") / F.count("value")).cast("decimal(38,12)"), 3).cast("double")})
 
 
 @query("a9_boolean_aggregates", "SELECT payer, bool_and(third) AS all_third, bool_or(product) AS any_product, bool_and(product) FILTER (form = 'cash') AS cash_product FROM labelled GROUP BY payer", a.IDENTIFIED)
@@ -329,7 +329,7 @@ def a22(spark, sf_dir):
 
 
 # --- peer statistics -------------------------------------------------------------------------------------------------
-@query("r3_r4_r9_robust_scores", f"WITH {a.peer_sql('tested_rows', _ONE, {'units': 'units_per_day'}, 'w')} SELECT {K}, units_scale, {a._r(['units_z', 'units_ratio'], 6)}, round(abs(units_per_day - units_median) + 3e-11, 9) AS units_delta FROM w", a.SCAN_ROWS)
+@query("r3_r4_r9_robust_scores", f"WITH {a.peer_sql('tested_rows', _ONE, {'units': 'units_per_day'}, 'w')} SELECT {K}, units_scale, {a._r(['units_z', 'units_ratio'], 6)}, CAST(round(CAST(abs(units_per_day - units_median) AS DECIMAL(38,12)), 9) AS DOUBLE) AS units_delta FROM w", a.SCAN_ROWS)
 def r3(spark, sf_dir):
     metric = {"units": "units_per_day"}
     rows = claims.scan_rows(b.cells(spark, sf_dir), b.summary(spark, sf_dir), a.S).filter(F.col("tested") >= a.S.minimum_tested)
@@ -337,14 +337,14 @@ def r3(spark, sf_dir):
     return out.select(*KEY, "units_scale", *a.rounded(None, 6, "units_z", "units_ratio"), *nine("units_delta"))
 
 
-@query("r5_r6_w4_percentiles", f"SELECT {K}, round(cume_dist() OVER (PARTITION BY data_year, code, pos, entity ORDER BY CASE WHEN beneficiaries > 2 THEN payment END ASC NULLS LAST) + 3e-11, 9) AS own_percentile, round(cume_dist() OVER (PARTITION BY data_year, code ORDER BY CASE WHEN beneficiaries > 2 THEN payment END ASC NULLS LAST) + 3e-11, 9) AS broad_percentile FROM cells", b.CELLS)
+@query("r5_r6_w4_percentiles", f"SELECT {K}, CAST(round(CAST(cume_dist() OVER (PARTITION BY data_year, code, pos, entity ORDER BY CASE WHEN beneficiaries > 2 THEN payment END ASC NULLS LAST) AS DECIMAL(38,12)), 9) AS DOUBLE) AS own_percentile, CAST(round(CAST(cume_dist() OVER (PARTITION BY data_year, code ORDER BY CASE WHEN beneficiaries > 2 THEN payment END ASC NULLS LAST) AS DECIMAL(38,12)), 9) AS DOUBLE) AS broad_percentile FROM cells", b.CELLS)
 def r5(spark, sf_dir):
     rows = b.cells(spark, sf_dir).withColumn("shown", F.when(F.col("beneficiaries") > 2, F.col("payment")))
     out = peers.percentiles(peers.percentiles(rows, ["data_year", "code", "pos", "entity"], {"own": "shown"}), ["data_year", "code"], {"broad": "shown"})
     return out.select(*KEY, *nine("own_percentile", "broad_percentile"))
 
 
-@query("r7_excluded_statistics", "SELECT data_year, code, pos, entity, count(*) AS peer_count, round(quantile_cont(services_per_beneficiary, 0.5) + 3e-11, 9) AS services_median, round(quantile_cont(services_per_beneficiary, 0.75) + 3e-11, 9) AS services_q3 FROM review WHERE known AND NOT candidate GROUP BY ALL", a.REVIEW)
+@query("r7_excluded_statistics", "SELECT data_year, code, pos, entity, count(*) AS peer_count, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.5) AS DECIMAL(38,12)), 9) AS DOUBLE) AS services_median, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.75) AS DECIMAL(38,12)), 9) AS DOUBLE) AS services_q3 FROM review WHERE known AND NOT candidate GROUP BY ALL", a.REVIEW)
 def r7(spark, sf_dir):
     keys = ["data_year", "code", "pos", "entity"]
     out = peers.excluded_stats(claims.review_cells(*a.review_parts(spark, sf_dir)), keys, {"services": "services_per_beneficiary"}, F.col("known") & ~F.col("candidate"))
