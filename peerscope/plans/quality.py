@@ -16,9 +16,12 @@ from .registry import query
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; a local one only where none is set, as in tests."""
+    """A new path in the shared folder of the cluster; a local one only on a local master with none set, as in tests."""
     sc = spark.sparkContext
-    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-out-")
+    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = top or tempfile.mkdtemp(prefix="spark-out-")
     return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
