@@ -484,22 +484,23 @@ def d25_pairs(spark, sf_dir):
     return context.reassignment_pairs(series, most).select("brand", "rising", "falling", "rise", "fall", "combined_ratio", "classification")
 
 
-ROLES = ("prescriber", "dispenser", "administrator", "biller", "payment-recipient")
+ROLES = ("prescriber", "dispenser", "administrator", "biller")
 
 
 @query(
     "d26_role_completeness",
-    """WITH a AS (SELECT brand, CASE flag WHEN 'A' THEN 'prescriber' WHEN 'N' THEN 'dispenser' ELSE CASE WHEN CAST(npi AS BIGINT) % 2 = 0 THEN 'biller' ELSE 'administrator' END END AS role, npi AS actor, pos FROM lines WHERE data_year >= 1999)
-    SELECT brand, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, count(DISTINCT actor) FILTER (role = 'dispenser') AS dispensers, (SELECT string_agg(r, '|' ORDER BY r) FROM unnest(['prescriber', 'dispenser', 'administrator', 'biller', 'payment-recipient']) t(r) WHERE r NOT IN (SELECT role FROM a b WHERE b.brand = a.brand)) AS missing_roles,
-      CASE WHEN true THEN 'incomplete-roles' END AS classification FROM a GROUP BY brand""",
+    """WITH a AS (SELECT brand || '/' || state AS product, CASE flag WHEN 'A' THEN 'prescriber' WHEN 'N' THEN 'dispenser' ELSE CASE WHEN CAST(npi AS BIGINT) % 2 = 0 THEN 'biller' ELSE 'administrator' END END AS role, npi AS actor, pos FROM lines WHERE data_year >= 1999),
+      g AS (SELECT product, string_agg(DISTINCT role, '|' ORDER BY role) AS roles, count(DISTINCT actor) FILTER (role = 'dispenser') AS dispensers, bool_or(role = 'prescriber' AND pos = 'F') AS protocol, list(DISTINCT role) AS present FROM a GROUP BY product)
+    SELECT product, roles, dispensers, coalesce((SELECT string_agg(r, '|' ORDER BY r) FROM unnest(['prescriber', 'dispenser', 'administrator', 'biller']) t(r) WHERE NOT list_contains(present, r)), '') AS missing_roles,
+      CASE WHEN len(present) < 4 THEN 'incomplete-roles' WHEN protocol AND dispensers > 1 THEN 'protocol-attribution-plausible-not-proven' ELSE 'ordinary-clinical-attribution-unresolved' END AS classification FROM g""",
     b.LINES,
 )
 def d26(spark, sf_dir):
     rows = b.lines(spark, sf_dir).filter(F.col("data_year") >= 1999)
     role = F.when(F.col("flag") == "A", "prescriber").when(F.col("flag") == "N", "dispenser").when(F.col("npi").cast("long") % 2 == 0, "biller").otherwise("administrator")
-    roles = rows.select("brand", role.alias("role"), F.col("npi").alias("actor"), F.when(F.col("pos") == "F", "standing-order-protocol").alias("basis"))
-    df = context.role_completeness(roles, "brand", ROLES)
-    return df.select("brand", F.array_join("roles", "|").alias("roles"), "dispensers", F.array_join("missing_roles", "|").alias("missing_roles"), "classification")
+    roles = rows.select(F.concat_ws("/", "brand", "state").alias("product"), role.alias("role"), F.col("npi").alias("actor"), F.when(F.col("pos") == "F", "standing-order-protocol").alias("basis"))
+    df = context.role_completeness(roles, "product", ROLES)
+    return df.select("product", F.array_join("roles", "|").alias("roles"), "dispensers", F.array_join("missing_roles", "|").alias("missing_roles"), "classification")
 
 
 @query(
