@@ -72,6 +72,14 @@ def sorted_quartiles(df: DataFrame, keys: Sequence[str], metric: str, p: float)
     return near.groupBy(*keys).agg(F.sum(F.col(metric) * part).alias("value"))
 
 
+def scopes(df: DataFrame, state: str) -> DataFrame:
+    """Rows once for the nation (blank geography) and once for their state, by `peer_scope` and `geography`; blank states have no own scope."""
+    place = F.nullif(F.upper(state), F.lit(""))
+    scope = lambda name, where: F.struct(F.lit(name).alias("peer_scope"), where.alias("geography"))
+    both = F.array(scope("national", F.lit("")), scope("supplier-address-state", place))
+    return df.select("*", F.inline(F.when(place.isNull(), F.slice(both, 1, 1)).otherwise(both)))
+
+
 def excluded_stats(cells: DataFrame, keys: Sequence[str], metrics: Mapping[str, str], is_peer: Column) -> DataFrame:
     """Statistics per stratum over its peers alone, such as the cells outside a candidate cohort."""
     peers = cells.filter(is_peer)

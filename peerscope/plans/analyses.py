@@ -239,26 +239,45 @@ def d10(spark, sf_dir):
 
 
 C = TEST_REVIEW
-REVIEW = f"""{b.SERVICE_CELLS}, review AS (SELECT *, CAST(npi AS BIGINT) % 5 = 0 AS candidate, beneficiaries IS NOT NULL AND beneficiaries > 0 AS known, services / nullif(beneficiaries, 0) AS services_per_beneficiary,
+REVIEW = f"""{b.CELLS_AND_SUMMARY}, review AS (SELECT *, upper(state) AS geography, CAST(npi AS BIGINT) % 5 = 0 AS candidate, beneficiaries IS NOT NULL AND beneficiaries > 0 AS known, services / nullif(beneficiaries, 0) AS services_per_beneficiary,
   payment / nullif(beneficiaries, 0) AS payment_per_beneficiary, standardized / nullif(beneficiaries, 0) AS std_per_beneficiary, claims / nullif(beneficiaries, 0) AS claims_per_beneficiary FROM service_cells)"""
 _RK = "data_year, code, pos, entity"
-_rank = lambda n, m: f"CASE WHEN x.{m} IS NOT NULL AND peer_count > 0 THEN 1 + (SELECT count(*) FROM review p WHERE p.known AND NOT p.candidate AND p.data_year = x.data_year AND p.code = x.code AND p.pos = x.pos AND p.entity = x.entity AND p.{m} > x.{m}) END AS {n}_high_rank"
-_share = lambda n, m: f"CASE WHEN x.{m} IS NOT NULL AND peer_count > 0 THEN (SELECT count(*) FROM review p WHERE p.known AND NOT p.candidate AND p.data_year = x.data_year AND p.code = x.code AND p.pos = x.pos AND p.entity = x.entity AND p.{m} <= x.{m}) / peer_count END AS {n}_peer_share"
+_here = "p.known AND NOT p.candidate AND p.data_year = x.data_year AND p.code = x.code AND p.pos = x.pos AND p.entity = x.entity"
+_rank = lambda n, m, where=_here, peers="peer_count": f"CASE WHEN x.{m} IS NOT NULL AND {peers} > 0 THEN 1 + (SELECT count(*) FROM review p WHERE {where} AND p.{m} > x.{m}) END AS {n}_high_rank"
+_share = lambda n, m, where=_here, peers="peer_count": f"CASE WHEN x.{m} IS NOT NULL AND {peers} > 0 THEN (SELECT count(*) FROM review p WHERE {where} AND p.{m} <= x.{m}) / {peers} END AS {n}_peer_share"
+_in_state = f"{_here} AND p.geography = x.geography"
 _RM = claims.REVIEW_METRICS
-_TAIL = lambda n: f"coalesce(known AND peer_count >= {C.minimum_peers} AND {n}_peer_share >= {C.tail}, false)"
+_TAIL = lambda n, more="", at=C.tail: f"coalesce(known AND peer_count >= {C.minimum_peers} AND {n}_peer_share >= {at}{more}, false)"
+_STRONG = lambda n: f" AND {n}_z >= {C.z} AND {n}_ratio >= {C.ratio}"
 _RPATH = "PARTITION BY npi, code, pos, entity"
-PEER_REVIEW = f"""{REVIEW}, peers AS (SELECT * FROM review WHERE known AND NOT candidate), {peer_sql('peers', _RK, _RM, 'stats')},
+_same = lambda keys, x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in keys.split(", "))
+_over = lambda value, q: f"CASE WHEN {q} IS NOT NULL AND beneficiaries IS NOT NULL THEN greatest(0, {value} - beneficiaries * {q}) END"
+_zed = lambda n, m: f"CASE WHEN {n}_mad > 1e-12 * greatest(1, abs({n}_median)) THEN 0.67448975 * ({m} - {n}_median) / {n}_mad WHEN {n}_iqr > 1e-12 * greatest(1, abs({n}_median)) THEN 1.3489795 * ({m} - {n}_median) / {n}_iqr END"
+_MONEY3 = ("services", "payment", "standardized")
+PEER_REVIEW = f"""{REVIEW.replace('FROM service_cells)', "FROM service_cells WHERE code IN ('" + "', '".join(C.codes) + "'))")}, peers AS (SELECT * FROM review WHERE known AND NOT candidate), {peer_sql('peers', _RK, _RM, 'stats')}, {peer_sql('peers', _RK + ', geography', _RM, 'near')},
   stat AS (SELECT DISTINCT {_RK}, peer_count, {', '.join(f'{n}_median, {n}_q3, {n}_iqr, {n}_mad' for n in _RM)} FROM stats),
-  placed AS (SELECT x.*, peer_count, services_median, payment_q3, std_q3, std_median, std_mad, std_iqr, {', '.join(_rank(n, m) for n, m in _RM.items())}, {', '.join(_share(n, m) for n, m in _RM.items())}
-    FROM (SELECT * FROM review WHERE candidate) x LEFT JOIN stat ON x.data_year = stat.data_year AND x.code = stat.code AND x.pos = stat.pos AND x.entity = stat.entity),
-  judged AS (SELECT *, CASE WHEN payment_q3 IS NOT NULL AND beneficiaries IS NOT NULL THEN greatest(0, payment - beneficiaries * payment_q3) END AS raw_exposure, CASE WHEN std_q3 IS NOT NULL AND beneficiaries IS NOT NULL THEN greatest(0, standardized - beneficiaries * std_q3) END AS std_exposure,
-    CASE WHEN NOT known THEN 'unknown-beneficiary-descriptive' WHEN peer_count >= {C.minimum_peers} THEN 'scoreable' ELSE 'insufficient-peer-descriptive' END AS status, {', '.join(f'{_TAIL(n)} AS {n}_tail' for n in _RM)},
-    CASE WHEN std_mad > 1e-12 * greatest(1, abs(std_median)) THEN 0.67448975 * (std_per_beneficiary - std_median) / std_mad WHEN std_iqr > 1e-12 * greatest(1, abs(std_median)) THEN 1.3489795 * (std_per_beneficiary - std_median) / std_iqr END AS std_z FROM placed),
-  sized AS (SELECT *, coalesce(payment >= {C.minimum_payment} AND raw_exposure >= {C.minimum_exposure} AND std_exposure >= {C.minimum_exposure}, false) AS magnitude FROM judged),
-  yearly AS (SELECT *, magnitude AND std_tail AND (claims_tail OR services_tail) AS tail_year FROM sized),
-  peer_review AS (SELECT *, bool_or(tail_year AND data_year = {C.focus_year}) OVER ({_RPATH}) AND bool_or(tail_year AND data_year < {C.focus_year}) OVER ({_RPATH}) AS temporal_tail FROM yearly)"""
-_PR_FIXED = ["data_year", "npi", "code", "pos", "entity", "status", "services_high_rank", "std_high_rank", "services_tail", "std_tail", "magnitude", "tail_year", "temporal_tail"]
-_PR_ROUND = ["services_per_beneficiary", "services_median", "services_peer_share", "claims_peer_share", "std_z"]
+  near_stat AS (SELECT DISTINCT {_RK}, geography, peer_count AS state_peer_count, {', '.join(f'{n}_{k} AS state_{n}_{k}' for n in _RM for k in ('median', 'q3', 'iqr', 'mad'))} FROM near),
+  placed AS (SELECT x.*, stat.* EXCLUDE ({_RK}), near_stat.* EXCLUDE ({_RK}, geography), {', '.join(_rank(n, m) for n, m in _RM.items())}, {', '.join(_share(n, m) for n, m in _RM.items())},
+      {', '.join(_rank('state_' + n, m, _in_state, 'state_peer_count') for n, m in _RM.items())}, {', '.join(_share('state_' + n, m, _in_state, 'state_peer_count') for n, m in _RM.items())}
+    FROM (SELECT * FROM review WHERE candidate) x LEFT JOIN stat ON {_same(_RK, 'x', 'stat')} LEFT JOIN near_stat ON {_same(_RK + ', geography', 'x', 'near_stat')}),
+  judged AS (SELECT *, {_over('payment', 'payment_q3')} AS raw_exposure, {_over('standardized', 'std_q3')} AS std_exposure, {_over('payment', 'state_payment_q3')} AS state_raw_exposure, {_over('standardized', 'state_std_q3')} AS state_std_exposure,
+    CASE WHEN NOT known THEN 'unknown-beneficiary-descriptive' WHEN peer_count >= {C.minimum_peers} THEN 'scoreable' ELSE 'insufficient-peer-descriptive' END AS status,
+    {', '.join(f'{_zed(n, m)} AS {n}_z, CASE WHEN {n}_median > 0 THEN {m} / {n}_median END AS {n}_ratio, {_zed("state_" + n, m)} AS state_{n}_z' for n, m in _RM.items())} FROM placed),
+  sized AS (SELECT *, coalesce(payment >= {C.minimum_payment} AND raw_exposure >= {C.minimum_exposure} AND std_exposure >= {C.minimum_exposure}, false) AS magnitude, {', '.join(f'{_TAIL(n)} AS {n}_tail, {_TAIL(n, _STRONG(n), C.full)} AS {n}_full' for n in _RM)},
+    {', '.join(f'{_TAIL(n, _STRONG(n))} AS {n}_robust_tail' for n in claims.USE)}, CASE WHEN status = 'scoreable' AND claims_z IS NULL AND services_z IS NULL THEN 'degenerate-utilization-scale-descriptive' ELSE status END AS qualification_status FROM judged),
+  yearly AS (SELECT *, magnitude AND (claims_robust_tail OR services_robust_tail) AS tail_year, magnitude AND (claims_full OR services_full) AS full_year FROM sized),
+  timed AS (SELECT *, count(*) OVER ({_RPATH}) AS observed_years, count(*) FILTER (tail_year) OVER ({_RPATH}) AS tail_years, count(*) FILTER (full_year) OVER ({_RPATH}) AS full_years,
+      {', '.join(f'bool_or({k}_year AND data_year = {C.focus_year}) OVER ({_RPATH}) AND bool_or({k}_year AND data_year < {C.focus_year}) OVER ({_RPATH}) AS temporal_{k}' for k in ('tail', 'full'))} FROM yearly),
+  market AS (SELECT data_year, code, pos, {', '.join(f"sum({c}) AS market_{c}, coalesce(sum({c}) FILTER (state = '{C.state}'), 0) AS state_{c}, coalesce(sum({c}) FILTER (candidate), 0) AS cohort_{c}" for c in _MONEY3)} FROM review GROUP BY ALL),
+  folio AS (SELECT data_year, npi, count(*) AS portfolio_cells, count(DISTINCT code) AS portfolio_codes, {', '.join(f'sum({c}) AS portfolio_{c}' for c in _MONEY3)}, max(payment) / sum(payment) AS portfolio_top_share, list_sum(list_sort(list(payment), 'DESC')[1:3]) / sum(payment) AS portfolio_top_three_share,
+    sum(payment * payment) / (sum(payment) * sum(payment)) AS portfolio_hhi FROM review WHERE candidate GROUP BY ALL),
+  peer_review AS (SELECT y.*, folio.* EXCLUDE (data_year, npi), {', '.join(f'portfolio_{c} / nullif(s.{c}, 0) AS {c}_coverage, y.{c} / nullif(market_{c}, 0) AS {c}_market_share' for c in _MONEY3)}, s.payment - portfolio_payment AS unrepresented_payment, s.standardized - portfolio_standardized AS unrepresented_standardized,
+      {', '.join(f"{w}_{c} / nullif(market_{c}, 0) AS {w}_{'' if c == 'payment' else c + '_'}share" for w in ('state', 'cohort') for c in _MONEY3)}
+    FROM timed y JOIN market m ON {_same('data_year, code, pos', 'y', 'm')} JOIN folio ON {_same('data_year, npi', 'y', 'folio')} JOIN summary s ON {_same('data_year, npi', 'y', 's')})"""
+_PR_FIXED = ["data_year", "npi", "code", "pos", "entity", "status", "qualification_status", "services_high_rank", "std_high_rank", "state_services_high_rank", "state_payment_high_rank", "services_tail", "std_tail", "claims_robust_tail", "services_robust_tail", "services_full", "payment_full", "magnitude", "tail_year", "full_year", "observed_years", "tail_years", "full_years", "temporal_tail", "temporal_full", "portfolio_cells", "portfolio_codes"]
+_PR_ROUND = ["services_per_beneficiary", "services_median", "services_peer_share", "claims_peer_share", "std_z", "state_services_median", "state_services_peer_share", "state_std_z", "state_claims_q3", "services_market_share", "payment_market_share", "standardized_market_share", *claims.MARKET_SHARES, "portfolio_top_share", "portfolio_top_three_share", "portfolio_hhi", "services_coverage", "payment_coverage", "standardized_coverage"]
+_PR_MONEY = ["raw_exposure", "state_raw_exposure", "state_std_exposure"]
+_PR_EXACT = ["unrepresented_payment", "unrepresented_standardized"]
 
 
 def review_parts(spark, sf_dir):
@@ -266,10 +285,11 @@ def review_parts(spark, sf_dir):
     return cells, b.read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 5 == 0).select(F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("npi"))
 
 
-@query("d11_peer_review", f"SELECT {', '.join(_PR_FIXED)}, coalesce(peer_count, 0) AS peer_count, {_r(_PR_ROUND, 6)}, {_r(['raw_exposure'], 3)} FROM peer_review", PEER_REVIEW)
+@query("d11_peer_review", f"SELECT {', '.join(_PR_FIXED)}, coalesce(peer_count, 0) AS peer_count, coalesce(state_peer_count, 0) AS state_peer_count, {_r(_PR_ROUND, 6)}, {_r(_PR_MONEY, 3)}, {_r(_PR_EXACT, 4)} FROM peer_review", PEER_REVIEW)
 def d11(spark, sf_dir):
-    df = claims.peer_review(*review_parts(spark, sf_dir), C)
-    return df.select(*_PR_FIXED, F.coalesce("peer_count", F.lit(0)).alias("peer_count"), *rounded(df, 6, *_PR_ROUND), *rounded(df, 3, "raw_exposure"))
+    cells, candidates = review_parts(spark, sf_dir)
+    df = claims.peer_review(cells, b.summary(spark, sf_dir), candidates, C)
+    return df.select(*_PR_FIXED, "peer_count", "state_peer_count", *rounded(df, 6, *_PR_ROUND), *rounded(df, 3, *_PR_MONEY), *rounded(df, 4, *_PR_EXACT))
 
 
 @query(

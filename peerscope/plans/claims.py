@@ -323,31 +323,73 @@ def attach_flag(candidates: DataFrame) -> DataFrame:
     return candidates.select("npi").distinct().withColumn("candidate", F.lit(True))
 
 
-def peer_review(cells: DataFrame, candidates: DataFrame, cfg: ReviewConfig) -> DataFrame:
-    """Candidates' cells against peers outside the cohort, within year, code, place and entity.
+STATE_METRICS = {f"state_{n}": m for n, m in REVIEW_METRICS.items()}
+#: Metrics of use rather than money; their tails qualify a cell.
+USE = ("claims", "services")
+
+
+def portfolio_coverage(cells: DataFrame, summary: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Per candidate and year the totals and concentration of its cells, what share of the summary they are, and the rest."""
+    keys = ["data_year", "npi"]
+    own, pay = cells.join(candidates.select("npi").distinct(), "npi", "left_semi"), F.col("payment")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(pay.desc(), "code", "pos"))
+    folio = own.withColumn("place", place).groupBy(*keys).agg(
+        F.count("*").alias("portfolio_cells"), F.count_distinct("code").alias("portfolio_codes"), *[F.sum(c).alias(f"portfolio_{c}") for c in ("services", "payment", "standardized")],
+        F.max(pay).alias("top"), F.sum(F.when(F.col("place") <= 3, pay)).alias("top_three"), F.sum(pay * pay).alias("squares"),
+    )
+    both = folio.join(summary.select(*keys, *[F.col(c).alias(f"summary_{c}") for c in ("services", "payment", "standardized")]), keys)
+    return both.withColumns({
+        "portfolio_top_share": ratio("top", "portfolio_payment"), "portfolio_top_three_share": ratio("top_three", "portfolio_payment"), "portfolio_hhi": ratio(F.col("squares"), F.col("portfolio_payment") * F.col("portfolio_payment")),
+        **{f"{c}_coverage": ratio(f"portfolio_{c}", f"summary_{c}") for c in ("services", "payment", "standardized")}, **{f"unrepresented_{c}": F.col(f"summary_{c}") - F.col(f"portfolio_{c}") for c in ("payment", "standardized")},
+    }).drop("top", "top_three", "squares")
+
 
-    Flags need enough peers and all magnitude gates; a candidate's cell qualifies over time if the focus year and an
-    earlier year both qualify.
+def peer_review(cells: DataFrame, summary: DataFrame, candidates: DataFrame, cfg: ReviewConfig) -> DataFrame:
+    """Candidates' cells against peers outside the cohort, within year, code, place and entity, in the nation and in their state.
+
+    Flags need enough national peers, a tail in use per beneficiary and all magnitude gates; the state's statistics are
+    context and null where the state is blank. Only the configured codes are reviewed. A cell qualifies over time if the focus year and an earlier year both do.
+    Every row also has its shares of the visible market and what its candidate's cells cover of the summary.
     """
     keys = ["data_year", "code", "pos", "entity"]
-    rows = review_cells(cells, candidates)
-    peer = F.col("known") & ~F.col("candidate")
-    ranked = excluded_rank(rows, keys, REVIEW_METRICS, peer, F.col("candidate"))
+    local = [*keys, "geography"]
+    cells = cells.filter(F.upper("code").isin(list(cfg.codes))) if cfg.codes else cells
+    rows = review_cells(cells, candidates).withColumn("geography", F.nullif(F.upper("state"), F.lit("")))
+    peer, own = F.col("known") & ~F.col("candidate"), F.col("candidate")
+    # The state's strata lie within the national ones, so both are ranked on one shuffle.
+    ranked = excluded_rank(excluded_rank(rows, keys, REVIEW_METRICS, peer, F.lit(True)), local, STATE_METRICS, peer, own)
+    ranked = ranked.withColumns({c: F.when(F.col("geography").isNotNull(), F.col(c)) for n in STATE_METRICS for c in (f"{n}_high_rank", f"{n}_peer_share")})
     known = attach(ranked, excluded_stats(rows, keys, REVIEW_METRICS, peer), keys, "left")
-    known = score(known, REVIEW_METRICS).withColumns({
-        "raw_exposure": exposure(F.col("payment"), F.col("beneficiaries"), F.col("payment_q3")), "std_exposure": exposure(F.col("standardized"), F.col("beneficiaries"), F.col("std_q3")),
+    known = attach(known, excluded_stats(rows, local, STATE_METRICS, peer).withColumnRenamed("peer_count", "state_peer_count"), local, "left")
+    over = lambda value, quartile: exposure(F.col(value), F.col("beneficiaries"), F.col(quartile))
+    known = score(score(known, REVIEW_METRICS), STATE_METRICS).withColumns({
+        "peer_count": F.coalesce("peer_count", F.lit(0)), "state_peer_count": F.coalesce("state_peer_count", F.lit(0)),
+        "raw_exposure": over("payment", "payment_q3"), "std_exposure": over("standardized", "std_q3"), "state_raw_exposure": over("payment", "state_payment_q3"), "state_std_exposure": over("standardized", "state_std_q3"),
     })
-    enough = F.coalesce(F.col("peer_count"), F.lit(0)) >= cfg.minimum_peers
+    enough = F.col("peer_count") >= cfg.minimum_peers
     status = F.when(~F.col("known"), "unknown-beneficiary-descriptive").when(enough, "scoreable").otherwise("insufficient-peer-descriptive")
+    no_scale = all_gates(*[F.col(f"{n}_scale") == "degenerate" for n in USE])
+    robust = lambda n: (F.col(f"{n}_z") >= cfg.z, F.col(f"{n}_ratio") >= cfg.ratio)
     tail = {f"{n}_tail": all_gates(F.col("known"), enough, F.col(f"{n}_peer_share") >= cfg.tail) for n in REVIEW_METRICS}
-    full = {f"{n}_full": all_gates(F.col("known"), enough, F.col(f"{n}_peer_share") >= cfg.full, F.col(f"{n}_z") >= cfg.z, F.col(f"{n}_ratio") >= cfg.ratio) for n in REVIEW_METRICS}
+    tail |= {f"{n}_robust_tail": all_gates(F.col("known"), enough, F.col(f"{n}_peer_share") >= cfg.tail, *robust(n)) for n in USE}
+    full = {f"{n}_full": all_gates(F.col("known"), enough, F.col(f"{n}_peer_share") >= cfg.full, *robust(n)) for n in REVIEW_METRICS}
     magnitude = all_gates(F.col("payment") >= cfg.minimum_payment, F.col("raw_exposure") >= cfg.minimum_exposure, F.col("std_exposure") >= cfg.minimum_exposure)
     out = known.withColumns({"status": status, **tail, **full, "magnitude": magnitude})
-    out = out.withColumn("tail_year", F.col("magnitude") & F.col("std_tail") & (F.col("claims_tail") | F.col("services_tail")))
+    out = out.withColumns({
+        "qualification_status": F.when((F.col("status") == "scoreable") & no_scale, "degenerate-utilization-scale-descriptive").otherwise(F.col("status")),
+        "tail_year": F.col("magnitude") & (F.col("claims_robust_tail") | F.col("services_robust_tail")), "full_year": F.col("magnitude") & (F.col("claims_full") | F.col("services_full")),
+    })
     path = Window.partitionBy("npi", "code", "pos", "entity")
     now, before = F.col("data_year") == cfg.focus_year, F.col("data_year") < cfg.focus_year
-    both = F.bool_or(F.col("tail_year") & now).over(path) & F.bool_or(F.col("tail_year") & before).over(path)
-    return out.withColumn("temporal_tail", both)
+    both = lambda c: F.bool_or(F.col(c) & now).over(path) & F.bool_or(F.col(c) & before).over(path)
+    years = {"observed_years": F.count("*").over(path), **{f"{k}_years": count_where(F.col(f"{k}_year")).over(path) for k in ("tail", "full")}}
+    out = out.withColumns({**years, "temporal_tail": both("tail_year"), "temporal_full": both("full_year")})
+    market = market_context(cells, candidates, cfg.state, cfg.minimum_peers).select("data_year", "code", "pos", *[F.col(c).alias(f"market_{c}") for c in ("services", "payment", "standardized")], *MARKET_SHARES)
+    out = attach(attach(out, market, ["data_year", "code", "pos"]), portfolio_coverage(cells, summary, candidates), ["data_year", "npi"])
+    return out.withColumns({f"{c}_market_share": ratio(c, f"market_{c}") for c in ("services", "payment", "standardized")})
+
+
+MARKET_SHARES = [f"{w}_{c}" for w in ("state", "cohort") for c in ("share", "services_share", "standardized_share")]
 
 
 def market_context(cells: DataFrame, candidates: DataFrame, state: str, minimum_peers: int) -> DataFrame:
@@ -358,12 +400,13 @@ def market_context(cells: DataFrame, candidates: DataFrame, state: str, minimum_
     mid = lambda c, p: F.percentile(F.when(known, F.col(c)), p)
     out = rows.groupBy("data_year", "code", "pos").agg(
         F.count("*").alias("visible_cells"), F.count_if(known).alias("known_cells"), F.count_if(known & ~F.col("candidate")).alias("peer_cells"), F.count_if(~known).alias("unknown_cells"),
-        F.sum("services").alias("services"), F.sum(pay).alias("payment"), F.coalesce(F.sum(F.when(here, pay)), F.lit(0.0)).alias("state_payment"), F.coalesce(F.sum(F.when(F.col("candidate"), pay)), F.lit(0.0)).alias("cohort_payment"),
+        *[F.sum(c).alias(c) for c in ("services", "payment", "standardized")],
+        *[F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0.0)).alias(f"{w}_{c}") for w, cond in (("state", here), ("cohort", F.col("candidate"))) for c in ("services", "payment", "standardized")],
         (F.max(pay) / F.nullif(F.sum(pay), F.lit(0.0))).alias("top_share"), (F.sum(pay * pay) / F.nullif(F.sum(pay) * F.sum(pay), F.lit(0.0))).alias("hhi"),
         mid("services_per_beneficiary", 0.5).alias("services_median"), mid("services_per_beneficiary", 0.75).alias("services_q75"), mid("payment_per_beneficiary", 0.5).alias("payment_median"),
     )
     return out.withColumns({
-        "state_share": ratio("state_payment", "payment"), "cohort_share": ratio("cohort_payment", "payment"),
+        **{f"{w}_share": ratio(f"{w}_payment", "payment") for w in ("state", "cohort")}, **{f"{w}_{c}_share": ratio(f"{w}_{c}", c) for w in ("state", "cohort") for c in ("services", "standardized")},
         "peer_status": F.when(F.col("peer_cells") >= minimum_peers, "scoreable").otherwise("insufficient-cohort-excluded-peer-cells-descriptive"),
     })
 

@@ -190,15 +190,23 @@ def j10(spark, sf_dir):
     return rows.groupBy("from_year", "npi").agg(F.count("*").alias("rows")).withColumn("from_year", F.col("from_year").cast("long"))
 
 
+_SCOPED = f"{a.REVIEW}, scoped AS (SELECT *, 'national' AS peer_scope, '' AS place FROM review UNION ALL SELECT *, 'supplier-address-state', upper(state) FROM review WHERE state <> '')"
+_SCOPE_KEYS = ["data_year", "code", "pos", "entity", "peer_scope", "geography"]
+_beside = "p.known AND NOT p.candidate AND " + " AND ".join(f"p.{k} = x.{k}" for k in ("data_year", "code", "pos", "entity", "peer_scope", "place"))
+
+
+def scoped(spark, sf_dir):
+    return peers.scopes(claims.review_cells(*a.review_parts(spark, sf_dir)), "state")
+
+
 @query(
     "j11_r8_excluded_rank",
-    f"SELECT {K}, {a._rank('services', 'services_per_beneficiary')}, round({a._share('services', 'services_per_beneficiary').rpartition(' AS ')[0]}, 9) AS services_peer_share FROM (SELECT r.*, (SELECT count(services_per_beneficiary) FROM review p WHERE p.known AND NOT p.candidate AND p.data_year = r.data_year AND p.code = r.code AND p.pos = r.pos AND p.entity = r.entity) AS peer_count FROM review r WHERE candidate) x",
-    a.REVIEW,
+    f"SELECT {K}, peer_scope, place AS geography, {a._rank('services', 'services_per_beneficiary', _beside)}, round({a._share('services', 'services_per_beneficiary', _beside).rpartition(' AS ')[0]}, 9) AS services_peer_share FROM (SELECT x.*, (SELECT count(services_per_beneficiary) FROM scoped p WHERE {_beside}) AS peer_count FROM scoped x WHERE candidate) x".replace("FROM review p", "FROM scoped p"),
+    _SCOPED,
 )
 def j11(spark, sf_dir):
-    rows = claims.review_cells(*a.review_parts(spark, sf_dir))
-    ranked = peers.excluded_rank(rows, ["data_year", "code", "pos", "entity"], {"services": "services_per_beneficiary"}, F.col("known") & ~F.col("candidate"), F.col("candidate"))
-    return ranked.select(*KEY, "services_high_rank", F.round("services_peer_share", 9).alias("services_peer_share"))
+    ranked = peers.excluded_rank(scoped(spark, sf_dir), _SCOPE_KEYS, {"services": "services_per_beneficiary"}, F.col("known") & ~F.col("candidate"), F.col("candidate"))
+    return ranked.select(*KEY, "peer_scope", "geography", "services_high_rank", F.round("services_peer_share", 9).alias("services_peer_share"))
 
 
 @query("j13_null_safe_keys", "WITH n AS (SELECT specialty, nature, count(*) AS n FROM payments GROUP BY ALL), s AS (SELECT specialty, nature, max(record_id) AS last FROM payments WHERE form = 'stock' GROUP BY ALL) SELECT n.specialty, n.nature, n, last FROM n LEFT JOIN s ON n.specialty IS NOT DISTINCT FROM s.specialty AND n.nature IS NOT DISTINCT FROM s.nature", b.PAYMENTS)
@@ -344,11 +352,10 @@ def r5(spark, sf_dir):
     return out.select(*KEY, *nine("own_percentile", "broad_percentile"))
 
 
-@query("r7_excluded_statistics", "SELECT data_year, code, pos, entity, count(*) AS peer_count, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.5) AS DECIMAL(38,12)), 9) AS DOUBLE) AS services_median, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.75) AS DECIMAL(38,12)), 9) AS DOUBLE) AS services_q3 FROM review WHERE known AND NOT candidate GROUP BY ALL", a.REVIEW)
+@query("r7_excluded_statistics", "SELECT data_year, code, pos, entity, peer_scope, place AS geography, count(*) AS peer_count, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.5) AS DECIMAL(38,12)), 9) AS DOUBLE) AS services_median, CAST(round(CAST(quantile_cont(services_per_beneficiary, 0.75) AS DECIMAL(38,12)), 9) AS DOUBLE) AS services_q3 FROM scoped WHERE known AND NOT candidate GROUP BY ALL", _SCOPED)
 def r7(spark, sf_dir):
-    keys = ["data_year", "code", "pos", "entity"]
-    out = peers.excluded_stats(claims.review_cells(*a.review_parts(spark, sf_dir)), keys, {"services": "services_per_beneficiary"}, F.col("known") & ~F.col("candidate"))
-    return out.select(*keys, "peer_count", *nine("services_median", "services_q3"))
+    out = peers.excluded_stats(scoped(spark, sf_dir), _SCOPE_KEYS, {"services": "services_per_beneficiary"}, F.col("known") & ~F.col("candidate"))
+    return out.select(*_SCOPE_KEYS, "peer_count", *nine("services_median", "services_q3"))
 
 
 @query("r10_peer_status", f"WITH n AS (SELECT data_year, code, pos, count(*) AS n FROM cells WHERE beneficiaries >= 5 GROUP BY ALL) SELECT {K}, CASE WHEN beneficiaries < 5 THEN 'insufficient-volume-descriptive' WHEN n >= 60 THEN 'scoreable' ELSE 'insufficient-peer-descriptive' END AS status FROM cells LEFT JOIN n USING (data_year, code, pos)", b.CELLS)
