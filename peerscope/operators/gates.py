@@ -52,6 +52,35 @@ def filters_equal(filters: Column, key: str, values: Sequence[str]) -> Column:
     return (F.size(filters) == 1) & F.coalesce(F.array_sort(F.element_at(filters, F.lit(key))) == wanted, F.lit(False))
 
 
+def filter_coverage(requests: DataFrame, register: DataFrame, key: str, name: str, fixed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Per requested (data_year, key) the eligible releases that cover it, whose filters are within {name: key} and `fixed`."""
+    joined = requests.select("data_year", key).distinct().join(register.filter("eligible").select("data_year", "release_id", "filters"), "data_year", "left")
+    covers = filters_within(F.col("filters"), _asked(key, name, fixed))
+    return joined.groupBy("data_year", key).agg(F.count_if(F.coalesce(covers, F.lit(False))).alias("covering_releases"))
+
+
+def _asked(key: str, name: str, fixed: Mapping[str, Sequence[str]]) -> Column:
+    pairs = [x for k, v in fixed.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]
+    return F.create_map(*pairs, F.lit(name), F.array(F.col(key)))
+
+
+def unexpected_releases(requests: DataFrame, register: DataFrame, key: str, name: str, fixed: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Eligible releases that cover no requested key of their year: narrower than, or beside, what was asked for."""
+    eligible = register.filter("eligible")
+    joined = eligible.select("data_year", "release_id", "filters").join(requests.select("data_year", key).distinct(), "data_year")
+    used = joined.filter(filters_within(F.col("filters"), _asked(key, name, fixed))).select("release_id").distinct()
+    return eligible.join(used, "release_id", "left_anti").select("release_id", "data_year")
+
+
+def filter_gate(requests: DataFrame, register: DataFrame, key: str, name: str, fixed: Mapping[str, Sequence[str]], shown: int = 20) -> None:
+    """Raises, with examples, unless one release covers each requested key of a year and no eligible release is unexpected."""
+    wrong = filter_coverage(requests, register, key, name, fixed).filter("covering_releases != 1").orderBy("data_year", key).limit(shown)
+    failed = [f"{r[0]}/{r[1]}={r[2]}" for r in wrong.collect()]
+    odd = [str(r[0]) for r in unexpected_releases(requests, register, key, name, fixed).orderBy("release_id").limit(shown).collect()]
+    if failed or odd:
+        raise GateError(f"retrieval filters do not cover the request: {';'.join(failed) or '[none]'}; unexpected narrowed releases {','.join(odd) or '[none]'}")
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter("copies > 1")
 
@@ -89,6 +118,12 @@ def inconsistent_labels(df: DataFrame, keys: Sequence[str], labels: Sequence[str
     return counts.filter(several)
 
 
+def label_disagreement(detail: DataFrame, summary: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Keys whose detail rows have another label than their summary row, with both."""
+    mine = detail.select(*keys, F.col(label).alias("detail_label")).distinct()
+    return mine.join(summary.select(*keys, F.col(label).alias("summary_label")).distinct(), list(keys)).filter(~F.col("detail_label").eqNullSafe(F.col("summary_label")))
+
+
 def coverage_floor(df: DataFrame, part: str, whole: str, floor: float) -> DataFrame:
     """One row: lowest coverage, and whether all totals are positive and covered."""
     share = F.col(part) / F.nullif(F.col(whole), F.lit(0.0))

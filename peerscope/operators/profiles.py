@@ -2,35 +2,86 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .gates import duplicates
 
 
-def profile(df: DataFrame, keys: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
-    """(check, observed) rows: rows, duplicate keys, and the rows that break each rule."""
-    counts = df.agg(F.count("*").alias("rows"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
-    repeated = duplicates(df, keys).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_keys"))
+def profile(df: DataFrame, keys: Sequence[str], rules: Mapping[str, Column], usable: Column | None = None) -> DataFrame:
+    """(check, observed) rows: rows, duplicate keys, and per rule the rows that break it, or the sum of a rule that counts cells.
+
+    Rows that are not `usable` are counted as rows, and by rules that don't ask for it, but not as duplicates.
+    """
+    counts = df.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(F.coalesce(c.cast("long"), F.lit(0))), F.lit(0)).alias(n) for n, c in rules.items()])
+    repeated = duplicates(df if usable is None else df.filter(usable), keys).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_keys"))
     wide = counts.join(F.broadcast(repeated), F.lit(True))
     names = ["rows", "duplicate_keys", *rules]
     return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).cast("long").alias("observed")) for n in names])))
 
 
-def supplier_rules(npi: Column, entity: Column, numbers: Mapping[str, Column], counts: Mapping[str, Column], shares: Mapping[str, Column]) -> dict[str, Column]:
-    """Rules of the supplier file: ids, entity codes, numbers, whole counts, and shares above one (flagged, not rejected)."""
-    bad = F.lit(False)
-    for c in numbers.values():
-        bad = bad | c.isNull() | (c < 0) | F.isnan(c.cast("double"))
-    fraction = F.lit(False)
-    for c in counts.values():
-        fraction = fraction | (c != F.floor(c))
-    above = F.lit(False)
-    for c in shares.values():
-        above = above | (c > 1)
-    return {"invalid_npi": ~F.coalesce(npi.rlike("^[0-9]{10}$"), F.lit(False)), "invalid_entity": ~F.coalesce(entity.isin("I", "O"), F.lit(False)), "invalid_numbers": bad, "fractional_counts": fraction, "shares_above_one": above}
+NPI = "^[0-9]{10}$"
+
+
+def not_like(value: Column, pattern: str) -> Column:
+    return ~F.coalesce(F.trim(value).rlike(pattern), F.lit(False))
+
+
+def not_in(value: Column, *allowed: str) -> Column:
+    return ~F.coalesce(F.trim(value).isin(*allowed), F.lit(False))
+
+
+def _each(columns: Sequence[str], test) -> Column:
+    """In how many of the columns the test holds."""
+    return sum((F.coalesce(test(c), F.lit(False)).cast("long") for c in columns), F.lit(0))
+
+
+def supplier_profile(df: DataFrame, npi: str, entity: str, beneficiaries: str, required: Sequence[str], optional: Sequence[str], counts: Sequence[str] = (), shares: Sequence[str] = (), age: str | None = None, malformed: Column | None = None) -> DataFrame:
+    """Profile of a supplier file whose cells are text: ids, entity codes, numbers, suppressed cells, shares above one.
+
+    Required numbers must not be blank; optional ones may be blank or marked as suppressed by * or #. A number is invalid
+    if it can't be read, is negative, is a count with a fraction, or an age above 120. Shares above one are only counted.
+    Malformed rows are counted and not looked at further.
+    """
+    broken = F.coalesce(malformed, F.lit(False)) if malformed is not None else F.lit(False)
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    hidden = lambda c: text(c).isin("*", "#") if c in optional else F.lit(False)
+    number = lambda c: F.when(text(c).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text(c).try_cast("double"))
+    unreadable = lambda c: (text(c) != "") & ~hidden(c) & (number(c).isNull() | (F.abs(number(c)) == float("inf")))
+    every = [*required, *optional]
+    invalid = _each(every, unreadable) + _each(every, lambda c: number(c) < 0) + _each([c for c in required if c != beneficiaries], lambda c: text(c) == "") + _each(counts, lambda c: (number(c) >= 0) & (number(c) != F.floor(number(c))))
+    if age:
+        invalid = invalid + _each([age], lambda c: number(c) > 120)
+    rules = {
+        "invalid_npi": not_like(F.col(npi), NPI), "invalid_entity": not_in(F.col(entity), "I", "O"), "invalid_numbers": invalid, "suppressed_numbers": _each(every, hidden),
+        "unknown_beneficiaries": (text(beneficiaries) == "") | hidden(beneficiaries), "shares_above_one": _each(shares, lambda c: number(c) > 1),
+    }
+    return profile(df, [npi], {"malformed_rows": broken, **{n: F.when(~broken, c.cast("long")) for n, c in rules.items()}}, ~broken)
+
+
+def schema_difference(columns: Sequence[str], expected: Sequence[str]) -> list[str]:
+    """Columns that are missing, not expected, or not in their place."""
+    off = [c for c, e in zip(columns, expected, strict=False) if c != e]
+    return sorted({*(set(columns) ^ set(expected)), *off})
+
+
+def service_profile(df: DataFrame, keys: Sequence[str], expected: Sequence[str], patterns: Mapping[str, str], domains: Mapping[str, Sequence[str]], numbers: Sequence[str], suppressible: str, filters: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """Profile of a detail file: columns in order, id patterns, domains, nonnegative numbers, suppressed rows, filter replay, grain."""
+    wrong = {f"invalid_{c}": not_like(F.col(c), p) for c, p in patterns.items()} | {f"invalid_{c}": not_in(F.col(c), *v) for c, v in domains.items()}
+    negative = _each(numbers, lambda c: (F.col(c) < 0) | F.col(c).isNull() | F.isnan(F.col(c).cast("double")))
+    off = F.lit(len(schema_difference(df.columns, expected))).cast("long")
+    found = profile(df, keys, {"suppressed": F.col(suppressible).isNull(), **wrong, "invalid_numbers": negative, "filter_mismatch": filter_mismatch(filters)})
+    return found.unionByName(df.sparkSession.range(1).select(F.lit("columns_out_of_place").alias("check"), off.alias("observed")))
+
+
+def provider_profile(df: DataFrame, npi: str, required: Sequence[str], filters: Mapping[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """Profile of a provider file: rows without a required value, ids that are malformed or repeated, rows outside the selection."""
+    return profile(df, [npi], {"missing_required": _each(required, lambda c: F.col(c).isNull()) > 0, "invalid_npi": not_like(F.col(npi), NPI), "filter_mismatch": filter_mismatch(filters)})
 
 
 def filter_mismatch(filters: Mapping[str, tuple[Column, Sequence[str]]]) -> Column:
@@ -42,9 +93,40 @@ def filter_mismatch(filters: Mapping[str, tuple[Column, Sequence[str]]]) -> Colu
 
 
 def geography_rule(level: Column, code: Column, description: Column) -> Column:
-    """A national row has a blank code and says so; a state row has a two-character code."""
-    national = (F.coalesce(F.trim(code), F.lit("")) == "") & (description == "National")
-    return ~F.coalesce(F.when(level == "National", national).when(level == "State", code.rlike("^[A-Za-z0-9]{2}$")).otherwise(False), F.lit(False))
+    """Breaks: a national row has a blank code and says so; a state row has a two-character code and a description."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    national = blank(code) & (description == "National")
+    return ~F.coalesce(F.when(level == "National", national).when(level == "State", code.rlike("^[0-9A-Z]{2}$") & ~blank(description)).otherwise(False), F.lit(False))
+
+
+def relationship_profile(df: DataFrame, fields: str, record_id: str, year_field: str, year: str, filters: Mapping[str, str], required: Sequence[str]) -> DataFrame:
+    """Profile of rows that are maps of text fields, whose names are matched without regard to case.
+
+    Counts blank and repeated record ids, other years, fields with another value than the filters', rows without a
+    required field, and rows with two fields whose names differ only in case.
+    """
+    keys = F.transform(F.map_keys(fields), lambda k: F.lower(k))
+    value = lambda name: F.get(F.filter(F.map_entries(fields), lambda e: F.lower(e["key"]) == name.lower()), F.lit(0))["value"]
+    rows = df.withColumn("__id", F.trim(F.coalesce(value(record_id), F.lit(""))))
+    need = F.array(*[F.lit(c.lower()) for c in sorted({record_id, year_field, *required, *filters})])
+    outside = sum((F.coalesce((value(k) != v), F.lit(True)).cast("long") for k, v in filters.items()), F.lit(0))
+    rules = {
+        "blank_ids": F.col("__id") == "", "year_mismatch": F.coalesce(value(year_field) != year, F.lit(True)), "filter_mismatch": outside,
+        "missing_required": F.size(F.array_except(need, keys)) > 0, "case_collisions": F.size(F.array_distinct(keys)) < F.size(keys),
+    }
+    return profile(rows, ["__id"], rules, F.col("__id") != "")
+
+
+def status_profile(df: DataFrame, requested: DataFrame, key: str, enrollment: str, flag: str, reason: str, dates: Sequence[str]) -> DataFrame:
+    """Profile of an enrollment or revocation snapshot: ids of 15 letters or digits without repeats, flags, reasons, ISO dates, ids not asked for."""
+    asked = requested.select(key).distinct().withColumn("__asked", F.lit(True))
+    rows = df.join(asked, key, "left")
+    iso = lambda c: F.when(F.col(c).rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(c, "yyyy-MM-dd")).isNull()
+    rules = {
+        "not_requested": F.col("__asked").isNull(), "invalid_enrollment": not_like(F.col(enrollment), "^[A-Za-z0-9]{15}$"), "invalid_flag": not_in(F.col(flag), "Y", "N"),
+        "missing_reason": F.coalesce(F.col(reason), F.lit("")) == "", "invalid_dates": _each(dates, iso),
+    }
+    return profile(rows, [enrollment], rules)
 
 
 def requested_status(found: DataFrame, requested: DataFrame, key: str) -> DataFrame:
@@ -52,13 +134,24 @@ def requested_status(found: DataFrame, requested: DataFrame, key: str) -> DataFr
     return requested.select(key).distinct().join(found.select(key).distinct().withColumn("hit", F.lit(True)), key, "left").select(key, F.when(F.col("hit"), "matched").otherwise("missing").alias("state"))
 
 
-def page_reconcile(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """Declared against actual rows per page, with the expected offset of each page."""
+def page_reconcile(pages: DataFrame, rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Declared against actual rows per page, and bytes and hash where `files` has what was stored, with the expected offset of each page."""
     actual = rows.groupBy("page").agg(F.count("*").alias("actual_rows"))
     both = pages.join(actual, "page", "full_outer")
     order = Window.orderBy("page")
     expected = F.coalesce(F.lag(F.col("offset") + F.col("declared_rows")).over(order), F.lit(0))
-    return both.withColumn("expected_offset", expected).withColumn("problem", F.when(F.col("declared_rows").isNull(), "unlisted-page").when(F.col("actual_rows").isNull(), "no-rows").when(F.col("declared_rows") != F.col("actual_rows"), "row-count").when(F.col("offset") != F.col("expected_offset"), "offset-gap").otherwise("ok"))
+    stored = F.lit(None).cast("string")
+    if files is not None:
+        both = both.join(files.select("page", F.col("bytes").alias("actual_bytes"), F.col("sha256").alias("actual_sha256")), "page", "left")
+        stored = F.when(F.col("actual_bytes").isNull(), "no-file").when(F.col("bytes") != F.col("actual_bytes"), "byte-count").when(F.col("sha256") != F.col("actual_sha256"), "hash")
+    problem = F.when(F.col("declared_rows").isNull(), "unlisted-page").when(F.col("actual_rows").isNull(), "no-rows").when(F.col("declared_rows") != F.col("actual_rows"), "row-count")
+    return both.withColumn("expected_offset", expected).withColumn("problem", F.coalesce(problem, F.when(F.col("offset") != F.col("expected_offset"), "offset-gap"), stored, F.lit("ok")))
+
+
+def page_total(reconciled: DataFrame) -> DataFrame:
+    """One row: pages, declared and actual rows, pages with a problem, and whether the inventory holds."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return reconciled.agg(F.count("*").alias("pages"), n("declared_rows"), n("actual_rows"), F.count_if(F.col("problem") != "ok").alias("problems")).withColumn("valid", (F.col("problems") == 0) & (F.col("pages") > 0))
 
 
 def cursor_chain(pages: DataFrame, most_rows: int) -> DataFrame:
@@ -99,6 +192,33 @@ def file_status(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("name", "bytes", "found_bytes", state.alias("state"))
 
 
+def status_rollup(status: DataFrame, release: str) -> DataFrame:
+    """Per release and overall (null): files and how many are in each state; complete, incomplete or mismatched."""
+    n = {k: F.count_if(F.col("state") == k).alias(k.replace("-", "_")) for k in ("match", "missing", "size-mismatch", "hash-mismatch")}
+    rolled = status.rollup(release).agg(F.grouping(release).cast("boolean").alias("overall"), F.count("*").alias("files"), *n.values())
+    state = F.when(F.col("size_mismatch") + F.col("hash_mismatch") > 0, "mismatched").when(F.col("missing") > 0, "incomplete").otherwise("complete")
+    return rolled.withColumn("state", state)
+
+
+def nfkc_folded(text: Column) -> Column:
+    """Compatibility-composed and case-folded text, which Spark has no function for."""
+
+    def fold(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return F.pandas_udf(fold, StringType())(text)
+
+
+def deny_scan(files: DataFrame, path: str, text: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """(path, rule_id, kind) of files that break a rule (id, kind, value): exact-text, casefold-text, file-sha256 or path-fragment."""
+    fold = lambda v: unicodedata.normalize("NFKC", v).casefold()
+    kinds = {k for _, k, _ in rules}
+    rows = files.withColumns({"__text": nfkc_folded(F.col(text)) if "casefold-text" in kinds else F.lit(None), "__path": nfkc_folded(F.col(path)) if "path-fragment" in kinds else F.lit(None), "__sha": F.sha2(F.col(text), 256)})
+    broken = {"exact-text": lambda v: F.col(text).contains(v), "casefold-text": lambda v: F.col("__text").contains(fold(v)), "file-sha256": lambda v: F.col("__sha") == v.lower(), "path-fragment": lambda v: F.col("__path").contains(fold(v))}
+    hits = F.array_compact(F.array(*[F.when(broken[kind](value), F.struct(F.lit(i).alias("rule_id"), F.lit(kind).alias("kind"))) for i, kind, value in rules]))
+    return rows.select(path, F.inline(hits))
+
+
 def rule_scan(texts: DataFrame, key: str, text: str, rules: Mapping[str, str], allowed: DataFrame | None = None) -> DataFrame:
     """(key, rule, match, times) of every pattern found in a text, without allowed matches."""
     hits = F.concat(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), _tagged(n)) for n, p in rules.items()])

@@ -385,56 +385,80 @@ def d18(spark, sf_dir):
     return products.denominators(year_spine(national, 1994, 2002), national, BRAND, GENERIC).withColumn("national_cost", rounded(None, 2, "national_cost")[0])
 
 
-@query("d19_select_releases", "SELECT release_id, data_year, dataset, version, status, loaded_rows FROM releases WHERE status = 'loaded' AND dataset IN ('F', 'O') AND data_year BETWEEN 1996 AND 2001 QUALIFY row_number() OVER (PARTITION BY data_year, dataset ORDER BY version DESC, release_id DESC) = 1", b.RELEASES)
+SELECTED = f"""{b.NATIONAL_DRUG}, {b.DRUG_RELEASES}, named AS (SELECT *, CASE dataset WHEN 'F' THEN 'provider' ELSE 'geography' END AS role, scope = 'full' AS all_drugs FROM drug_releases WHERE status = 'loaded' AND data_year BETWEEN 1994 AND 2002 AND scope IN ('product', 'brand', 'full')),
+  chosen AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY data_year, role ORDER BY observed_at DESC, release_id DESC) = 1), cohort AS (SELECT * FROM chosen WHERE role = 'provider'),
+  folio AS (SELECT r.data_year, r.release_id, r.version, r.scope FROM drug_releases r LEFT JOIN cohort c ON c.data_year = r.data_year WHERE r.status = 'loaded' AND r.dataset = 'F' AND r.scope IN ('npi', 'full') AND r.data_year BETWEEN 1994 AND 2002
+    QUALIFY row_number() OVER (PARTITION BY r.data_year ORDER BY coalesce(r.version = c.version, false) DESC, r.observed_at DESC, r.release_id DESC) = 1),
+  selected AS (SELECT data_year, role, release_id, version, scope, all_drugs FROM chosen UNION ALL SELECT data_year, 'portfolio', release_id, version, scope, true FROM folio
+    UNION ALL SELECT data_year, 'portfolio', release_id, version, scope, false FROM cohort WHERE data_year NOT IN (SELECT data_year FROM folio))"""
+
+
+def selected(spark, sf_dir):
+    return products.select_releases(b.drug_releases(spark, sf_dir), NPI, BRAND, GENERIC, list(range(1994, 2003)), "F", "O")
+
+
+@query("d19_select_releases", "SELECT * FROM selected", SELECTED)
 def d19(spark, sf_dir):
-    return products.select_releases(b.releases(spark, sf_dir), ["F", "O"], 1996, 2001)
+    return selected(spark, sf_dir)
 
 
 @query(
     "d20_coverage_warnings",
-    """WITH chosen AS (SELECT * FROM releases WHERE status = 'loaded' AND data_year BETWEEN 1996 AND 2001), spine AS (SELECT CAST(y AS INTEGER) AS data_year FROM range(1995, 2003) t(y)), wanted AS (SELECT data_year, d AS dataset FROM spine CROSS JOIN (VALUES ('F'), ('O')) v(d))
-    SELECT data_year, dataset, 'missing-release' AS warning FROM wanted WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.data_year = wanted.data_year AND c.dataset = wanted.dataset)
-    UNION ALL SELECT data_year, 'all', 'mixed-versions' FROM chosen GROUP BY data_year HAVING count(DISTINCT version) > 1
-    UNION ALL SELECT DISTINCT data_year, 'all', 'no-following-year' FROM chosen c WHERE data_year <> 2002 AND NOT EXISTS (SELECT 1 FROM chosen n WHERE n.data_year = c.data_year + 1)""",
-    b.RELEASES,
+    f"""WITH spine AS (SELECT CAST(y AS INTEGER) AS data_year FROM range(1994, 2003) t(y)), own AS (SELECT data_year FROM provider_drug WHERE npi = '{NPI}' AND {PRODUCT}), p AS (SELECT * FROM selected WHERE role = 'provider')
+    SELECT 'missing-cohort-release' AS warning, data_year FROM spine WHERE data_year NOT IN (SELECT data_year FROM p) UNION ALL SELECT 'missing-national-denominator', data_year FROM spine WHERE data_year NOT IN (SELECT data_year FROM national_drug WHERE {PRODUCT} AND national_claims > 0)
+    UNION ALL SELECT 'portfolio-limited-to-target-brand', data_year FROM selected WHERE role = 'portfolio' AND NOT all_drugs UNION ALL SELECT 'no-visible-candidate-row', data_year FROM p WHERE data_year NOT IN (SELECT data_year FROM own)
+    UNION ALL SELECT 'no-adjacent-cohort-years', NULL WHERE NOT EXISTS (SELECT 1 FROM p JOIN p n ON n.data_year = p.data_year + 1)
+    UNION ALL SELECT 'mixed-versions', p.data_year FROM p JOIN selected f ON f.data_year = p.data_year AND f.role = 'portfolio' AND f.all_drugs AND f.version <> p.version""",
+    SELECTED,
 )
 def d20(spark, sf_dir):
-    chosen = products.select_releases(b.releases(spark, sf_dir), ["F", "O"], 1996, 2001)
-    return products.coverage_warnings(year_spine(chosen, 1995, 2002), chosen, ["F", "O"])
+    drug, national = b.provider_drug(spark, sf_dir), b.national_drug(spark, sf_dir)
+    spine = year_spine(national, 1994, 2002)
+    own = products.product_rows(drug, BRAND, GENERIC).filter(F.col("npi") == NPI)
+    return products.coverage_warnings(selected(spark, sf_dir), spine, own, products.denominators(spine, national, BRAND, GENERIC))
 
 
 IDENTIFIED = f"""{b.PAYMENTS}, identified AS (SELECT *, coalesce('npi:' || npi, 'profile:' || profile, 'hospital:' || hospital, 'record:' || record_id) AS recipient,
   CASE WHEN npi IS NOT NULL THEN 'npi' WHEN profile IS NOT NULL THEN 'profile' WHEN hospital IS NOT NULL THEN 'hospital' ELSE 'record_id' END AS raw_quality, third_party IS NOT NULL AND lower(third_party) <> 'no third party payment' AS third,
-  lower(related_product) = 'yes' OR coalesce(len(product_names), 0) > 0 AS product FROM payments), labelled AS (SELECT *, CASE raw_quality WHEN 'record_id' THEN 'record' ELSE raw_quality END AS quality FROM identified)"""
+  lower(coalesce(related_product, '')) = 'yes' OR coalesce(len(product_names), 0) > 0 OR coalesce(len(product_ndcs), 0) > 0 AS product FROM payments),
+  labelled AS (SELECT *, CASE raw_quality WHEN 'record_id' THEN 'record-only' WHEN 'profile' THEN 'profile-id' WHEN 'hospital' THEN 'teaching-hospital-id' ELSE raw_quality END AS quality FROM identified)"""
+_values = lambda c: f"coalesce(string_agg(DISTINCT {c}, '|' ORDER BY {c}), '')"
+MEASURES = f"""count(*) AS records, CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(number_of_payments) AS BIGINT) AS payments, count(*) FILTER (number_of_payments IS NULL) AS records_missing_payments, CAST(min(paid_on) AS VARCHAR) AS first_paid, CAST(max(paid_on) AS VARCHAR) AS last_paid,
+      count(*) FILTER (nature = '{NATURE}') AS focus_records, CAST(coalesce(sum(amount) FILTER (nature = '{NATURE}'), 0) AS DOUBLE) AS focus_amount, count(third_party) AS indicator_records, count(*) FILTER (third) AS third_party_records, CAST(coalesce(sum(amount) FILTER (third), 0) AS DOUBLE) AS third_party_amount,
+      count(third_party_name) AS named_third_party_records, count(*) FILTER (product) AS product_records, {_values('nature')} AS natures, {_values('form')} AS forms, {_values('third_party')} AS third_party_values, {_values('third_party_name')} AS third_party_names"""
+_MONEY = ("amount", "focus_amount", "third_party_amount")
+_tags = lambda keys, arrays: " UNION ALL ".join(f"SELECT {keys}, '{k}' AS kind, unnest({c}) AS v FROM labelled" for k, c in arrays.items())
+_kinds = lambda keys, arrays: f"tags AS ({_tags(keys, arrays)}), kinds AS (SELECT {keys}, " + ", ".join(f"string_agg(DISTINCT v, '|' ORDER BY v) FILTER (kind = '{k}') AS {k}_values" for k in arrays) + f" FROM tags WHERE trim(v) <> '' GROUP BY {keys})"
+_label_map = lambda c, value, out: f"(SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT coalesce({c}, '[missing]') AS k, CAST({value} AS VARCHAR) AS n FROM labelled i WHERE i.payer = l.payer AND i.program_year = l.program_year GROUP BY 1)) AS {out}"
+_joined = lambda arrays: [F.array_join(f"{k}_values", "|").alias(f"{k}_values") for k in arrays]
+_as_text = lambda *cols: [F.col(c).cast("string").alias(c) for c in cols]
+_measured = [c for c in relations.MEASURE_NAMES if c not in (*_MONEY, "first_paid", "last_paid")]
+_COUNTED = ["recipients", *[f"{k}_recipients" for k in relations.QUALITIES], "distinct_npis", "distinct_profiles", "distinct_hospitals", "focus_npis", "distinct_third_party_names"]
 
 
 @query(
     "d21_organization_summary",
-    """WITH kinds AS (SELECT payer, program_year, unnest(product_types) AS v FROM labelled), natures AS (SELECT payer, program_year, nature, count(*) AS n FROM labelled GROUP BY ALL)
-    SELECT l.payer, l.program_year, count(*) AS records, CAST(sum(amount) AS DOUBLE) AS amount, CAST(coalesce(sum(amount) FILTER (form = 'cash'), 0) AS DOUBLE) AS cash_amount, CAST(coalesce(sum(amount) FILTER (form = 'stock'), 0) AS DOUBLE) AS stock_amount,
-      count(*) FILTER (third) AS third_party_records, count(*) FILTER (product) AS product_records, CAST(sum(number_of_payments) AS BIGINT) AS payments, CAST(min(paid_on) AS VARCHAR) AS first_paid, CAST(max(paid_on) AS VARCHAR) AS last_paid, count(DISTINCT recipient) AS recipients,
-      count(DISTINCT recipient) FILTER (quality = 'npi') AS npi_recipients, count(DISTINCT recipient) FILTER (quality = 'record') AS record_recipients,
-      (SELECT string_agg(DISTINCT v, '|' ORDER BY v) FROM kinds k WHERE k.payer = l.payer AND k.program_year = l.program_year) AS type_values,
-      (SELECT string_agg(nature || '=' || CAST(n AS VARCHAR), ';' ORDER BY nature) FROM natures k WHERE k.payer = l.payer AND k.program_year = l.program_year) AS records_by_nature
-    FROM labelled l GROUP BY l.payer, l.program_year""",
+    f"""WITH {_kinds('payer, program_year', relations.PRODUCT_ARRAYS)}, base AS (SELECT payer, program_year, {MEASURES}, CAST(coalesce(sum(amount) FILTER (form = 'cash'), 0) AS DOUBLE) AS cash_amount, CAST(coalesce(sum(amount) FILTER (form = 'stock'), 0) AS DOUBLE) AS stock_amount, {_values('recipient_type')} AS recipient_types,
+      {', '.join(f"CAST(coalesce(sum(amount) FILTER (quality = '{q}'), 0) AS DOUBLE) AS {k}_amount, count(DISTINCT recipient) FILTER (quality = '{q}') AS {k}_recipients" for k, q in relations.QUALITIES.items())}, count(DISTINCT recipient) AS recipients,
+      count(DISTINCT npi) AS distinct_npis, count(DISTINCT profile) AS distinct_profiles, count(DISTINCT hospital) AS distinct_hospitals, count(DISTINCT npi) FILTER (nature = '{NATURE}') AS focus_npis, count(DISTINCT third_party_name) AS distinct_third_party_names FROM labelled GROUP BY payer, program_year)
+    SELECT l.*, kinds.* EXCLUDE (payer, program_year), {_label_map('nature', 'count(*)', 'records_by_nature')}, {_label_map('nature', 'sum(amount)', 'amounts_by_nature')}, {_label_map('recipient_type', 'count(*)', 'records_by_recipient_type')} FROM base l LEFT JOIN kinds USING (payer, program_year)""",
     IDENTIFIED,
 )
 def d21(spark, sf_dir):
-    df = relations.annual_summary(b.payments(spark, sf_dir))
-    d = lambda c: F.col(c).cast("double").alias(c)
-    return df.select("payer", "program_year", "records", d("amount"), d("cash_amount"), d("stock_amount"), "third_party_records", "product_records", "payments", F.col("first_paid").cast("string").alias("first_paid"), F.col("last_paid").cast("string").alias("last_paid"), "recipients", "npi_recipients", "record_recipients", F.array_join("type_values", "|").alias("type_values"), "records_by_nature")
+    df = relations.annual_summary(b.payments(spark, sf_dir), NATURE)
+    money = [*_MONEY, "cash_amount", "stock_amount", *[f"{k}_amount" for k in relations.QUALITIES]]
+    return df.select("payer", "program_year", *_measured, *_as_text("first_paid", "last_paid"), *_real(money), "recipient_types", *_COUNTED, *_joined(relations.PRODUCT_ARRAYS), "records_by_nature", "amounts_by_nature", "records_by_recipient_type")
 
 
 @query(
     "d22_recipient_panel",
-    """WITH kinds AS (SELECT program_year, recipient, quality, string_agg(DISTINCT v, '|' ORDER BY v) AS types FROM (SELECT program_year, recipient, quality, unnest(product_types) AS v FROM labelled WHERE payer = '3') GROUP BY ALL)
-    SELECT l.program_year, l.recipient, l.quality, max(npi) AS npi, max(recipient_type) AS recipient_type, count(*) AS records, CAST(sum(amount) AS DOUBLE) AS amount, CAST(min(paid_on) AS VARCHAR) AS first_paid, string_agg(DISTINCT nature, '|' ORDER BY nature) AS natures, bool_or(third) AS third, max(types) AS types
-    FROM labelled l LEFT JOIN kinds k ON l.program_year = k.program_year AND l.recipient = k.recipient AND l.quality = k.quality WHERE payer = '3' GROUP BY l.program_year, l.recipient, l.quality""",
+    f"""WITH {_kinds('payer, program_year, recipient, quality', {**relations.RECIPIENT_ARRAYS, **relations.PRODUCT_ARRAYS})}, base AS (SELECT program_year, recipient, quality, max(npi) AS npi, max(profile) AS profile, max(hospital) AS hospital, max(recipient_type) AS recipient_type, {MEASURES} FROM labelled WHERE payer = '3' GROUP BY program_year, recipient, quality)
+    SELECT base.*, kinds.* EXCLUDE (payer, program_year, recipient, quality) FROM base LEFT JOIN (SELECT * FROM kinds WHERE payer = '3') kinds USING (program_year, recipient, quality)""",
     IDENTIFIED,
 )
 def d22(spark, sf_dir):
-    df = relations.recipient_panel(b.payments(spark, sf_dir), "3")
-    return df.select("program_year", "recipient", "quality", "npi", "recipient_type", "records", F.col("amount").cast("double").alias("amount"), F.col("first_paid").cast("string").alias("first_paid"), "natures", "third", F.array_join("type_values", "|").alias("types"))
+    df = relations.recipient_panel(b.payments(spark, sf_dir), "3", NATURE)
+    return df.select("program_year", "recipient", "quality", "npi", "profile", "hospital", "recipient_type", *_measured, *_as_text("first_paid", "last_paid"), *_real(_MONEY), *_joined({**relations.RECIPIENT_ARRAYS, **relations.PRODUCT_ARRAYS}))
 
 
 def _roster(scope: str) -> str:

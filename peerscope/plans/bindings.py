@@ -134,28 +134,32 @@ NATIONAL_DRUG = f"""{PROVIDER_DRUG}, national_drug AS (SELECT data_year, brand,
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order is one payment record; identities of differing quality by the recipient's number."""
     o, c, l, p = (read(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "part"))  # noqa: E741
-    names = l.join(p, l.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_name")).alias("product_names"), F.array_sort(F.collect_set("p_type")).alias("product_types"))
+    names = l.join(p, l.l_partkey == p.p_partkey).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p_name")).alias("product_names"), F.array_sort(F.collect_set("p_type")).alias("product_types"), F.array_sort(F.collect_set("p_brand")).alias("product_categories"))
     k = F.col("o_custkey")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(names, o.o_orderkey == names.l_orderkey, "left")
     return rows.select(
         F.year("o_orderdate").alias("program_year"), F.col("o_orderkey").cast("string").alias("record_id"), F.col("c_nationkey").cast("string").alias("payer"),
         F.when(k % 4 < 2, F.lpad(k.cast("string"), 10, "0")).alias("npi"), F.when(k % 4 == 2, k.cast("string")).alias("profile"), F.when(k % 8 == 3, k.cast("string")).alias("hospital"),
         F.col("c_mktsegment").alias("recipient_type"), F.when(k % 5 > 0, F.col("c_mktsegment")).alias("specialty"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").cast("date").alias("paid_on"), (F.col("o_orderkey") % 3 + 1).alias("number_of_payments"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").cast("date").alias("paid_on"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderkey") % 3 + 1).alias("number_of_payments"),
         F.col("o_orderpriority").alias("nature"), F.when(F.col("o_orderstatus") == "F", "cash").when(F.col("o_orderstatus") == "O", "in-kind").otherwise("stock").alias("form"),
         F.when(F.col("o_orderstatus") == "P", "Entity").when(k % 3 == 0, "No Third Party Payment").alias("third_party"),
-        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("No").alias("related_product"), "product_names", "product_types",
+        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("No").alias("related_product"), "product_names", "product_types", "product_categories",
+        F.when(F.col("o_orderkey") % 6 == 0, F.array(F.concat(F.lit("NDC"), (F.col("o_orderkey") % 50).cast("string")), F.lit(" "))).alias("product_ndcs"), F.when((F.col("o_orderstatus") == "P") & (k % 2 == 0), F.concat(F.lit("Entity "), (k % 7).cast("string"))).alias("third_party_name"),
+        F.array("c_mktsegment").alias("primary_types"), F.array_compact(F.array(F.when(k % 5 > 0, F.col("c_mktsegment")))).alias("specialties"), F.array(F.concat(F.lit("S"), (k % 5).cast("string")), F.concat(F.lit("S"), (F.col("o_orderkey") % 3).cast("string"))).alias("license_states"),
     )
 
 
 PAYMENTS = """payments AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS program_year, CAST(o_orderkey AS VARCHAR) AS record_id, CAST(c_nationkey AS VARCHAR) AS payer,
   CASE WHEN o_custkey % 4 < 2 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS npi, CASE WHEN o_custkey % 4 = 2 THEN CAST(o_custkey AS VARCHAR) END AS profile,
   CASE WHEN o_custkey % 8 = 3 THEN CAST(o_custkey AS VARCHAR) END AS hospital, c_mktsegment AS recipient_type, CASE WHEN o_custkey % 5 > 0 THEN c_mktsegment END AS specialty,
-  CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderdate AS DATE) AS paid_on, o_orderkey % 3 + 1 AS number_of_payments, o_orderpriority AS nature,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderdate AS DATE) AS paid_on, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 3 + 1 END AS number_of_payments, o_orderpriority AS nature,
   CASE o_orderstatus WHEN 'F' THEN 'cash' WHEN 'O' THEN 'in-kind' ELSE 'stock' END AS form,
   CASE WHEN o_orderstatus = 'P' THEN 'Entity' WHEN o_custkey % 3 = 0 THEN 'No Third Party Payment' END AS third_party,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS related_product, product_names, product_types
-  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT p_name)) AS product_names, list_sort(list(DISTINCT p_type)) AS product_types
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS related_product, product_names, product_types, product_categories,
+  CASE WHEN o_orderkey % 6 = 0 THEN ['NDC' || CAST(o_orderkey % 50 AS VARCHAR), ' '] END AS product_ndcs, CASE WHEN o_orderstatus = 'P' AND o_custkey % 2 = 0 THEN 'Entity ' || CAST(o_custkey % 7 AS VARCHAR) END AS third_party_name,
+  [c_mktsegment] AS primary_types, CASE WHEN o_custkey % 5 > 0 THEN [c_mktsegment] ELSE [] END AS specialties, ['S' || CAST(o_custkey % 5 AS VARCHAR), 'S' || CAST(o_orderkey % 3 AS VARCHAR)] AS license_states
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT p_name)) AS product_names, list_sort(list(DISTINCT p_type)) AS product_types, list_sort(list(DISTINCT p_brand)) AS product_categories
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
@@ -170,3 +174,20 @@ def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RELEASES = """releases AS (SELECT CAST(year(l_shipdate) AS BIGINT) * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS release_id, CAST(year(l_shipdate) AS INTEGER) AS data_year, l_linestatus AS dataset,
   'v' || CAST(year(l_shipdate) % 2 AS VARCHAR) AS version, CASE WHEN year(l_shipdate) = 2001 AND l_linestatus = 'O' THEN 'failed' ELSE 'loaded' END AS status, count(*) AS loaded_rows FROM lineitem GROUP BY ALL)"""
+
+
+def drug_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register with releases of five retrieval filters a year and dataset, some years without some of them."""
+    y = F.col("data_year")
+    kinds = F.array(*[F.struct(F.lit(i).alias("kind"), have.alias("have"), version.alias("v")) for i, (have, version) in enumerate([(y % 3 == 0, y % 2), (y % 2 == 0, y % 2), (y % 4 == 1, (y + 1) % 2), (y % 5 != 0, y % 3), (F.lit(True), y % 2)])])
+    rows = releases(spark, sf_dir).select("data_year", "dataset", "status", "release_id", F.inline(kinds)).filter("have")
+    pairs = [("Brnd_Name", "BRAND#3"), ("Gnrc_Name", "Generic of Brand#3")]
+    table = lambda *p: F.create_map(*[F.lit(x) for kv in p for x in kv]) if p else F.create_map().cast("map<string,string>")
+    k = F.col("kind")
+    filters = F.when(k == 0, table(*pairs)).when(k == 1, table(pairs[0])).when(k == 2, table()).when(k == 3, table(("Prscrbr_NPI", "0000000007"))).otherwise(table(("State", "FL")))
+    return rows.select("data_year", "dataset", "status", (F.col("release_id") * 10 + k).alias("release_id"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("version"), F.concat(y.cast("string"), F.lit("-0"), (9 - (k * 3) % 5).cast("string")).alias("observed_at"), filters.alias("filters"), k.alias("kind"))
+
+
+DRUG_RELEASES = f"""{RELEASES}, drug_releases AS (SELECT data_year, dataset, status, release_id * 10 + kind AS release_id, 'v' || CAST(CASE kind WHEN 2 THEN (data_year + 1) % 2 WHEN 3 THEN data_year % 3 ELSE data_year % 2 END AS VARCHAR) AS version,
+  CAST(data_year AS VARCHAR) || '-0' || CAST(9 - (kind * 3) % 5 AS VARCHAR) AS observed_at, kind, ['product', 'brand', 'full', 'npi', NULL][kind + 1] AS scope
+  FROM releases, (VALUES (0), (1), (2), (3), (4)) v(kind) WHERE CASE kind WHEN 0 THEN data_year % 3 = 0 WHEN 1 THEN data_year % 2 = 0 WHEN 2 THEN data_year % 4 = 1 WHEN 3 THEN data_year % 5 <> 0 ELSE true END)"""

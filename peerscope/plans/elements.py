@@ -63,8 +63,7 @@ def p10(spark, sf_dir):
 
 @query("p12_recipient_identity", "SELECT record_id, recipient, quality FROM labelled", a.IDENTIFIED)
 def p12(spark, sf_dir):
-    key, quality = m.identity_key(npi=F.col("npi"), profile=F.col("profile"), hospital=F.col("hospital"), record=F.col("record_id"))
-    return b.payments(spark, sf_dir).select("record_id", key.alias("recipient"), quality.alias("quality"))
+    return identified(b.payments(spark, sf_dir)).select("record_id", "recipient", "quality")
 
 
 @query("p13_benchmark_exposure", "WITH q AS (SELECT data_year, quantile_cont(payment / nullif(beneficiaries, 0), 0.75) AS q3 FROM summary GROUP BY data_year) SELECT data_year, npi, round(greatest(0, payment - beneficiaries * q3), 4) AS exposure FROM summary JOIN q USING (data_year)", b.SUMMARY)
@@ -429,12 +428,12 @@ def t1(spark, sf_dir):
 
 @query(
     "t3_t4_t5_priority_order",
-    "SELECT record_id, row_number() OVER (ORDER BY third_party = 'Entity' DESC NULLS LAST, CASE form WHEN 'stock' THEN 1 WHEN 'cash' THEN 2 ELSE 3 END, npi DESC NULLS LAST, amount DESC, record_id) AS place FROM payments WHERE payer = '7'",
+    "SELECT payer, record_id, row_number() OVER (PARTITION BY payer ORDER BY third_party = 'Entity' DESC NULLS LAST, CASE form WHEN 'stock' THEN 1 WHEN 'cash' THEN 2 ELSE 3 END, npi DESC NULLS LAST, amount DESC, record_id) AS place FROM payments",
     b.PAYMENTS,
 )
 def t3(spark, sf_dir):
-    order = Window.orderBy((F.col("third_party") == "Entity").desc_nulls_last(), F.when(F.col("form") == "stock", 1).when(F.col("form") == "cash", 2).otherwise(3), F.col("npi").desc_nulls_last(), F.col("amount").desc(), "record_id")
-    return b.payments(spark, sf_dir).filter("payer = '7'").select("record_id", F.row_number().over(order).alias("place"))
+    order = Window.partitionBy("payer").orderBy((F.col("third_party") == "Entity").desc_nulls_last(), F.when(F.col("form") == "stock", 1).when(F.col("form") == "cash", 2).otherwise(3), F.col("npi").desc_nulls_last(), F.col("amount").desc(), "record_id")
+    return b.payments(spark, sf_dir).select("payer", "record_id", F.row_number().over(order).alias("place"))
 
 
 # --- sets and reshaping ----------------------------------------------------------------------------------------------
@@ -463,10 +462,11 @@ def u7(spark, sf_dir):
     return reshape.year_spine(s, 1990, 2003).join(s, "data_year", "left").groupBy("data_year").agg(F.count("npi").alias("suppliers"))
 
 
-@query("u8_set_difference", "SELECT s_suppkey AS k, 'missing' AS side FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) UNION ALL SELECT c_custkey, 'extra' FROM customer WHERE c_custkey % 3 > 0 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+@query("u8_set_difference", "WITH e AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10), o AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10) SELECT k, 'missing' AS side FROM e WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'extra' FROM o WHERE k NOT IN (SELECT k FROM e)")
 def u8(spark, sf_dir):
-    s, c = b.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")), b.read(spark, sf_dir, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"))
-    return reshape.set_difference(s, c, "k")
+    # Parts of small lots that came back with one flag, against those of another.
+    small = b.read(spark, sf_dir, "lineitem").filter("l_quantity < 10").select(F.col("l_partkey").alias("k"), "l_returnflag")
+    return reshape.set_difference(small.filter("l_returnflag = 'A'"), small.filter("l_returnflag = 'R'"), "k")
 
 
 SNAPSHOT = "SELECT o_custkey AS id, CAST(count(*) AS VARCHAR) || '/' || CAST(count(*) FILTER (o_orderstatus = 'F') AS VARCHAR) AS digest FROM orders WHERE year(o_orderdate) = {} GROUP BY o_custkey"

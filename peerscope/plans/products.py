@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import censored_change, denominator_status, ratio
@@ -80,18 +82,47 @@ def denominators(spine: DataFrame, national: DataFrame, brand: str, generic: str
     return spine.join(whole, "data_year", "left").withColumn("denominator_status", denominator_status(F.col("national_claims")))
 
 
-def select_releases(register: DataFrame, datasets: list[str], first: int, last: int) -> DataFrame:
-    """The latest loaded release per year and dataset; ties by the larger id."""
-    usable = register.filter((F.col("status") == "loaded") & F.col("dataset").isin(datasets) & F.col("data_year").between(first, last))
-    order = Window.partitionBy("data_year", "dataset").orderBy(F.col("version").desc(), F.col("release_id").desc())
-    return usable.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+def release_scope(filters: Column, npi: str, brand: str, generic: str) -> Column:
+    """What a release was retrieved for, by its filters without regard to case: product, brand, full, npi; null for another selection."""
+    pair = lambda k, v: F.struct(F.lower(k).alias("key"), F.lower(v).alias("value"))
+    have = F.array_sort(F.transform(F.map_entries(filters), lambda e: pair(e["key"], e["value"])))
+    same = lambda **wanted: have == F.array(*[pair(F.lit(k), F.lit(v)) for k, v in sorted(wanted.items())])
+    label = F.when(F.size(filters) == 0, "full").when(same(brnd_name=brand, gnrc_name=generic), "product").when(same(brnd_name=brand), "brand")
+    return label.when(same(prscrbr_npi=npi), "npi")
+
 
+def select_releases(register: DataFrame, npi: str, brand: str, generic: str, years: list[int], provider: str, geography: str) -> DataFrame:
+    """Per year the releases in the roles of product cohort (provider), denominators (geography) and the prescriber's portfolio.
 
-def coverage_warnings(spine: DataFrame, chosen: DataFrame, datasets: list[str]) -> DataFrame:
-    """(data_year, dataset, warning) for years without a release, and years whose datasets differ in version."""
-    wanted = spine.select("data_year", F.explode(F.array(*[F.lit(d) for d in datasets])).alias("dataset"))
-    missing = wanted.join(chosen, ["data_year", "dataset"], "left_anti").select("data_year", "dataset", F.lit("missing-release").alias("warning"))
-    mixed = chosen.groupBy("data_year").agg(F.count_distinct("version").alias("n")).filter("n > 1").select("data_year", F.lit("all").alias("dataset"), F.lit("mixed-versions").alias("warning"))
-    have = chosen.select("data_year").distinct()
-    gaps = have.join(have.select((F.col("data_year") - 1).alias("data_year")), "data_year", "left_anti").join(spine.agg(F.max("data_year").alias("m")).select(F.col("m").alias("data_year")), "data_year", "left_anti")
-    return missing.unionByName(mixed).unionByName(gaps.select("data_year", F.lit("all").alias("dataset"), F.lit("no-following-year").alias("warning")))
+    The latest observed compatible release is taken, ties by the larger id. A portfolio prefers releases of the cohort's
+    version; without one that holds all drugs the cohort's release stands in, and all_drugs is false. Raises without any cohort.
+    """
+    scoped = register.filter((F.col("status") == "loaded") & F.col("data_year").isin(years)).withColumn("scope", release_scope(F.col("filters"), npi, brand, generic))
+    keep = ["data_year", "role", "release_id", "version", "scope", "all_drugs"]
+    first = lambda df, *order: df.withColumn("place", F.row_number().over(Window.partitionBy("data_year", "role").orderBy(*order, F.col("observed_at").desc(), F.col("release_id").desc()))).filter("place = 1").select(*keep)
+    role = F.when(F.col("dataset") == provider, "provider").when(F.col("dataset") == geography, "geography")
+    named = scoped.filter(F.col("scope").isin("product", "brand", "full")).withColumns({"role": role, "all_drugs": F.col("scope") == "full"}).filter("role is not null")
+    chosen = first(named)
+    cohort = chosen.filter("role = 'provider'")
+    if cohort.isEmpty():
+        raise ValueError(f"no loaded release holds the cohort of {brand!r}")
+    wide = scoped.filter((F.col("dataset") == provider) & F.col("scope").isin("npi", "full")).withColumns({"role": F.lit("portfolio"), "all_drugs": F.lit(True)})
+    same = F.coalesce(F.col("version") == F.col("cohort_version"), F.lit(False))
+    portfolio = first(wide.join(cohort.select("data_year", F.col("version").alias("cohort_version")), "data_year", "left"), same.desc())
+    instead = cohort.join(portfolio, "data_year", "left_anti").withColumns({"role": F.lit("portfolio"), "all_drugs": F.lit(False)}).select(*keep)
+    return chosen.unionByName(portfolio).unionByName(instead)
+
+
+def coverage_warnings(selection: DataFrame, spine: DataFrame, candidate_years: DataFrame, denominators: DataFrame) -> DataFrame:
+    """(warning, data_year) rows of what the outputs of a selection lack; the year is null where none is meant."""
+    cohort, portfolio = selection.filter("role = 'provider'"), selection.filter("role = 'portfolio'")
+    say = lambda df, text: df.select(F.lit(text).alias("warning"), "data_year")
+    without = lambda df, other: df.select("data_year").join(other.select("data_year").distinct(), "data_year", "left_anti")
+    pairs = cohort.select("data_year").join(cohort.select((F.col("data_year") - 1).alias("data_year")), "data_year", "left_semi")
+    lonely = pairs.agg(F.count("*").alias("n"), F.lit(None).cast("int").alias("data_year")).filter("n = 0")
+    versions = portfolio.filter("all_drugs").select("data_year", F.col("version").alias("other"))
+    found = {
+        "missing-cohort-release": without(spine, cohort), "missing-national-denominator": without(spine, denominators.filter("denominator_status = 'available'")), "portfolio-limited-to-target-brand": portfolio.filter("not all_drugs"),
+        "no-visible-candidate-row": without(cohort, candidate_years), "no-adjacent-cohort-years": lonely, "mixed-versions": cohort.join(versions, "data_year").filter("version != other"),
+    }
+    return reduce(DataFrame.unionByName, [say(df, text) for text, df in found.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from functools import reduce
@@ -215,24 +216,34 @@ def k2(spark, sf_dir):
     return spark.read.schema("npi string, data_year int, beneficiaries int").option("header", True).csv(path)
 
 
-@query("k3_result_fingerprint")
+_marked = lambda *cols: " || ".join(f"CASE WHEN {c} IS NULL THEN 'n;' ELSE 'v' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END" for c in sorted(cols))
+
+
+@query("k3_result_fingerprint", f"SELECT count(*) AS rows, CAST(coalesce(sum(CAST(('0x' || substr(md5({_marked('data_year', 'npi', 'code', 'pos', 'beneficiaries', 'claims')}), 1, 15)) AS BIGINT)), 0) AS VARCHAR) AS content_hash FROM service_cells", b.SERVICE_CELLS)
 def k3(spark, sf_dir):
-    return sinks.fingerprint(b.summary(spark, sf_dir))
+    return sinks.fingerprint(b.service_cells(spark, sf_dir).select("data_year", "npi", "code", "pos", "beneficiaries", "claims"))
 
 
-SERVICE_RULES = """SELECT check_name, observed FROM (SELECT count(*) AS rows, 0 AS duplicate_keys, count(*) FILTER (beneficiaries IS NULL) AS suppressed, count(*) FILTER (NOT regexp_matches(npi, '^[0-9]{10}$')) AS invalid_npi, count(*) FILTER (pos NOT IN ('F', 'O')) AS invalid_indicator,
-  count(*) FILTER (upper(code) NOT IN ('ECONOMY', 'STANDARD')) AS filter_mismatch FROM service_cells) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, suppressed, invalid_npi, invalid_indicator, filter_mismatch))"""
+#: Detail cells with planted breaks: two repeated grains, ids, indicators, entities and numbers out of their domains.
+FAULTY = f"""{b.SERVICE_CELLS}, broken AS (SELECT data_year, CASE WHEN claims % 5 = 4 THEN 'x' || npi ELSE npi END AS npi, CASE WHEN claims % 7 = 3 THEN 'Q' ELSE entity END AS entity, code, CASE WHEN claims % 11 = 2 THEN 'Z' ELSE pos END AS pos, beneficiaries, CASE WHEN claims % 13 = 5 THEN -services ELSE services END AS services, payment FROM service_cells),
+  faulty AS (SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE pos = 'Z')"""
+_FAULTY_CHECKS = ("rows", "duplicate_keys", "suppressed", "invalid_npi", "invalid_pos", "invalid_entity", "invalid_numbers", "filter_mismatch", "columns_out_of_place")
+SERVICE_RULES = f"""SELECT check_name, observed FROM (SELECT count(*) AS rows, count(*) - count(DISTINCT (data_year, npi, code, pos)) AS duplicate_keys, count(*) FILTER (beneficiaries IS NULL) AS suppressed, count(*) FILTER (NOT regexp_matches(npi, '^[0-9]{{10}}$')) AS invalid_npi, count(*) FILTER (pos NOT IN ('F', 'O')) AS invalid_pos,
+  count(*) FILTER (entity NOT IN ('I', 'O')) AS invalid_entity, count(*) FILTER (services < 0) AS invalid_numbers, count(*) FILTER (upper(code) NOT IN ('ECONOMY', 'STANDARD')) AS filter_mismatch, 2 AS columns_out_of_place FROM faulty) UNPIVOT (observed FOR check_name IN ({', '.join(_FAULTY_CHECKS)}))"""
 
 
 def service_profile(spark, sf_dir):
-    rules = {
-        "suppressed": F.col("beneficiaries").isNull(), "invalid_npi": ~F.col("npi").rlike("^[0-9]{10}$"), "invalid_indicator": ~F.col("pos").isin("F", "O"),
-        "filter_mismatch": profiles.filter_mismatch({"code": (F.col("code"), ["economy", "standard"])}),
-    }
-    return profiles.profile(b.service_cells(spark, sf_dir), ["data_year", "npi", "code", "pos"], rules)
+    n = F.col("claims")
+    rows = b.service_cells(spark, sf_dir).select(
+        "data_year", F.when(n % 5 == 4, F.concat(F.lit("x"), "npi")).otherwise(F.col("npi")).alias("npi"), F.when(n % 7 == 3, "Q").otherwise(F.col("entity")).alias("entity"), "code", F.when(n % 11 == 2, "Z").otherwise(F.col("pos")).alias("pos"), "beneficiaries",
+        F.when(n % 13 == 5, -F.col("services")).otherwise(F.col("services")).alias("services"), "payment",
+    )
+    # The published order has the code before the entity.
+    expected = ["data_year", "npi", "code", "entity", "pos", "beneficiaries", "services", "payment"]
+    return profiles.service_profile(rows.unionByName(rows.filter("pos = 'Z'")), ["data_year", "npi", "code", "pos"], expected, {"npi": profiles.NPI}, {"pos": ["F", "O"], "entity": ["I", "O"]}, ["services", "payment"], "beneficiaries", {"code": (F.col("code"), ["economy", "standard"])})
 
 
-@query("k4_quality_results", f"SELECT check_name AS \"check\", CAST(observed AS BIGINT) AS observed, CASE WHEN check_name IN ('rows') OR observed = 0 THEN 'pass' WHEN check_name = 'suppressed' THEN 'warn' ELSE 'fail' END AS status, CAST(7 AS BIGINT) AS ingestion_run_id FROM ({SERVICE_RULES})", b.SERVICE_CELLS)
+@query("k4_quality_results", f"SELECT check_name AS \"check\", CAST(observed AS BIGINT) AS observed, CASE WHEN check_name IN ('rows') OR observed = 0 THEN 'pass' WHEN check_name = 'suppressed' THEN 'warn' ELSE 'fail' END AS status, CAST(7 AS BIGINT) AS ingestion_run_id FROM ({SERVICE_RULES})", FAULTY)
 def k4(spark, sf_dir):
     path = scratch(spark, "checks")
     sinks.write_quality_results(service_profile(spark, sf_dir), path, 7, warn=["suppressed"])
@@ -240,36 +251,99 @@ def k4(spark, sf_dir):
 
 
 # --- profiles --------------------------------------------------------------------------------------------------------
+#: A supplier file as text, with planted breaks by the claims of a row.
+RAW = f"""{b.SUMMARY}, raw AS (SELECT CASE WHEN claims % 5 = 1 THEN 'x' || npi ELSE CAST(data_year AS VARCHAR) || npi[5:] END AS npi, CASE WHEN claims % 6 = 2 THEN 'Q' ELSE entity END AS entity, CASE claims % 4 WHEN 0 THEN '*' WHEN 1 THEN '' ELSE CAST(beneficiaries AS VARCHAR) END AS benes,
+  CASE claims % 7 WHEN 0 THEN CAST(claims AS VARCHAR) || '.5' WHEN 1 THEN '' WHEN 2 THEN 'n/a' WHEN 3 THEN '-4' ELSE CAST(claims AS VARCHAR) END AS clms, CASE claims % 3 WHEN 0 THEN '#' WHEN 1 THEN '1.25' ELSE '0.5' END AS share, CASE claims % 8 WHEN 0 THEN '130' WHEN 1 THEN '' ELSE '71' END AS age, claims % 9 = 4 AS torn FROM summary),
+  supplier_file AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE share = '#')"""
+
+
+def supplier_file(spark, sf_dir):
+    n, text = F.col("claims"), lambda c: F.col(c).cast("string")
+    rows = b.summary(spark, sf_dir).select(
+        F.when(n % 5 == 1, F.concat(F.lit("x"), "npi")).otherwise(F.concat(text("data_year"), F.substring("npi", 5, 6))).alias("npi"), F.when(n % 6 == 2, "Q").otherwise(F.col("entity")).alias("entity"), F.when(n % 4 == 0, "*").when(n % 4 == 1, "").otherwise(text("beneficiaries")).alias("benes"),
+        F.when(n % 7 == 0, F.concat(text("claims"), F.lit(".5"))).when(n % 7 == 1, "").when(n % 7 == 2, "n/a").when(n % 7 == 3, "-4").otherwise(text("claims")).alias("clms"), F.when(n % 3 == 0, "#").when(n % 3 == 1, "1.25").otherwise("0.5").alias("share"), F.when(n % 8 == 0, "130").when(n % 8 == 1, "").otherwise("71").alias("age"), (n % 9 == 4).alias("torn"),
+    )
+    return rows.unionByName(rows.filter("share = '#'"))
+
+
 @query(
     "v1_profile_supplier",
-    "SELECT check_name AS \"check\", observed FROM (SELECT count(*) AS rows, 0 AS duplicate_keys, 0 AS invalid_npi, 0 AS invalid_entity, count(*) FILTER (dme IS NULL) AS invalid_numbers, count(*) FILTER (services <> floor(services)) AS fractional_counts, count(*) FILTER (payment / allowed > 1) AS shares_above_one FROM summary) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, invalid_npi, invalid_entity, invalid_numbers, fractional_counts, shares_above_one))",
-    b.SUMMARY,
+    """SELECT check_name AS "check", CAST(observed AS BIGINT) AS observed FROM (SELECT count(*) AS rows, count(*) FILTER (NOT torn) - count(DISTINCT npi) FILTER (NOT torn) AS duplicate_keys, count(*) FILTER (torn) AS malformed_rows, count(*) FILTER (NOT torn AND npi[1] = 'x') AS invalid_npi, count(*) FILTER (NOT torn AND entity = 'Q') AS invalid_entity,
+      count(*) FILTER (NOT torn AND (clms IN ('', 'n/a', '-4') OR clms LIKE '%.5')) + count(*) FILTER (NOT torn AND age = '130') AS invalid_numbers, count(*) FILTER (NOT torn AND benes = '*') + count(*) FILTER (NOT torn AND share = '#') AS suppressed_numbers, count(*) FILTER (NOT torn AND benes IN ('', '*')) AS unknown_beneficiaries,
+      count(*) FILTER (NOT torn AND share = '1.25') AS shares_above_one FROM supplier_file) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, malformed_rows, invalid_npi, invalid_entity, invalid_numbers, suppressed_numbers, unknown_beneficiaries, shares_above_one))""",
+    RAW,
 )
 def v1(spark, sf_dir):
-    rules = profiles.supplier_rules(F.col("npi"), F.col("entity"), {"dme": F.col("dme"), "payment": F.col("payment")}, {"services": F.col("services")}, {"paid": F.col("payment") / F.col("allowed")})
-    return profiles.profile(b.summary(spark, sf_dir), ["data_year", "npi"], rules)
+    return profiles.supplier_profile(supplier_file(spark, sf_dir), "npi", "entity", "benes", required=["clms"], optional=["benes", "share", "age"], counts=["benes", "clms"], shares=["share"], age="age", malformed=F.col("torn"))
 
 
-@query("v2_v4_profile_service", f"SELECT check_name AS \"check\", observed FROM ({SERVICE_RULES})", b.SERVICE_CELLS)
+@query("v2_v4_profile_service", f"SELECT check_name AS \"check\", observed FROM ({SERVICE_RULES})", FAULTY)
 def v2(spark, sf_dir):
     return service_profile(spark, sf_dir)
 
 
+@query(
+    "v3_profile_provider",
+    """SELECT check_name AS "check", observed FROM (SELECT count(*) AS rows, count(*) - count(DISTINCT npi) AS duplicate_keys, count(*) FILTER (benes = '' OR age = '') AS missing_required, count(*) FILTER (NOT regexp_matches(npi, '^[0-9]{10}$')) AS invalid_npi, count(*) FILTER (entity <> 'I') AS filter_mismatch FROM supplier_file)
+    UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, missing_required, invalid_npi, filter_mismatch))""",
+    RAW,
+)
+def v3_provider(spark, sf_dir):
+    rows = supplier_file(spark, sf_dir).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("benes", "age")})
+    return profiles.provider_profile(rows, "npi", ["npi", "benes", "age"], {"entity": (F.col("entity"), ["i"])})
+
+
 @query("v3_v5_profile_provider_drug", "SELECT check_name AS \"check\", observed FROM (SELECT count(*) AS rows, count(*) - count(DISTINCT (npi, brand)) AS duplicate_keys, count(*) FILTER (claims < 3) AS below_minimum, count(*) FILTER (brand <> 'Brand#3') AS filter_mismatch FROM drug_rows) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, below_minimum, filter_mismatch))", b.DRUG_ROWS)
 def v3(spark, sf_dir):
     return profiles.profile(b.drug_rows(spark, sf_dir), ["npi", "brand"], {"below_minimum": F.col("claims") < 3, "filter_mismatch": profiles.filter_mismatch({"b": (F.col("brand"), ["BRAND#3"])})})
 
 
-@query("v6_profile_geography", "SELECT state, specialty, count(*) AS rows, true AS broken FROM lines WHERE data_year = 2001 GROUP BY state, specialty", b.LINES)
+_PLACES = "SELECT data_year, CASE WHEN state IS NULL THEN CASE WHEN data_year = 1999 THEN 'Nation' ELSE 'National' END ELSE 'State' END AS level, CASE WHEN state IS NULL THEN CASE WHEN data_year = 2000 THEN 'US' ELSE '' END ELSE right(state, 2) END AS code, CASE WHEN state IS NULL THEN 'National' WHEN state = 'NATION_11' THEN '' ELSE state END AS description, count(*) AS rows FROM lines GROUP BY GROUPING SETS ((data_year), (data_year, state))"
+
+
+@query("v6_profile_geography", f"SELECT *, NOT (level = 'National' AND code = '' OR level = 'State' AND code[1] <> '_' AND description <> '') AS broken FROM (SELECT data_year, level, code, description, sum(rows)::BIGINT AS rows FROM ({_PLACES.replace('GROUP BY GROUPING SETS ((data_year), (data_year, state))', 'GROUP BY GROUPING SETS ((data_year), (data_year, state))')}) GROUP BY ALL)", b.LINES)
 def v6(spark, sf_dir):
-    g = b.lines(spark, sf_dir).filter("data_year = 2001").groupBy("state", "specialty").agg(F.count("*").alias("rows"))
-    return g.withColumn("broken", profiles.geography_rule(F.lit("State"), F.col("state"), F.col("specialty")))
+    lines, year = b.lines(spark, sf_dir), F.col("data_year")
+    states = lines.groupBy("data_year", "state").agg(F.count("*").alias("rows"))
+    national = states.groupBy("data_year").agg(F.sum("rows").alias("rows")).select("data_year", F.when(year == 1999, "Nation").otherwise("National").alias("level"), F.when(year == 2000, "US").otherwise("").alias("code"), F.lit("National").alias("description"), "rows")
+    local = states.select("data_year", F.lit("State").alias("level"), F.expr("right(state, 2)").alias("code"), F.when(F.col("state") == "NATION_11", "").otherwise(F.col("state")).alias("description"), "rows")
+    both = national.unionByName(local)
+    return both.withColumn("broken", profiles.geography_rule(F.col("level"), F.col("code"), F.col("description")))
 
 
-@query("v7_profile_relationship", "SELECT check_name AS \"check\", observed FROM (SELECT count(*) AS rows, count(*) - count(DISTINCT record_id) AS duplicate_keys, count(*) FILTER (nullif(trim(record_id), '') IS NULL) AS blank_ids, count(*) FILTER (program_year <> 1999) AS year_mismatch, count(*) FILTER (specialty IS NULL) AS missing_required FROM payments) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, blank_ids, year_mismatch, missing_required))", b.PAYMENTS)
+@query(
+    "v7_profile_relationship",
+    """WITH f AS (SELECT *, CASE WHEN CAST(record_id AS BIGINT) % 9 = 4 THEN '' ELSE CAST(CAST(record_id AS BIGINT) // 2 AS VARCHAR) END AS id FROM payments)
+    SELECT check_name AS "check", CAST(observed AS BIGINT) AS observed FROM (SELECT count(*) AS rows, count(*) FILTER (id <> '') - count(DISTINCT id) FILTER (id <> '') AS duplicate_keys, count(*) FILTER (id = '') AS blank_ids, count(*) FILTER (program_year <> 1999) AS year_mismatch, count(*) FILTER (payer <> '3') + count(*) FILTER (nature <> '5-LOW') AS filter_mismatch,
+      count(*) FILTER (specialty IS NULL) AS missing_required, count(*) FILTER (program_year % 2 = 0) AS case_collisions FROM f) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, blank_ids, year_mismatch, filter_mismatch, missing_required, case_collisions))""",
+    b.PAYMENTS,
+)
 def v7(spark, sf_dir):
-    rules = {"blank_ids": F.nullif(F.trim("record_id"), F.lit("")).isNull(), "year_mismatch": F.col("program_year") != 1999, "missing_required": F.col("specialty").isNull()}
-    return profiles.profile(b.payments(spark, sf_dir), ["record_id"], rules)
+    # Fields as a row of a response has them: in either case, missing where they have no value, and some twice in another case.
+    number = F.col("record_id").cast("long")
+    field = lambda name, value: F.map_from_arrays(F.array(F.lit(name)), F.array(value.cast("string")))
+    none = F.create_map().cast("map<string,string>")
+    fields = F.map_concat(
+        field("Record_ID", F.when(number % 9 == 4, " ").otherwise(F.floor(number / 2).cast("string"))), field("program_year", F.col("program_year")), field("PAYER", F.col("payer")), field("nature", F.col("nature")),
+        F.when(F.col("specialty").isNotNull(), field("Specialty", F.col("specialty"))).otherwise(none), F.when(F.col("program_year") % 2 == 0, field("Payer", F.lit("x"))).otherwise(none),
+    )
+    rows = b.payments(spark, sf_dir).select(fields.alias("fields"))
+    return profiles.relationship_profile(rows, "fields", "record_id", "program_year", "1999", {"payer": "3", "nature": "5-LOW"}, ["specialty"])
+
+
+@query(
+    "v8_profile_status",
+    """WITH s AS (SELECT o_custkey, CASE WHEN o_orderkey % 6 = 1 THEN 'I' ELSE 'I' || lpad(CAST(o_orderkey // 2 AS VARCHAR), 14, '0') END AS enrollment, o_orderstatus AS flag, o_orderkey FROM orders)
+    SELECT check_name AS "check", CAST(observed AS BIGINT) AS observed FROM (SELECT count(*) AS rows, count(*) - count(DISTINCT enrollment) AS duplicate_keys, count(*) FILTER (o_custkey NOT IN (SELECT s_suppkey FROM supplier)) AS not_requested, count(*) FILTER (length(enrollment) <> 15) AS invalid_enrollment, count(*) FILTER (flag = 'P') AS invalid_flag,
+      count(*) FILTER (o_orderkey % 5 = 0) AS missing_reason, count(*) FILTER (o_orderkey % 4 = 0) + count(*) FILTER (o_orderkey % 7 = 3) AS invalid_dates FROM s) UNPIVOT (observed FOR check_name IN (rows, duplicate_keys, not_requested, invalid_enrollment, invalid_flag, missing_reason, invalid_dates))""",
+)
+def v8_profile(spark, sf_dir):
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    rows = b.read(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("id"), F.when(k % 6 == 1, "I").otherwise(F.concat(F.lit("I"), F.lpad(F.floor(k / 2).cast("string"), 14, "0"))).alias("enrollment"), F.when(F.col("o_orderstatus") == "F", "Y").when(F.col("o_orderstatus") == "O", "N").otherwise("P").alias("flag"),
+        F.when(k % 5 == 0, "").otherwise("424.535").alias("reason"), F.when(k % 4 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(day).alias("effective"), F.when(k % 7 == 3, "2001-02-30").otherwise(day).alias("expires"),
+    )
+    return profiles.status_profile(rows, b.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "id", "enrollment", "flag", "reason", ["effective", "expires"])
 
 
 @query("v8_requested_status", "SELECT c_custkey AS id, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1999) THEN 'matched' ELSE 'missing' END AS state FROM customer")
@@ -287,10 +361,28 @@ def page_parts(spark, sf_dir):
     return rows, inventory
 
 
-@query("v11_page_reconcile", 'SELECT page, declared_rows, actual_rows, CASE WHEN declared_rows <> actual_rows THEN \'row-count\' WHEN "offset" <> expected_offset THEN \'offset-gap\' ELSE \'ok\' END AS problem FROM (SELECT *, coalesce(lag("offset" + declared_rows) OVER (ORDER BY page), 0) AS expected_offset FROM inventory JOIN (SELECT page, count(*) AS actual_rows FROM page_rows GROUP BY page) USING (page))', PAGES)
-def v11(spark, sf_dir):
+#: Stored pages: some of other length, other content, or not there.
+STORED = f"""{PAGES}, body AS (SELECT page, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS text FROM page_rows GROUP BY page), stored AS (SELECT page, length(text) AS bytes, sha256(text) AS sha256 FROM body), listed AS (SELECT inventory.*, bytes, sha256 FROM inventory JOIN stored USING (page)),
+  reconciled AS (SELECT page, declared_rows, actual_rows, CASE WHEN declared_rows <> actual_rows THEN 'row-count' WHEN "offset" <> expected_offset THEN 'offset-gap' WHEN page % 5 = 0 THEN 'no-file' WHEN page % 5 = 1 THEN 'byte-count' WHEN page % 5 = 2 THEN 'hash' ELSE 'ok' END AS problem
+    FROM (SELECT *, coalesce(lag("offset" + declared_rows) OVER (ORDER BY page), 0) AS expected_offset FROM listed JOIN (SELECT page, count(*) AS actual_rows FROM page_rows GROUP BY page) USING (page)))"""
+
+
+def reconciled_pages(spark, sf_dir):
     rows, inventory = page_parts(spark, sf_dir)
-    return profiles.page_reconcile(inventory, rows).select("page", "declared_rows", "actual_rows", "problem")
+    text = rows.groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("text"))
+    stored, page = text.select("page", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256")), F.col("page")
+    files = stored.filter(page % 5 != 0).select("page", F.when(page % 5 == 1, F.col("bytes") + 1).otherwise(F.col("bytes")).alias("bytes"), F.when(page % 5 == 2, "other").otherwise(F.col("sha256")).alias("sha256"))
+    return profiles.page_reconcile(inventory.join(stored, "page"), rows, files)
+
+
+@query("v11_page_reconcile", "SELECT page, declared_rows, actual_rows, problem FROM reconciled", STORED)
+def v11(spark, sf_dir):
+    return reconciled_pages(spark, sf_dir).select("page", "declared_rows", "actual_rows", "problem")
+
+
+@query("v11_page_total", "SELECT count(*) AS pages, CAST(sum(declared_rows) AS BIGINT) AS declared_rows, CAST(sum(actual_rows) AS BIGINT) AS actual_rows, count(*) FILTER (problem <> 'ok') AS problems, count(*) FILTER (problem <> 'ok') = 0 AS valid FROM reconciled", STORED)
+def v11_total(spark, sf_dir):
+    return profiles.page_total(reconciled_pages(spark, sf_dir))
 
 
 @query(
@@ -307,10 +399,12 @@ def v12(spark, sf_dir):
     return profiles.cursor_chain(inventory.select("page", name(F.col("page")).alias("cursor"), F.col("declared_rows").alias("rows"), nxt.alias("next_cursor")), 8_000)
 
 
-@query("v13_union_reconcile", "SELECT o_orderpriority AS batch, count(*) AS rows, (SELECT count(*) FROM orders) AS union_rows, true AS reconciled FROM orders GROUP BY 1")
+@query("v13_union_reconcile", " UNION ALL ".join(f"SELECT '{part}' AS part, o_orderpriority AS batch, count(*) AS rows, (SELECT count(*) FROM orders WHERE {where}) AS union_rows, (SELECT count(*) FROM orders) = (SELECT count(*) FROM orders WHERE {where}) AS reconciled FROM orders GROUP BY o_orderpriority" for part, where in (("whole", "true"), ("short", "o_orderstatus <> 'P'"))))
 def v13(spark, sf_dir):
     o = b.read(spark, sf_dir, "orders")
-    return profiles.union_reconcile(o.select(F.col("o_orderpriority").alias("batch")), o)
+    batches = o.select(F.col("o_orderpriority").alias("batch"))
+    # Once against all orders and once against a union that lacks some of them.
+    return reduce(DataFrame.unionByName, [profiles.union_reconcile(batches, union).withColumn("part", F.lit(part)) for part, union in (("whole", o), ("short", o.filter("o_orderstatus != 'P'")))])
 
 
 @query("v14_load_reconcile", "SELECT release_id, loaded_rows + (release_id % 4 = 1)::INT AS loaded_rows, actual_rows, CASE WHEN release_id % 4 = 1 THEN 'mismatch' ELSE 'match' END AS state FROM releases JOIN (SELECT CAST(year(l_shipdate) AS BIGINT) * 10 + CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS release_id, count(*) AS actual_rows FROM lineitem GROUP BY 1) USING (release_id)", b.RELEASES)
@@ -322,6 +416,24 @@ def v14(spark, sf_dir):
 
 @query("v15_file_status", "SELECT CAST(page_id AS VARCHAR) AS name, length(html) + (page_id % 5 = 0)::INT AS bytes, CASE WHEN page_id % 9 <> 0 THEN length(html) END AS found_bytes, CASE WHEN page_id % 9 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'size-mismatch' WHEN page_id % 7 = 0 THEN 'hash-mismatch' ELSE 'match' END AS state FROM pages")
 def v15(spark, sf_dir):
+    return stored_files(spark, sf_dir)
+
+
+_STATE = "CASE WHEN page_id % 9 = 0 THEN 'missing' WHEN page_id % 5 = 0 THEN 'size-mismatch' WHEN page_id % 7 = 0 THEN 'hash-mismatch' ELSE 'match' END"
+
+
+@query(
+    "v15_status_rollup",
+    f"""WITH f AS (SELECT CASE WHEN page_id % 9 = 0 THEN 'a' WHEN page_id % 5 = 0 OR page_id % 7 = 0 THEN 'b' ELSE 'c' END AS release, {_STATE} AS state FROM pages)
+    SELECT release, grouping(release) = 1 AS overall, count(*) AS files, count(*) FILTER (state = 'match') AS "match", count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'size-mismatch') AS size_mismatch, count(*) FILTER (state = 'hash-mismatch') AS hash_mismatch,
+      CASE WHEN count(*) FILTER (state IN ('size-mismatch', 'hash-mismatch')) > 0 THEN 'mismatched' WHEN count(*) FILTER (state = 'missing') > 0 THEN 'incomplete' ELSE 'complete' END AS state FROM f GROUP BY ROLLUP (release)""",
+)
+def v15_rollup(spark, sf_dir):
+    n = F.col("name").cast("long")
+    return profiles.status_rollup(stored_files(spark, sf_dir).withColumn("release", F.when(n % 9 == 0, "a").when((n % 5 == 0) | (n % 7 == 0), "b").otherwise("c")), "release")
+
+
+def stored_files(spark, sf_dir):
     pages = b.read(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("name"), F.length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("sha256"))
     listed = pages.select("name", (F.col("bytes") + F.when(F.col("page_id") % 5 == 0, 1).otherwise(0)).alias("bytes"), F.when(F.col("page_id") % 7 == 0, "other").otherwise(F.col("sha256")).alias("sha256"))
     return profiles.file_status(listed, pages.filter("page_id % 9 <> 0"))
@@ -343,6 +455,19 @@ def v17(spark, sf_dir):
     return profiles.rule_scan(docs, "doc_id", "text", RULES, allowed)
 
 
+DENY = (("d1", "exact-text", "token"), ("d2", "casefold-text", "THE"), ("d3", "file-sha256", hashlib.sha256(b"").hexdigest()), ("d4", "path-fragment", "/EN/7"))
+
+
+@query(
+    "v17_deny_rules",
+    """WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, '/' || lang || '/' || CAST(doc_id AS VARCHAR) AS place, text FROM documents)
+    SELECT place AS path, 'd1' AS rule_id, 'exact-text' AS kind FROM f WHERE contains(text, 'token') UNION ALL SELECT place, 'd2', 'casefold-text' FROM f WHERE contains(lower(text), 'the') UNION ALL SELECT place, 'd3', 'file-sha256' FROM f WHERE text = '' UNION ALL SELECT place, 'd4', 'path-fragment' FROM f WHERE contains(lower(place), '/en/7')""",
+)
+def v17_deny(spark, sf_dir):
+    files = b.read(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return profiles.deny_scan(files, "path", "text", DENY)
+
+
 LUHN = "(10 - (24 + list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(c[i] AS INT) * 2 > 9 THEN CAST(c[i] AS INT) * 2 - 9 ELSE CAST(c[i] AS INT) * 2 END ELSE CAST(c[i] AS INT) END FOR i IN range(1, 10)])) % 10) % 10 = CAST(c[10] AS INT)"
 
 
@@ -407,6 +532,26 @@ def g5(spark, sf_dir):
     return rows.select("release_id", gates.filters_within(F.col("filters"), F.col("asked")).alias("within"), gates.filters_equal(F.col("filters"), "code", ["A", "B"]).alias("exact"))
 
 
+FILTERED = f"{b.DRUG_RELEASES}, eligible AS (SELECT * FROM drug_releases WHERE status = 'loaded' AND dataset = 'F'), asked AS (SELECT DISTINCT data_year, brand FROM lines), near AS (SELECT asked.*, release_id FROM asked JOIN eligible e ON e.data_year = asked.data_year AND (e.kind = 2 OR e.kind = 1 AND asked.brand = 'Brand#3'))"
+
+
+def filter_parts(spark, sf_dir):
+    # Filters as lists of values; a release that covers a brand names it, or has no filter.
+    filters = F.transform_values(F.when(F.col("kind") == 1, F.create_map(F.lit("brand"), F.lit("Brand#3"))).otherwise(F.col("filters")), lambda k, v: F.array(v))
+    register = b.drug_releases(spark, sf_dir).filter("dataset = 'F'").withColumns({"filters": filters, "eligible": F.col("status") == "loaded"})
+    return b.lines(spark, sf_dir).select("data_year", "brand").distinct(), register, "brand", "brand", {"specialty": ["ANY"]}
+
+
+@query("g5_filter_coverage", "SELECT asked.data_year, asked.brand, count(release_id) AS covering_releases FROM asked LEFT JOIN near USING (data_year, brand) GROUP BY ALL", f"{b.LINES}, {FILTERED}")
+def g5_coverage(spark, sf_dir):
+    return gates.filter_coverage(*filter_parts(spark, sf_dir))
+
+
+@query("g5_unexpected_releases", "SELECT release_id, data_year FROM eligible WHERE release_id NOT IN (SELECT release_id FROM near)", f"{b.LINES}, {FILTERED}")
+def g5_unexpected(spark, sf_dir):
+    return gates.unexpected_releases(*filter_parts(spark, sf_dir))
+
+
 @query("g9_grain_gate", "SELECT o_custkey, o_orderdate::DATE::VARCHAR AS day, count(*) AS copies FROM orders GROUP BY ALL HAVING count(*) > 1")
 def g9(spark, sf_dir):
     gates.grain_gate(b.read(spark, sf_dir, "orders"), ["o_orderkey"])
@@ -421,9 +566,15 @@ def g10(spark, sf_dir):
     return gates.domain_counts(rows, required=["dme"], nonnegative=["c_acctbal"], patterns={"npi": "^[0-9]{9}[0-4]$"})
 
 
-@query("g11_label_consistency", "SELECT npi, code, count(DISTINCT brand) AS brand_values FROM lines WHERE data_year = 1999 GROUP BY ALL HAVING count(DISTINCT brand) > 1", b.LINES)
+@query("g11_label_consistency", "SELECT data_year, npi, code, count(DISTINCT brand) AS brand_values FROM lines GROUP BY ALL HAVING count(DISTINCT brand) > 1", b.LINES)
 def g11(spark, sf_dir):
-    return gates.inconsistent_labels(b.lines(spark, sf_dir).filter("data_year = 1999"), ["npi", "code"], ["brand"])
+    return gates.inconsistent_labels(b.lines(spark, sf_dir), ["data_year", "npi", "code"], ["brand"])
+
+
+@query("g11_entity_agreement", "SELECT DISTINCT c.data_year, c.npi, 'Q' AS detail_label, s.entity AS summary_label FROM cells c JOIN summary s ON c.data_year = s.data_year AND c.npi = s.npi WHERE c.code = 'PROMO' AND c.claims % 3 = 0", b.CELLS_AND_SUMMARY)
+def g11_entity(spark, sf_dir):
+    cells = b.cells(spark, sf_dir).withColumn("entity", F.when((F.col("code") == "PROMO") & (F.col("claims") % 3 == 0), "Q").otherwise(F.col("entity")))
+    return gates.label_disagreement(cells, b.summary(spark, sf_dir), ["data_year", "npi"], "entity")
 
 
 @query("g12_coverage_floor", "WITH v AS (SELECT data_year, npi, sum(payment) FILTER (beneficiaries IS NOT NULL) AS seen FROM service_cells GROUP BY ALL) SELECT round(min(seen / nullif(payment, 0)), 9) AS lowest, coalesce(bool_and(seen > 0 AND payment > 0 AND seen / nullif(payment, 0) >= 0.9), false) AS valid FROM summary JOIN v USING (data_year, npi)", b.CELLS_AND_SUMMARY)
@@ -433,10 +584,11 @@ def g12(spark, sf_dir):
     return gates.coverage_floor(both, "seen", "payment", 0.9).withColumn("lowest", F.round("lowest", 9))
 
 
-@query("g13_exact_scope", "SELECT coalesce(c_custkey, o_custkey) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' ELSE 'repeated' END AS problem FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1997 GROUP BY 1) ON c_custkey = o_custkey WHERE n IS NULL OR c_custkey IS NULL OR n > 1")
+@query("g13_exact_scope", "SELECT coalesce(w, o_custkey) AS id, CASE WHEN n IS NULL THEN 'missing' WHEN w IS NULL THEN 'extra' ELSE 'repeated' END AS problem FROM (SELECT DISTINCT o_custkey AS w FROM orders WHERE o_orderstatus = 'P') FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON w = o_custkey WHERE n IS NULL OR w IS NULL OR n > 1")
 def g13(spark, sf_dir):
-    wanted = b.read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
-    return gates.scope_difference(wanted, b.read(spark, sf_dir, "orders").filter(F.year("o_orderdate") == 1997).select(F.col("o_custkey").alias("id")), "id")
+    # The customers with partly shipped orders, and the finished orders that were found.
+    o = b.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderstatus")
+    return gates.scope_difference(o.filter("o_orderstatus = 'P'"), o.filter("o_orderstatus = 'F'"), "id")
 
 
 @query("g14_selected_cap", "SELECT DISTINCT code FROM cells", b.CELLS)

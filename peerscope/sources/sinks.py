@@ -13,18 +13,29 @@ def replace_release(df: DataFrame, path: str, key: str = "source_release_id") ->
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def write_bounded_csv(df: DataFrame, path: str, order: Sequence[str], most: int) -> int:
-    """Writes at most `most` rows in order, never over an existing result; more rows raise before anything is written."""
-    n = df.limit(most + 1).count()
+def write_bounded_csv(df: DataFrame, path: str, order: Sequence[str], most: int, most_bytes: int | None = None) -> int:
+    """Writes at most `most` rows, of at most `most_bytes` as CSV text, in order and never over an existing result; more raise before anything is written."""
+    some = df.limit(most + 1)
+    size = F.octet_length(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 1
+    n, length = some.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    length += len(",".join(df.columns).encode()) + 1
     if n > most:
         raise ValueError(f"the result exceeds its cap of {most} rows")
+    if most_bytes is not None and length > most_bytes:
+        raise ValueError(f"the result exceeds its cap of {most_bytes} bytes")
     df.orderBy(*order).write.mode("errorifexists").option("header", True).csv(path)
     return n
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and a content hash that does not depend on the order of rows."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)")
+    """Row count and a content hash that does not depend on the order of rows or columns.
+
+    Values are written with their length, nulls with a mark of their own, so that no two rows share a text; the hash adds
+    the first 60 bits of each row's digest.
+    """
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    marked = F.concat(*[F.when(text(c).isNull(), "n;").otherwise(F.concat(F.lit("v"), F.length(text(c)).cast("string"), F.lit(":"), text(c))) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(marked), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("content_hash"))
 
 

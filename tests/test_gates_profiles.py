@@ -106,3 +106,80 @@ def test_frozen_identities_must_be_exact(spark):
     for broken in (known.union(known), known.filter("npi = 'b'")):
         with pytest.raises(ValueError, match="identities are not exact"):
             claims.frozen_identities(known.filter("npi = 'a'"), broken, ["npi"], ["name"])
+
+
+def observed(df):
+    return {r.check: r.observed for r in df.collect()}
+
+
+def test_supplier_profile_reads_cells(spark):
+    rows = [
+        ("1234567890", "I", "12", "10", "0.5", "70", False), ("1234567890", "O", "*", "1.5", "1.5", "121", False), ("123", "X", "", "", "#", "", False), ("1234567891", None, "-1", "1e3", "nan", None, False), (None, "I", "3", "inf", "5", "70", True),
+    ]
+    df = spark.createDataFrame(rows, "npi string, entity string, benes string, clms string, share string, age string, torn boolean")
+    got = observed(profiles.supplier_profile(df, "npi", "entity", "benes", ["clms"], ["benes", "share", "age"], ["benes", "clms"], ["share"], "age", F.col("torn")))
+    # Invalid: a fraction, an age of 121, a blank required cell, a negative count and a share that is no number.
+    assert got == {"rows": 5, "duplicate_keys": 1, "malformed_rows": 1, "invalid_npi": 1, "invalid_entity": 2, "invalid_numbers": 5, "suppressed_numbers": 2, "unknown_beneficiaries": 2, "shares_above_one": 1}
+    assert observed(profiles.supplier_profile(df.limit(0), "npi", "entity", "benes", ["clms"], ["benes"]))["rows"] == 0
+
+
+def test_geography_rule(spark):
+    rows = [("National", "", "National", False), ("National", None, "National", False), ("National", "US", "National", True), ("State", "FL", "Florida", False), ("State", "f1", "x", True), ("State", "FL", "", True), ("County", "FL", "x", True), (None, None, None, True)]
+    df = spark.createDataFrame(rows, "l string, c string, d string, want boolean")
+    assert all(r.got == r.want for r in df.withColumn("got", profiles.geography_rule(F.col("l"), F.col("c"), F.col("d"))).collect())
+
+
+def test_relationship_profile(spark):
+    rows = [({"Record_ID": "1", "YEAR": "2020", "payer": "7"},), ({"record_id": "1", "year": "2019", "payer": "7"},), ({"record_id": " ", "year": "2020", "PAYER": "8"},), ({"record_id": "2", "Record_Id": "3", "year": "2020", "payer": "7"},), ({},)]
+    got = observed(profiles.relationship_profile(spark.createDataFrame(rows, "f map<string,string>"), "f", "record_id", "year", "2020", {"payer": "7"}, []))
+    assert got == {"rows": 5, "duplicate_keys": 1, "blank_ids": 2, "year_mismatch": 2, "filter_mismatch": 2, "missing_required": 1, "case_collisions": 1}
+
+
+def test_status_profile(spark):
+    rows = [("1", "I" * 15, "Y", "r", "2020-02-29"), ("1", "I" * 15, "N", "", "2021-02-29"), ("9", "I", "y", None, "02/03/2020"), ("2", None, None, "r", None)]
+    df = spark.createDataFrame(rows, "npi string, e string, f string, r string, d string")
+    got = observed(profiles.status_profile(df, df.filter("npi != '9'"), "npi", "e", "f", "r", ["d"]))
+    assert got == {"rows": 4, "duplicate_keys": 1, "not_requested": 1, "invalid_enrollment": 2, "invalid_flag": 2, "missing_reason": 2, "invalid_dates": 3}
+
+
+def test_service_and_provider_profiles(spark):
+    df = spark.createDataFrame([("1234567890", "a", "F", 3, 1.0), ("1234567890", "a", "F", None, -1.0), ("x", "b", "Z", 2, None)], "npi string, code string, pos string, benes int, v double")
+    got = observed(profiles.service_profile(df, ["npi", "code"], ["npi", "pos", "code", "benes", "v", "w"], {"npi": profiles.NPI}, {"pos": ["F"]}, ["v"], "benes", {"code": (F.col("code"), ["A"])}))
+    assert got == {"rows": 3, "duplicate_keys": 1, "suppressed": 1, "invalid_npi": 1, "invalid_pos": 1, "invalid_numbers": 2, "filter_mismatch": 1, "columns_out_of_place": 3}
+    assert observed(profiles.provider_profile(df, "npi", ["v", "benes"], {"pos": (F.col("pos"), ["f"])})) == {"rows": 3, "duplicate_keys": 1, "missing_required": 2, "invalid_npi": 1, "filter_mismatch": 1}
+
+
+def test_stored_pages(spark):
+    pages = spark.createDataFrame([(0, 1, 0, 5, "a"), (1, 1, 1, 5, "a"), (2, 1, 2, 5, "a"), (3, 1, 9, 5, "a"), (4, 1, 10, 5, "a")], "page int, declared_rows long, offset long, bytes long, sha256 string")
+    rows = spark.range(5).select(F.col("id").cast("int").alias("page"))
+    files = spark.createDataFrame([(0, 5, "a"), (1, 6, "a"), (2, 5, "b"), (3, 5, "a")], "page int, bytes long, sha256 string")
+    found = profiles.page_reconcile(pages, rows, files)
+    assert [r.problem for r in found.orderBy("page").collect()] == ["ok", "byte-count", "hash", "offset-gap", "no-file"]
+    assert tuple(profiles.page_total(found).first()) == (5, 5, 5, 4, False) and profiles.page_total(found.filter("page = 0")).first().valid
+
+
+def test_file_rollup_and_deny_rules(spark):
+    states = spark.createDataFrame([("a", "match"), ("a", "missing"), ("b", "match"), ("c", "hash-mismatch")], "release string, state string")
+    assert {r.release: r.state for r in profiles.status_rollup(states, "release").collect()} == {"a": "incomplete", "b": "complete", "c": "mismatched", None: "mismatched"}
+    files = spark.createDataFrame([("x/Private/1", "hello"), ("y", "ＳＥＣＲＥＴ straße"), ("z", None)], "path string, text string")
+    rules = [("r1", "exact-text", "hell"), ("r2", "casefold-text", "Secret STRASSE"), ("r3", "file-sha256", "2CF24DBA5FB0A30E26E83B2AC5B9E29E1B161E5C1FA7425E73043362938B9824"), ("r4", "path-fragment", "/private/")]
+    assert sorted((r.path, r.rule_id) for r in profiles.deny_scan(files, "path", "text", rules).collect()) == [("x/Private/1", "r1"), ("x/Private/1", "r3"), ("x/Private/1", "r4"), ("y", "r2")]
+
+
+def test_filter_gate(spark):
+    asked = spark.createDataFrame([(2020, "A"), (2020, "B")], "data_year int, code string")
+    rows = [(1, 2020, {"code": ["A"]}, True), (2, 2020, {"code": ["B"], "kind": ["K"]}, True), (3, 2020, {"state": ["FL"]}, False)]
+    schema = "release_id long, data_year int, filters map<string,array<string>>, eligible boolean"
+    gate = lambda r: gates.filter_gate(asked, spark.createDataFrame(r, schema), "code", "code", {"kind": ["K"]})
+    gate(rows)
+    with pytest.raises(gates.GateError, match="2020/B=0"):
+        gate(rows[:1])
+    with pytest.raises(gates.GateError, match="2020/A=2;2020/B=2"):
+        gate([*rows, (4, 2020, {}, True)])
+    with pytest.raises(gates.GateError, match="unexpected narrowed releases 5"):
+        gate([*rows, (5, 2020, {"code": ["A"], "state": ["FL"]}, True)])
+
+
+def test_label_disagreement(spark):
+    detail, summary = spark.createDataFrame([("1", "I"), ("1", "I"), ("2", "O"), ("3", None)], "npi string, e string"), spark.createDataFrame([("1", "I"), ("2", "I"), ("3", "O")], "npi string, e string")
+    assert sorted(r.npi for r in gates.label_disagreement(detail, summary, ["npi"], "e").collect()) == ["2", "3"]

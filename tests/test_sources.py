@@ -55,3 +55,16 @@ def test_bounded_csv(spark, tmp_path):
 def test_fingerprint_ignores_order_not_content(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "i int, s string"), spark.createDataFrame([(2, "y"), (1, "x")], "i int, s string")
     assert sinks.fingerprint(a).first() == sinks.fingerprint(b.repartition(3)).first() != sinks.fingerprint(a.filter("i = 1")).first()
+
+
+def test_bounded_csv_bytes(spark, tmp_path):
+    df = spark.createDataFrame([(i, "ä" * 10) for i in range(5)], "i int, s string")
+    with pytest.raises(ValueError, match="cap of 100 bytes"):
+        sinks.write_bounded_csv(df, str(tmp_path / "a"), ["i"], 5, 100)
+    assert not (tmp_path / "a").exists() and sinks.write_bounded_csv(df, str(tmp_path / "b"), ["i"], 5, 200) == 5
+
+
+def test_fingerprint_tells_nulls_and_bounds_apart(spark):
+    rows = [("x", None), (None, "x"), ("x", ""), ("", "x"), ("n;", None), (None, None), ("x1:y", "z"), ("x", "1:yz")]
+    one = lambda r: sinks.fingerprint(spark.createDataFrame([r], "a string, b string")).first().content_hash
+    assert len({one(r) for r in rows}) == len(rows)
