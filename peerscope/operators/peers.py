@@ -87,6 +87,16 @@ def excluded_stats(cells: DataFrame, keys: Sequence[str], metrics: Mapping[str,
     return attach(first, deviations(attach(peers, first, keys), keys, metrics), keys, "left")
 
 
+def with_excluded_stats(cells: DataFrame, keys: Sequence[str], metrics: Mapping[str, str], is_peer: Column, count: str = "peer_count") -> DataFrame:
+    """All rows with the statistics of their stratum's peers alone, in windows, so that several scopes and ranks share one shuffle."""
+    w, three = Window.partitionBy(*keys), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    of = lambda value: F.when(is_peer, value)
+    out = cells.withColumns({count: F.count(of(F.lit(1))).over(w), **{f"__{n}": F.percentile(of(F.col(m)), three).over(w) for n, m in metrics.items()}})
+    at = lambda n, i: F.get(f"__{n}", F.lit(i))
+    out = out.withColumns({f"{n}_{k}": c for n in metrics for k, c in (("q1", at(n, 0)), ("median", at(n, 1)), ("q3", at(n, 2)), ("iqr", at(n, 2) - at(n, 0)))}).drop(*[f"__{n}" for n in metrics])
+    return out.withColumns({f"{n}_mad": F.percentile(of(F.abs(F.col(m) - F.col(f"{n}_median"))), 0.5).over(w) for n, m in metrics.items()})
+
+
 def excluded_rank(cells: DataFrame, keys: Sequence[str], metrics: Mapping[str, str], is_peer: Column, is_candidate: Column) -> DataFrame:
     """Candidates with <name>_high_rank (1 + peers above) and <name>_peer_share (peers at or below over peers).
 

@@ -162,7 +162,8 @@ SHORT = "SELECT data_year, npi, category, route, tail_years, full_years FROM scr
 
 @query("d5_anonymous_shortlist", SHORT, SCREEN)
 def d5(spark, sf_dir):
-    return claims.anonymous_shortlist(screen(spark, sf_dir), T).select("data_year", "npi", "category", "route", "tail_years", "full_years")
+    rows = screen(spark, sf_dir).withColumns({"screen_tail": F.lit(T.tail), "source_release_id": F.col("data_year") * 10})
+    return claims.anonymous_shortlist(rows, T, ["screen_tail"], "source_release_id").select("data_year", "npi", "category", "route", "tail_years", "full_years")
 
 
 def names(spark, sf_dir):

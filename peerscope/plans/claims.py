@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DiscoveryConfig, ReviewConfig, ScanConfig, ScreenConfig
 from ..functions.measures import band, dominant_component, exposure, ratio, reasons
 from ..functions.robust import all_gates
-from ..operators.peers import attach, excluded_rank, excluded_stats, percentiles, score, with_peer_stats
+from ..operators.peers import attach, excluded_rank, percentiles, score, with_excluded_stats, with_peer_stats
 
 SCAN_METRICS = {"reach": "panel_penetration", "days": "days_per_tested", "units": "units_per_day"}
 SCREEN_METRICS = {"std": "std_per_beneficiary", "raw": "raw_per_beneficiary", "claims": "claims_per_beneficiary", "services": "services_per_beneficiary"}
@@ -177,11 +177,20 @@ def screen_routes(rows: DataFrame, cfg: ScreenConfig) -> DataFrame:
 DERIVED = ("scoreable", "std_full", "raw_full", "claims_full", "services_full", "std_tail", "use_tail", "magnitude", "tail_year", "full_year", "comparable_years", "tail_years", "full_years", "latest_present", "persistent", "route")
 
 
-def anonymous_shortlist(screen: DataFrame, cfg: ScreenConfig) -> DataFrame:
+def anonymous_shortlist(screen: DataFrame, cfg: ScreenConfig, settings: Sequence[str] = (), release: str | None = None) -> DataFrame:
     """Latest-year persistent or emerging suppliers, once every derived column has been derived again and agrees.
 
-    A mismatch, or a supplier twice in a year, raises: a shortlist isn't made from rows that contradict themselves.
+    A mismatch, a supplier twice in a year, more than one value of a column of `settings`, or of `release` in a year,
+    raises: a shortlist isn't made from rows that contradict themselves.
     """
+    if settings:
+        mixed = screen.agg(*[F.count_distinct(F.struct(c)).alias(c) for c in settings]).first().asDict()
+        if any(n > 1 for n in mixed.values()):
+            raise ValueError(f"screen rows mix settings: {', '.join(f'{c}={n}' for c, n in mixed.items() if n > 1)}")
+    if release:
+        several = screen.groupBy("data_year").agg(F.count_distinct(F.struct(release)).alias("n")).filter("n > 1").agg(F.count("*").alias("n"), F.min("data_year").alias("y")).first()
+        if several["n"]:
+            raise ValueError(f"screen rows mix releases: years={several['n']}, first={several['y']}")
     again = screen_routes(screen.drop(*DERIVED), cfg).select("data_year", "npi", *[F.col(c).alias(f"__{c}") for c in DERIVED])
     differs = F.lit(False)
     for c in DERIVED:
@@ -348,7 +357,8 @@ def peer_review(cells: DataFrame, summary: DataFrame, candidates: DataFrame, cfg
     """Candidates' cells against peers outside the cohort, within year, code, place and entity, in the nation and in their state.
 
     Flags need enough national peers, a tail in use per beneficiary and all magnitude gates; the state's statistics are
-    context and null where the state is blank. Only the configured codes are reviewed. A cell qualifies over time if the focus year and an earlier year both do.
+    context and null where the state is blank. A cell qualifies over time if the focus year and an earlier year both do.
+    Only the configured codes are reviewed.
     Every row also has its shares of the visible market and what its candidate's cells cover of the summary.
     """
     keys = ["data_year", "code", "pos", "entity"]
@@ -356,14 +366,14 @@ def peer_review(cells: DataFrame, summary: DataFrame, candidates: DataFrame, cfg
     cells = cells.filter(F.upper("code").isin(list(cfg.codes))) if cfg.codes else cells
     rows = review_cells(cells, candidates).withColumn("geography", F.nullif(F.upper("state"), F.lit("")))
     peer, own = F.col("known") & ~F.col("candidate"), F.col("candidate")
-    # The state's strata lie within the national ones, so both are ranked on one shuffle.
-    ranked = excluded_rank(excluded_rank(rows, keys, REVIEW_METRICS, peer, F.lit(True)), local, STATE_METRICS, peer, own)
-    ranked = ranked.withColumns({c: F.when(F.col("geography").isNotNull(), F.col(c)) for n in STATE_METRICS for c in (f"{n}_high_rank", f"{n}_peer_share")})
-    known = attach(ranked, excluded_stats(rows, keys, REVIEW_METRICS, peer), keys, "left")
-    known = attach(known, excluded_stats(rows, local, STATE_METRICS, peer).withColumnRenamed("peer_count", "state_peer_count"), local, "left")
+    # The state's strata lie within the national ones, so all statistics and ranks share one shuffle.
+    known = with_excluded_stats(with_excluded_stats(rows, keys, REVIEW_METRICS, peer), local, STATE_METRICS, peer, "state_peer_count")
+    known = excluded_rank(excluded_rank(known, keys, REVIEW_METRICS, peer, F.lit(True)), local, STATE_METRICS, peer, own)
+    placed = F.col("geography").isNotNull()
+    known = known.withColumns({c: F.when(placed, F.col(c)) for n in STATE_METRICS for c in (f"{n}_high_rank", f"{n}_peer_share", *[f"{n}_{k}" for k in ("q1", "median", "q3", "iqr", "mad")])})
     over = lambda value, quartile: exposure(F.col(value), F.col("beneficiaries"), F.col(quartile))
     known = score(score(known, REVIEW_METRICS), STATE_METRICS).withColumns({
-        "peer_count": F.coalesce("peer_count", F.lit(0)), "state_peer_count": F.coalesce("state_peer_count", F.lit(0)),
+        "state_peer_count": F.when(placed, F.col("state_peer_count")).otherwise(0),
         "raw_exposure": over("payment", "payment_q3"), "std_exposure": over("standardized", "std_q3"), "state_raw_exposure": over("payment", "state_payment_q3"), "state_std_exposure": over("standardized", "state_std_q3"),
     })
     enough = F.col("peer_count") >= cfg.minimum_peers
