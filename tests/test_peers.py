@@ -68,3 +68,15 @@ def test_unknown_gates_fail(spark):
 def test_null_strata_have_no_peers(spark):
     df = spark.createDataFrame([(None, 1.0), (1, 2.0)], "g int, v double")
     assert [r.g for r in peers.with_peer_stats(df, ["g"], {"v": "v"}).collect()] == [1]
+
+
+def test_windowed_excluded_statistics_match_the_grouped_form(spark):
+    peer, keys = F.col("known") & ~F.col("cand"), [*KEYS, "peer_scope", "geography"]
+    rows = peers.scopes(cells(spark), "state")
+    assert rows.filter("npi = 'c3'").count() == 1 and rows.filter("npi = 'p3'").select("geography").distinct().count() == 2
+    grouped = {(r.peer_scope, r.geography): r for r in peers.excluded_stats(rows, keys, {"per": "per"}, peer).collect()}
+    for r in peers.with_excluded_stats(rows, keys, {"per": "per"}, peer).collect():
+        want = grouped[(r.peer_scope, r.geography)]
+        assert (r.peer_count, r.per_q1, r.per_median, r.per_q3, r.per_iqr, r.per_mad) == (want.peer_count, want.per_q1, want.per_median, want.per_q3, want.per_iqr, want.per_mad)
+    alone = peers.with_excluded_stats(cells(spark).filter("cand"), KEYS, {"per": "per"}, peer).first()
+    assert alone.peer_count == 0 and alone.per_median is None and alone.per_mad is None
