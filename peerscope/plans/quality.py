@@ -257,7 +257,7 @@ RAW = f"""{b.SUMMARY}, raw AS (SELECT CASE WHEN claims % 5 = 1 THEN 'x' || npi E
   supplier_file AS (SELECT * FROM raw UNION ALL SELECT * FROM raw WHERE share = '#')"""
 
 
-def supplier_file(spark, sf_dir):
+def faulty_suppliers(spark, sf_dir):
     n, text = F.col("claims"), lambda c: F.col(c).cast("string")
     rows = b.summary(spark, sf_dir).select(
         F.when(n % 5 == 1, F.concat(F.lit("x"), "npi")).otherwise(F.concat(text("data_year"), F.substring("npi", 5, 6))).alias("npi"), F.when(n % 6 == 2, "Q").otherwise(F.col("entity")).alias("entity"), F.when(n % 4 == 0, "*").when(n % 4 == 1, "").otherwise(text("beneficiaries")).alias("benes"),
@@ -274,7 +274,7 @@ def supplier_file(spark, sf_dir):
     RAW,
 )
 def v1(spark, sf_dir):
-    return profiles.supplier_profile(supplier_file(spark, sf_dir), "npi", "entity", "benes", required=["clms"], optional=["benes", "share", "age"], counts=["benes", "clms"], shares=["share"], age="age", malformed=F.col("torn"))
+    return profiles.supplier_profile(faulty_suppliers(spark, sf_dir), "npi", "entity", "benes", required=["clms"], optional=["benes", "share", "age"], counts=["benes", "clms"], shares=["share"], age="age", malformed=F.col("torn"))
 
 
 @query("v2_v4_profile_service", f"SELECT check_name AS \"check\", observed FROM ({SERVICE_RULES})", FAULTY)
@@ -289,7 +289,7 @@ def v2(spark, sf_dir):
     RAW,
 )
 def v3_provider(spark, sf_dir):
-    rows = supplier_file(spark, sf_dir).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("benes", "age")})
+    rows = faulty_suppliers(spark, sf_dir).withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("benes", "age")})
     return profiles.provider_profile(rows, "npi", ["npi", "benes", "age"], {"entity": (F.col("entity"), ["i"])})
 
 
