@@ -77,4 +77,13 @@ WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('mix-1:' || coalesc
 SELECT doc_id, size, source_size, target, CAST((take // greatest(length, 1)) * size + greatest(least(upto, take % greatest(length, 1)) - (upto - size), 0) AS BIGINT) AS taken FROM ring JOIN (SELECT rk, shard, length, take FROM shares) USING (rk, shard)
 """
 
-SQL = {"op2_warc": OP2, "op4_near_dedup": OP4, "op8_lm_scoring": OP8, "op9_decontamination": OP9, "op6_mixing": OP6}
+#: `<turn>`, role, a line feed, text, `</turn>` and a line feed; each backslash and `<` inside takes one character more.
+OP13 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+  m AS (SELECT *, 15 + length(replace(replace(role, '\', '\b'), '<', '\l')) + length(role) - length(replace(role, chr(10), '')) + length(replace(replace(text, '\', '\b'), '<', '\l')) AS chars FROM t),
+  c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role) AS listed, coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '') AS learned, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM m GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM c
+"""
+
+SQL = {"op13_chat_formatting": OP13, "op2_warc": OP2, "op4_near_dedup": OP4, "op8_lm_scoring": OP8, "op9_decontamination": OP9, "op6_mixing": OP6}
