@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lm_scoring, mixing, near_dedup, pii, quality_gam, quality_rules, reference_sql, token_counts, toxicity, warc
-from .common import body, held_out, read, shared_dir
+from . import chat, decontamination, lm_scoring, mixing, near_dedup, periodic_runs, pii, quality_gam, quality_rules, reference_sql, token_counts, toxicity, warc
+from .common import WORD, body, held_out, let, read, shared_dir
 
 
 def _classified(spark: SparkSession, sf_dir: str, model, threshold: float) -> DataFrame:
@@ -66,6 +66,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, 0.5)
 
 
+def _planted_period(h: Column, words: Column) -> Column:
+    """The words, of which those from a = g % n on repeat with period 1 + (n - a) // (3 + g % 8), for g = h // 10."""
+    g, n = F.floor(h / 10), F.size(words)
+    ends = F.struct((g % n).cast("int").alias("a"), (F.lit(1) + F.floor((n - g % n) / (g % 8 + 3))).cast("int").alias("p"))
+    return let(ends, lambda e: F.transform(words, lambda w, i: F.when(i < e["a"], w).otherwise(F.get(words, e["a"] + (i - e["a"]) % e["p"]))))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    repeated = let(F.regexp_extract_all(body(), F.lit(WORD), F.lit(0)), lambda words: F.when(F.size(words) > 0, F.array_join(_planted_period(h, words), " ")).otherwise(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(h % 10 == 0, repeated).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.find_runs(docs)
+    more = lambda a, b: a["length"] * b["period"] > b["length"] * a["period"]
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(more(r, best), r).otherwise(best))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -87,6 +106,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_chat_formatting": op13_chat_formatting,
 }
 SQL = reference_sql.SQL
