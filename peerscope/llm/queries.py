@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, lm_scoring, mixing, near_dedup, periodic_runs, pii, quality_gam, quality_rules, reference_sql, token_counts, toxicity, warc
+from . import chat, decontamination, hard_negatives, lm_scoring, mixing, near_dedup, periodic_runs, pii, quality_gam, quality_rules, reference_sql, token_counts, toxicity, warc
 from .common import WORD, body, held_out, let, read, shared_dir
 
 
@@ -66,6 +66,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, 0.5)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.quantise(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def _planted_period(h: Column, words: Column) -> Column:
     """The words, of which those from a = g % n on repeat with period 1 + (n - a) // (3 + g % 8), for g = h // 10."""
     g, n = F.floor(h / 10), F.size(words)
@@ -106,6 +113,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_chat_formatting": op13_chat_formatting,
 }

@@ -77,6 +77,15 @@ WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5('mix-1:' || coalesc
 SELECT doc_id, size, source_size, target, CAST((take // greatest(length, 1)) * size + greatest(least(upto, take % greatest(length, 1)) - (upto - size), 0) AS BIGINT) AS taken FROM ring JOIN (SELECT rk, shard, length, take FROM shares) USING (rk, shard)
 """
 
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS a, c.vec_id AS c, a.label = c.label AS same, CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+  p AS (SELECT a, c AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, c) <= 5)
+SELECT p.a AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.a, positive_id ORDER BY score DESC, c) AS INTEGER) AS rank, c AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10
+"""
+
 #: `<turn>`, role, a line feed, text, `</turn>` and a line feed; each backslash and `<` inside takes one character more.
 OP13 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -86,4 +95,4 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars FROM c
 """
 
-SQL = {"op13_chat_formatting": OP13, "op2_warc": OP2, "op4_near_dedup": OP4, "op8_lm_scoring": OP8, "op9_decontamination": OP9, "op6_mixing": OP6}
+SQL = {"op11_hard_negatives": OP11, "op13_chat_formatting": OP13, "op2_warc": OP2, "op4_near_dedup": OP4, "op8_lm_scoring": OP8, "op9_decontamination": OP9, "op6_mixing": OP6}
