@@ -3,29 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import gates, profiles, reshape
-from ..sources import readers, sinks
+from ..cluster import scratch
+from ..sources import inventory, readers, sinks
 from . import bindings as b
 from .registry import query
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; a local one only on a local master with none set, as in tests."""
-    sc = spark.sparkContext
-    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not top and not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    top = top or tempfile.mkdtemp(prefix="spark-out-")
-    return f"{top}/{name}-{uuid.uuid4().hex}"
-
-
 # --- sources: the cells written as the files that publishers ship, with all their columns and years, and read back -----
 def filled(df: DataFrame, mapping: dict, made: dict) -> DataFrame:
     """Text columns under the published headers: `made` by target name, the others from the number n and their place."""
@@ -192,11 +181,13 @@ def s8(spark, sf_dir):
     return readers.read_release_register(b.releases(spark, sf_dir), slugs).select("release_id", "data_year", "dataset", "slug")
 
 
-@query("s9_file_inventory")
+@query("s9_file_inventory", """SELECT strftime(o_orderdate, '%Y-%m') AS month, octet_length(encode(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey))) AS bytes, sha256(string_agg(o_orderkey || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM orders GROUP BY 1""")
 def s9(spark, sf_dir):
-    path = scratch(spark, "inventory")
-    b.read(spark, sf_dir, "orders").repartition(3, "o_custkey").write.parquet(path)
-    return readers.read_file_inventory(spark, path).filter("name like '%.parquet'")
+    path, month = scratch(spark, "inventory"), F.date_format("o_orderdate", "yyyy-MM").alias("month")
+    orders = b.read(spark, sf_dir, "orders").select(month, F.col("o_orderkey"))
+    orders.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", F.col("o_orderkey").cast("string").alias("value")).write.partitionBy("month").text(path)
+    found = inventory.read_file_inventory(spark, path, "*.txt", chunk=1 << 16)
+    return found.select(F.regexp_extract("path", "month=([0-9-]+)/", 1).alias("month"), "bytes", "sha256")
 
 
 # --- sinks -----------------------------------------------------------------------------------------------------------

@@ -253,9 +253,3 @@ def read_relationship_payments(spark: SparkSession, paths: str | list[str], rele
 def read_release_register(register: DataFrame, datasets: DataFrame) -> DataFrame:
     """Loaded releases with their dataset's slug."""
     return register.filter("status = 'loaded'").join(F.broadcast(datasets), "dataset")
-
-
-def read_file_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
