@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates, profiles, reshape
 from ..cluster import scratch
-from ..sources import inventory, readers, sinks
+from ..sources import inventory, readers, relationship, sinks
 from . import bindings as b
 from .registry import query
 
@@ -145,30 +145,37 @@ def s6(spark, sf_dir):
     return pages_read_back(rows, readers.GEOGRAPHY_DRUG, made, scratch(spark, "geography"))
 
 
-@query(
-    "s7_relationship_rows",
-    """SELECT record_id, program_year, recipient_type AS covered_recipient_type, npi AS covered_recipient_npi, profile AS covered_recipient_profile_id, hospital AS teaching_hospital_id, payer AS paying_entity_id, CAST(amount AS DOUBLE) AS amount, CAST(paid_on AS VARCHAR) AS paid_on,
-      CAST(number_of_payments AS BIGINT) AS number_of_payments, form AS form_of_payment, nature AS nature_of_payment, third_party AS third_party_payment_recipient_indicator, related_product AS related_product_indicator, CASE WHEN specialty IS NULL THEN 1 ELSE 2 END AS types, 1 AS states,
-      least(coalesce(len(product_names), 0), 2) AS slots, product_names[1] AS product, product_names[2] AS second_product, CASE WHEN program_year < 1996 THEN 'old' END AS recipient_note, CASE WHEN program_year >= 1996 THEN 'Yes' END AS dispute_status FROM payments""",
-    b.PAYMENTS,
-)
+#: Payment records as files with planted faults: amounts, dates and counts that are none, a lacking payer, a bad number.
+S7 = """SELECT record_id, program_year, recipient_type AS covered_recipient_type, CASE WHEN k % 23 = 4 AND npi IS NOT NULL THEN 'x' || npi ELSE npi END AS covered_recipient_npi, profile AS covered_recipient_profile_id, hospital AS teaching_hospital_id, CASE WHEN k % 41 <> 6 THEN payer END AS paying_entity_id, 'Payer ' || payer AS paying_entity_name,
+      CASE WHEN k % 31 = 0 THEN NULL ELSE CAST(amount AS DOUBLE) END AS amount, CASE WHEN k % 37 <> 1 THEN CAST(paid_on AS VARCHAR) END AS paid_on, CASE WHEN k % 43 <> 2 THEN CAST(number_of_payments AS BIGINT) END AS number_of_payments, form AS form_of_payment, nature AS nature_of_payment, third_party AS third_party_payment_recipient_indicator,
+      related_product AS related_product_indicator, CASE WHEN specialty IS NULL THEN 1 ELSE 2 END AS types, 1 AS states, least(coalesce(len(product_names), 0), 2) AS slots, product_names[1] AS product, product_names[2] AS second_product, CASE WHEN program_year < 1996 THEN 'old' END AS recipient_note, CASE WHEN program_year >= 1996 THEN 'Yes' END AS dispute_status, CAST(NULL AS VARCHAR) AS travel_city,
+      concat_ws(';', CASE WHEN k % 23 = 4 AND npi IS NOT NULL THEN 'covered_recipient_npi=out-of-bounds=x' || npi END, CASE WHEN k % 41 = 6 THEN 'paying_entity_id=missing=' END, CASE WHEN k % 31 = 0 THEN 'total_amount_usd=malformed=abc' END, CASE WHEN k % 37 = 1 THEN 'payment_date=malformed=13/45/2023' END, CASE WHEN k % 43 = 2 THEN 'number_of_payments=malformed=1.5' END) AS problems,
+      k % 23 = 4 AND npi IS NOT NULL OR k % 41 = 6 OR k % 31 = 0 OR k % 37 = 1 OR k % 43 = 2 AS malformed FROM (SELECT *, CAST(record_id AS BIGINT) AS k FROM payments)"""
+
+
+@query("s7_relationship_rows", S7, b.PAYMENTS)
 def s7(spark, sf_dir):
-    p, path = b.payments(spark, sf_dir), scratch(spark, "relationship")
+    p, path, k = b.payments(spark, sf_dir), scratch(spark, "relationship"), F.col("record_id").cast("long")
     product = "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply"
     common = [
-        F.col("record_id").alias("RECORD_ID"), F.col("program_year").cast("string").alias("Program_Year"), F.col("recipient_type").alias("Covered_Recipient_Type"), F.col("npi").alias("Covered_Recipient_NPI"), F.col("hospital").alias("Teaching_Hospital_ID"), F.col("payer").alias("Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_ID"),
-        F.col("amount").cast("string").alias("Total_Amount_of_Payment_USDollars"), F.date_format("paid_on", "MM/dd/yyyy").alias("Date_of_Payment"), F.col("number_of_payments").cast("string").alias("Number_of_Payments_Included_in_Total_Amount"), F.col("form").alias("Form_of_Payment_or_Transfer_of_Value"),
-        F.col("nature").alias("Nature_of_Payment_or_Transfer_of_Value"), F.col("third_party").alias("Third_Party_Payment_Recipient_Indicator"), F.col("related_product").alias("Related_Product_Indicator"), F.col("recipient_type").alias("Covered_Recipient_Primary_Type_1"), F.col("specialty").alias("Covered_Recipient_Primary_Type_2"),
-        F.lit("NY").alias("Covered_Recipient_License_State_code1"), F.get("product_names", F.lit(0)).alias(f"{product}_1"), F.get("product_names", F.lit(1)).alias(f"{product}_2"), F.lit(" ").alias("Associated_Drug_or_Biological_NDC_1"),
+        F.col("record_id").alias("RECORD_ID"), F.col("program_year").cast("string").alias("Program_Year"), F.col("recipient_type").alias("Covered_Recipient_Type"), F.when(k % 23 == 4, F.concat(F.lit("x"), "npi")).otherwise(F.col("npi")).alias("Covered_Recipient_NPI"), F.col("hospital").alias("Teaching_Hospital_ID"),
+        F.when(k % 41 != 6, F.col("payer")).alias("Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_ID"), F.concat(F.lit("Payer "), "payer").alias("Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_Name"),
+        F.when(k % 31 == 0, "abc").otherwise(F.col("amount").cast("string")).alias("Total_Amount_of_Payment_USDollars"), F.when(k % 37 == 1, "13/45/2023").otherwise(F.date_format("paid_on", "MM/dd/yyyy")).alias("Date_of_Payment"), F.when(k % 43 == 2, "1.5").otherwise(F.col("number_of_payments").cast("string")).alias("Number_of_Payments_Included_in_Total_Amount"),
+        F.col("form").alias("Form_of_Payment_or_Transfer_of_Value"), F.col("nature").alias("Nature_of_Payment_or_Transfer_of_Value"), F.col("related_product").alias("Related_Product_Indicator"),
+        F.get("product_names", F.lit(0)).alias(f"{product}_1"), F.get("product_names", F.lit(1)).alias(f"{product}_2"), F.lit(" ").alias("Associated_Drug_or_Biological_NDC_1"),
     ]
     # The files of earlier years have another header than those of later ones.
-    p.filter("program_year < 1996").select(*common, F.col("profile").alias("Physician_Profile_ID"), F.lit("old").alias("Recipient_Note")).write.option("header", True).csv(f"{path}/old")
-    p.filter("program_year >= 1996").select(F.col("profile").alias("Covered_Recipient_Profile_ID"), *reversed(common), F.lit("Yes").alias("Dispute_Status")).write.option("header", True).csv(f"{path}/new")
-    got = readers.read_relationship_payments(spark, [f"{path}/old", f"{path}/new"], 7)
+    old = [F.col("third_party").alias("Indicate_Third_Party_Payment_Recipient"), F.col("profile").alias("Physician_Profile_ID"), F.col("recipient_type").alias("Physician_Primary_Type_1"), F.col("specialty").alias("Physician_Primary_Type_2"), F.lit("NY").alias("Physician_License_State_code1"), F.lit("old").alias("Recipient_Note")]
+    new = [F.col("third_party").alias("Third_Party_Payment_Recipient_Indicator"), F.col("profile").alias("Covered_Recipient_Profile_ID"), F.col("recipient_type").alias("Covered_Recipient_Primary_Type_1"), F.col("specialty").alias("Covered_Recipient_Primary_Type_2"), F.lit("NY").alias("Covered_Recipient_License_State_code1"), F.lit("Yes").alias("Dispute_Status_for_Publication")]
+    p.filter("program_year < 1996").select(*common, *old).write.option("header", True).csv(f"{path}/old")
+    p.filter("program_year >= 1996").select(*new, *reversed(common)).write.option("header", True).csv(f"{path}/new")
+    got = relationship.read_relationship_payments(spark, [f"{path}/old", f"{path}/new"], 7)
     name = lambda i: F.get("product_slots", F.lit(i))["name"]
+    problems = F.array_join(F.transform("bad_fields", lambda f: F.concat(f["field"], F.lit("="), f["problem"], F.lit("="), F.coalesce(f["raw"], F.lit("")))), ";")
     return got.select(
-        "record_id", "program_year", "covered_recipient_type", "covered_recipient_npi", "covered_recipient_profile_id", "teaching_hospital_id", "paying_entity_id", F.col("total_amount_usd").cast("double").alias("amount"), F.col("payment_date").cast("string").alias("paid_on"), "number_of_payments",
-        "form_of_payment", "nature_of_payment", "third_party_payment_recipient_indicator", "related_product_indicator", F.size("recipient_primary_types").alias("types"), F.size("recipient_license_states").alias("states"), F.size("product_slots").alias("slots"), name(0).alias("product"), name(1).alias("second_product"), "recipient_note", "dispute_status",
+        "record_id", "program_year", "covered_recipient_type", "covered_recipient_npi", "covered_recipient_profile_id", "teaching_hospital_id", "paying_entity_id", "paying_entity_name", F.col("total_amount_usd").cast("double").alias("amount"), F.col("payment_date").cast("string").alias("paid_on"), "number_of_payments",
+        "form_of_payment", "nature_of_payment", "third_party_payment_recipient_indicator", "related_product_indicator", F.size("recipient_primary_types").alias("types"), F.size("recipient_license_states").alias("states"), F.size("product_slots").alias("slots"), name(0).alias("product"), name(1).alias("second_product"),
+        F.element_at("other", F.lit("recipient_note")).alias("recipient_note"), "dispute_status", "travel_city", problems.alias("problems"), "malformed",
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,8 @@ from pyspark.sql import types as T
 from ..functions.measures import marked_number
 
 BAD = "_malformed"
+#: Fixed value: most bytes of a page.
+PAGE_BYTES = 64 << 20
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -24,11 +25,15 @@ def read_csv(spark: SparkSession, paths: str | list[str], columns: Sequence[str]
     return spark.read.schema(text_schema(columns)).options(header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, encoding="UTF-8").csv(paths)
 
 
-def read_pages(spark: SparkSession, paths: str | list[str], columns: Sequence[str]) -> DataFrame:
+def read_pages(spark: SparkSession, paths: str | list[str], columns: Sequence[str], ceiling: int = PAGE_BYTES) -> DataFrame:
     """JSON pages, each an array of rows; names count in any case, and a page that isn't such an array is one malformed row.
 
-    A page, some thousand rows, is parsed as a whole, as the publisher sends it.
+    A page, some thousand rows, is parsed as a whole, as the publisher sends it; one beyond `ceiling` bytes raises before
+    it is read. Columns that a row lacks are null.
     """
+    large = spark.read.format("binaryFile").load(paths).select("path", "length").filter(F.col("length") > ceiling).first()
+    if large is not None:
+        raise ValueError(f"page {large['path']} of {large['length']} bytes exceeds the ceiling of {ceiling}")
     pages = spark.read.text(paths, wholetext=True).withColumn("rows", F.from_json("value", "array<map<string,string>>"))
     rows = pages.select(F.explode(F.coalesce("rows", F.array(F.lit(None).cast("map<string,string>")))).alias("r"), F.when(F.col("rows").isNull(), F.left("value", F.lit(200))).alias(BAD))
     rows = rows.withColumn("r", F.transform_keys("r", lambda k, v: F.lower(k)))
@@ -86,26 +91,6 @@ def convert(raw: Column, kind: str) -> tuple[Column, Column]:
     return value, bad
 
 
-def numbered(df: DataFrame, stem: str, most: int) -> Column:
-    """Numbered columns such as Type_1 .. Type_5, or code1 .. code5, as one array of the values that are there."""
-    have = {c.lower(): c for c in df.columns}
-    at = [have.get(f"{stem}_{i}".lower(), have.get(f"{stem}{i}".lower())) for i in range(1, most + 1)]
-    found = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in at if c]
-    return F.filter(F.array(*found), lambda v: v.isNotNull()) if found else F.array().cast("array<string>")
-
-
-def slots(df: DataFrame, fields: Mapping[str, str], most: int) -> Column:
-    """Numbered groups of columns as one array of structs, empty groups left out."""
-    have = {c.lower(): c for c in df.columns}
-    made = []
-    for i in range(1, most + 1):
-        known = {n: have.get(f"{stem}_{i}".lower()) for n, stem in fields.items()}
-        if any(known.values()):
-            values = [(F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) if c else F.lit(None).cast("string")).alias(n) for n, c in known.items()]
-            made.append(F.when(F.coalesce(*values).isNotNull(), F.struct(F.lit(i).alias("slot"), *values)))
-    return F.filter(F.array(*made), lambda s: s.isNotNull())
-
-
 #: Abbreviations in published column names.
 ABBREVIATED = dict(x.split("=") for x in """
 Suplr=supplier Prvdr=provider Rndrng=rendering Prscrbr=prescriber Prscrbrs=prescribers Org=organization MI=middle_initial Crdntls=credentials Ent=entity Cd=code Cds=codes St1=street_1 St2=street_2 Abrvtn=abbreviation
@@ -210,46 +195,6 @@ def read_json_file(spark: SparkSession, paths, mapping: Mapping[str, tuple], yea
     return typed(read_pages(spark, paths, _sources(mapping)), mapping, source_release_id=release_id, data_year=year)
 
 
-#: Current and former names of the relationship file's columns.
-RELATIONSHIP = {
-    "record_id": ("Record_ID", "text"), "program_year": ("Program_Year", "year"), "covered_recipient_type": ("Covered_Recipient_Type", "text"), "covered_recipient_npi": ("Covered_Recipient_NPI", "text"),
-    "covered_recipient_profile_id": (("Covered_Recipient_Profile_ID", "Physician_Profile_ID"), "text"), "teaching_hospital_id": ("Teaching_Hospital_ID", "text"), "paying_entity_id": ("Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_ID", "text"),
-    "paying_entity_name": ("Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_Name", "text"), "total_amount_usd": ("Total_Amount_of_Payment_USDollars", "amount"), "payment_date": ("Date_of_Payment", "date"), "number_of_payments": ("Number_of_Payments_Included_in_Total_Amount", "count"),
-    "form_of_payment": ("Form_of_Payment_or_Transfer_of_Value", "text"), "nature_of_payment": ("Nature_of_Payment_or_Transfer_of_Value", "text"), "third_party_payment_recipient_indicator": ("Third_Party_Payment_Recipient_Indicator", "text"), "related_product_indicator": ("Related_Product_Indicator", "text"),
-}
-PRODUCT_FIELDS = {
-    "coverage_indicator": "Covered_or_Noncovered_Indicator", "product_type": "Indicate_Drug_or_Biological_or_Device_or_Medical_Supply", "category_or_therapeutic_area": "Product_Category_or_Therapeutic_Area",
-    "name": "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply", "ndc": "Associated_Drug_or_Biological_NDC", "pdi": "Associated_Device_or_Medical_Supply_PDI",
-}
-
-
-def relationship_rows(df: DataFrame, release_id: int) -> DataFrame:
-    """Relationship records from text columns: aliases, dates, numbered columns as arrays, product slots as structs.
-
-    All other columns are carried as text, under their names in lower case.
-    """
-    lists = {"recipient_primary_types": ("Covered_Recipient_Primary_Type", 6), "recipient_specialties": ("Covered_Recipient_Specialty", 6), "recipient_license_states": ("Covered_Recipient_License_State_code", 5)}
-    extra = {**{k: numbered(df, stem, most) for k, (stem, most) in lists.items()}, "product_slots": slots(df, PRODUCT_FIELDS, 5)}
-    used = {f"{stem}_{i}".lower() for stem, most in [*lists.values(), *((f, 5) for f in PRODUCT_FIELDS.values())] for i in range(1, most + 1)}
-    used |= {f"{stem}{i}".lower() for stem, most in lists.values() for i in range(1, most + 1)}
-    have = {c.lower(): c for c in df.columns}
-    columns = [F.lit(release_id).alias("source_release_id")]
-    for name, (source, kind) in RELATIONSHIP.items():
-        known = [a.lower() for a in ([source] if isinstance(source, str) else source) if a.lower() in have]
-        used |= set(known)
-        if known:
-            columns.append(convert(F.coalesce(*[F.col(f"`{have[a]}`") for a in known]), kind)[0].alias(name))
-    rest = [F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")).alias(k) for k, c in have.items() if k not in used and k not in {*RELATIONSHIP, *extra, "source_release_id"}]
-    return df.select(*columns, *[c.alias(k) for k, c in extra.items()], *rest)
-
-
-def read_relationship_payments(spark: SparkSession, paths: str | list[str], release_id: int) -> DataFrame:
-    """Relationship CSVs by header names in any case, each path under its own header; all columns are read as text first."""
-    parts = [spark.read.options(header=True, inferSchema=False).csv(p) for p in ([paths] if isinstance(paths, str) else paths)]
-    parts = [p.toDF(*[c.lower() for c in p.columns]) for p in parts]
-    return relationship_rows(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), release_id)
-
-
 def read_release_register(register: DataFrame, datasets: DataFrame) -> DataFrame:
     """Loaded releases with their dataset's slug."""
-    return register.filter("status = 'loaded'").join(F.broadcast(datasets), "dataset")
+    return register.filter("status = 'loaded'").join(datasets, "dataset")

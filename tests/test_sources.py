@@ -3,8 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from peerscope.sources import readers, sinks
+from peerscope.sources import readers, relationship, sinks
 
 
 def test_supplier_csv_with_bom_marks_and_bad_rows(spark, tmp_path):
@@ -27,12 +28,49 @@ def test_json_pages(spark, tmp_path):
     assert len(rows) == 6 and {r.total_beneficiaries for r in rows} == {None} and sorted(r.total_claims for r in rows) == [0, 0, 1, 1, 2, 2]
 
 
+def relationship_file(spark, rows, names):
+    return relationship.relationship_rows(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)), 3, 2020)
+
+
+PAYER = ["Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_ID", "Applicable_Manufacturer_or_Applicable_GPO_Making_Payment_Name"]
+
+
 def test_relationship_rows(spark):
-    df = spark.createDataFrame([("r1", "01/31/2020", "A", " ", "pill", "", "N1"), ("r2", "13/01/2020", None, "B", "", "", "")], ["RECORD_id", "Date_of_Payment", "Covered_Recipient_Specialty_1", "Covered_Recipient_Specialty_2", "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1", "Associated_Drug_or_Biological_NDC_1", "Associated_Drug_or_Biological_NDC_2"])
-    a, b = readers.relationship_rows(df, 3).orderBy("record_id").collect()
-    assert str(a.payment_date) == "2020-01-31" and b.payment_date is None
-    assert a.recipient_specialties == ["A"] and b.recipient_specialties == ["B"]
+    names = ["RECORD_id", "Date_of_Payment", "Total_Amount_of_Payment_USDollars", "program_YEAR", *PAYER, "Covered_Recipient_Specialty_1", "Covered_Recipient_Specialty_2", "Name_of_Drug_or_Biological_or_Device_or_Medical_Supply_1", "Associated_Drug_or_Biological_NDC_1", "Associated_Drug_or_Biological_NDC_2", "Note"]
+    rows = [("r1", "01/31/2020", "1.50", "2020", "1", "P", "A", " ", "pill", "", "N1", "n"), ("r2", "13/45/2020", "abc", "2019", " ", "P", None, "B", "", "", "", None), (None, None, "-1", "x", "1", "P", "", "", "", "", "", "")]
+    a, b, c = relationship_file(spark, rows, names).orderBy(F.col("record_id").asc_nulls_last()).collect()
+    assert str(a.payment_date) == "2020-01-31" and str(a.total_amount_usd) == "1.5000000000" and not a.malformed and a.other == {"note": "n"} and a.travel_city is None
+    assert a.recipient_specialties == ["A"] and b.recipient_specialties == ["B"] and a.product_ndcs == ["N1"]
     assert [(s.slot, s.name, s.ndc) for s in a.product_slots] == [(1, "pill", None), (2, None, "N1")] and b.product_slots == []
+    assert b.malformed and b.payment_date is None and sorted(map(tuple, b.bad_fields)) == [("paying_entity_id", None, "missing"), ("payment_date", "13/45/2020", "malformed"), ("program_year", "2019", "out-of-bounds"), ("total_amount_usd", "abc", "malformed")]
+    assert sorted((f.field, f.problem) for f in c.bad_fields) == [("payment_date", "missing"), ("program_year", "malformed"), ("record_id", "missing"), ("total_amount_usd", "malformed")]
+
+
+def test_relationship_schema_is_the_same_for_all_years(spark):
+    old = relationship_file(spark, [("1", "A", "x", "12345")], ["Record_ID", "Physician_Specialty", "Physician_License_State_code2", "physician_npi"])
+    new = relationship_file(spark, [("1", "A")], ["Record_ID", "Covered_Recipient_Specialty_3"])
+    assert old.schema == new.schema and set(relationship.FIELDS) < set(old.columns)
+    r = old.first()
+    assert (r.recipient_specialties, r.recipient_license_states, r.covered_recipient_npi) == (["A"], ["x"], "12345") and ("covered_recipient_npi", "12345", "out-of-bounds") in map(tuple, r.bad_fields)
+
+
+def test_relationship_files_with_torn_rows(spark, tmp_path):
+    header = ",".join(["Record_ID", "Date_of_Payment", "Total_Amount_of_Payment_USDollars", *PAYER])
+    (tmp_path / "a.csv").write_text(f"{header}\n1,01/02/2020,5,7,P\n2,01/02/2020\n3,01/02/2020,6,7,P,extra,more\n")
+    (tmp_path / "b.csv").write_text("\ufefftotal_amount_of_payment_usdollars,RECORD_ID,Other\n5,9,o\n")
+    rows = relationship.read_relationship_payments(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], 1)
+    good, bad = relationship.split_malformed(rows)
+    assert [r.record_id for r in good.collect()] == ["1"]
+    found = {(r.record_id, r.field, r.problem) for r in bad.collect()}
+    assert {("2", "row", "malformed"), ("2", "total_amount_usd", "missing"), ("3", "row", "malformed"), ("9", "payment_date", "missing")} <= found
+    assert {r.raw for r in bad.filter("field = 'row'").collect()} == {"2,01/02/2020", "3,01/02/2020,6,7,P,extra,more"}
+
+
+def test_page_ceiling(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"a": "x" * 200}]))
+    with pytest.raises(ValueError, match="ceiling of 100"):
+        readers.read_pages(spark, str(tmp_path), ["a"], ceiling=100)
+    assert readers.read_pages(spark, str(tmp_path), ["a"], ceiling=1000).count() == 1
 
 
 def test_replace_release_is_idempotent(spark, tmp_path):
