@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DiscoveryConfig, ReviewConfig, ScanConfig, ScreenConfig
 from ..functions.measures import band, dominant_component, exposure, ratio, reasons
 from ..functions.robust import all_gates
-from ..operators.peers import attach, excluded_rank, percentiles, score, with_excluded_stats, with_peer_stats
+from ..operators.peers import attach, percentiles, score, scored
 
 SCAN_METRICS = {"reach": "panel_penetration", "days": "days_per_tested", "units": "units_per_day"}
 SCREEN_METRICS = {"std": "std_per_beneficiary", "raw": "raw_per_beneficiary", "claims": "claims_per_beneficiary", "services": "services_per_beneficiary"}
@@ -47,10 +47,11 @@ def provider_service_scan(cells: DataFrame, panel: DataFrame, cfg: ScanConfig) -
     broad = ["data_year", "specialty", "entity", "code", "pos", "__tested"]
     keys = [*broad, "panel_band"]
     rows = scan_rows(cells, panel, cfg).withColumn("__tested", F.col("tested") >= cfg.minimum_tested)
-    scored = score(percentiles(with_peer_stats(rows, keys, SCAN_METRICS), keys, SCAN_METRICS), SCAN_METRICS)
-    scored = percentiles(scored, broad, SCAN_METRICS, "broad_percentile").withColumn("broad_peer_count", F.count("*").over(Window.partitionBy(*broad)))
-    added = [c for c in scored.columns if c not in rows.columns]
-    return _scan_routes(scored.select(*[c for c in rows.columns if c != "__tested"], *[F.when(F.col("__tested"), F.col(c)).alias(c) for c in added]), cfg)
+    # Strata lie within the broad ones, so both are split where the broad one is large.
+    use = lambda form, part: form.percentiles(form.percentiles(form.with_peer_stats(part, keys, SCAN_METRICS), keys, SCAN_METRICS), broad, SCAN_METRICS, "broad_percentile")
+    made = score(scored(rows, broad, use), SCAN_METRICS).withColumn("broad_peer_count", F.count("*").over(Window.partitionBy(*broad)))
+    added = [c for c in made.columns if c not in rows.columns]
+    return _scan_routes(made.select(*[c for c in rows.columns if c != "__tested"], *[F.when(F.col("__tested"), F.col(c)).alias(c) for c in added]), cfg)
 
 
 def _scan_routes(rows: DataFrame, cfg: ScanConfig) -> DataFrame:
@@ -140,7 +141,7 @@ def supplier_screen(summary: DataFrame, cfg: ScreenConfig) -> DataFrame:
     """Suppliers scored within year, entity, specialty, category and band; magnitude gates, persistence and routes."""
     keys = ["data_year", "entity", "specialty", "category", "band"]
     rows = screen_rows(summary, cfg)
-    rows = score(percentiles(with_peer_stats(rows, keys, SCREEN_METRICS), keys, SCREEN_METRICS), SCREEN_METRICS)
+    rows = score(scored(rows, keys, lambda form, part: form.percentiles(form.with_peer_stats(part, keys, SCREEN_METRICS), keys, SCREEN_METRICS)), SCREEN_METRICS)
     rows = rows.withColumns({
         "raw_exposure": exposure(F.col("payment"), F.col("beneficiaries"), F.col("raw_q3")),
         "std_exposure": exposure(F.col("standardized"), F.col("beneficiaries"), F.col("std_q3")),
@@ -367,8 +368,11 @@ def peer_review(cells: DataFrame, summary: DataFrame, candidates: DataFrame, cfg
     rows = review_cells(cells, candidates).withColumn("geography", F.nullif(F.upper("state"), F.lit("")))
     peer, own = F.col("known") & ~F.col("candidate"), F.col("candidate")
     # The state's strata lie within the national ones, so all statistics and ranks share one shuffle.
-    known = with_excluded_stats(with_excluded_stats(rows, keys, REVIEW_METRICS, peer), local, STATE_METRICS, peer, "state_peer_count")
-    known = excluded_rank(excluded_rank(known, keys, REVIEW_METRICS, peer, F.lit(True)), local, STATE_METRICS, peer, own)
+    def use(form, part: DataFrame) -> DataFrame:
+        part = form.with_excluded_stats(form.with_excluded_stats(part, keys, REVIEW_METRICS, peer), local, STATE_METRICS, peer, "state_peer_count")
+        return form.excluded_rank(form.excluded_rank(part, keys, REVIEW_METRICS, peer, F.lit(True)), local, STATE_METRICS, peer, own)
+
+    known = scored(rows, keys, use)
     placed = F.col("geography").isNotNull()
     known = known.withColumns({c: F.when(placed, F.col(c)) for n in STATE_METRICS for c in (f"{n}_high_rank", f"{n}_peer_share", *[f"{n}_{k}" for k in ("q1", "median", "q3", "iqr", "mad")])})
     over = lambda value, quartile: exposure(F.col(value), F.col("beneficiaries"), F.col(quartile))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
+from ..operators import strata
 from ..operators.peers import attach
 
 
@@ -31,7 +32,7 @@ def _verdict(offsets: Column) -> Column:
 
 def last_changes(series: DataFrame) -> DataFrame:
     """(brand, generic, npi, now, before, change) of the actors that are there in both of their product's last two years."""
-    last = series.withColumn("last", F.max("data_year").over(Window.partitionBy(*PRODUCT)))
+    last = attach(series, series.groupBy(*PRODUCT).agg(F.max("data_year").alias("last")), PRODUCT)
     now = F.max(F.when(F.col("data_year") == F.col("last"), F.col("claims")))
     before = F.max(F.when(F.col("data_year") == F.col("last") - 1, F.col("claims")))
     rows = last.filter(F.col("data_year") >= F.col("last") - 1).groupBy(*PRODUCT, "npi").agg(now.alias("now"), before.alias("before"))
@@ -43,19 +44,22 @@ def reassignment(series: DataFrame, parts: int = 10) -> DataFrame:
 
     A rise r and a fall -f offset each other if |r - f| is at most 1 / `parts` of both actors' claims before, b and c. In
     parts * r - b <= parts * f + c and parts * r + b >= parts * f - c that is an overlap of two intervals. An actor meets
-    all of the other side but those whose interval ends before its own starts or starts after its own ends, so two counts
-    in an order of interval ends per product are enough and no pair is made.
+    all of the other side but those whose interval ends before its own starts or starts after its own ends, so two running
+    counts over interval ends per product are enough; no pair is made, and a product is split by ranges of the ends.
     """
     moved = last_changes(series).filter("change != 0").withColumn("up", F.col("change") > 0)
     size, reach = F.abs("change") * parts, F.col("before")
     moved = moved.withColumns({"lo": size - reach, "hi": size + reach})
     # Sorted events: of ends and starts at one place starts come first, as touching intervals overlap.
-    events = moved.select(*PRODUCT, "npi", "up", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("end")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("end")))).alias("e")).select(*PRODUCT, "npi", "up", "e.at", "e.end")
-    order = Window.partitionBy(*PRODUCT).orderBy("at", "end").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = lambda up, end: F.count_if((F.col("up") == F.lit(up)) & (F.col("end") == end)).over(order)
-    counted = events.withColumns({"ended": F.when(F.col("up"), seen(False, 1)).otherwise(seen(True, 1)), "started": F.when(F.col("up"), seen(False, 0)).otherwise(seen(True, 0))})
+    ends = F.array(F.struct(F.col("lo").cast("double").alias("at"), F.lit(0).alias("end")), F.struct(F.col("hi").cast("double").alias("at"), F.lit(1).alias("end")))
+    events = moved.select(*PRODUCT, "npi", "up", F.inline(ends))
+    kinds = {f"{'up' if up else 'down'}_{end}": (F.col("up") == F.lit(up)) & (F.col("end") == end) for up in (True, False) for end in (0, 1)}
+    places = events.groupBy(*PRODUCT, "at", "end").agg(*[F.count_if(c).alias(n) for n, c in kinds.items()])
+    places = strata.running(places, PRODUCT, ["at", "end"], list(kinds)).select(*PRODUCT, "at", "end", *[f"{n}_upto" for n in kinds])
+    counted = events.join(places, [*PRODUCT, "at", "end"])
     # Ended before an actor's start, strictly, as ends at that place come after it; started up to its end.
-    per = counted.groupBy(*PRODUCT, "npi").agg(F.max(F.when(F.col("end") == 0, F.col("ended"))).alias("ended"), F.max(F.when(F.col("end") == 1, F.col("started"))).alias("started"))
+    ended, started = (F.when(F.col("up"), F.col(f"down_{k}_upto")).otherwise(F.col(f"up_{k}_upto")) for k in (1, 0))
+    per = counted.groupBy(*PRODUCT, "npi").agg(F.max(F.when(F.col("end") == 0, ended)).alias("ended"), F.max(F.when(F.col("end") == 1, started)).alias("started"))
     sides = moved.groupBy(*PRODUCT).agg(F.count_if("up").alias("risers"), F.count_if(~F.col("up")).alias("fallers"))
     rows = attach(attach(moved, per, [*PRODUCT, "npi"]), sides, PRODUCT)
     rows = rows.withColumns({"opposite": F.when(F.col("up"), F.col("fallers")).otherwise(F.col("risers")), "offsetting": F.col("started") - F.col("ended")})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as m
 from ..functions.robust import all_gates
-from ..operators import peers, reshape
+from ..operators import peers, reshape, strata
 from ..operators.gates import duplicates
 from . import analyses as a
 from . import bindings as b
@@ -410,8 +410,8 @@ def w6(spark, sf_dir):
 
 @query("w8_running_sums", "SELECT npi, code, pos, data_year, coalesce(round(sum(services) OVER (PARTITION BY npi ORDER BY data_year, code, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4), 0) AS before, round(sum(services) OVER (PARTITION BY npi ORDER BY data_year, code, pos ROWS UNBOUNDED PRECEDING), 4) AS upto FROM cells", b.CELLS)
 def w8(spark, sf_dir):
-    w = Window.partitionBy("npi").orderBy("data_year", "code", "pos")
-    return b.cells(spark, sf_dir).select("npi", "code", "pos", "data_year", F.coalesce(F.round(F.sum("services").over(w.rowsBetween(Window.unboundedPreceding, -1)), 4), F.lit(0.0)).alias("before"), F.round(F.sum("services").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("upto"))
+    rows = strata.running(b.cells(spark, sf_dir).select("npi", "code", "pos", "data_year", "services"), ["npi"], ["data_year", "code", "pos"], ["services"], F.struct("data_year", "code"))
+    return rows.select("npi", "code", "pos", "data_year", F.round(F.col("services_upto") - F.col("services"), 4).alias("before"), F.round("services_upto", 4).alias("upto"))
 
 
 @query("w9_guarded_lag", "SELECT npi, brand, data_year, CASE WHEN lag(data_year) OVER w = data_year - 1 THEN claims - lag(claims) OVER w END AS change FROM provider_drug WINDOW w AS (PARTITION BY npi, brand ORDER BY data_year)", b.PROVIDER_DRUG)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerscope.functions.robust import all_gates, robust_z, scale_source
-from peerscope.operators import peers
+from peerscope.operators import peers, strata
 
 KEYS = ["y", "code"]
 
@@ -33,18 +33,71 @@ def test_ties_count_as_at_or_below(spark):
     assert out == {2.0: (1, 1.0), 0.5: (4, 0.0), None: (None, None)}
 
 
-def test_quartiles_match_numpy_and_the_sorted_form(spark):
+@pytest.mark.parametrize("most", [0, 50, 10**9])
+def test_quartiles_match_numpy_in_both_forms(spark, most):
     rnd = np.random.default_rng(3)
-    values = [(int(g), float(v)) for g, v in zip(rnd.integers(0, 4, 400), rnd.normal(size=400), strict=True)] + [(9, 5.0), (0, None)]
+    values = [(int(g), float(v)) for g, v in zip(rnd.integers(0, 4, 400), rnd.normal(size=400) * 10.0 ** rnd.integers(-300, 300, 400), strict=True)] + [(9, 5.0), (0, None), (1, 0.0), (1, -0.0)]
     df = spark.createDataFrame(values, "g int, v double")
-    got = {r.g: r for r in peers.with_peer_stats(df, ["g"], {"v": "v"}).collect()}
-    by_sort = {p: {r.g: r.value for r in peers.sorted_quartiles(df, ["g"], "v", p).collect()} for p in (0.25, 0.5, 0.999)}
+    got = {r.g: r for r in peers.with_peer_stats(df, ["g"], {"v": "v"}, most).collect()}
+    grouped = {r.g: r for r in peers.quartiles(df, ["g"], {"v": "v"}).collect()}
     for g in (0, 1, 2, 3, 9):
         x = np.array([v for k, v in values if k == g and v is not None])
-        assert got[g].v_q1 == pytest.approx(np.quantile(x, 0.25)) and got[g].v_median == pytest.approx(np.median(x))
-        assert got[g].v_mad == pytest.approx(np.median(np.abs(x - np.median(x))))
-        assert all(by_sort[p][g] == pytest.approx(np.quantile(x, p)) for p in by_sort)
-    assert got[0].peer_count == sum(k == 0 for k, _ in values)
+        for r in (got[g], grouped[g]):
+            assert r.v_q1 == pytest.approx(np.quantile(x, 0.25)) and r.v_median == pytest.approx(np.median(x))
+            assert r.v_mad == pytest.approx(np.median(np.abs(x - np.median(x)))) and r.v_iqr == r.v_q3 - r.v_q1
+    assert got[0].peer_count == grouped[0].peer_count == sum(k == 0 for k, _ in values)
+
+
+def awkward(spark):
+    """Ties, zeros, signs, extremes, nulls and a candidate cohort, in a large and some small strata, one of them null."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        a = [None, 0.0, -0.0, 1.0, -1.0, float(rnd.integers(-4, 4)), float(rnd.normal()), 1e308, -1e-308, float("inf")][int(rnd.integers(0, 10))]
+        rows.append((i, [1, 1, 1, 2, 3, None][int(rnd.integers(0, 6))], "x" if i % 3 else None, a, float(rnd.integers(0, 5)), bool(i % 4 == 0)))
+    return spark.createDataFrame(rows, "id int, g int, s string, a double, b double, cand boolean")
+
+
+def same(x, y):
+    assert set(x.columns) == set(y.columns)
+    plain = lambda v: repr(v + 0.0 if isinstance(v, float) else v)
+    rows = lambda df: sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()))
+    assert rows(x) == rows(y)
+
+
+def test_split_strata_give_the_results_of_windows(spark):
+    df, m, peer = awkward(spark), {"a": "a", "b": "b"}, ~F.col("cand") & (F.col("id") % 7 > 0)
+    finite = df.filter("a is null or abs(a) < 1e307")
+    for most in (150,):
+        same(peers.with_peer_stats(finite, ["g"], m, 10**9), peers.with_peer_stats(finite, ["g"], m, most))
+        same(peers.percentiles(df, ["g"], m, most=10**9), peers.percentiles(df, ["g"], m, most=most))
+        same(peers.with_excluded_stats(finite, ["g"], m, peer, most=10**9), peers.with_excluded_stats(finite, ["g"], m, peer, most=most))
+        same(peers.excluded_rank(df, ["g"], m, peer, F.col("cand"), 10**9), peers.excluded_rank(df, ["g"], m, peer, F.col("cand"), most))
+
+
+def test_buckets_keep_order(spark):
+    values = sorted([0.0, -1.0, 1.0, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), *[2.0**k * s * f for k in range(-1000, 1000, 77) for s in (1, -1) for f in (1, 1 + 1e-15, 1.5)]])
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "v double")
+    got = {repr(r.v): r.b for r in df.select("v", strata.bucket(F.col("v")).alias("b")).collect()}
+    order = [got[repr(v)] for v in [*values, float("nan"), None]]
+    assert order == sorted(order) and len(set(order)) > 90
+
+
+def test_running_sums_of_one_key_in_many_tasks(spark):
+    """One stratum with all rows: the sums are right, and no task of the ordered step has more than a small share of it."""
+    n = 200_000
+    df = spark.range(n).select(F.lit(1).alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"), F.lit(1).cast("long").alias("w"))
+    out = strata.running(df, ["g"], ["v"], ["w"])
+    assert out.filter((F.col("w_upto") != F.col("v") + 1) | (F.col("w_total") != n)).count() == 0
+    buckets = df.groupBy(strata.bucket(F.col("v"))).count()
+    assert buckets.agg(F.max("count")).first()[0] < n / 200
+
+
+def test_one_stratum_of_all_rows(spark):
+    df = spark.range(100_000).select(F.lit(1).alias("g"), (F.pow((F.col("id") * 7919) % 100_003, F.lit(2)) / 7).alias("v"))
+    r = peers.quartiles(df, ["g"], {"v": "v"}).first()
+    x = np.array([q.v for q in df.collect()])
+    assert (r.v_q1, r.v_median, r.v_q3) == pytest.approx(tuple(np.quantile(x, [0.25, 0.5, 0.75]))) and r.v_mad == pytest.approx(np.median(np.abs(x - np.median(x))))
 
 
 def test_robust_score_falls_back_and_degenerates(spark):
