@@ -13,8 +13,9 @@ two passes over the classes that share a bucket with another:
 2. Where the classes that share a centre are not all in one component after that, an exact prefix-filtered set join finds
    all links among them. Shingles are ordered by how many of these sets hold them, rarest first. Two sets that are
    similar enough share one of their first few shingles, so only these are joined, within bounds on length and position,
-   between different components. What a site's template gives to all of its pages is frequent, hence behind these first
-   shingles, so pages that share no more than that never meet, however many they are.
+   between different components. Entries of a shingle are dealt out by bits of their component's number, so that members
+   of one component never meet, however many they are; two components' members meet at the shingles that they share at
+   the front, and bounds on length and position drop most of these pairs at once.
 
 Every link is confirmed on full sets. A bucket is never expanded into its pairs, and pairs inside a component change
 nothing.
@@ -205,18 +206,31 @@ def links_across(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     own = Window.partitionBy("node")
     ranked = shared.withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "s")) - 1)
     first = cut(ranked.filter(F.col("i") < F.col("n") - up(NUM * F.col("n"), DEN) + 1).select("s", "node", "own", "n", "i"))
-    # Of shingles that only one component holds at the front there is nothing to join.
-    live = first.groupBy("s").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("s")
-    first = first.join(live, "s", "left_semi")
-    small = first.filter(F.col("i") < F.col("n") - up(2 * NUM * F.col("n"), NUM + DEN) + 1)
-    a, b = ([F.col(c).alias(f"{c}_{side}") for c in ("node", "own", "n", "i")] for side in "ab")
-    need = up(NUM * (F.col("n_a") + F.col("n_b")), NUM + DEN)
-    rest = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    fits = (F.col("own_a") != F.col("own_b")) & may_link("n_a", "n_b") & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))) & (rest >= need)
-    pairs = small.select("s", *a).join(first.select("s", *b), "s").filter(fits).groupBy("node_a", "node_b", "n_a", "n_b")
+    small = F.col("i") < F.col("n") - up(2 * NUM * F.col("n"), NUM + DEN) + 1
+    sides = apart(first.withColumn("small", small))
+    x, y = (sides.filter(F.col("bit") == k).select("s", "j", "above", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "i", "small")]) for k, name in ((0, "x"), (1, "y")))
+    lower = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    need = up(NUM * (F.col("n_x") + F.col("n_y")), NUM + DEN)
+    rest = F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    met = x.join(y, ["s", "j", "above"]).filter(F.when(lower, F.col("small_x")).otherwise(F.col("small_y")) & may_link("n_x", "n_y") & (rest >= need))
+    pairs = met.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.count("*").alias("c"), F.max("i_x").alias("i_x"), F.max("i_y").alias("i_y"))
     # Shared shingles so far, and all that could follow the last of them.
-    pairs = pairs.agg(F.count("*").alias("c"), F.max("i_a").alias("i_a"), F.max("i_b").alias("i_b")).filter(F.col("c") + rest - 1 >= need)
-    return confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), sets)
+    pairs = pairs.filter(F.col("c") + rest - 1 >= need)
+    return confirmed(pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")), sets)
+
+
+def apart(first: DataFrame) -> DataFrame:
+    """Entries of each shingle, dealt out so that only those of different components have the same (s, j, above) and not the same bit.
+
+    A shingle's components are numbered. Two different numbers differ first, from the top, in one bit j, with the same bits
+    above; so two entries meet once if their components differ and never if they don't, however many one component has. An
+    entry goes out once for each bit, so a shingle that only one component holds has none.
+    """
+    own = first.select("s", "own").distinct()
+    over = Window.partitionBy("s")
+    own = own.withColumns({"r": F.row_number().over(over.orderBy("own")) - 1, "m": F.count("*").over(over)}).filter("m > 1")
+    bits = first.join(own, ["s", "own"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("m") - 1)).cast("int") - 1)))
+    return bits.withColumns({"bit": F.expr("shiftright(r, j) & 1"), "above": F.expr("shiftright(r, j + 1)")}).drop("r", "m", "own")
 
 
 def near_duplicates(docs: DataFrame, inner: bool = False) -> DataFrame:
