@@ -70,20 +70,27 @@ SCAN = f"""{SCAN_ROWS}, {peer_sql('tested_rows', _KEYS, claims.SCAN_METRICS, 'sc
       WHEN status = 'insufficient-peer-descriptive' THEN 'insufficient-peer' ELSE 'not-applicable' END AS broad_status FROM confirmed)"""
 
 
+#: The label that strata are made of: two kinds of suppliers, as regions leave too few peers to a stratum of the test tables.
+KIND = "CASE WHEN CAST(npi AS BIGINT) % 3 = 0 THEN 'clinic' ELSE 'pharmacy' END"
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    return df.withColumn("specialty", F.when(F.col("npi").cast("long") % 3 == 0, "clinic").otherwise("pharmacy"))
+
+
 def panel_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    # The scan's peer strata drop specialty, so that a stratum has as many peers as the test tables allow.
-    flat = lambda df: df.withColumn("specialty", F.lit("all"))
-    return flat(b.cells(spark, sf_dir)), flat(b.summary(spark, sf_dir))
+    cells, summary = b.cells_and_summary(spark, sf_dir)
+    return labelled(cells), labelled(summary)
 
 
-FLAT_SCAN = SCAN.replace("SELECT c.* EXCLUDE (beneficiaries), ", "SELECT c.* EXCLUDE (beneficiaries, specialty), 'all' AS specialty, ")
+FLAT_SCAN = SCAN.replace("SELECT c.* EXCLUDE (beneficiaries), ", f"SELECT c.* EXCLUDE (beneficiaries, specialty), {KIND.replace('npi', 'c.npi')} AS specialty, ")
 
 
 def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.provider_service_scan(*panel_cells(spark, sf_dir), S)
 
 
-_SCAN_FIXED = ["data_year", "npi", "code", "pos", "entity", "panel_band", "tested", "status", "reach_flag", "days_flag", "units_flag", "route", "temporal_route", "broad_status", "comparable_years", "reach_tail_years", "units_full_years", "latest_present", "peer_count", "broad_peer_count", "reach_scale"]
+_SCAN_FIXED = ["data_year", "npi", "code", "pos", "entity", "specialty", "panel_band", "tested", "status", "reach_flag", "days_flag", "units_flag", "route", "temporal_route", "broad_status", "comparable_years", "reach_tail_years", "units_full_years", "latest_present", "peer_count", "broad_peer_count", "reach_scale"]
 _SCAN_ROUND = ["panel_penetration", "days_per_tested", "units_per_day", "std_per_panel", "std_share", "reach_median", "reach_mad", "days_iqr", "reach_percentile", "units_percentile", "reach_broad_percentile"]
 _SCAN_Z = ["reach_z", "days_z", "units_z", "reach_ratio"]
 _r = lambda cols, n: ", ".join(f"CAST(round(CAST({c} AS DECIMAL(38,12)), {n}) AS DOUBLE) AS {c}" for c in cols)
@@ -129,7 +136,7 @@ _CAT = f"""CASE WHEN payment <= 0 OR (coalesce(dme, 0) = 0 AND coalesce(pos_paid
 _SKEYS = "data_year, entity, specialty, category, band"
 _PATH = "PARTITION BY npi, entity, specialty, category"
 _full = lambda n: f"coalesce(peer_count >= {T.minimum_peers} AND {n}_percentile >= {T.full} AND {n}_z >= {T.z} AND {n}_ratio >= {T.ratio}, false)"
-SCREEN = f"""{b.SUMMARY}, screen_rows AS (SELECT * REPLACE ('all' AS specialty), {_CAT} AS category, CASE WHEN beneficiaries BETWEEN 20 AND 74 THEN '20-74' WHEN beneficiaries BETWEEN 75 AND 89 THEN '75-89' ELSE '90+' END AS band,
+SCREEN = f"""{b.SUMMARY}, screen_rows AS (SELECT * REPLACE ({KIND} AS specialty), {_CAT} AS category, CASE WHEN beneficiaries BETWEEN 20 AND 74 THEN '20-74' WHEN beneficiaries BETWEEN 75 AND 89 THEN '75-89' ELSE '90+' END AS band,
     standardized / nullif(beneficiaries, 0) AS std_per_beneficiary, payment / nullif(beneficiaries, 0) AS raw_per_beneficiary, claims / nullif(beneficiaries, 0) AS claims_per_beneficiary, services / nullif(beneficiaries, 0) AS services_per_beneficiary
     FROM summary WHERE data_year IN (1999, 2000, 2001) AND beneficiaries >= {T.minimum_panel}),
   {peer_sql('screen_rows', _SKEYS, claims.SCREEN_METRICS, 'screened')},
@@ -141,14 +148,14 @@ SCREEN = f"""{b.SUMMARY}, screen_rows AS (SELECT * REPLACE ('all' AS specialty),
   path AS (SELECT *, count(*) FILTER (scoreable) OVER ({_PATH}) AS comparable_years, count(*) FILTER (tail_year) OVER ({_PATH}) AS tail_years, count(*) FILTER (full_year) OVER ({_PATH}) AS full_years, max(data_year) OVER ({_PATH}) = 2001 AS latest_present FROM yearly),
   screen AS (SELECT *, comparable_years = 3 AND tail_years >= 2 AND full_years >= 1 AND latest_present AS persistent, CASE WHEN comparable_years = 3 AND tail_years >= 2 AND full_years >= 1 AND latest_present THEN 'high-dollar-persistent'
     WHEN data_year = 2001 AND full_year THEN 'high-dollar-emerging' WHEN payment >= {T.minimum_payment} THEN 'high-spend-context' ELSE 'not-qualified' END AS route FROM path)"""
-_SC_FIXED = ["data_year", "npi", "entity", "category", "band", "beneficiaries", "claims", "peer_count", "scoreable", "std_full", "raw_full", "claims_full", "services_full", "std_tail", "use_tail", "magnitude", "tail_year", "full_year", "comparable_years", "tail_years", "full_years", "persistent", "route", "std_scale"]
+_SC_FIXED = ["data_year", "npi", "entity", "specialty", "category", "band", "beneficiaries", "claims", "peer_count", "scoreable", "std_full", "raw_full", "claims_full", "services_full", "std_tail", "use_tail", "magnitude", "tail_year", "full_year", "comparable_years", "tail_years", "full_years", "persistent", "route", "std_scale"]
 _SC_ROUND = ["std_per_beneficiary", "raw_per_beneficiary", "claims_per_beneficiary", "std_median", "raw_q3", "std_percentile", "services_percentile"]
 _SC_Z = ["std_z", "raw_ratio", "services_z"]
 _SC_MONEY = ["raw_exposure", "std_exposure"]
 
 
 def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.supplier_screen(b.summary(spark, sf_dir).withColumn("specialty", F.lit("all")), T)
+    return claims.supplier_screen(labelled(b.summary(spark, sf_dir)), T)
 
 
 @query("d4_supplier_screen", f"SELECT {', '.join(_SC_FIXED)}, {_r(_SC_ROUND, 5)}, {_r(_SC_Z, 6)}, {_r(_SC_MONEY, 3)} FROM screen", SCREEN)
@@ -191,7 +198,7 @@ YEAR = 2000
 
 def candidate_parts(spark, sf_dir):
     year = F.col("data_year") == YEAR
-    summary, cells = b.summary(spark, sf_dir, exact=True).filter(year), b.cells(spark, sf_dir, exact=True).filter(year)
+    cells, summary = (df.filter(year) for df in b.cells_and_summary(spark, sf_dir, exact=True))
     return summary, cells, summary.filter(F.col("npi").cast("long") % 5 == 0).select("npi").distinct()
 
 
@@ -282,14 +289,17 @@ _PR_EXACT = ["unrepresented_payment", "unrepresented_standardized"]
 
 
 def review_parts(spark, sf_dir):
-    cells = b.service_cells(spark, sf_dir)
-    return cells, b.read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 5 == 0).select(F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("npi"))
+    return b.service_cells(spark, sf_dir), review_candidates(spark, sf_dir)
+
+
+def review_candidates(spark, sf_dir):
+    return b.read(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 5 == 0).select(F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("npi"))
 
 
 @query("d11_peer_review", f"SELECT {', '.join(_PR_FIXED)}, coalesce(peer_count, 0) AS peer_count, coalesce(state_peer_count, 0) AS state_peer_count, {_r(_PR_ROUND, 6)}, {_r(_PR_MONEY, 3)}, {_r(_PR_EXACT, 4)} FROM peer_review", PEER_REVIEW)
 def d11(spark, sf_dir):
-    cells, candidates = review_parts(spark, sf_dir)
-    df = claims.peer_review(cells, b.summary(spark, sf_dir), candidates, C)
+    cells, summary = b.cells_and_summary(spark, sf_dir)
+    df = claims.peer_review(b.suppressed(cells), summary, review_candidates(spark, sf_dir), C)
     return df.select(*_PR_FIXED, "peer_count", "state_peer_count", *rounded(df, 6, *_PR_ROUND), *rounded(df, 3, *_PR_MONEY), *rounded(df, 4, *_PR_EXACT))
 
 

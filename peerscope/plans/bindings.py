@@ -7,10 +7,13 @@ that sums don't depend on their order.
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import cut
+
 #: Beneficiary counts up to this are suppressed; provider-drug rows with fewer claims than VISIBLE_CLAIMS are dropped.
 HIDDEN, VISIBLE_CLAIMS = 2, 3
 
@@ -56,8 +59,17 @@ LINES = """lines AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS data_year, lpad
 _SUMS = ("allowed", "payment", "submitted", "standardized")
 
 
+#: Places of the money in `lines`; sums are of whole numbers of that place, as long decimals are summed many times slower.
+PLACES = 10_000
+
+
+def _sum(value: Column, exact: bool) -> Column:
+    whole = F.sum((value * PLACES).cast("long"))
+    return whole.cast("decimal(20,0)") * F.lit(Decimal(1) / PLACES) if exact else whole / PLACES
+
+
 def _totals(df: DataFrame, keys: list[str], *extra: Column, exact: bool = False) -> DataFrame:
-    sums = [(F.sum(c) if exact else F.sum(c).cast("double")).alias(c) for c in ("units", *_SUMS)]
+    sums = [_sum(F.col(c), exact).alias(c) for c in ("units", *_SUMS)]
     return df.groupBy(*keys).agg(F.count_distinct("beneficiary").alias("beneficiaries"), F.count_distinct("claim").alias("claims"), *extra, *sums).withColumnRenamed("units", "services")
 
 
@@ -68,16 +80,29 @@ _CELL = ["data_year", "npi", "entity", "state", "specialty", "code", "pos"]
 
 def cells(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     """Year x supplier x code x place of service; with `exact`, money stays decimal."""
-    return _totals(lines(spark, sf_dir), _CELL, F.count_distinct("beneficiary", "day").alias("bene_days"), exact=exact)
+    return _cells(lines(spark, sf_dir), exact)
+
+
+def _cells(rows: DataFrame, exact: bool) -> DataFrame:
+    return _totals(rows, _CELL, F.count_distinct("beneficiary", "day").alias("bene_days"), exact=exact)
+
+
+def suppressed(rows: DataFrame) -> DataFrame:
+    """Cells with small beneficiary counts suppressed to null."""
+    return rows.withColumn("beneficiaries", F.when(F.col("beneficiaries") > HIDDEN, F.col("beneficiaries")))
+
+
+def cells_and_summary(spark: SparkSession, sf_dir: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Both from one evaluation of the six-table join, each computed once."""
+    rows = cut(lines(spark, sf_dir).drop("brand"))
+    return cut(_cells(rows, exact)), cut(_summary(rows, exact))
 
 
 CELLS = f"{LINES}, cells AS (SELECT {', '.join(_CELL)}, {_TOTALS}, count(DISTINCT (beneficiary, day)) AS bene_days FROM lines GROUP BY ALL)"
 
 
 def service_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells with small beneficiary counts suppressed to null."""
-    b = F.col("beneficiaries")
-    return cells(spark, sf_dir).withColumn("beneficiaries", F.when(b > HIDDEN, b))
+    return suppressed(cells(spark, sf_dir))
 
 
 SERVICE_CELLS = f"{CELLS}, service_cells AS (SELECT * REPLACE (CASE WHEN beneficiaries > {HIDDEN} THEN beneficiaries END AS beneficiaries) FROM cells)"
@@ -87,9 +112,13 @@ _SUPPLIER = ["data_year", "npi", "entity", "state", "specialty"]
 
 def summary(spark: SparkSession, sf_dir: str, exact: bool = False) -> DataFrame:
     """Year x supplier, with payments by component; the suppliers divisible by 13 have theirs suppressed. `exact` as for cells."""
+    return _summary(lines(spark, sf_dir), exact)
+
+
+def _summary(rows: DataFrame, exact: bool) -> DataFrame:
     shown = F.col("npi").cast("long") % 13 != 0
-    parts = [F.sum(F.when((F.col("flag") == k) & shown, F.col("payment"))).cast("double").alias(n) for k, n in (("A", "dme"), ("N", "pos_paid"), ("R", "drug"))]
-    return _totals(lines(spark, sf_dir), _SUPPLIER, F.count_distinct("code").alias("codes"), *parts, exact=exact)
+    parts = [_sum(F.when((F.col("flag") == k) & shown, F.col("payment")), False).alias(n) for k, n in (("A", "dme"), ("N", "pos_paid"), ("R", "drug"))]
+    return _totals(rows, _SUPPLIER, F.count_distinct("code").alias("codes"), *parts, exact=exact)
 
 
 SUMMARY = f"""{LINES}, summary AS (SELECT {', '.join(_SUPPLIER)}, {_TOTALS}, count(DISTINCT code) AS codes,

@@ -462,11 +462,11 @@ def u7(spark, sf_dir):
     return reshape.year_spine(s, 1990, 2003).join(s, "data_year", "left").groupBy("data_year").agg(F.count("npi").alias("suppliers"))
 
 
-@query("u8_set_difference", "WITH e AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 10), o AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10) SELECT k, 'missing' AS side FROM e WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'extra' FROM o WHERE k NOT IN (SELECT k FROM e)")
+@query("u8_set_difference", "WITH e AS (SELECT DISTINCT concat_ws('/', l_partkey, l_suppkey, year(l_shipdate)) AS k FROM lineitem WHERE l_returnflag = 'A'), o AS (SELECT DISTINCT concat_ws('/', l_partkey, l_suppkey, year(l_shipdate)) AS k FROM lineitem WHERE l_returnflag = 'R') SELECT k, 'missing' AS side FROM e WHERE k NOT IN (SELECT k FROM o) UNION ALL SELECT k, 'extra' FROM o WHERE k NOT IN (SELECT k FROM e)")
 def u8(spark, sf_dir):
-    # Parts of small lots that came back with one flag, against those of another.
-    small = b.read(spark, sf_dir, "lineitem").filter("l_quantity < 10").select(F.col("l_partkey").alias("k"), "l_returnflag")
-    return reshape.set_difference(small.filter("l_returnflag = 'A'"), small.filter("l_returnflag = 'R'"), "k")
+    # Suppliers' parts that came back with one flag in a year, against those of another.
+    parts = b.read(spark, sf_dir, "lineitem").select(F.concat_ws("/", "l_partkey", "l_suppkey", F.year("l_shipdate")).alias("k"), "l_returnflag")
+    return reshape.set_difference(parts.filter("l_returnflag = 'A'"), parts.filter("l_returnflag = 'R'"), "k")
 
 
 SNAPSHOT = "SELECT o_custkey AS id, CAST(count(*) AS VARCHAR) || '/' || CAST(count(*) FILTER (o_orderstatus = 'F') AS VARCHAR) AS digest FROM orders WHERE year(o_orderdate) = {} GROUP BY o_custkey"
