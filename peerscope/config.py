@@ -90,6 +90,6 @@ class ReviewConfig:
 
 #: Scaled to the test tables, so that every flag has both outcomes.
 TEST_SCAN = ScanConfig(to_year=2001, minimum_panel=10, minimum_tested=5, minimum_descriptive=2, minimum_peers=12, tail=0.85, full=0.9, z=2.0, ratio=1.3, difference=0.01, panel_edges=(10, 5000, 10000, 20000))
-TEST_SCREEN = ScreenConfig(years=(1999, 2000, 2001), minimum_panel=20, minimum_peers=7, minimum_payment=200_000.0, minimum_exposure=1_000.0, tail=0.40, full=0.50, z=0.1, ratio=1.0, dominance=0.30, band_edges=(20, 75, 90))
+TEST_SCREEN = ScreenConfig(years=(1999, 2000, 2001), minimum_panel=20, minimum_peers=3, minimum_payment=200_000.0, minimum_exposure=1_000.0, tail=0.40, full=0.50, z=0.1, ratio=1.0, dominance=0.30, band_edges=(20, 75, 90))
 TEST_DISCOVERY = DiscoveryConfig(coverage_floor=Decimal("0.5"), cumulative_share=Decimal("0.5"), top_codes=2, cohort_payment=Decimal(16_000_000), selected_cap=100)
 TEST_REVIEW = ReviewConfig(focus_year=2000, state="NATION_3", codes=("ECONOMY", "LARGE", "MEDIUM", "SMALL", "STANDARD"), minimum_peers=30, minimum_payment=1_000.0, minimum_exposure=100.0, tail=0.80, full=0.90, z=1.0, ratio=1.1)

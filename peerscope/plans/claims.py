@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import cut
 from ..config import DiscoveryConfig, ReviewConfig, ScanConfig, ScreenConfig
 from ..functions.measures import band, dominant_component, exposure, ratio, reasons
 from ..functions.robust import all_gates
@@ -184,6 +185,7 @@ def anonymous_shortlist(screen: DataFrame, cfg: ScreenConfig, settings: Sequence
     A mismatch, a supplier twice in a year, more than one value of a column of `settings`, or of `release` in a year,
     raises: a shortlist isn't made from rows that contradict themselves.
     """
+    screen = cut(screen)  # its gates and the shortlist read it several times
     if settings:
         mixed = screen.agg(*[F.count_distinct(F.struct(c)).alias(c) for c in settings]).first().asDict()
         if any(n > 1 for n in mixed.values()):
@@ -263,6 +265,7 @@ def discovery(summary: DataFrame, cells: DataFrame, candidates: DataFrame, cfg:
     share = lambda x, y: F.col(x).cast("double") / F.nullif(F.col(y).cast("double"), F.lit(0.0))
     ranked = ranked.withColumns({**{f"coverage_{c}": share(f"visible_{c}", f"summary_{c}") for c in MONEY}, "before_share": share("before", "visible_payment"), "after_share": share("after", "visible_payment"), **selection(ranked, cfg)})
     found = ranked.withColumn("selected", F.col("selected_by_top_n") | F.col("selected_by_cohort") | F.col("selected_by_coverage")).withColumn("selection_reasons", reasons("|", **{k: F.col(c) for k, c in SELECTED_BY.items()}))
+    found = cut(found)
     n = found.filter("selected").select("code").distinct().count()
     if not 1 <= n <= cfg.selected_cap:
         raise ValueError(f"selected codes out of bounds: {n}")

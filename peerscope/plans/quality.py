@@ -198,13 +198,13 @@ def s9(spark, sf_dir):
 
 
 # --- sinks -----------------------------------------------------------------------------------------------------------
-@query("k1_replace_release", "SELECT CAST(data_year AS BIGINT) AS source_release_id, count(*) AS rows, CASE WHEN data_year = 2000 THEN 'second' ELSE 'first' END AS load FROM summary GROUP BY data_year", b.SUMMARY)
+@query("k1_replace_release", "SELECT CAST(data_year AS BIGINT) AS source_release_id, count(*) AS rows, CASE WHEN data_year = 2000 THEN 'second' ELSE 'first' END AS state FROM summary GROUP BY data_year", b.SUMMARY)
 def k1(spark, sf_dir):
     path = scratch(spark, "facts")
-    rows = b.summary(spark, sf_dir).select(F.col("data_year").cast("long").alias("source_release_id"), "npi", F.lit("first").alias("load"))
+    rows = b.summary(spark, sf_dir).select(F.col("data_year").cast("long").alias("source_release_id"), "npi", F.lit("first").alias("state"))
     sinks.replace_release(rows, path)
-    sinks.replace_release(rows.filter("source_release_id = 2000").withColumn("load", F.lit("second")), path)
-    return spark.read.parquet(path).groupBy(F.col("source_release_id").cast("long").alias("source_release_id"), "load").agg(F.count("*").alias("rows"))
+    sinks.replace_release(rows.filter("source_release_id = 2000").withColumn("state", F.lit("second")), path)
+    return sinks.read_releases(spark, path).groupBy(F.col("source_release_id").cast("long").alias("source_release_id"), "state").agg(F.count("*").alias("rows"))
 
 
 @query("k2_bounded_csv", "SELECT npi, data_year, CAST(beneficiaries AS INTEGER) AS beneficiaries FROM summary", b.SUMMARY)

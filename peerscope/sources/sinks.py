@@ -2,28 +2,98 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def replace_release(df: DataFrame, path: str, key: str = "source_release_id") -> None:
-    """Replaces the releases that df holds and leaves all others as they are, so that a load can be repeated."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def staged(df: DataFrame, measures: Mapping[str, Column], check: Callable[[dict], None], write: Callable[[DataFrame], None]) -> dict:
+    """Writes df to where nobody looks yet, with `measures` observed in the same pass, and raises as `check` says.
+
+    Whoever calls it publishes what was written after it has returned; a failed check or write leaves nothing published.
+    """
+    seen = Observation()
+    write(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    check(seen.get)
+    return seen.get
+
+
+def replace_release(df: DataFrame, path: str, key: str = "source_release_id", measures: Mapping[str, Column] | None = None, check: Callable[[dict], None] | None = None) -> int:
+    """Replaces the releases that df holds and leaves all others as they are, in one step; returns the version.
+
+    Rows go to a folder of this load. A new version of the manifest, one small file that says which load each release is
+    read from, publishes it. A load that fails half-way, or whose measures don't pass the check, is in no version, and a
+    reader sees either all old or all new releases. Versions aren't overwritten: of two loads at the same time one raises.
+    """
+    spark, load = df.sparkSession, uuid.uuid4().hex
+    folder = f"{path}/loads/load={load}"
+    none = F.count_if(F.col(key).isNull())
+
+    def allowed(seen: dict) -> None:
+        if seen["__none"]:
+            raise ValueError(f"{seen['__none']} rows have no {key}")
+        if check is not None:
+            check({k: v for k, v in seen.items() if k != "__none"})
+
+    staged(df, {"__none": none, **(measures or {})}, allowed, lambda rows: rows.write.partitionBy(key).parquet(folder))
+    old = manifest(spark, path)
+    # Partition values as texts, as they stand in the folders' names.
+    new = spark.read.option("basePath", f"{path}/loads").schema(f"{key} string, load string").parquet(folder).select(F.col(key).alias("release"), "load").distinct()
+    version = 1 if old is None else old.agg(F.max("version")).first()[0] + 1
+    both = new if old is None else new.unionByName(old.join(new, "release", "left_anti").select("release", "load"))
+    both.coalesce(1).write.mode("errorifexists").json(f"{path}/manifests/version={version}")
+    return version
+
+
+def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """(version, release, load) of a version of the releases under a path, the latest if none is stated; None before the first load."""
+    try:
+        versions = spark.read.schema("release string, load string, version long").json(f"{path}/manifests")
+        last = versions.agg(F.max("version")).first()[0]
+    except AnalysisException:  # no manifest yet
+        return None
+    return None if last is None else versions.filter(F.col("version") == (last if version is None else version))
+
+
+def read_releases(spark: SparkSession, path: str, key: str = "source_release_id", version: int | None = None) -> DataFrame:
+    """The rows of all releases in a version, the latest if none is stated; the list of releases is short."""
+    listed = manifest(spark, path, version)
+    if listed is None:
+        raise ValueError(f"no release has been loaded to {path}")
+    folders = [f"{path}/loads/load={r.load}/{key}={r.release}" for r in listed.select("load", "release").collect()]
+    return spark.read.option("basePath", f"{path}/loads").parquet(*folders).drop("load")
 
 
 def write_bounded_csv(df: DataFrame, path: str, order: Sequence[str], most: int, most_bytes: int | None = None) -> int:
-    """Writes at most `most` rows, of at most `most_bytes` as CSV text, in order and never over an existing result; more raise before anything is written."""
-    some = df.limit(most + 1)
+    """Writes at most `most` rows, of at most `most_bytes` as CSV text, in order and never over an existing result.
+
+    One evaluation of df: at most one row more than allowed is taken, sorted and written aside, counted on the way, and
+    moved to `path` if it keeps the caps; else it raises and there is no result.
+    """
+    spark = df.sparkSession
     size = F.octet_length(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 1
-    n, length = some.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
-    length += len(",".join(df.columns).encode()) + 1
-    if n > most:
-        raise ValueError(f"the result exceeds its cap of {most} rows")
-    if most_bytes is not None and length > most_bytes:
-        raise ValueError(f"the result exceeds its cap of {most_bytes} bytes")
-    df.orderBy(*order).write.mode("errorifexists").option("header", True).csv(path)
+    head = len(",".join(df.columns).encode()) + 1
+    target, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"{path} already exists")
+
+    def within(seen: dict) -> None:
+        if seen["n"] > most:
+            raise ValueError(f"the result exceeds its cap of {most} rows")
+        if most_bytes is not None and seen["length"] + head > most_bytes:
+            raise ValueError(f"the result exceeds its cap of {most_bytes} bytes")
+
+    some = df.limit(most + 1).coalesce(1)
+    try:
+        n = staged(some, {"n": F.count("*"), "length": F.coalesce(F.sum(size), F.lit(0))}, within, lambda rows: rows.sortWithinPartitions(*order).write.option("header", True).csv(aside.toString()))["n"]
+        if not fs.rename(aside, target):
+            raise ValueError(f"{path} already exists")
+    finally:
+        fs.delete(aside, True)
     return n
 
 
