@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .gates import duplicates
 
@@ -200,25 +197,6 @@ def status_rollup(status: DataFrame, release: str) -> DataFrame:
     return rolled.withColumn("state", state)
 
 
-def nfkc_folded(text: Column) -> Column:
-    """Compatibility-composed and case-folded text, which Spark has no function for."""
-
-    def fold(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
-
-    return F.pandas_udf(fold, StringType())(text)
-
-
-def deny_scan(files: DataFrame, path: str, text: str, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
-    """(path, rule_id, kind) of files that break a rule (id, kind, value): exact-text, casefold-text, file-sha256 or path-fragment."""
-    fold = lambda v: unicodedata.normalize("NFKC", v).casefold()
-    kinds = {k for _, k, _ in rules}
-    rows = files.withColumns({"__text": nfkc_folded(F.col(text)) if "casefold-text" in kinds else F.lit(None), "__path": nfkc_folded(F.col(path)) if "path-fragment" in kinds else F.lit(None), "__sha": F.sha2(F.col(text), 256)})
-    broken = {"exact-text": lambda v: F.col(text).contains(v), "casefold-text": lambda v: F.col("__text").contains(fold(v)), "file-sha256": lambda v: F.col("__sha") == v.lower(), "path-fragment": lambda v: F.col("__path").contains(fold(v))}
-    hits = F.array_compact(F.array(*[F.when(broken[kind](value), F.struct(F.lit(i).alias("rule_id"), F.lit(kind).alias("kind"))) for i, kind, value in rules]))
-    return rows.select(path, F.inline(hits))
-
-
 def rule_scan(texts: DataFrame, key: str, text: str, rules: Mapping[str, str], allowed: DataFrame | None = None) -> DataFrame:
     """(key, rule, match, times) of every pattern found in a text, without allowed matches."""
     hits = F.concat(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), _tagged(n)) for n, p in rules.items()])

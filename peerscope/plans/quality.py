@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gates, profiles, reshape
+from ..operators import denylist, gates, profiles, reshape
 from ..cluster import cut, scratch
 from ..sources import inventory, readers, relationship, sinks
 from . import bindings as b
@@ -464,7 +464,7 @@ DENY = (("d1", "exact-text", "token"), ("d2", "casefold-text", "THE"), ("d3", "f
 )
 def v17_deny(spark, sf_dir):
     files = b.read(spark, sf_dir, "documents").select(F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "text")
-    return profiles.deny_scan(files, "path", "text", DENY)
+    return denylist.deny_scan(files, "path", "text", DENY)
 
 
 LUHN = "(10 - (24 + list_sum([CASE WHEN i % 2 = 1 THEN CASE WHEN CAST(c[i] AS INT) * 2 > 9 THEN CAST(c[i] AS INT) * 2 - 9 ELSE CAST(c[i] AS INT) * 2 END ELSE CAST(c[i] AS INT) END FOR i IN range(1, 10)])) % 10) % 10 = CAST(c[10] AS INT)"

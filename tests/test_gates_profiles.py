@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from peerscope.operators import gates, profiles, reshape
+from peerscope.operators import denylist, gates, profiles, reshape
 from peerscope.plans import claims
 
 
@@ -163,7 +163,7 @@ def test_file_rollup_and_deny_rules(spark):
     assert {r.release: r.state for r in profiles.status_rollup(states, "release").collect()} == {"a": "incomplete", "b": "complete", "c": "mismatched", None: "mismatched"}
     files = spark.createDataFrame([("x/Private/1", "hello"), ("y", "ＳＥＣＲＥＴ straße"), ("z", None)], "path string, text string")
     rules = [("r1", "exact-text", "hell"), ("r2", "casefold-text", "Secret STRASSE"), ("r3", "file-sha256", "2CF24DBA5FB0A30E26E83B2AC5B9E29E1B161E5C1FA7425E73043362938B9824"), ("r4", "path-fragment", "/private/")]
-    assert sorted((r.path, r.rule_id) for r in profiles.deny_scan(files, "path", "text", rules).collect()) == [("x/Private/1", "r1"), ("x/Private/1", "r3"), ("x/Private/1", "r4"), ("y", "r2")]
+    assert sorted((r.path, r.rule_id) for r in denylist.deny_scan(files, "path", "text", rules).collect()) == [("x/Private/1", "r1"), ("x/Private/1", "r3"), ("x/Private/1", "r4"), ("y", "r2")]
 
 
 def test_filter_gate(spark):
