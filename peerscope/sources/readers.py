@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.measures import marked_number
+from .columns import NAMED
 
 BAD = "_malformed"
 #: Fixed value: most bytes of a page.
@@ -103,9 +104,9 @@ _KIND = {w: k for k, words in KINDS.items() for w in words.split()}
 
 
 def by_rule(column: str) -> tuple[str, str]:
-    """Target name and kind of a published column from its words."""
+    """Target name and kind of a published column: the stated name, or else one made of its words."""
     words = column.split("_")
-    return "_".join(ABBREVIATED.get(w, w.lower()) for w in words), _KIND.get(words[-1], "text")
+    return NAMED.get(column.lower()) or "_".join(ABBREVIATED.get(w, w.lower()) for w in words), _KIND.get(words[-1], "text")
 
 
 def whole(header: str, named: Mapping[str, tuple]) -> dict[str, tuple]:

@@ -1,6 +1,7 @@
 """Typed reading, suppression marks, malformed rows, and sinks."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,13 @@ def test_fingerprint_tells_nulls_and_bounds_apart(spark):
     rows = [("x", None), (None, "x"), ("x", ""), ("", "x"), ("n;", None), (None, None), ("x1:y", "z"), ("x", "1:yz")]
     one = lambda r: sinks.fingerprint(spark.createDataFrame([r], "a string, b string")).first().content_hash
     assert len({one(r) for r in rows}) == len(rows)
+
+
+def test_target_names_are_the_stated_ones():
+    assert len(readers.SUPPLIER) == 93 and {"beneficiary_adhd_other_conduct_disorder_percent", "tobacco_pct", "dme_total_hcpcs_codes", "supplier_address_line1", "supplier_ruca_description", "average_risk_score"} <= set(readers.SUPPLIER)
+    assert {"supplier_ruca_category", "supplier_specialty_code", "rbcs_level"} <= set(readers.SUPPLIER_SERVICE)
+    assert {"provider_credentials", "medicare_participation_indicator", "medical_medicare_standardized_amount", "drug_total_services", "beneficiary_race_native_indian_count"} <= set(readers.PART_B_PROVIDER)
+    assert {"prescriber_last_org_name", "ge65_total_30day_fills", "ge65_beneficiary_suppression_flag"} <= set(readers.PROVIDER_DRUG)
+    assert {"long_acting_opioid_drug_flag", "nonlis_beneficiary_cost_share", "antipsychotic_drug_flag"} <= set(readers.GEOGRAPHY_DRUG)
+    files = (readers.SUPPLIER, readers.SUPPLIER_SERVICE, readers.PART_B_PROVIDER, readers.PART_B_SERVICE, readers.PROVIDER_DRUG, readers.GEOGRAPHY_DRUG)
+    assert not [t for f in files for t in f if re.search("organization_name|supplier_provider|rendering_provider|_v[12]_", t)]
