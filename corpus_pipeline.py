@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from peerscope.llm import decontamination, mixing, near_dedup, pii, toxicity
 from peerscope.llm.common import join_small, read, shared_dir, unused
 
-#: The classifiers' texts and counts have no SQL form; each stage is tested against a brute-force version.
+#: The toxicity model has no SQL form. Its features and scores are tested against plain loops, the operators of the other
+#: stages against brute force or reference SQL, and the stages against the operators.
 ORACLE_SQL = None
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.5
