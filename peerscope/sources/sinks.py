@@ -42,7 +42,10 @@ def replace_release(df: DataFrame, path: str, key: str = "source_release_id", me
     old = manifest(spark, path)
     # Partition values as texts, as they stand in the folders' names.
     new = spark.read.option("basePath", f"{path}/loads").schema(f"{key} string, load string").parquet(folder).select(F.col(key).alias("release"), "load").distinct()
-    version = 1 if old is None else old.agg(F.max("version")).first()[0] + 1
+    last = 0 if old is None else old.agg(F.max("version")).first()[0]
+    if new.isEmpty():  # nothing is replaced
+        return last
+    version = last + 1
     both = new if old is None else new.unionByName(old.join(new, "release", "left_anti").select("release", "load"))
     both.coalesce(1).write.mode("errorifexists").json(f"{path}/manifests/version={version}")
     return version

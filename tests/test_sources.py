@@ -82,7 +82,9 @@ def test_replace_release_is_idempotent(spark, tmp_path):
     path, df = str(tmp_path / "t"), spark.createDataFrame([(1, "a"), (2, "b")], "source_release_id long, v string")
     with pytest.raises(ValueError, match="no release"):
         sinks.read_releases(spark, path)
+    assert sinks.replace_release(df.limit(0), path) == 0
     assert [sinks.replace_release(df, path) for _ in range(2)] == [1, 2] and releases_of(spark, path) == [(1, "a"), (2, "b")]
+    assert sinks.replace_release(df.limit(0), path) == 2
     sinks.replace_release(spark.createDataFrame([(2, "c"), (2, "d")], df.schema), path)
     assert releases_of(spark, path) == [(1, "a"), (2, "c"), (2, "d")] and releases_of(spark, path, version=1) == [(1, "a"), (2, "b")]
 
