@@ -436,20 +436,21 @@ IDENTIFIED = f"""{b.PAYMENTS}, identified AS (SELECT *, coalesce('npi:' || npi,
 _values = lambda c: f"coalesce(string_agg(DISTINCT {c}, '|' ORDER BY {c}), '')"
 MEASURES = f"""count(*) AS records, CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(number_of_payments) AS BIGINT) AS payments, count(*) FILTER (number_of_payments IS NULL) AS records_missing_payments, CAST(min(paid_on) AS VARCHAR) AS first_paid, CAST(max(paid_on) AS VARCHAR) AS last_paid,
       count(*) FILTER (nature = '{NATURE}') AS focus_records, CAST(coalesce(sum(amount) FILTER (nature = '{NATURE}'), 0) AS DOUBLE) AS focus_amount, count(third_party) AS indicator_records, count(*) FILTER (third) AS third_party_records, CAST(coalesce(sum(amount) FILTER (third), 0) AS DOUBLE) AS third_party_amount,
-      count(third_party_name) AS named_third_party_records, count(*) FILTER (product) AS product_records, {_values('nature')} AS natures, {_values('form')} AS forms, {_values('third_party')} AS third_party_values, {_values('third_party_name')} AS third_party_names"""
+      count(third_party_name) AS named_third_party_records, count(*) FILTER (product) AS product_records, {_values('nature')} AS natures, {_values('form')} AS forms, {_values('third_party')} AS third_party_values, {_values('third_party_name')} AS third_party_names, string_agg(DISTINCT source_release_id, '|' ORDER BY source_release_id) AS source_release_ids"""
 _MONEY = ("amount", "focus_amount", "third_party_amount")
 _tags = lambda keys, arrays: " UNION ALL ".join(f"SELECT {keys}, '{k}' AS kind, unnest({c}) AS v FROM labelled" for k, c in arrays.items())
 _kinds = lambda keys, arrays: f"tags AS ({_tags(keys, arrays)}), kinds AS (SELECT {keys}, " + ", ".join(f"string_agg(DISTINCT v, '|' ORDER BY v) FILTER (kind = '{k}') AS {k}_values" for k in arrays) + f" FROM tags WHERE trim(v) <> '' GROUP BY {keys})"
 _label_map = lambda c, value, out: f"(SELECT string_agg(k || '=' || n, ';' ORDER BY k) FROM (SELECT coalesce({c}, '[missing]') AS k, CAST({value} AS VARCHAR) AS n FROM labelled i WHERE i.payer = l.payer AND i.program_year = l.program_year GROUP BY 1)) AS {out}"
 _joined = lambda arrays: [F.array_join(f"{k}_values", "|").alias(f"{k}_values") for k in arrays]
 _as_text = lambda *cols: [F.col(c).cast("string").alias(c) for c in cols]
-_measured = [c for c in relations.MEASURE_NAMES if c not in (*_MONEY, "first_paid", "last_paid")]
+_measured = [c for c in relations.MEASURE_NAMES if c not in (*_MONEY, "first_paid", "last_paid", "source_release_ids")]
+_releases = lambda: F.array_join(F.transform("source_release_ids", lambda r: r.cast("string")), "|").alias("source_release_ids")
 _COUNTED = ["recipients", *[f"{k}_recipients" for k in relations.QUALITIES], "distinct_npis", "distinct_profiles", "distinct_hospitals", "focus_npis", "distinct_third_party_names"]
 
 
 @query(
     "d21_organization_summary",
-    f"""WITH {_kinds('payer, program_year', relations.PRODUCT_ARRAYS)}, base AS (SELECT payer, program_year, {MEASURES}, CAST(coalesce(sum(amount) FILTER (form = 'cash'), 0) AS DOUBLE) AS cash_amount, CAST(coalesce(sum(amount) FILTER (form = 'stock'), 0) AS DOUBLE) AS stock_amount, {_values('recipient_type')} AS recipient_types,
+    f"""WITH {_kinds('payer, program_year', relations.PRODUCT_ARRAYS)}, base AS (SELECT payer, program_year, {MEASURES}, CAST(coalesce(sum(amount) FILTER (form = 'cash'), 0) AS DOUBLE) AS cash_amount, CAST(coalesce(sum(amount) FILTER (form = 'stock'), 0) AS DOUBLE) AS stock_amount, {_values('recipient_type')} AS recipient_types, count(*) FILTER (quality = '{relations.QUALITIES["record"]}') AS records_missing_stable_recipient_identifier,
       {', '.join(f"CAST(coalesce(sum(amount) FILTER (quality = '{q}'), 0) AS DOUBLE) AS {k}_amount, count(DISTINCT recipient) FILTER (quality = '{q}') AS {k}_recipients" for k, q in relations.QUALITIES.items())}, count(DISTINCT recipient) AS recipients,
       count(DISTINCT npi) AS distinct_npis, count(DISTINCT profile) AS distinct_profiles, count(DISTINCT hospital) AS distinct_hospitals, count(DISTINCT npi) FILTER (nature = '{NATURE}') AS focus_npis, count(DISTINCT third_party_name) AS distinct_third_party_names FROM labelled GROUP BY payer, program_year)
     SELECT l.*, kinds.* EXCLUDE (payer, program_year), {_label_map('nature', 'count(*)', 'records_by_nature')}, {_label_map('nature', 'sum(amount)', 'amounts_by_nature')}, {_label_map('recipient_type', 'count(*)', 'records_by_recipient_type')} FROM base l LEFT JOIN kinds USING (payer, program_year)""",
@@ -458,7 +459,7 @@ _COUNTED = ["recipients", *[f"{k}_recipients" for k in relations.QUALITIES], "di
 def d21(spark, sf_dir):
     df = relations.annual_summary(b.payments(spark, sf_dir), NATURE)
     money = [*_MONEY, "cash_amount", "stock_amount", *[f"{k}_amount" for k in relations.QUALITIES]]
-    return df.select("payer", "program_year", *_measured, *_as_text("first_paid", "last_paid"), *_real(money), "recipient_types", *_COUNTED, *_joined(relations.PRODUCT_ARRAYS), "records_by_nature", "amounts_by_nature", "records_by_recipient_type")
+    return df.select("payer", "program_year", *_measured, *_as_text("first_paid", "last_paid"), *_real(money), "recipient_types", "records_missing_stable_recipient_identifier", _releases(), *_COUNTED, *_joined(relations.PRODUCT_ARRAYS), "records_by_nature", "amounts_by_nature", "records_by_recipient_type")
 
 
 @query(
@@ -469,7 +470,7 @@ def d21(spark, sf_dir):
 )
 def d22(spark, sf_dir):
     df = relations.recipient_panel(b.payments(spark, sf_dir), "3", NATURE)
-    return df.select("program_year", "recipient", "quality", "npi", "profile", "hospital", "recipient_type", *_measured, *_as_text("first_paid", "last_paid"), *_real(_MONEY), *_joined({**relations.RECIPIENT_ARRAYS, **relations.PRODUCT_ARRAYS}))
+    return df.select("program_year", "recipient", "quality", "npi", "profile", "hospital", "recipient_type", *_measured, *_as_text("first_paid", "last_paid"), *_real(_MONEY), _releases(), *_joined({**relations.RECIPIENT_ARRAYS, **relations.PRODUCT_ARRAYS}))
 
 
 def _roster(scope: str) -> str:

@@ -167,7 +167,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_custkey")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(names, o.o_orderkey == names.l_orderkey, "left")
     return rows.select(
-        F.year("o_orderdate").alias("program_year"), F.col("o_orderkey").cast("string").alias("record_id"), F.col("c_nationkey").cast("string").alias("payer"),
+        F.year("o_orderdate").alias("program_year"), (F.year("o_orderdate") * 10 + F.col("o_orderkey") % 2).cast("long").alias("source_release_id"), F.col("o_orderkey").cast("string").alias("record_id"), F.col("c_nationkey").cast("string").alias("payer"),
         F.when(k % 4 < 2, F.lpad(k.cast("string"), 10, "0")).alias("npi"), F.when(k % 4 == 2, k.cast("string")).alias("profile"), F.when(k % 8 == 3, k.cast("string")).alias("hospital"),
         F.col("c_mktsegment").alias("recipient_type"), F.when(k % 5 > 0, F.col("c_mktsegment")).alias("specialty"),
         F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").cast("date").alias("paid_on"), F.when(F.col("o_orderkey") % 17 != 0, F.col("o_orderkey") % 3 + 1).alias("number_of_payments"),
@@ -179,7 +179,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PAYMENTS = """payments AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS program_year, CAST(o_orderkey AS VARCHAR) AS record_id, CAST(c_nationkey AS VARCHAR) AS payer,
+PAYMENTS = """payments AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS program_year, CAST(year(o_orderdate) * 10 + o_orderkey % 2 AS BIGINT) AS source_release_id, CAST(o_orderkey AS VARCHAR) AS record_id, CAST(c_nationkey AS VARCHAR) AS payer,
   CASE WHEN o_custkey % 4 < 2 THEN lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS npi, CASE WHEN o_custkey % 4 = 2 THEN CAST(o_custkey AS VARCHAR) END AS profile,
   CASE WHEN o_custkey % 8 = 3 THEN CAST(o_custkey AS VARCHAR) END AS hospital, c_mktsegment AS recipient_type, CASE WHEN o_custkey % 5 > 0 THEN c_mktsegment END AS specialty,
   CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(o_orderdate AS DATE) AS paid_on, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderkey % 3 + 1 END AS number_of_payments, o_orderpriority AS nature,

@@ -44,7 +44,10 @@ RECIPIENT_ARRAYS = {"primary_type": "primary_types", "specialty": "specialties",
 
 
 def cohort_measures(nature: str) -> dict[str, Column]:
-    """Measures that the yearly summary and the recipient panel share; `nature` is the payment nature in focus."""
+    """Measures that the yearly summary and the recipient panel share; `nature` is the payment nature in focus.
+
+    The releases that a group's records come from are few.
+    """
     focus = F.lower("nature") == nature.lower()
     values = lambda c: F.array_join(F.array_sort(F.collect_set(c)), "|")
     return {
@@ -52,11 +55,12 @@ def cohort_measures(nature: str) -> dict[str, Column]:
         "first_paid": F.min("paid_on"), "last_paid": F.max("paid_on"), "focus_records": F.count_if(focus), "focus_amount": sum_where("amount", focus),
         "indicator_records": F.count("third_party"), "third_party_records": F.count_if("third"), "third_party_amount": sum_where("amount", F.col("third")), "named_third_party_records": F.count("third_party_name"), "product_records": F.count_if("product"),
         "natures": values("nature"), "forms": values("form"), "third_party_values": values("third_party"), "third_party_names": values("third_party_name"),
+        "source_release_ids": F.array_sort(F.collect_set("source_release_id")),
     }
 
 
 MEASURE_NAMES = (
-    "records", "amount", "payments", "records_missing_payments", "first_paid", "last_paid", "focus_records", "focus_amount", "indicator_records", "third_party_records", "third_party_amount", "named_third_party_records", "product_records", "natures", "forms", "third_party_values", "third_party_names",
+    "records", "amount", "payments", "records_missing_payments", "first_paid", "last_paid", "focus_records", "focus_amount", "indicator_records", "third_party_records", "third_party_amount", "named_third_party_records", "product_records", "natures", "forms", "third_party_values", "third_party_names", "source_release_ids",
 )
 
 
@@ -70,7 +74,7 @@ def annual_summary(payments: DataFrame, nature: str) -> DataFrame:
     by_quality = {f"{k}_amount": sum_where("amount", F.col("quality") == q) for k, q in QUALITIES.items()}
     totals = rows.groupBy(*keys).agg(
         *[c.alias(n) for n, c in {**cohort_measures(nature), **by_quality}.items()], sum_where("amount", F.col("form") == "cash").alias("cash_amount"), sum_where("amount", F.col("form") == "stock").alias("stock_amount"),
-        F.array_join(F.array_sort(F.collect_set("recipient_type")), "|").alias("recipient_types"),
+        F.array_join(F.array_sort(F.collect_set("recipient_type")), "|").alias("recipient_types"), F.count_if(F.col("quality") == QUALITIES["record"]).alias("records_missing_stable_recipient_identifier"),
     )
     tag = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     focus = F.when(F.lower("nature") == nature.lower(), F.col("npi"))
