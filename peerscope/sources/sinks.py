@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -76,13 +76,8 @@ def write_bounded_csv(df: DataFrame, path: str, order: Sequence[str], most: int,
     One evaluation of df: at most one row more than allowed is taken, sorted and written aside, counted on the way, and
     moved to `path` if it keeps the caps; else it raises and there is no result.
     """
-    spark = df.sparkSession
     size = F.octet_length(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + 1
     head = len(",".join(df.columns).encode()) + 1
-    target, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        raise ValueError(f"{path} already exists")
 
     def within(seen: dict) -> None:
         if seen["n"] > most:
@@ -91,13 +86,33 @@ def write_bounded_csv(df: DataFrame, path: str, order: Sequence[str], most: int,
             raise ValueError(f"the result exceeds its cap of {most_bytes} bytes")
 
     some = df.limit(most + 1).coalesce(1)
+    return _published(some, path, {"n": F.count("*"), "length": F.coalesce(F.sum(size), F.lit(0))}, within, lambda rows: rows.sortWithinPartitions(*order).write.option("header", True))["n"]
+
+
+def write_csv_parts(df: DataFrame, path: str, order: Sequence[str], most: int) -> int:
+    """Writes all rows in order as CSV files of at most `most` rows each, never over an existing result; returns the rows.
+
+    For results that may outgrow one bounded file: ranges of the order are written by as many tasks, files follow each
+    other in the order of their names, and all appear at once.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return _published(dealt, path, {"n": F.count("*")}, lambda seen: None, lambda rows: rows.write.option("header", True).option("maxRecordsPerFile", most))["n"]
+
+
+def _published(df: DataFrame, path: str, measures: Mapping[str, Column], check: Callable[[dict], None], writer: Callable[[DataFrame], DataFrameWriter]) -> dict:
+    """df written aside as CSV, and moved to `path` once the measures seen on the way pass; raises if there is a result."""
+    spark = df.sparkSession
+    target, aside = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise ValueError(f"{path} already exists")
     try:
-        n = staged(some, {"n": F.count("*"), "length": F.coalesce(F.sum(size), F.lit(0))}, within, lambda rows: rows.sortWithinPartitions(*order).write.option("header", True).csv(aside.toString()))["n"]
+        seen = staged(df, measures, check, lambda rows: writer(rows).csv(aside.toString()))
         if not fs.rename(aside, target):
             raise ValueError(f"{path} already exists")
     finally:
         fs.delete(aside, True)
-    return n
+    return seen
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -136,6 +136,16 @@ def test_bounded_csv(spark, tmp_path):
         sinks.write_bounded_csv(df, str(tmp_path / "b"), ["id"], 5)
 
 
+def test_csv_parts_hold_all_rows_in_files_under_the_cap(spark, tmp_path):
+    df = spark.range(1000).repartition(7)
+    assert sinks.write_csv_parts(df, str(tmp_path / "a"), ["id"], 90) == 1000
+    files = [[int(x) for x in p.read_text().split()[1:]] for p in sorted((tmp_path / "a").glob("*.csv"))]
+    assert [x for f in files for x in f] == list(range(1000)) and max(map(len, files)) <= 90
+    assert [p.name for p in tmp_path.iterdir()] == ["a"]
+    with pytest.raises(ValueError, match="already exists"):
+        sinks.write_csv_parts(df, str(tmp_path / "a"), ["id"], 90)
+
+
 def test_fingerprint_ignores_order_not_content(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y")], "i int, s string"), spark.createDataFrame([(2, "y"), (1, "x")], "i int, s string")
     assert sinks.fingerprint(a).first() == sinks.fingerprint(b.repartition(3)).first() != sinks.fingerprint(a.filter("i = 1")).first()
