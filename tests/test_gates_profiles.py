@@ -183,3 +183,16 @@ def test_filter_gate(spark):
 def test_label_disagreement(spark):
     detail, summary = spark.createDataFrame([("1", "I"), ("1", "I"), ("2", "O"), ("3", None)], "npi string, e string"), spark.createDataFrame([("1", "I"), ("2", "I"), ("3", "O")], "npi string, e string")
     assert sorted(r.npi for r in gates.label_disagreement(detail, summary, ["npi"], "e").collect()) == ["2", "3"]
+
+
+def test_numbers_longer_than_an_id_are_looked_at_by_their_first_ten_digits(spark):
+    import duckdb
+
+    from peerscope.plans import quality, registry
+
+    con, keys = duckdb.connect(), [*range(1, 300), *range(1_136_400, 1_137_000), *range(7_200_000, 7_200_300)]
+    con.execute("CREATE TABLE part (p_partkey BIGINT)")
+    con.executemany("INSERT INTO part VALUES (?)", [[k] for k in keys])
+    want = con.execute(registry.oracle_sql()["v18_npi_like"]).fetchall()
+    got = quality.npi_like_parts(spark.createDataFrame([(k,) for k in keys], "p_partkey long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and any(len(c) == 11 for _, c, _ in want)
