@@ -196,3 +196,11 @@ def test_numbers_longer_than_an_id_are_looked_at_by_their_first_ten_digits(spark
     want = con.execute(registry.oracle_sql()["v18_npi_like"]).fetchall()
     got = quality.npi_like_parts(spark.createDataFrame([(k,) for k in keys], "p_partkey long")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and any(len(c) == 11 for _, c, _ in want)
+
+
+@pytest.mark.parametrize("name", ["v2_v4_profile_service", "k4_quality_results"])
+def test_service_profiles_report_columns_out_of_place(spark, data, name):
+    from peerscope.plans import registry
+
+    found = {r["check"]: r["observed"] for r in registry.queries()[name](spark, data).collect()}
+    assert len(found) == 9 and found["columns_out_of_place"] == 2
