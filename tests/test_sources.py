@@ -172,3 +172,18 @@ def test_target_names_are_the_stated_ones():
     assert {"long_acting_opioid_drug_flag", "nonlis_beneficiary_cost_share", "antipsychotic_drug_flag"} <= set(readers.GEOGRAPHY_DRUG)
     files = (readers.SUPPLIER, readers.SUPPLIER_SERVICE, readers.PART_B_PROVIDER, readers.PART_B_SERVICE, readers.PROVIDER_DRUG, readers.GEOGRAPHY_DRUG)
     assert not [t for f in files for t in f if re.search("organization_name|supplier_provider|rendering_provider|_v[12]_", t)]
+
+
+def test_rows_of_pages_are_computed_once(spark, tmp_path):
+    from peerscope.plans import quality
+
+    evaluated = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            evaluated.add(b.num_rows)
+            yield b
+
+    df = spark.range(100).mapInArrow(counted, "id long").select(F.lit(2000).alias("data_year"), F.lpad(F.col("id").cast("string"), 10, "0").alias("npi"), F.col("id").alias("n"))
+    got = quality.pages_read_back(df, readers.PROVIDER_DRUG, {"prescriber_npi": F.col("npi"), "total_claims": F.col("n")}, str(tmp_path / "pages"))
+    assert sorted(r.total_claims for r in got.collect()) == list(range(100)) and evaluated.value == 100
