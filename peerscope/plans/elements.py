@@ -26,7 +26,7 @@ def nine(*columns: str) -> list:
 # --- measures -------------------------------------------------------------------------------------------------------
 @query("p1_p2_p4_cell_measures", f"SELECT {K}, panel_band, {a._r(['panel_penetration', 'days_per_tested', 'units_per_day', 'std_per_panel', 'std_share'], 9)} FROM scan_rows", a.SCAN_ROWS)
 def p1(spark, sf_dir):
-    return claims.scan_rows(*b.cells_and_summary(spark, sf_dir), a.S).select(*KEY, "panel_band", *nine("panel_penetration", "days_per_tested", "units_per_day", "std_per_panel", "std_share"))
+    return claims.scan_rows(*b.cells_and_summary(spark, sf_dir, needs=a.SCAN_NEEDS), a.S).select(*KEY, "panel_band", *nine("panel_penetration", "days_per_tested", "units_per_day", "std_per_panel", "std_share"))
 
 
 @query("p3_reconstructed_amounts", f"SELECT {K}, round(services * (payment / services), 4) AS paid, round(services * (standardized / services), 4) AS std FROM cells", b.CELLS)
@@ -255,7 +255,7 @@ _ONE = "data_year, code, pos"
 @query("a5_r1_r2_peer_statistics", f"WITH {a.peer_sql('tested_rows', _ONE, {'reach': 'panel_penetration'}, 'w')} SELECT DISTINCT {_ONE}, peer_count, {a._r(['reach_q1', 'reach_median', 'reach_q3', 'reach_iqr', 'reach_mad'], 9)} FROM w", a.SCAN_ROWS)
 def a5(spark, sf_dir):
     keys = ["data_year", "code", "pos"]
-    rows = claims.scan_rows(*b.cells_and_summary(spark, sf_dir), a.S).filter(F.col("tested") >= a.S.minimum_tested)
+    rows = claims.scan_rows(*b.cells_and_summary(spark, sf_dir, needs=a.SCAN_NEEDS), a.S).filter(F.col("tested") >= a.S.minimum_tested)
     stats = peers.with_peer_stats(rows, keys, {"reach": "panel_penetration"})
     return stats.select(*keys, "peer_count", *nine("reach_q1", "reach_median", "reach_q3", "reach_iqr", "reach_mad")).distinct()
 
@@ -339,7 +339,7 @@ def a22(spark, sf_dir):
 @query("r3_r4_r9_robust_scores", f"WITH {a.peer_sql('tested_rows', _ONE, {'units': 'units_per_day'}, 'w')} SELECT {K}, units_scale, {a._r(['units_z', 'units_ratio'], 6)}, CAST(round(CAST(abs(units_per_day - units_median) AS DECIMAL(38,12)), 9) AS DOUBLE) AS units_delta FROM w", a.SCAN_ROWS)
 def r3(spark, sf_dir):
     metric = {"units": "units_per_day"}
-    rows = claims.scan_rows(*b.cells_and_summary(spark, sf_dir), a.S).filter(F.col("tested") >= a.S.minimum_tested)
+    rows = claims.scan_rows(*b.cells_and_summary(spark, sf_dir, needs=a.SCAN_NEEDS), a.S).filter(F.col("tested") >= a.S.minimum_tested)
     out = peers.score(peers.with_peer_stats(rows, ["data_year", "code", "pos"], metric), metric)
     return out.select(*KEY, "units_scale", *a.rounded(None, 6, "units_z", "units_ratio"), *nine("units_delta"))
 

@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 
+from peerscope.operators import strata
+from peerscope.plans import analyses as a
 from peerscope.plans import bindings as b
+from peerscope.plans import registry
 
 TABLES = "region nation supplier part orders lineitem".split()
 
@@ -63,3 +66,27 @@ def test_line_items_are_shuffled_once_a_join_and_once_by_supplier(spark, data, m
         spark.conf.unset("spark.sql.adaptive.enabled")
     # Line items by order, part and supplier; orders, parts and suppliers; suppliers by nation, nations, and both again by region.
     assert "Expand" not in plan and plan.count("Exchange hashpartitioning") <= exchanges + 4
+
+
+def test_needed_measures_and_years_are_those_of_all(spark, odd):
+    """What is kept for a query agrees with the whole; what isn't kept is not there."""
+    folder, con = odd
+    cells, summary = b.cells_and_summary(spark, folder, needs=("beneficiaries", "bene_days", "services", "standardized"), year=1996)
+    kept = "data_year, npi, entity, state, specialty, {}beneficiaries, {}services, standardized"
+    assert rows_of(cells) == rows_of_sql(con, f"WITH {b.CELLS} SELECT {kept.format('code, pos, ', 'bene_days, ')} FROM cells WHERE data_year = 1996") != []
+    assert rows_of(summary) == rows_of_sql(con, f"WITH {b.SUMMARY} SELECT {kept.format('', '')}, codes FROM summary WHERE data_year = 1996") != []
+
+
+def cut_plans(monkeypatch, module):
+    """Plans of what is cut in a module."""
+    plans, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    return plans
+
+
+@pytest.mark.parametrize("name", ["d1_provider_service_scan", "d2_shortlist", "r3_r4_r9_robust_scores"])
+def test_the_scan_shuffles_no_money_that_it_does_not_read(spark, data, monkeypatch, name):
+    plans = cut_plans(monkeypatch, b)
+    registry.queries()[name](spark, data)
+    assert len(plans) == 1 and "l_quantity" in plans[0]
+    assert not [c for c in ("l_extendedprice", "l_discount", "l_tax", "l_returnflag") if c in plans[0]]
