@@ -90,3 +90,9 @@ def test_the_scan_shuffles_no_money_that_it_does_not_read(spark, data, monkeypat
     registry.queries()[name](spark, data)
     assert len(plans) == 1 and "l_quantity" in plans[0]
     assert not [c for c in ("l_extendedprice", "l_discount", "l_tax", "l_returnflag") if c in plans[0]]
+
+
+def test_discovery_reads_its_year_alone(spark, data, monkeypatch):
+    plans = cut_plans(monkeypatch, b)
+    a.candidate_parts(spark, data)
+    assert f" = {a.YEAR})" in plans[0] and "l_returnflag" not in plans[0]
