@@ -195,7 +195,8 @@ _beside = "p.known AND NOT p.candidate AND " + " AND ".join(f"p.{k} = x.{k}" for
 
 
 def scoped(spark, sf_dir):
-    return peers.scopes(claims.review_cells(*a.review_parts(spark, sf_dir)), "state")
+    # Strata are cut before they are scored, so only what is scored may come with them.
+    return peers.scopes(claims.review_cells(*a.review_parts(spark, sf_dir)).select(*KEY, "entity", "state", "known", "candidate", "services_per_beneficiary"), "state")
 
 
 @query(

@@ -96,3 +96,9 @@ def test_discovery_reads_its_year_alone(spark, data, monkeypatch):
     plans = cut_plans(monkeypatch, b)
     a.candidate_parts(spark, data)
     assert f" = {a.YEAR})" in plans[0] and "l_returnflag" not in plans[0]
+
+
+def test_ranks_are_cut_with_what_they_rank_alone(spark, data, monkeypatch):
+    plans = cut_plans(monkeypatch, strata)
+    registry.queries()["j11_r8_excluded_rank"](spark, data)
+    assert plans and "l_quantity" in plans[0] and "l_extendedprice" not in plans[0] and "p_retailprice" not in plans[0]
