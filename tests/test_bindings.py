@@ -102,3 +102,8 @@ def test_ranks_are_cut_with_what_they_rank_alone(spark, data, monkeypatch):
     plans = cut_plans(monkeypatch, strata)
     registry.queries()["j11_r8_excluded_rank"](spark, data)
     assert plans and "l_quantity" in plans[0] and "l_extendedprice" not in plans[0] and "p_retailprice" not in plans[0]
+
+
+@pytest.mark.parametrize("name", ["d25_reassignment", "d25_reassignment_pairs"])
+def test_reassignment_joins_line_items_once(spark, data, name):
+    assert "l_orderkey" not in registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
