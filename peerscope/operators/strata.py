@@ -23,6 +23,8 @@ from ..cluster import cut
 
 #: Rows above which a stratum is split.
 SPLIT_ROWS = 1_000_000
+#: Rows of small strata that a task is dealt on average, where these make more tasks than run at a time.
+TASK_ROWS = 250_000
 STEPS = 256
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -40,12 +42,22 @@ def by_size(df: DataFrame, keys: Sequence[str], windowed: Callable[[DataFrame],
 
     Both must return the same rows and columns. The rows are cut first, so that they are computed once for the counts and
     for what follows. Rows with a null key are no stratum to be split, and go to `windowed`.
+    Small strata are dealt out by rows, as windows widen their rows, of which the compressed size that adaptive execution
+    goes by says little.
     """
     rows = cut(df)
-    large = rows.groupBy(*keys).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > (SPLIT_ROWS if most is None else most)).dropna(subset=list(keys)).select(*keys)
-    if large.isEmpty():
-        return windowed(rows)
-    return windowed(rows.join(large, list(keys), "left_anti").select(*rows.columns)).unionByName(split(rows.join(large, list(keys), "left_semi").select(*rows.columns)))
+    per = rows.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    is_large = F.col("__rows") > (SPLIT_ROWS if most is None else most)
+    for k in keys:
+        is_large = is_large & F.col(k).isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    small, big = per.agg(total(F.when(~is_large, F.col("__rows"))), total(F.when(is_large, F.col("__rows")))).first()
+    tasks = -(-small // TASK_ROWS)
+    dealt = lambda part: part.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else part
+    if not big:
+        return windowed(dealt(rows))
+    large = per.filter(is_large).select(*keys)
+    return windowed(dealt(rows.join(large, list(keys), "left_anti").select(*rows.columns))).unionByName(split(rows.join(large, list(keys), "left_semi").select(*rows.columns)))
 
 
 def running(table: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Sequence[str], by: Column | None = None) -> DataFrame:

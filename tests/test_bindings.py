@@ -107,3 +107,13 @@ def test_ranks_are_cut_with_what_they_rank_alone(spark, data, monkeypatch):
 @pytest.mark.parametrize("name", ["d25_reassignment", "d25_reassignment_pairs"])
 def test_reassignment_joins_line_items_once(spark, data, name):
     assert "l_orderkey" not in registry.queries()[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_strata_are_dealt_out_by_rows(spark, data, odd, monkeypatch):
+    """As for many rows: strata in tasks by rows, with the results that they have in one."""
+    made = lambda: a.scan(spark, data).select("data_year", "npi", "code", "pos", "reach_percentile", "reach_broad_percentile", "peer_count")
+    want = rows_of(made())
+    monkeypatch.setattr(strata, "TASK_ROWS", 50)
+    dealt = made()
+    assert rows_of(dealt) == want != []
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
